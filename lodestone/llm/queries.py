@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from lodestone.tables import table
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.media_columns import store_texts, stored_digest
+
+    return stored_digest(store_texts(table(spark, sf_dir, "documents")))
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.minhash import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.line_frequency import quality_rules
 
@@ -30,7 +42,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_line_frequency, op9_line_dedup, op10_secret_scan)}
+    return {f.__name__: f for f in (op4_media_columns, op5_minhash, op8_line_frequency, op9_line_dedup, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
