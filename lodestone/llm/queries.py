@@ -22,6 +22,24 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.features import crc_of_id
+    from lodestone.llm.quality_knn import quality_scores, train
+
+    docs, held = table(spark, sf_dir, "documents"), crc_of_id("doc_id") % 5 == 0
+    model = train(docs, table(spark, sf_dir, "labels"), where=~held)
+    return quality_scores(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op7_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.features import crc_of_id
+    from lodestone.llm.toxicity_fm import toxicity_scores, train
+
+    docs, held = table(spark, sf_dir, "documents"), crc_of_id("doc_id") % 4 == 2
+    machine = train(docs, table(spark, sf_dir, "labels"), where=~held)
+    return toxicity_scores(docs, machine).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.line_frequency import quality_rules
 
@@ -42,7 +60,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_media_columns, op5_minhash, op8_line_frequency, op9_line_dedup, op10_secret_scan)}
+    return {f.__name__: f for f in (op4_media_columns, op5_minhash, op6_quality_knn, op7_toxicity_fm, op8_line_frequency, op9_line_dedup, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
