@@ -137,15 +137,19 @@ def telling_terms(found: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, mos
     return every[order[chi[order] >= 0]]
 
 
-def score_rows(docs: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[], Callable[[Terms], list[np.ndarray]]]) -> DataFrame:
-    """id and the columns of `schema`, computed slice by slice by the function that `make` gives on the executor."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def score_rows(docs: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[], Callable[[Terms], list[np.ndarray]]], keep: bool = False) -> DataFrame:
+    """id, or all columns if `keep`, and the columns of `schema`, computed slice by slice by the function that `make` gives on the executor."""
     names = [c.split()[0] for c in schema.split(", ")]
+    own = [c for c in docs.columns if c not in names] if keep else [id_col]
+    # the text goes last, under a name of its own
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(own)], F.col(text_col).alias("text"))
+    kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c) for c in score(Terms(data, offsets))]], ["id", *names])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(c) for c in score(Terms(data, offsets))]], [*part.schema.names[:-1], *names])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
+    scored = rows.mapInArrow(run, f"{kinds}, {schema}")
+    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], *names)

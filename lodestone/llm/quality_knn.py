@@ -84,8 +84,8 @@ def vote(t: Terms, m: Model) -> np.ndarray:
     return np.where(t.n_words > 0, np.clip(score, 0, 1), m.prior)
 
 
-def quality_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut_at: float = 0.3) -> DataFrame:
-    """id, score and predicted (score >= cut_at) of each row.
+def quality_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut_at: float = 0.3, keep: bool = False) -> DataFrame:
+    """id (all columns if `keep`), score and predicted (score >= cut_at) of each row.
 
     Null and empty texts and those without words score the labelled share of label 1. Repeated rows have equal scores.
     An empty table gives an empty result. Only the id and the text are read, whatever other columns there are.
@@ -96,4 +96,4 @@ def quality_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
         m = shared.value
         return lambda t: [vote(t, m)]
 
-    return score_rows(docs, id_col, text_col, "score double", make).withColumn("predicted", (F.col("score") >= cut_at).cast("int"))
+    return score_rows(docs, id_col, text_col, "score double", make, keep).withColumn("predicted", (F.col("score") >= cut_at).cast("int"))

@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from lodestone.tables import table
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.mixing import mixture_rates, train
+
+    docs = table(spark, sf_dir, "documents")
+    return mixture_rates(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.media_columns import store_texts, stored_digest
 
@@ -60,7 +67,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_media_columns, op5_minhash, op6_quality_knn, op7_toxicity_fm, op8_line_frequency, op9_line_dedup, op10_secret_scan)}
+    return {f.__name__: f for f in (op2_mixing, op4_media_columns, op5_minhash, op6_quality_knn, op7_toxicity_fm, op8_line_frequency, op9_line_dedup, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -84,8 +84,8 @@ def probability(t: Terms, m: Machine) -> np.ndarray:
     return _sigmoid(z)
 
 
-def toxicity_scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", cut_at: float = 0.3) -> DataFrame:
-    """id, score and predicted (score >= cut_at) of each row.
+def toxicity_scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", cut_at: float = 0.3, keep: bool = False) -> DataFrame:
+    """id (all columns if `keep`), score and predicted (score >= cut_at) of each row.
 
     Null and empty texts and those without chosen terms score what the bias alone gives. Repeated rows have equal
     scores. An empty table gives an empty result. Only the id and the text are read, whatever other columns there are.
@@ -96,4 +96,4 @@ def toxicity_scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", t
         m = shared.value
         return lambda t: [probability(t, m)]
 
-    return score_rows(docs, id_col, text_col, "score double", make).withColumn("predicted", (F.col("score") >= cut_at).cast("int"))
+    return score_rows(docs, id_col, text_col, "score double", make, keep).withColumn("predicted", (F.col("score") >= cut_at).cast("int"))
