@@ -34,3 +34,12 @@ def let(value: Column, body) -> Column:
 def whole_text(name: str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: The most bytes that are broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def if_small(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if its counted rows, at `row_bytes` each, stay under `most`; else as it is, to be joined by shuffle. `df` should be materialised."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df

@@ -12,9 +12,11 @@ All lines that share a key of the first kind are within one edit of each other,
 partner of each: one minimum per key, no pairs within groups. For the second kind the two roles have a minimum each.
 The partner is verified by the edit distance of the two texts.
 
-Lossless thinning before the neighbourhoods, which have a row per character: equal lines become one row; then, because
-one edit leaves the first or the last half of the shorter line whole, only lines whose half (tagged by side and length)
-occurs in another line can have a partner. The others emit no variants.
+A neighbourhood has a row per character, so deletions are made only where a partner is possible. One edit leaves all but
+one of a line's S equal blocks whole, those before it counted from the start and those after it from the end.
+Hashes of the line without each block, tagged by the block and the shorter line's length, are shared by every pair
+within one edit. First, with S = 2, all lines are thinned to those that share such a hash with another line; then, with
+S = 8, these few deletions remain: in the blocks whose hash is shared. Both steps lose no pair.
 """
 
 from __future__ import annotations
@@ -22,64 +24,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, let, whole_text
+from lodestone.llm.common import BROADCAST_BYTES, cut, if_small, let, whole_text
 
 
-def _pair128(c: Column) -> Column:
-    """Two hashes of a string, so that equality of lines holds over any corpus."""
-    return F.struct(F.xxhash64(c).alias("a"), F.xxhash64(c, F.lit(7)).alias("b"))
+def _block_keys(line: Column, n: Column, blocks: int) -> Column:
+    """For m the length n and n - 1, and each block s of m characters: struct (k, m, s), k the hash of the line without block s."""
 
+    def key(m: Column, s: int) -> Column:
+        before, after = F.floor(m * s / blocks).cast("int"), m - F.floor(m * (s + 1) / blocks).cast("int")
+        k = F.xxhash64(m, F.lit(s), F.substring(line, F.lit(1), before), F.substring(line, n - after + 1, after))
+        return F.struct(k.alias("k"), m.alias("m"), F.lit(s).alias("s"))
 
-def _halves(line: Column, n: Column) -> Column:
-    """For m the length and one less: hashes of the first m div 2 characters and of the last m - m div 2, with side and m."""
-    out = []
-    for m in (n, n - 1):
-        h = (m / 2).cast("int")
-        out += [F.xxhash64(F.lit("first"), m, F.substring(line, F.lit(1), h)), F.xxhash64(F.lit("last"), m, F.substring(line, n - (m - h) + 1, m - h))]
-    return F.array(*out)
+    return F.array(*[key(m, s) for m in (n, n - 1) for s in range(blocks)])
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """a and b (two hashes: equality of lines holds over any corpus), place and line of each line that is long enough."""
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-    return rows.select("id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = rows.select("id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.where(F.length("line") >= min_chars).select(F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(7)).alias("b"), F.struct("id", "text_hash", "line_no").alias("place"), "line")
 
 
-def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 30, max_edits: int = 1) -> DataFrame:
-    """Per distinct line of at least `min_chars` characters: h, n (occurrences), first (its place), partner_first.
+def _shared(keys: DataFrame) -> DataFrame:
+    """The k of the rows (k, a) that lines with different a have."""
+    return keys.groupBy("k").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("k")
 
-    `partner_first` is the place of an earlier line within the bound, or null. `max_edits` is 0 or 1.
-    """
-    if max_edits not in (0, 1):
-        raise ValueError("max_edits must be 0 or 1")
-    place = F.struct(F.col("id"), F.col("text_hash"), F.col("line_no")).alias("place")
-    lines = _lines(docs, id_col, text_col).where(F.length("line") >= min_chars).select(_pair128(F.col("line")).alias("h"), place, _halves(F.col("line"), F.length("line")).alias("halves"))
-    distinct = lines.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
-    if max_edits == 0:
-        return distinct.select("h", "n", "first", F.lit(None).cast(distinct.schema["first"].dataType).alias("partner_first"))
-    distinct = cut(distinct)
-    halves = distinct.select("h", F.explode("halves").alias("k"))
-    shared = halves.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("k")
-    survivors = halves.join(shared, "k", "left_semi").select("h").distinct().join(distinct.select("h", "first"), "h")
-    # the texts of survivors come from the place where each is first
-    texts = _lines(docs, id_col, text_col).where(F.length("line") >= min_chars).withColumn("h", _pair128(F.col("line")))
-    texts = texts.join(survivors, "h").where(F.struct("id", "text_hash", "line_no").eqNullSafe(F.col("first"))).select("h", "first", "line").dropDuplicates(["h"])
-    texts = cut(texts)
+
+def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 30) -> DataFrame:
+    """a and b of each distinct line of at least `min_chars` characters that has an earlier line within one edit, but not equal."""
+    lines = _lines(docs, id_col, text_col, min_chars)
+    halves = F.transform(_block_keys(F.col("line"), F.length("line"), 2), lambda x: x["k"])
+    shared = if_small(cut(_shared(lines.select("a", F.explode(halves).alias("k")))), 8)
+    survivors = lines.select("a", "b", "place", "line", F.explode(halves).alias("k")).join(shared, "k", "left_semi")
+    texts = cut(survivors.groupBy("a", "b").agg(F.min("place").alias("first"), F.first("line").alias("line")))
+    blocks = texts.select("a", F.explode(_block_keys(F.col("line"), F.length("line"), 8)).alias("x")).select("a", "x.k", "x.m", "x.s")
+    edits = blocks.join(_shared(blocks), "k", "left_semi").groupBy("a").agg(F.collect_set(F.struct("m", "s")).alias("edits"))  # at most 16 a line
     size = F.length("line")
-    variant = F.transform(F.sequence(F.lit(1), size), lambda p: F.struct(p.alias("p"), F.concat(F.substring(F.col("line"), F.lit(1), p - 1), F.substring(F.col("line"), p + 1, size)).alias("v")))
-    deleted = texts.select("h", "first", F.explode(variant).alias("x"))
-    keys = deleted.select("h", "first", F.explode(F.array(
-        F.struct(F.xxhash64("x.v", "x.p").alias("key"), F.lit(0).alias("role")),
-        F.struct(F.xxhash64("x.v").alias("key"), F.lit(1).alias("role")),
-    )).alias("y")).select("h", "first", "y.key", "y.role")
-    keys = keys.unionByName(texts.select("h", "first", F.xxhash64("line").alias("key"), F.lit(2).alias("role")))
-    earliest = keys.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.struct("first", "h"))).alias(f"m{r}") for r in (0, 1, 2)], F.count("*").alias("c")).where(F.col("c") > 1)
-    met = keys.join(earliest.drop("c"), "key")
+    where = texts.join(edits, "a").select("a", "b", "first", "line", F.explode("edits").alias("x")).select("a", "b", "first", "line", "x.m", "x.s")
+    low, high = F.floor(F.col("m") * F.col("s") / 8).cast("int"), F.floor(F.col("m") * (F.col("s") + 1) / 8).cast("int")
+    # among equally long lines p lies in the block; the longer of two lines may also have its extra character just after it
+    last = F.when(F.col("m") == size, high - 1).otherwise(high)
+    at = F.when(low <= last, F.sequence(low, last)).otherwise(F.array().cast("array<int>"))
+    variant = lambda p: F.concat(F.substring(F.col("line"), F.lit(1), p), F.substring(F.col("line"), p + 2, size))
+    deleted = F.transform(at, lambda p: F.when(F.col("m") == size, F.struct(F.xxhash64(variant(p), p).alias("key"), F.lit(0).alias("role"))).otherwise(F.struct(F.xxhash64(variant(p)).alias("key"), F.lit(1).alias("role"))))
+    keys = where.select("a", "b", "first", F.explode(deleted).alias("y")).select("a", "b", "first", "y.key", "y.role")
+    own = where.where(F.col("m") == size).select("a", "b", "first", F.xxhash64("line").alias("key"), F.lit(2).alias("role"))
+    keys = keys.unionByName(own).distinct()
+    earliest = keys.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.struct("first", "a", "b"))).alias(f"m{r}") for r in (0, 1, 2)], F.count("*").alias("c")).where(F.col("c") > 1)
     partner = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
-    met = met.withColumn("partner", partner).where(F.col("partner.first") < F.col("first"))
-    best = met.select("h", F.col("partner.h").alias("p_h"), F.col("partner.first").alias("p_first")).distinct()
-    both = best.join(texts.select("h", "line"), "h").join(texts.select(F.col("h").alias("p_h"), F.col("line").alias("p_line")), "p_h")
-    good = both.where(F.levenshtein("line", "p_line", max_edits).between(0, max_edits)).groupBy("h").agg(F.min("p_first").alias("partner_first"))
-    return distinct.select("h", "n", "first").join(good, "h", "left")
+    met = keys.join(earliest.drop("c"), "key").withColumn("partner", partner).where(F.col("partner.first") < F.col("first"))
+    met = met.select("a", "b", F.col("partner.a").alias("pa"), F.col("partner.b").alias("pb")).distinct()
+    both = met.join(texts.select("a", "b", "line"), ["a", "b"]).join(texts.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("line").alias("p_line")), ["pa", "pb"])
+    return both.where(F.levenshtein("line", "p_line", 1).between(0, 1)).select("a", "b").distinct()
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 30, max_edits: int = 1) -> DataFrame:
@@ -90,13 +86,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places, so they keep the same lines. A null text stays null with 0 lines; a text that loses all lines becomes
     empty. An empty table gives an empty result.
     """
-    near = near_lines(docs, id_col, text_col, min_chars, max_edits)
-    drop = near.where((F.col("n") > 1) | F.col("partner_first").isNotNull()).select(
-        F.col("h").alias("d_h"), F.when(F.col("partner_first").isNull(), F.col("first")).alias("keep_at")
-    )
-    lines = _lines(docs, id_col, text_col).where(F.length("line") >= min_chars).select("id", "text_hash", "line_no", _pair128(F.col("line")).alias("h"))
-    hit = lines.join(drop, F.col("h") == F.col("d_h")).where(F.col("keep_at").isNull() | ~F.struct("id", "text_hash", "line_no").eqNullSafe(F.col("keep_at")))
-    gone = hit.groupBy("id", "text_hash").agg(F.collect_set("line_no").alias("__gone")).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "__gone")
+    if max_edits not in (0, 1):
+        raise ValueError("max_edits must be 0 or 1")
+    lines = _lines(docs, id_col, text_col, min_chars).drop("line")
+    again = lines.groupBy("a", "b").agg(F.min("place").alias("keep_at"), F.count("*").alias("c")).where("c > 1").drop("c")
+    if max_edits:
+        # of a line with an earlier partner none stays, so it needs no place
+        near = near_lines(docs, id_col, text_col, min_chars).withColumn("near", F.lit(True))
+        again = again.join(near, ["a", "b"], "full").select("a", "b", F.when(F.col("near").isNull(), F.col("keep_at")).alias("keep_at"))
+    hit = lines.join(if_small(cut(again), 64), ["a", "b"]).where(F.col("keep_at").isNull() | ~F.col("place").eqNullSafe(F.col("keep_at")))
+    gone = hit.groupBy(F.col("place.id").alias("__id"), F.col("place.text_hash").alias("__hash")).agg(F.collect_set("place.line_no").alias("__gone"))
+    gone = cut(gone)
+    if (gone.agg(F.sum(F.size("__gone") * 4 + 64).alias("b")).first()["b"] or 0) <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     joined = docs.select(*own).join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(whole_text(text_col)) == F.col("__hash")), "left")
     lines_of = F.split(F.col(text_col), "\n")
