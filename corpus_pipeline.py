@@ -1,8 +1,70 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: quality filter, line dedup, near-dedup, mixing to target weights, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Between
+stages the rows are written as Parquet and read again, so a stage that reads its input several times doesn't repeat the
+stages before it.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import line_dedup as lines
+from lodestone.llm import minhash, mixing, packing, quality_knn
+from lodestone.llm.common import cut, if_small, remove_table, shared_table
+from lodestone.tables import table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest-neighbour vote takes for good ones (score 0.3 or more); a text without words scores the labelled share and stays while that is so high."""
+    model = quality_knn.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality_knn.quality_scores(docs.select(*COLUMNS), model, keep=True)
+    return scored.where("predicted = 1").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that an earlier line of the corpus equals or nearly equals; n_chars follows the text."""
+    out = lines.line_dedup(docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked at 80 % of five-word shingles: that with the least id. Documents without words are linked with nothing and stay; of rows that repeat an id and its text one stays."""
+    found = cut(minhash.near_dedup(docs).select("doc_id", "kept"))
+    dropped = if_small(found.where("not kept").select("doc_id").distinct(), 8)
+    left = docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
+    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if again.isEmpty():
+        return left
+    again = cut(again)
+    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as many times as the mixture's rates say; some not at all."""
+    return mixing.mixed(docs.select(*COLUMNS), mixing.train(docs, table(spark, sf_dir, "labels")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 tokens, with their ids."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+
+
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix), ("pack", pack)]
+#: Stages 1, 4 and 5 can't be put in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, from documents. Tables between stages go when the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        docs = shared_table(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            remove_table(before)
+        before = docs
+    return docs
