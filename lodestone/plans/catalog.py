@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.plans import corpus, evaluations, scalars, stores
+from lodestone.plans.registry import Query
+
+_MODULES = (corpus, stores, evaluations, scalars)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return corpus.pretoken_counts_top(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {k: f for m in _MODULES for k, f in m.R.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in _MODULES for k, s in m.R.sql.items()}
