@@ -131,9 +131,4 @@ def printable_bytes(raw: Column) -> Column:
     """Bytes as printable characters: printable ones stand for themselves, the others for those from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
-    char = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-    table = F.array(*[F.lit(char[b]) for b in range(256)])
-    digits = F.hex(raw)
-    each = F.sequence(F.lit(1), F.length(digits), F.lit(2))
-    number = lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("int")
-    return F.when(F.length(digits) == 0, F.lit("")).otherwise(F.array_join(F.transform(each, lambda i: F.get(table, number(i))), ""))
+    return F.translate(F.decode(raw, "ISO-8859-1"), "".join(map(chr, rest)), "".join(chr(256 + i) for i in range(len(rest))))
