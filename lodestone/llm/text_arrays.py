@@ -96,7 +96,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.nd
     bounds = np.searchsorted(doc, np.arange(len(offsets)))
     joined = np.zeros(max(0, len(h) - size + 1), np.uint64)
     for k in range(size):
-        joined = joined * np.uint64(0xD6E8FEB86659FD93) + h[k : len(h) - size + 1 + k]
+        joined = joined * np.uint64(0xD6E8FEB86659FD93) + h[k : k + len(joined)]
     joined = mix(joined)
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b - a >= size:
