@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -91,7 +92,7 @@ def best_cuts(position: np.ndarray, penalty: np.ndarray, window: int, last: bool
         queue.append(j)
     at = len(pos) - 1
     if not last:
-        at = queue_least(value, pos, window)
+        at = least_cost(value, pos, window)
     out = []
     while at > 0:
         out.append(pos[at])
@@ -99,15 +100,11 @@ def best_cuts(position: np.ndarray, penalty: np.ndarray, window: int, last: bool
     return out[::-1]
 
 
-def queue_least(value: list[int], pos: list[int], window: int) -> int:
-    """Of the candidates within a window of the end, but the end itself, the one with the least value + position."""
-    end, best = len(pos) - 1, None
-    for i in range(end - 1, -1, -1):
-        if pos[end] - pos[i] > window:
-            break
-        if best is None or value[i] < value[best]:
-            best = i
-    return best
+def least_cost(value: list[int], pos: list[int], window: int) -> int:
+    """Of the candidates within a window of the end, but the end itself, the one that costs least so far; the last on ties. What follows it is packed later."""
+    end = len(pos) - 1
+    first = bisect_left(pos, pos[end] - window)
+    return min(range(first, end), key=lambda i: (value[i] - pos[i], -i))
 
 
 class Packer:
