@@ -84,5 +84,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_packing, op2_mixing, op3_suffix_dedup, op4_media_columns, op5_minhash, op6_quality_knn, op7_toxicity_fm, op8_line_frequency, op9_line_dedup, op10_secret_scan)}
 
 
+_SPACE, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+
+#: Quality rules: figures of each text, and lines that more than greatest(20, 1 %) of the host's documents hold.
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS w FROM documents),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) v(k) GROUP BY doc_id),
+l AS (SELECT doc_id, source, lower(trim(regexp_replace(line, '{_SPACE}+', ' ', 'g'))) AS line FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d)),
+h AS (SELECT source, greatest(20.0, count(*) * 0.01) AS most FROM d GROUP BY source),
+c AS (SELECT l.source, line FROM l JOIN h USING (source) WHERE line <> '' GROUP BY l.source, line, most HAVING count(DISTINCT doc_id) > most),
+v AS (SELECT doc_id, sum(length(line)) AS total, coalesce(sum(length(line)) FILTER ((source, line) IN (SELECT (source, line) FROM c)), 0) AS common FROM l WHERE line <> '' GROUP BY doc_id),
+b AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  (SELECT count(*) - count(DISTINCT x) FROM (SELECT unnest(list_filter(string_split(text, chr(10)), lambda y: regexp_matches(y, '{_WORD}'))) AS x)) AS n_dup_lines,
+  coalesce(rep.n, 0) AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND (total IS NULL OR total - common >= 0.3 * total) AS kept
+FROM b LEFT JOIN v USING (doc_id)"""
+
+#: Line dedup: distinct long lines meet where a half is equal, and are compared.
+OP9_SQL = """
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents),
+l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id, i) AS pos FROM l WHERE length(line) >= 30),
+d AS (SELECT line, min(pos) AS pos, length(line) AS n FROM o GROUP BY line),
+k AS (SELECT line, pos, unnest(['f' || n || '/' || left(line, n // 2), 'l' || n || '/' || right(line, n - n // 2),
+  'f' || (n - 1) || '/' || left(line, (n - 1) // 2), 'l' || (n - 1) || '/' || right(line, n - 1 - (n - 1) // 2)]) AS key FROM d),
+near AS (SELECT DISTINCT a.line FROM k a JOIN k b ON a.key = b.key AND b.pos < a.pos WHERE levenshtein(a.line, b.line) = 1),
+gone AS (SELECT o.doc_id, o.i FROM o JOIN d USING (line) WHERE o.pos > d.pos OR line IN (SELECT line FROM near)),
+m AS (SELECT l.doc_id, l.i, l.line, gone.i IS NOT NULL AS g FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (g) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT g), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query over whole tables in reasonable time; the others are tested against brute force."""
+    return {"op8_line_frequency": OP8_SQL, "op9_line_dedup": OP9_SQL}
