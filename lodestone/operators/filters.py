@@ -69,9 +69,9 @@ def listed_files(files: DataFrame, listing: DataFrame) -> DataFrame:
 def loss_band(df: DataFrame, keep: float = 0.25, loss: str = "loss") -> DataFrame:
     """With t the int(100 * keep)-th percentile of the losses: those under 0.95 t (band 0) and those between 1.5 t and 1.75 t (band 1), NaN and null left out."""
     real = df.where(~F.isnan(loss) & F.col(loss).isNotNull())
-    limit = real.agg(F.expr(f"percentile({loss}, {int(keep * 100) / 100})").alias("t"))
-    low, high = F.col(loss) < 0.95 * F.col("t"), (F.col(loss) > 1.5 * F.col("t")) & (F.col(loss) < 1.75 * F.col("t"))
-    return real.join(F.broadcast(limit)).where(low | high).withColumn("band", F.when(low, 0).otherwise(1)).drop("t")
+    t = real.agg(F.expr(f"percentile({loss}, {int(keep * 100) / 100})")).scalar()
+    low, high = F.col(loss) < 0.95 * t, (F.col(loss) > 1.5 * t) & (F.col(loss) < 1.75 * t)
+    return real.where(low | high).withColumn("band", F.when(F.col(loss) < 0.95 * t, 0).otherwise(1))
 
 
 def truncated_turns(turns: DataFrame, limit: int, literal: bool = False) -> DataFrame:

@@ -37,8 +37,8 @@ def compression_ratio(docs: DataFrame, text: str, n_tokens: str, first: int = 10
 
 def running_start(df: DataFrame, order: str, size: str, name: str = "start", bins: int = 256) -> DataFrame:
     """df with the sum of the sizes of all rows before it in the order (an integer key without repeats): offsets of a ragged store."""
-    span = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    ranged = df.join(F.broadcast(span)).withColumn("__bin", F.floor((F.col(order) - F.col("lo")) * bins / (F.col("hi") - F.col("lo") + 1))).drop("lo", "hi")
+    low, high = df.agg(F.min(order)).scalar(), df.agg(F.max(order)).scalar()
+    ranged = df.withColumn("__bin", F.floor((F.col(order) - low) * bins / (high - low + 1)))
     sums = ranged.groupBy("__bin").agg(F.sum(size).alias("__sum"))
     before = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("__bin", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))  # at most `bins` rows
@@ -61,9 +61,9 @@ def mixture(files: DataFrame, budgets: DataFrame, source: str, order: list[str],
 def validation_split(docs: DataFrame, order: str, n: str, val_tokens: int) -> DataFrame:
     """docs with part ('val' up to the last boundary within val_tokens, else 'train') and start, the offset in that part."""
     placed = running_start(docs, order, n, "__start").withColumn("__end", F.col("__start") + F.col(n))
-    size = placed.where(F.col("__end") <= val_tokens).agg(F.coalesce(F.max("__end"), F.lit(0)).alias("__val"))
+    size = placed.where(F.col("__end") <= val_tokens).agg(F.coalesce(F.max("__end"), F.lit(0))).scalar()
     val = F.col("__end") <= F.col("__val")
-    return placed.join(F.broadcast(size)).withColumns({"part": F.when(val, "val").otherwise("train"), "start": F.when(val, F.col("__start")).otherwise(F.col("__start") - F.col("__val"))}).drop("__start", "__end", "__val")
+    return placed.withColumn("__val", size).withColumns({"part": F.when(val, "val").otherwise("train"), "start": F.when(val, F.col("__start")).otherwise(F.col("__start") - F.col("__val"))}).drop("__start", "__end", "__val")
 
 
 def locate(starts: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -55,9 +55,9 @@ def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(_FLAT + """, n AS (SELECT count(*) AS total FROM p), b AS (SELECT pos // 129 AS block, list(token ORDER BY pos) AS t FROM p GROUP BY 1 HAVING count(*) = 129)
 SELECT block // 8 AS batch, block % 8 AS row, array_to_string(t[1:128], ',') AS input, array_to_string(t[2:129], ',') AS target FROM b, n WHERE (block // 8) * 8 * 129 < total - 128 - 8 * 129""")
 def sequential_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = _small(spark, sf_dir).agg(F.sum("n").alias("total"))
-    windows = tokens.blocks(_stream(spark, sf_dir), 129).join(F.broadcast(total))
-    return tokens.sequential_batches(windows, 128, 8, F.col("total")).select("batch", "row", F.array_join("input", ",").alias("input"), F.array_join("target", ",").alias("target"))
+    total = _small(spark, sf_dir).agg(F.sum("n")).scalar()
+    windows = tokens.blocks(_stream(spark, sf_dir), 129)
+    return tokens.sequential_batches(windows, 128, 8, total).select("batch", "row", F.array_join("input", ",").alias("input"), F.array_join("target", ",").alias("target"))
 
 
 @R.query(_FLAT + " SELECT pos, token, lead(token) OVER (PARTITION BY doc_id ORDER BY i) AS target FROM p")
@@ -78,8 +78,8 @@ q AS (SELECT o_orderkey, (o_orderkey * 37) % (SELECT sum(n)::BIGINT FROM m) AS p
 SELECT o_orderkey, pos, doc_id AS file, (pos - s)::BIGINT AS local FROM q JOIN m ON pos >= s AND pos < s + n""")
 def locate_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokens.running_start(_small(spark, sf_dir).select(F.col("doc_id").alias("file"), F.col("n").alias("n_tokens")), "file", "n_tokens")
-    total = manifest.agg(F.sum("n_tokens").alias("total"))
-    starts = table(spark, sf_dir, "orders").join(F.broadcast(total)).select("o_orderkey", (F.col("o_orderkey") * 37 % F.col("total")).alias("pos"))
+    total = manifest.agg(F.sum("n_tokens")).scalar()
+    starts = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 37 % total).alias("pos"))
     return tokens.locate(starts, manifest).select("o_orderkey", "pos", "file", "local")
 
 
@@ -215,8 +215,8 @@ def facility_location(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(_FLAT + ", x AS (SELECT token AS t, round(count(*) / (SELECT count(*) FROM p), 12) AS prob FROM p GROUP BY 1), c AS (SELECT t, prob, sum(prob) OVER (ORDER BY prob DESC, t ROWS UNBOUNDED PRECEDING) AS c, row_number() OVER (ORDER BY prob DESC, t) AS r FROM x), k AS (SELECT * FROM c WHERE r = 1 OR c <= 0.6) SELECT t, round(prob / sum(prob) OVER (), 6) AS prob FROM k")
 def nucleus(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _small(spark, sf_dir).select(F.explode("tokens").alias("t"))
-    total = stream.agg(F.count("*").alias("total"))
-    probs = stream.groupBy("t").agg(F.count("*").alias("n")).join(F.broadcast(total)).select(F.lit(0).alias("g"), "t", F.round(F.col("n") / F.col("total"), 12).alias("prob"))
+    total = stream.agg(F.count("*")).scalar()
+    probs = stream.groupBy("t").agg(F.count("*").alias("n")).select(F.lit(0).alias("g"), "t", F.round(F.col("n") / total, 12).alias("prob"))
     return evaluation.nucleus(probs, ["g"], "t", 0.6).select("t", F.round("prob", 6).alias("prob"))
 
 
