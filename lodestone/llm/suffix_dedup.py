@@ -12,12 +12,13 @@ content, so that only suffixes that can have a partner are sorted, and those tha
    group's own, since all strings of a group hold them, and orders all suffixes by their first 81 symbols, which are 200
    bytes. Blocks without rivals are groups of one and need no sorting. A start is repeated if its neighbour in the order agrees for
    LIMIT bytes, or if its block's weight is over one.
-4. A group of more than HOT blocks is cut into starts of eight at a time, grouped by the hash of the bytes that the
-   strings of all eight share; equal strings still meet.
+4. A group of more than HOT blocks is cut into starts of eight at a time, by their distance from the anchor, grouped by
+   the hash of the bytes that the strings of all eight share; equal strings still meet.
 
-Only hashes, positions, contested blocks and spans are shuffled, and the texts of documents that hold repeated anchors.
-The list of repeated anchors and that of contested blocks are broadcast only while their counted size is small; beyond
-that they are joined.
+Equal texts are one from the start, with a weight; their spans are joined to each copy at the end. Only hashes,
+positions, contested blocks and spans are shuffled, and those texts that give contested blocks or lose bytes. The list of
+repeated anchors and those of texts to look at again are broadcast only while their counted size is small; beyond that
+they are joined.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import BROADCAST_BYTES, cut, whole_text
+from lodestone.llm.common import BROADCAST_BYTES, cut, if_small, whole_text
 from lodestone.llm.difference_cover import suffix_ranks
 from lodestone.llm.text_arrays import hash_ranges, mix, slices
 
@@ -121,9 +122,23 @@ def repeated_starts(h: np.ndarray, weight: np.ndarray, o: np.ndarray, n: np.ndar
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows with the key k1, k2 of (id, text)."""
+    """Rows with a key k1, k2 of the text."""
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-    return rows.select("id", F.xxhash64("id", "text").alias("k1"), F.xxhash64("text", "id", F.lit(1)).alias("k2"), "text")
+    return rows.select("id", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"), "text")
+
+
+def _distinct_texts(rows: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """k1, k2, text and m, the number of rows with this text, from the row with the least id of each text; all rows of that id, if it repeats."""
+    long = rows.where(F.octet_length("text") >= LIMIT)
+    several = long.groupBy("k1", "k2").agg(F.count("*").alias("m"), F.min("id").alias("first")).where("m > 1")
+    joined = long.join(if_small(cut(several), 40, broadcast_bytes), ["k1", "k2"], "left")
+    return joined.where(F.col("m").isNull() | F.col("id").eqNullSafe(F.col("first"))).select("k1", "k2", "text", F.coalesce("m", F.lit(1)).alias("m"))
+
+
+def _with_keys(rows: DataFrame, keyed: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """Rows joined with `keyed` by key; if the keys are few, other rows don't move."""
+    keys = if_small(keyed.select("k1", "k2"), 16, broadcast_bytes)
+    return rows.join(keys, ["k1", "k2"], "left_semi").join(keyed, ["k1", "k2"])
 
 
 _LISTS = "s array<int>, n array<int>, o array<int>, h array<long>, c array<long>"
@@ -147,15 +162,15 @@ def _blocks(rows: DataFrame, repeated: DataFrame, broadcast_bytes: int) -> DataF
                     at = np.minimum(np.searchsorted(known.value, b["h"]), max(0, len(known.value) - 1))
                     keep = known.value[at] == b["h"] if len(known.value) else np.zeros(len(b["h"]), bool)
                 else:
-                    own = [np.fromiter(x.as_py(), np.int64) for x in part.column(3)]
+                    own = [np.fromiter(x.as_py(), np.int64) for x in part.column(4)]
                     keep = np.concatenate([np.isin(b["h"][b["doc"] == i], x) for i, x in enumerate(own)]) if own else np.zeros(0, bool)
                 b = {k: v[keep] for k, v in b.items()}
                 docs, first = np.unique(b["doc"], return_index=True)
                 edges = pa.array(np.append(first, len(b["doc"])), pa.int32())
                 lists = [pa.ListArray.from_arrays(edges, pa.array(b[k], pa.int32() if k in "sno" else pa.int64())) for k in ("s", "n", "o", "h", "c")]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(docs)), part.column(1).take(pa.array(docs)), *lists], ["k1", "k2", "s", "n", "o", "h", "c"])
+                yield pa.RecordBatch.from_arrays([*[part.column(k).take(pa.array(docs)) for k in (0, 1, 3)], *lists], ["k1", "k2", "m", "s", "n", "o", "h", "c"])
 
-    return rows.select("k1", "k2", "text", *([] if small else ["known"])).mapInArrow(run, f"k1 long, k2 long, {_LISTS}")
+    return rows.select("k1", "k2", "text", "m", *([] if small else ["known"])).mapInArrow(run, f"k1 long, k2 long, m long, {_LISTS}")
 
 
 def _row_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +183,10 @@ def _row_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, data, offsets in slices(batch, "text"):
-            h, n = np.unique(anchors(data, offsets)["h"], return_counts=True)
+        for part, data, offsets in slices(batch, "text"):
+            b = anchors(data, offsets)
+            h, at = np.unique(b["h"], return_inverse=True)
+            n = np.bincount(at, part.column(1).to_numpy()[b["doc"]], len(h)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
 
 
@@ -183,14 +200,17 @@ def _contested_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for text, blocks in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             raw = text.as_buffer().to_pybytes()
             for b in blocks:
-                parts = [(0, b["n"])] if not b["hot"] else [(k, min(8, b["n"] - k)) for k in range(0, b["n"], 8)]
-                for off, n in parts:
-                    at = b["s"] + off
-                    g = b["h"]
+                off = 0
+                while off < b["n"]:
+                    n, g, at = b["n"] - off, b["h"], b["s"] + off
                     if b["hot"]:
-                        middle = raw[at + n - 1 : at + LIMIT]
-                        g = int.from_bytes(hashlib.blake2b(middle + b["h"].to_bytes(8, "little", signed=True) + (b["o"] - off).to_bytes(4, "little", signed=True), digest_size=8).digest(), "little", signed=True)
+                        # starts 8 q + 7 to 8 q bytes before the anchor, as far as the block has them
+                        q, n = (b["o"] - off) // 8, min(n, (b["o"] - off) % 8 + 1)
+                        anchor = b["s"] + b["o"]
+                        middle = raw[anchor - 8 * q : anchor - 8 * q - 7 + LIMIT]
+                        g = int.from_bytes(hashlib.blake2b(middle + b["h"].to_bytes(8, "little", signed=True) + q.to_bytes(4, "little"), digest_size=8).digest(), "little", signed=True)
                     rows.append((g, b["h"], b["c"], b["w"], off, b["o"] - off, n, raw[at : at + n + LIMIT - 1]))
+                    off += n
             if len(rows) > 4000:
                 yield made(rows)
                 rows = []
@@ -222,38 +242,40 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(rows)
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the repeated starts of each text, the maximal runs of bytes that their strings cover."""
+    for batch in batches:
+        spans = []
+        for hits in batch.column(2):
+            x = hits.values
+            s, n = x.field("s").to_numpy(), x.field("n").to_numpy()
+            parts = [a + (np.arange(m) if not mask.is_valid else np.flatnonzero(np.frombuffer(mask.as_buffer(), np.uint8))) for a, m, mask in zip(s, n, x.field("mask"), strict=True)]
+            starts = np.unique(np.concatenate(parts))
+            gap = np.flatnonzero(np.diff(starts) > LIMIT)
+            spans.append([{"s": a, "e": b + LIMIT} for a, b in zip(starts[np.append(0, gap + 1)].tolist(), starts[np.append(gap, len(starts) - 1)].tolist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))], ["k1", "k2", "spans"])
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, hot: int = HOT) -> DataFrame:
-    """k1, k2 and hits, a list of structs (s, mask): from byte s on, which starts are repeated. Only of rows that have any."""
-    rows = _keyed(docs, id_col, text_col)
-    counts = rows.select("text").mapInArrow(_anchor_counts, "h long, n long")
+    """k1, k2 (the key of a text) and spans, the maximal runs of bytes to remove as structs (s, e). Only of texts that have any."""
+    rows = _distinct_texts(_keyed(docs, id_col, text_col), broadcast_bytes)
+    counts = rows.select("text", "m").mapInArrow(_anchor_counts, "h long, n long")
     repeated = cut(counts.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
     lists = cut(_blocks(rows, repeated, broadcast_bytes))
-    each = lists.select("k1", "k2", F.explode(F.arrays_zip("s", "n", "o", "h", "c")).alias("x")).select("k1", "k2", "x.*")
-    distinct = cut(each.groupBy("h", "c").agg(F.count("*").alias("w"), F.min(F.struct("k1", "k2", "s", "n", "o")).alias("at")))
+    each = lists.select("k1", "k2", "m", F.explode(F.arrays_zip("s", "n", "o", "h", "c")).alias("x")).select("k1", "k2", "m", "x.*")
+    distinct = cut(each.groupBy("h", "c").agg(F.sum("m").alias("w"), F.min(F.struct("k1", "k2", "s", "n", "o")).alias("at")))
     rivals = distinct.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     contested = distinct.join(rivals, "h").select("at.k1", "at.k2", F.struct("at.s", "at.n", "at.o", "h", "c", "w", (F.col("m") > hot).alias("hot")).alias("b"))
     contested = cut(contested.groupBy("k1", "k2").agg(F.collect_list("b").alias("blocks")))
-    bytes_there = contested.agg(F.sum(F.size("blocks") * 56 + 32)).first()[0] or 0
-    asked = rows.join(F.broadcast(contested) if bytes_there <= broadcast_bytes else contested, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    asked = _with_keys(rows.select("k1", "k2", "text"), contested, broadcast_bytes).dropDuplicates(["k1", "k2"])
     texts = asked.select("text", "blocks").mapInArrow(_contested_texts, "g long, h long, c long, w long, off int, o int, n int, bytes binary")
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
     decided = texts.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_decide, "h long, c long, off int, mask binary")
     # blocks without rivals are decided by their weight
     alone = distinct.where("w > 1").join(rivals, "h", "left_anti").select("h", "c", F.lit(0).alias("off"), F.lit(None).cast("binary").alias("mask"))
-    verdicts = decided.unionByName(alone)
-    hits = each.select("k1", "k2", "s", "n", "h", "c").join(verdicts, ["h", "c"])
-    return hits.groupBy("k1", "k2").agg(F.collect_list(F.struct((F.col("s") + F.col("off")).alias("s"), "n", "mask")).alias("hits"))
-
-
-def _covered(size: int, hits: list[dict]) -> np.ndarray:
-    """Which bytes a repeated string covers."""
-    change = np.zeros(size + 1, np.int64)
-    for x in hits:
-        starts = x["s"] + (np.arange(x["n"]) if x["mask"] is None else np.flatnonzero(np.frombuffer(x["mask"], np.uint8)))
-        change[starts] += 1
-        change[starts + LIMIT] -= 1
-    return np.cumsum(change[:-1]) > 0
+    hits = each.select("k1", "k2", "s", "n", "h", "c").join(decided.unionByName(alone), ["h", "c"])
+    hits = hits.groupBy("k1", "k2").agg(F.collect_list(F.struct((F.col("s") + F.col("off")).alias("s"), "n", "mask")).alias("hits"))
+    return hits.mapInArrow(_merged, "k1 long, k2 long, spans array<struct<s:int,e:int>>")
 
 
 def suffix_dedup(
@@ -265,15 +287,12 @@ def suffix_dedup(
     same text; strings are judged on the input and never cross texts. Null is the empty text. Texts under 200 bytes keep
     all. Repeated rows are repeats of each other. An empty table gives an empty result. Other columns are ignored.
     """
-    hits = cut(repeated_spans(docs, id_col, text_col, broadcast_bytes, hot))
-    keys = hits.select("k1", "k2")
-    if 16 * hits.count() <= broadcast_bytes:
-        keys = F.broadcast(keys)
+    spans = cut(repeated_spans(docs, id_col, text_col, broadcast_bytes, hot))
     rows = _keyed(docs, id_col, text_col)
     raw = F.col("text").cast("binary")
-    spans = "array<struct<s:int,e:int>>"
-    plain = rows.join(keys, ["k1", "k2"], "left_anti").select(
-        "id", F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), F.array().cast(spans).alias("spans")
+    span_type = "array<struct<s:int,e:int>>"
+    plain = rows.join(if_small(spans.select("k1", "k2"), 16, broadcast_bytes), ["k1", "k2"], "left_anti").select(
+        "id", F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), F.array().cast(span_type).alias("spans")
     )
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -281,15 +300,17 @@ def suffix_dedup(
         for batch in batches:
             out = []
             for text, found in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = np.frombuffer(text.as_buffer(), np.uint8)
-                gone = _covered(len(data), found)
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0])))).reshape(-1, 2)
-                out.append((len(data), int(gone.sum()), len(edges), hashlib.sha256(data[~gone].tobytes()).hexdigest(), [{"s": a, "e": b} for a, b in edges.tolist()]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))]
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-
-    cut_rows = rows.join(keys, ["k1", "k2"], "left_semi").join(hits, ["k1", "k2"]).select("id", "text", "hits")
-    cut_rows = cut_rows.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {spans}")
-    out = plain.unionByName(cut_rows).withColumnRenamed("id", id_col)
+                data, kept, at = text.as_buffer().to_pybytes(), [], 0
+                for x in found:
+                    kept.append(data[at : x["s"]])
+                    at = x["e"]
+                kept = b"".join([*kept, data[at:]])
+                out.append((len(data), len(data) - len(kept), len(found), hashlib.sha256(kept).hexdigest()))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], batch.column(2)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+    shorter = _with_keys(rows, spans, broadcast_bytes).select("id", "text", "spans")
+    shorter = shorter.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {span_type}")
+    out = plain.unionByName(shorter).withColumnRenamed("id", id_col)
     return out if with_spans else out.drop("spans")
