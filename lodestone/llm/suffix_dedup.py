@@ -39,9 +39,9 @@ LIMIT, GRAM = 200, 120
 WINDOW = LIMIT - GRAM + 1  # grams in a string, and symbols in it once the anchor is one symbol: 3**4
 DEPTH = 4
 HOT = 2000
-#: Symbols sorted at once.
-CHUNK = 1 << 21
-_PIECE = 1 << 19
+#: Symbols sorted at once, and bytes of text whose anchors are sought at once: each takes about 150 bytes of memory.
+CHUNK, SLICE = 1 << 18, 1 << 18
+_PIECE = 1 << 18
 _OTHER = np.random.default_rng(3).permutation(256).astype(np.uint8)
 
 
@@ -156,7 +156,7 @@ def _blocks(rows: DataFrame, repeated: DataFrame, broadcast_bytes: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in slices(batch, "text"):
+            for part, data, offsets in slices(batch, "text", SLICE):
                 b = anchors(data, offsets)
                 if small:
                     at = np.minimum(np.searchsorted(known.value, b["h"]), max(0, len(known.value) - 1))
@@ -175,7 +175,7 @@ def _blocks(rows: DataFrame, repeated: DataFrame, broadcast_bytes: int) -> DataF
 
 def _row_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, data, offsets in slices(batch, "text"):
+        for part, data, offsets in slices(batch, "text", SLICE):
             b = anchors(data, offsets)
             doc = pa.array(b["doc"])
             yield pa.RecordBatch.from_arrays([part.column(0).take(doc), part.column(1).take(doc), pa.array(b["h"])], ["k1", "k2", "h"])
@@ -183,7 +183,7 @@ def _row_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, data, offsets in slices(batch, "text"):
+        for part, data, offsets in slices(batch, "text", SLICE):
             b = anchors(data, offsets)
             h, at = np.unique(b["h"], return_inverse=True)
             n = np.bincount(at, part.column(1).to_numpy()[b["doc"]], len(h)).astype(np.int64)
