@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import ship
+
 #: The white space that separates words, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
@@ -24,6 +26,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder: lineage ends there and lost executors don't matter."""
     ensure_checkpoint_dir(df.sparkSession)
+    ship(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -37,6 +40,18 @@ def whole_text(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def fitted(df: DataFrame, rows: int, per_part: int = 50_000) -> DataFrame:
+    """`df` in no more partitions than `rows` need, so that small tables don't cost a file for each task of each shuffle."""
+    parts = max(1, -(-rows // per_part))
+    return df.coalesce(parts)
+
+
+def cut_fitted(df: DataFrame, per_part: int = 50_000) -> DataFrame:
+    """`cut`, in no more partitions than its rows need."""
+    out = cut(df)
+    return fitted(out, out.count(), per_part)
+
+
 #: The most bytes that are broadcast.
 BROADCAST_BYTES = 32 << 20
 

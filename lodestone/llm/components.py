@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, fitted
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = fitted(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n)
+    return fitted(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), n)
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, n: int) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = fitted(down.groupBy("u").agg(F.min("v").alias("m")), n)
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    return fitted(moved.unionByName(least.select("u", F.col("m").alias("v"))), n)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,6 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         if figures["n"] == 0 or figures == said:
             break
         said = figures
-        now = cut(_small_star(_large_star(now)).distinct())
+        n = figures["n"]
+        now = fitted(now, n)
+        now = cut(fitted(_small_star(_large_star(now, n), n).distinct(), n))
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return stars.unionByName(stars.select(F.col("comp").alias("node"), "comp").distinct())

@@ -7,12 +7,13 @@
 3. Pairs are verified: signatures are compared in batches of 16 minima; a pair goes as soon as the posterior probability
    that its similarity reaches the limit (uniform prior; a binomial tail in closed form) falls below `miss`; survivors
    are decided on their full sets.
-4. Buckets give no list of all their pairs. Round one pairs each member with the bucket's least class, round two
-   with another pivot, which differs by bucket; pairs already in one component are left out. Round three
-   settles what is left exactly: buckets that still hold several components are cut into blocks of signatures, each pair
-   of blocks is compared in numpy, and only survivors in different components come out. First the best of each pair of
-   components is decided, then, after those have merged, all that still differ. So every pair that shares a bucket is
-   either in one component or was compared.
+4. Buckets give no list of all their pairs. Four rounds pair each member with a pivot of its bucket: the least class, the
+   greatest, and the first by two other orders. Pairs already in one component are left out, and the links of each round
+   join components. What is left is settled exactly, for buckets of four or more that still hold several components
+   (in smaller ones the first two pivots meet every member). Members outside the bucket's largest component are compared
+   with all members of that component, once whatever the number of buckets; and with one another, bucket by bucket. Both
+   work on blocks of signatures and sets in numpy: survivors are decided there, and only links come out. So every
+   pair that shares a bucket is either in one component or was decided.
 
 Classes are named by 64-bit hashes of their sets. Shuffles carry ids, band hashes, signatures of candidates and sets of
 survivors. Texts move only if the list of classes to verify is over `broadcast_bytes`, a bound on its counted size.
@@ -29,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, cut_fitted
 from lodestone.llm.components import components
 from lodestone.llm.text_arrays import mix, shingles, slices
 
 BATCH = 16
 BLOCK = 128
+#: Rows with sets in a partition.
+SETS = 4000
 
 
 def _factors(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +104,7 @@ def _bands(classes: DataFrame, bands: int, rows: int) -> DataFrame:
             for r in range(rows):
                 key = mix(key * np.uint64(0xD6E8FEB86659FD93) + sig[:, :, r])
             node = np.repeat(batch.column(0).to_numpy(), bands)
+            key = key & ~np.uint64(0xFFFF) | np.arange(bands, dtype=np.uint64)  # the band can be read off its keys
             flat = key.reshape(-1).view(np.int64)
             for k in range(0, len(flat), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(flat[k : k + (1 << 16)]), pa.array(node[k : k + (1 << 16)])], ["key", "node"])
@@ -133,12 +137,8 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(p) + len(q) - len(np.union1d(p, q))
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
-            mask = pa.array(keep, pa.bool_())
+            met = zip(batch.column(2), batch.column(3), strict=True)
+            mask = pa.array([_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in met], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
     return both.select("a", "b", "ia", "ib").mapInArrow(run, "u long, v long")
@@ -160,21 +160,25 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: DataFr
     return rows.mapInArrow(run, "node long, items binary").dropDuplicates(["node"])
 
 
-def _blocks(hot: DataFrame, classes: DataFrame, count: int, limits: list[tuple[int, int]]) -> DataFrame:
-    """Survivors (a, b, ca, cb, m) between components in one bucket, m the equal minima, from buckets cut into blocks."""
-    mixed = hot.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "c")
-    rows = hot.select("key", "node", "comp").join(mixed, "key").join(classes.select("node", "sig"), "node")
-    blk = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("c") / BLOCK))
-    blobs = rows.groupBy("key", blk.alias("blk")).agg(F.collect_list(F.struct("node", "comp", "sig")).alias("x"))
-    left = blobs.select("key", F.col("blk").alias("i"), F.col("x").alias("x"))
-    right = blobs.select("key", F.col("blk").alias("j"), F.col("x").alias("y"))
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    common = len(p) + len(q) - len(np.union1d(p, q))
+    return 100 * common >= percent * (len(p) + len(q) - common)
+
+
+def _compared(met: DataFrame, bands: int, percent: int, limits: list[tuple[int, int]]) -> DataFrame:
+    """Links (u, v) between components in the pairs of blocks (same, band, x, y), lists of structs (node, comp, sig, items).
+
+    Of two components a pair of blocks gives one link at most. `same` says that x and y are one block. With a band, a pair
+    is decided only if that is the first band that it shares.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = limits[-1][0]
         for batch in batches:
-            out = []
-            for same, p, q in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            u, v = [], []
+            for same, own, p, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 p, q = p.values, q.values
-                (na, ca), (nb, cb) = ((v.field("node").to_numpy(), v.field("comp").to_numpy()) for v in (p, q))
+                (na, ca), (nb, cb) = ((z.field("node").to_numpy(), z.field("comp").to_numpy()) for z in (p, q))
                 x, y = _matrix(p.field("sig"), count), _matrix(q.field("sig"), count)
                 i, j = np.nonzero(ca[:, None] != cb[None, :])
                 if same:
@@ -184,13 +188,44 @@ def _blocks(hot: DataFrame, classes: DataFrame, count: int, limits: list[tuple[i
                     seen += (x[i, at:n] == y[j, at:n]).sum(1)
                     ok = seen >= m
                     i, j, seen, at = i[ok], j[ok], seen[ok], n
-                swap = na[i] > nb[j]
-                out.append(tuple(np.where(swap, s, t) for s, t in ((nb[j], na[i]), (na[i], nb[j]), (cb[j], ca[i]), (ca[i], cb[j]))) + (seen,))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "ca", "cb", "m"])
-
-    met = left.join(right, "key").where("i <= j").select((F.col("i") == F.col("j")).alias("same"), "x", "y")
-    return met.mapInArrow(run, "a long, b long, ca long, cb long, m long").distinct()
+                if own is not None and len(i):
+                    first = (x[i] == y[j]).reshape(len(i), bands, count // bands).all(2).argmax(1) == own
+                    i, j, seen = i[first], j[first], seen[first]
+                met, found = (p.field("items"), q.field("items")), set()
+                for k in np.argsort(-seen, kind="stable"):
+                    pair = (ca[i[k]], cb[j[k]])
+                    if pair not in found and _similar(np.frombuffer(met[0][i[k]].as_buffer(), np.uint64), np.frombuffer(met[1][j[k]].as_buffer(), np.uint64), percent):
+                        found.add(pair)
+                        u.append(na[i[k]])
+                        v.append(nb[j[k]])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return met.select("same", "band", "x", "y").mapInArrow(run, "u long, v long")
+
+
+def _rest(hot: DataFrame, labels: DataFrame, full: DataFrame, bands: int, percent: int, limits: list[tuple[int, int]]) -> DataFrame:
+    """Links (u, v) that the pivots may have missed. `full` has node, sig and items of each class in a bucket."""
+    rows = hot.where("c > 3").select("key", "node").join(labels, "node")
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("x"))
+    outside = cut_fitted(rows.join(sizes.where("comps > 1").select("key", F.col("x.comp").alias("major")), "key").where("comp <> major"))
+    blob = F.collect_list(F.struct("node", "comp", "sig", "items"))
+    block = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(n / BLOCK)).cast("int")
+
+    # with the largest component: each of its blocks meets the blocks of those outside
+    near = outside.select(F.col("major").alias("g"), "node", "comp").distinct()
+    few = near.groupBy("g").agg(F.count("*").alias("n"))
+    many = labels.join(few.select("g"), F.col("comp") == F.col("g"), "left_semi").groupBy(F.col("comp").alias("g")).agg(F.count("*").alias("of"))
+    left = near.join(few, "g").join(full, "node").groupBy("g", block(F.col("n")).alias("i")).agg(blob.alias("x"))
+    left = left.join(many, "g").select("g", "x", F.explode(F.sequence(F.lit(0), F.ceil(F.col("of") / BLOCK).cast("int") - 1)).alias("j"))
+    right = labels.join(many, F.col("comp") == F.col("g")).join(full, "node").groupBy("g", block(F.col("of")).alias("j")).agg(blob.alias("y"))
+    first = _compared(left.join(right, ["g", "j"]).select(F.lit(False).alias("same"), F.lit(None).cast("int").alias("band"), "x", "y"), bands, percent, limits)
+
+    # with one another
+    several = outside.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n")
+    blobs = outside.join(several, "key").join(full, "node").groupBy("key", block(F.col("n")).alias("i")).agg(blob.alias("x"))
+    met = blobs.join(blobs.select("key", F.col("i").alias("j"), F.col("x").alias("y")), "key").where("i <= j")
+    second = _compared(met.select((F.col("i") == F.col("j")).alias("same"), F.col("key").bitwiseAND(0xFFFF).cast("int").alias("band"), "x", "y"), bands, percent, limits)
+    return first.unionByName(second)
 
 
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -198,7 +233,7 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     of = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}"))
     joined = components(links.join(of("u"), "u").join(of("v"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
     moved = joined.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-    return cut(labels.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+    return cut_fitted(labels.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
 
 
 def near_dedup(
@@ -220,27 +255,27 @@ def near_dedup(
     first = every.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
     classes = every.select("node", "sig").where("node is not null").dropDuplicates(["node"])
     band = _bands(classes, bands, rows)
-    buckets = band.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("p1"), F.min(F.struct(F.xxhash64("node", "key").alias("o"), F.col("node").alias("node"))).alias("p2"))
-    buckets = buckets.where("c > 1").select("key", "p1", F.col("p2.node").alias("p2"))
-    hot = cut(band.join(buckets, "key"))
-    members = cut(hot.select("node").distinct())
-    classes = cut(classes.join(members, "node", "left_semi"))
+    buckets = band.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("p1"), F.max("node").alias("p2")).where("c > 1")
+    hot = cut_fitted(band.join(buckets, "key"))
+    members = cut_fitted(hot.select("node").distinct())
+    classes = cut_fitted(classes.join(members, "node", "left_semi"), 10_000)
     wanted = first.join(members, "node", "left_semi").select("id", "node").where("id is not null")
-    sets = cut(_sets(docs, id_col, text_col, shingle, cut(wanted), broadcast_bytes))
+    sets = cut_fitted(_sets(docs, id_col, text_col, shingle, cut_fitted(wanted), broadcast_bytes), SETS)
 
     labels = members.select("node", F.col("node").alias("comp"))
-    for pivot in ("p1", "p2"):
-        pairs = hot.select(F.least(pivot, "node").alias("a"), F.greatest(pivot, "node").alias("b")).where("a <> b").distinct()
+    for pivot in ("p1", "p2", "p3", "p4"):
+        rows = hot
+        if pivot in ("p3", "p4"):  # the first by another order
+            order = F.min(F.struct(F.xxhash64("node", F.lit(pivot)).alias("o"), "node"))
+            rows = hot.where("c > 3").join(hot.where("c > 3").groupBy("key").agg(order.alias("x")).select("key", F.col("x.node").alias(pivot)), "key")
+        pairs = rows.select(F.least(pivot, "node").alias("a"), F.greatest(pivot, "node").alias("b")).where("a <> b").distinct()
         if pivot != "p1":
             of = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}"))  # noqa: E731, B023
             pairs = pairs.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select("a", "b")
-        labels = _merge(labels, cut(_links(_survivors(pairs, classes, count, limits), sets, percent)))
-    left = cut(_blocks(hot.select("key", "node").join(labels, "node"), classes, count, limits))
-    best = left.groupBy("ca", "cb").agg(F.max(F.struct("m", "a", "b")).alias("x")).select("x.a", "x.b")
-    labels = _merge(labels, cut(_links(best, sets, percent)))
-    of = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"n{end}"))
-    rest = left.select("a", "b").join(of("a"), "a").join(of("b"), "b").where("na <> nb").select("a", "b")
-    labels = _merge(labels, cut(_links(rest, sets, percent)))
+        pairs = cut_fitted(pairs, 10_000)
+        links = _links(cut_fitted(_survivors(pairs, classes, count, limits), SETS), sets, percent)
+        labels = _merge(labels, cut_fitted(links))
+    labels = _merge(labels, cut_fitted(_rest(hot, labels, classes.join(sets, "node"), bands, percent, limits)))
 
     named = every.select("id", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
