@@ -55,9 +55,9 @@ def pretoken_counts_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.top(tokens.pretoken_counts(table(spark, sf_dir, "documents")), 200)
 
 
-@R.query(f"SELECT pretoken, count(*) AS cnt FROM (SELECT unnest({PIECES_SQL}) AS pretoken FROM documents WHERE lang = 'en') GROUP BY pretoken")
+@R.query(f"SELECT pretoken, count(*) AS cnt FROM (SELECT unnest({PIECES_SQL}) AS pretoken FROM documents) GROUP BY pretoken")
 def pretoken_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = streams.table_stream(spark, f"{sf_dir}/documents.parquet").where("lang = 'en'")
+    docs = streams.table_stream(spark, f"{sf_dir}/documents.parquet")
     name = f"pretokens_{uuid.uuid4().hex}"
     streams.running_counts(docs).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)

@@ -42,9 +42,9 @@ def filtered_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("conv_id", kept.alias("k")).where(F.size("k.results") > 0).select("conv_id", F.md5(F.col("k.text").cast("binary")).alias("h"), F.size("k.results").alias("n"))
 
 
-@R.query("SELECT doc_id, source, lang FROM documents WHERE doc_id % 2 = 0")
+@R.query("SELECT doc_id, source, lang FROM documents")
 def lifted_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.struct("doc_id", "source", "lang")).alias("train"))
+    d = table(spark, sf_dir, "documents").select(F.struct("doc_id", "source", "lang").alias("train"))
     return bundles.lifted(d, "train")
 
 

@@ -107,11 +107,12 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@R.query("SELECT doc_id, md5(replace(replace(text, '  ', ' '), chr(10), ' ')) AS h FROM (SELECT doc_id, translate(text, chr(1) || chr(2), '') AS text FROM documents WHERE regexp_full_match(text, '[\\x21-\\x7e \\n]*'))")
+@R.query("SELECT doc_id, strlen(text) AS n, length(text) - length(replace(text, ' ', '')) AS spaces, length(text) - length(replace(text, chr(10), '')) AS newlines FROM documents")
 def printable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x21-\x7e \n]*$"))
     shown = text.printable_bytes(F.col("text").cast("binary"))
-    return plain.select("doc_id", F.md5(F.translate(F.replace(shown, F.lit("ĠĠ"), F.lit("Ġ")), "ĠĊ", "  ").cast("binary")).alias("h"))
+    count = lambda c: F.length(F.col("s")) - F.length(F.replace("s", F.lit(c), F.lit("")))
+    d = table(spark, sf_dir, "documents").select("doc_id", shown.alias("s"))
+    return d.select("doc_id", F.length("s").cast("long").alias("n"), count("Ġ").cast("long").alias("spaces"), count("Ċ").cast("long").alias("newlines"))
 
 
 @R.query("SELECT c_custkey, 'ab' || chr(65533) || chr(65533) || 'cd' || c_custkey AS t, 'abcd' || c_custkey AS dropped FROM customer")

@@ -19,10 +19,6 @@ def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source", F.transform(F.split("text", " "), F.length).alias("tokens")).withColumn("n", F.size("tokens").cast("long"))
 
 
-def _small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _store(spark, sf_dir).where("doc_id < 200")
-
-
 @R.query(f"SELECT doc_id, n, (coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM (SELECT doc_id, {_N} AS n FROM documents)")
 def ragged_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.running_start(_store(spark, sf_dir).select("doc_id", "n"), "doc_id", "n").select("doc_id", "n", "start")
@@ -40,11 +36,11 @@ def source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.mixture(_store(spark, sf_dir), budgets, "source", ["doc_id"], "n").select("doc_id", "source")
 
 
-_FLAT = f"WITH t AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: length(x)) AS tok FROM documents WHERE doc_id < 200), s AS (SELECT unnest(tok) AS token, doc_id, generate_subscripts(tok, 1) AS i FROM t), p AS (SELECT token::INTEGER AS token, doc_id, i, row_number() OVER (ORDER BY doc_id, i) - 1 AS pos FROM s)"
+_FLAT = f"WITH t AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: length(x)) AS tok FROM documents), s AS (SELECT unnest(tok) AS token, doc_id, generate_subscripts(tok, 1) AS i FROM t), p AS (SELECT token::INTEGER AS token, doc_id, i, row_number() OVER (ORDER BY doc_id, i) - 1 AS pos FROM s)"
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.flat_stream(tokens.running_start(_small(spark, sf_dir), "doc_id", "n"))
+    return tokens.flat_stream(tokens.running_start(_store(spark, sf_dir), "doc_id", "n"))
 
 
 @R.query(_FLAT + " SELECT pos // 129 AS block, string_agg(token, ',' ORDER BY pos) AS tokens FROM p GROUP BY 1 HAVING count(*) = 129")
@@ -55,14 +51,14 @@ def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(_FLAT + """, n AS (SELECT count(*) AS total FROM p), b AS (SELECT pos // 129 AS block, list(token ORDER BY pos) AS t FROM p GROUP BY 1 HAVING count(*) = 129)
 SELECT block // 8 AS batch, block % 8 AS row, array_to_string(t[1:128], ',') AS input, array_to_string(t[2:129], ',') AS target FROM b, n WHERE (block // 8) * 8 * 129 < total - 128 - 8 * 129""")
 def sequential_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = _small(spark, sf_dir).agg(F.sum("n")).scalar()
+    total = _store(spark, sf_dir).agg(F.sum("n")).scalar()
     windows = tokens.blocks(_stream(spark, sf_dir), 129)
     return tokens.sequential_batches(windows, 128, 8, total).select("batch", "row", F.array_join("input", ",").alias("input"), F.array_join("target", ",").alias("target"))
 
 
 @R.query(_FLAT + " SELECT pos, token, lead(token) OVER (PARTITION BY doc_id ORDER BY i) AS target FROM p")
 def next_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = tokens.running_start(_small(spark, sf_dir), "doc_id", "n")
+    placed = tokens.running_start(_store(spark, sf_dir), "doc_id", "n")
     stream = placed.select("doc_id", "start", F.posexplode("tokens").alias("i", "token")).select("doc_id", (F.col("start") + F.col("i")).alias("pos"), "token")
     return tokens.next_tokens(stream, "doc_id").select("pos", "token", "target")
 
@@ -73,11 +69,11 @@ def validation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.validation_split(_store(spark, sf_dir).select("doc_id", "n"), "doc_id", "n", 20000).select("doc_id", "part", "start")
 
 
-@R.query(f"""WITH m AS (SELECT doc_id, n, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (SELECT doc_id, {_N} AS n FROM documents WHERE doc_id < 200)),
+@R.query(f"""WITH m AS (SELECT doc_id, n, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (SELECT doc_id, {_N} AS n FROM documents)),
 q AS (SELECT o_orderkey, (o_orderkey * 37) % (SELECT sum(n)::BIGINT FROM m) AS pos FROM orders)
 SELECT o_orderkey, pos, doc_id AS file, (pos - s)::BIGINT AS local FROM q JOIN m ON pos >= s AND pos < s + n""")
 def locate_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = tokens.running_start(_small(spark, sf_dir).select(F.col("doc_id").alias("file"), F.col("n").alias("n_tokens")), "file", "n_tokens")
+    manifest = tokens.running_start(_store(spark, sf_dir).select(F.col("doc_id").alias("file"), F.col("n").alias("n_tokens")), "file", "n_tokens")
     total = manifest.agg(F.sum("n_tokens")).scalar()
     starts = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 37 % total).alias("pos"))
     return tokens.locate(starts, manifest).select("o_orderkey", "pos", "file", "local")
@@ -85,7 +81,7 @@ def locate_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query()
 def random_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = tokens.running_start(_small(spark, sf_dir), "doc_id", "n")
+    placed = tokens.running_start(_store(spark, sf_dir), "doc_id", "n")
     total = placed.agg(F.sum("n")).first()[0]
     return tokens.random_windows(placed, total, 64, 100, 7).select("sample", "pos", F.size("tokens").alias("n"))
 
@@ -93,13 +89,13 @@ def random_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(_FLAT + """, x AS (SELECT doc_id, token AS l, lead(token) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM p)
 SELECT l AS left, r AS right, count(*) AS cnt FROM x WHERE r IS NOT NULL GROUP BY 1, 2""")
 def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.pair_counts(_small(spark, sf_dir).select(F.col("tokens").alias("ids"), F.lit(1).cast("long").alias("cnt")))
+    return tokens.pair_counts(_store(spark, sf_dir).select(F.col("tokens").alias("ids"), F.lit(1).cast("long").alias("cnt")))
 
 
 @R.query(_FLAT + """, x AS (SELECT doc_id, token AS l, lead(token) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM p)
 SELECT l AS left, r AS right, count(*) AS cnt FROM x WHERE r IS NOT NULL GROUP BY 1, 2 ORDER BY cnt DESC, l DESC, r DESC LIMIT 1""")
 def most_frequent_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = tokens.pair_counts(_small(spark, sf_dir).select(F.col("tokens").alias("ids"), F.lit(1).cast("long").alias("cnt")))
+    counts = tokens.pair_counts(_store(spark, sf_dir).select(F.col("tokens").alias("ids"), F.lit(1).cast("long").alias("cnt")))
     return counts.orderBy(F.desc("cnt"), F.desc("left"), F.desc("right")).limit(1)
 
 
@@ -109,12 +105,11 @@ def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.compression_ratio(docs, "text", "n").select(F.round("bytes_per_token", 6).alias("bytes_per_token"))
 
 
-@R.query("SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id < 300")
+@R.query("SELECT doc_id, md5(text) AS h FROM documents")
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    vocabulary = bpe.train_on(docs.where("doc_id < 100"), 200)
-    part = docs.where("doc_id < 300")
-    return bpe.decode(bpe.encode(part, vocabulary), vocabulary).select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
+    vocabulary = bpe.train_on(docs, 200)
+    return bpe.decode(bpe.encode(docs, vocabulary), vocabulary).select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
 
 
 @R.query()
@@ -133,7 +128,7 @@ def bpe_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(_FLAT + """, x AS (SELECT *, sum(CASE WHEN token IN (3, 4) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM p),
 y AS (SELECT doc_id, g, string_agg(token, ',' ORDER BY i) AS tokens, count(*) AS n FROM x GROUP BY 1, 2) SELECT tokens, count(*) AS cnt FROM y WHERE n > 1 GROUP BY tokens""")
 def boundary_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = _small(spark, sf_dir).select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+    stream = _store(spark, sf_dir).select("doc_id", F.posexplode("tokens").alias("pos", "token"))
     return tokens.boundary_spans(stream, [3, 4], -1).select(F.array_join("tokens", ",").alias("tokens"), "cnt")
 
 
@@ -214,7 +209,7 @@ def facility_location(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(_FLAT + ", x AS (SELECT token AS t, round(count(*) / (SELECT count(*) FROM p), 12) AS prob FROM p GROUP BY 1), c AS (SELECT t, prob, sum(prob) OVER (ORDER BY prob DESC, t ROWS UNBOUNDED PRECEDING) AS c, row_number() OVER (ORDER BY prob DESC, t) AS r FROM x), k AS (SELECT * FROM c WHERE r = 1 OR c <= 0.6) SELECT t, round(prob / sum(prob) OVER (), 6) AS prob FROM k")
 def nucleus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = _small(spark, sf_dir).select(F.explode("tokens").alias("t"))
+    stream = _store(spark, sf_dir).select(F.explode("tokens").alias("t"))
     total = stream.agg(F.count("*")).scalar()
     probs = stream.groupBy("t").agg(F.count("*").alias("n")).select(F.lit(0).alias("g"), "t", F.round(F.col("n") / total, 12).alias("prob"))
     return evaluation.nucleus(probs, ["g"], "t", 0.6).select("t", F.round("prob", 6).alias("prob"))
