@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import cut
 from lodestone.llm.text_arrays import hash_ranges, lower, mix, slices, words
 
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -87,54 +88,90 @@ def crc_of_id(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_cols: list[str], id_col: str, text_col: str, bound: int, kinds: tuple[str, ...], where: Column | None = None):
-    """At most `bound` labelled rows, those whose ids hash lowest: (labels as an array of rows, [(terms, counts)], dense figures).
+def sample_texts(docs: DataFrame, labels: DataFrame, label_cols: list[str], id_col: str, text_col: str, bound: int, where: Column | None = None) -> DataFrame:
+    """key, text and the labels (long) of at most `bound` labelled rows, those whose ids hash lowest; materialised.
 
-    Rows without a label or an id are left out; so is any but one row of each id in `labels`.
+    Rows without a label or an id are left out; so is any but one row of each id in `labels`. A document that repeats an
+    id counts as often as it is there.
     """
     rows = labels.where(F.col(id_col).isNotNull())
     for c in label_cols:
         rows = rows.where(F.col(c).isNotNull())
     if where is not None:
         rows = rows.where(where)
-    rows = rows.groupBy(F.col(id_col).alias("id")).agg(*[F.min(c).alias(c) for c in label_cols])
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(bound)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", *label_cols)
+    rows = rows.groupBy(F.col(id_col).alias("id")).agg(*[F.min(c).cast("long").alias(c) for c in label_cols])
+    chosen = rows.withColumn("key", F.xxhash64("id")).orderBy("key", "id").limit(bound)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    return cut(texts.select("key", "text", *label_cols))
+
+
+def term_counts(sample: DataFrame, kinds: tuple[str, ...], group: Column, groups: int) -> DataFrame:
+    """term and c0, c1, ...: in how many sampled texts of each group (a number below `groups`) each term occurs. Counted in part before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
-                t = Terms(data, offsets)
-                found = [t.counted(i, kinds) for i in range(t.n_docs)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.tobytes() for x, _ in found]), pa.array([c.astype(np.int32).tobytes() for _, c in found]), pa.array(t.n_words), pa.array(t.adjacent), pa.array(t.repeated), *[part.column(1 + i).cast(pa.int64()) for i in range(len(label_cols))]],
-                    ["terms", "counts", "n_words", "adjacent", "repeated", *label_cols],
-                )
-
-    got = texts.mapInArrow(run, "terms binary, counts binary, n_words long, adjacent double, repeated double, " + ", ".join(f"{c} long" for c in label_cols)).toArrow()
-    terms = [np.frombuffer(x, np.uint64) for x in got["terms"].to_pylist()]
-    counts = [np.frombuffer(x, np.int32) for x in got["counts"].to_pylist()]
+                t, of = Terms(data, offsets), part.column(1).to_numpy()
+                found = [t.counted(i, kinds)[0] for i in range(t.n_docs)]
+                terms, at = np.unique(np.concatenate(found), return_inverse=True)
+                owner = np.repeat(of, [len(x) for x in found])
+                counts = [np.bincount(at[owner == g], minlength=len(terms)).astype(np.int64) for g in range(groups)]
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), *map(pa.array, counts)], ["term", *[f"c{g}" for g in range(groups)]])
+
+    names = [f"c{g}" for g in range(groups)]
+    rows = sample.select("text", group.cast("int").alias("g")).mapInArrow(run, "term long, " + ", ".join(f"{c} long" for c in names))
+    return rows.groupBy("term").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def telling_terms(counts: DataFrame, sizes: list[int], group: int, most: int, least_docs: int) -> np.ndarray:
+    """Of the terms in `least_docs` texts or more, the `most` whose presence tells most about being in the group, by chi-squared; ties by the hash."""
+    n, p = float(sum(sizes)), float(sizes[group])
+    df, pos = sum((F.col(f"c{g}") for g in range(len(sizes))), F.lit(0)).cast("double"), F.col(f"c{group}").cast("double")
+    below = df * (n - df) * (p * (n - p))
+    chi = F.when(below > 0, F.pow(pos * (n - p) - (df - pos) * p, F.lit(2)) * n / F.when(below > 0, below))
+    rows = counts.where(df >= least_docs).select("term", chi.alias("chi")).where("chi is not null").orderBy(F.desc("chi"), "term").limit(most)
+    return np.array([r["term"] for r in rows.collect()], np.int64).view(np.uint64)
+
+
+def frequent_terms(counts: DataFrame, most: int, least_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` terms that occur in most texts, in order of their hashes, and in how many."""
+    rows = counts.where(F.col("c0") >= least_docs).orderBy(F.desc("c0"), "term").limit(most).collect()
+    terms, df = np.array([r["term"] for r in rows], np.int64).view(np.uint64), np.array([r["c0"] for r in rows], np.int64)
+    order = np.argsort(terms)
+    return terms[order], df[order]
+
+
+def sampled_rows(sample: DataFrame, vocabulary: Vocabulary, kinds: tuple[str, ...], label_cols: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Of the sampled texts: labels, [(numbers of their chosen terms, counts)], and words, adjacent repeats and repeats. Only chosen terms reach the driver."""
+    shared = sample.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        for batch in batches:
+            for part, data, offsets in slices(batch, "text"):
+                t, at, n = Terms(data, offsets), [], []
+                for i in range(t.n_docs):
+                    terms, counts = t.counted(i, kinds)
+                    where = v.find(terms)
+                    at.append(where[where >= 0].astype(np.int32).tobytes())
+                    n.append(counts[where >= 0].astype(np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(at), pa.array(n), pa.array(t.n_words), pa.array(t.adjacent), pa.array(t.repeated), *part.columns[2:]], ["key", "at", "n", "n_words", "adjacent", "repeated", *label_cols])
+
+    got = sample.select("key", "text", *label_cols).mapInArrow(run, "key long, at binary, n binary, n_words long, adjacent double, repeated double, " + ", ".join(f"{c} long" for c in label_cols)).toArrow()
     # the order must not depend on where the rows were
-    order = sorted(range(len(terms)), key=lambda i: (terms[i].tobytes(), counts[i].tobytes()))
+    order = sorted(range(len(got)), key=lambda i: (got["key"][i].as_py(), got["at"][i].as_py()))
+    found = [(np.frombuffer(got["at"][i].as_py(), np.int32), np.frombuffer(got["n"][i].as_py(), np.int32)) for i in order]
     y = np.array([[got[c][i].as_py() for c in label_cols] for i in order], np.int64).reshape(len(order), len(label_cols))
     dense = np.array([[got[c][i].as_py() for c in ("n_words", "adjacent", "repeated")] for i in order], np.float64).reshape(len(order), 3)
-    return y, [(terms[i], counts[i]) for i in order], dense
-
-
-def telling_terms(found: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, most: int, least_docs: int) -> np.ndarray:
-    """Of the terms in `least_docs` documents or more, the `most` whose presence tells most about the binary y, by chi-squared."""
-    if not found:
-        return np.zeros(0, np.uint64)
-    every, at = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
-    owner = np.repeat(np.arange(len(found)), [len(t) for t, _ in found])
-    df = np.bincount(at, minlength=len(every)).astype(float)
-    pos = np.bincount(at, y[owner].astype(float), len(every))
-    n, p = len(found), float(y.sum())
-    top = (pos * (n - p) - (df - pos) * p) ** 2 * n
-    below = df * (n - df) * p * (n - p)
-    chi = np.where((df >= least_docs) & (below > 0), top / np.where(below > 0, below, 1), -1.0)
-    order = np.argsort(-chi, kind="stable")[:most]
-    return every[order[chi[order] >= 0]]
+    return y, found, dense
+
+
+def presence(found: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
+    """A row of 0 and 1 for each text."""
+    x = np.zeros((len(found), width), np.float32)
+    for i, (at, _) in enumerate(found):
+        x[i, at] = 1
+    return x
 
 
 def score_rows(docs: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[], Callable[[Terms], list[np.ndarray]]], keep: bool = False) -> DataFrame:

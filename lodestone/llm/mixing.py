@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut
-from lodestone.llm.features import Terms, Vocabulary, labelled_sample, score_rows, telling_terms
+from lodestone.llm.features import Terms, Vocabulary, presence, sample_texts, sampled_rows, score_rows, telling_terms, term_counts
 
 DOMAINS = ("low", "clean", "toxic")
 TERM_KINDS = ("word", "prefix4", "prefix6", "shape")
@@ -45,16 +45,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", where: Column | None = None, bound: int = 6000, terms: int = 512) -> Posterior:
     """The classifier from at most `bound` labelled rows; without any, posteriors are even."""
-    y, found, dense = labelled_sample(docs, labels, ["quality", "toxic"], id_col, text_col, bound, TERM_KINDS, where)
-    kind = np.where(y[:, 0] == 0, 0, np.where(y[:, 1] > 0, 2, 1))
-    chosen = np.unique(np.concatenate([telling_terms(found, (kind == k).astype(float), terms, 3) for k in range(3)]))
+    sample = sample_texts(docs, labels, ["quality", "toxic"], id_col, text_col, bound, where)
+    group = F.when(F.col("quality") == 0, 0).when(F.col("toxic") > 0, 2).otherwise(1)
+    sizes = {r["g"]: r["n"] for r in sample.groupBy(group.alias("g")).agg(F.count("*").alias("n")).collect()}
+    counts = cut(term_counts(sample, TERM_KINDS, group, 3).where(F.col("c0") + F.col("c1") + F.col("c2") >= 3))
+    chosen = np.unique(np.concatenate([telling_terms(counts, [sizes.get(g, 0) for g in range(3)], k, terms, 3) for k in range(3)]))
     m = Posterior(Vocabulary(chosen), np.zeros((len(chosen) + 3, 3)))
+    y, found, dense = sampled_rows(sample, m.vocabulary, TERM_KINDS, ["quality", "toxic"])
+    kind = np.where(y[:, 0] == 0, 0, np.where(y[:, 1] > 0, 2, 1))
     if not len(kind):
         return m
-    x = np.zeros((len(kind), len(chosen) + 3), np.float32)
-    for i, (t, _) in enumerate(found):
-        at = m.vocabulary.find(t)
-        x[i, at[at >= 0]] = 1
+    x = np.concatenate([presence(found, len(chosen)), np.zeros((len(kind), 3), np.float32)], 1)
     x[:, -3:-1], x[:, -1] = np.sqrt(dense[:, 1:]), 1
     onehot = np.eye(3)[kind]
     rng, first, second = np.random.default_rng(5), 0.0, 0.0

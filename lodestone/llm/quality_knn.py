@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.features import Terms, Vocabulary, labelled_sample, score_rows
+from lodestone.llm.features import Terms, Vocabulary, frequent_terms, sample_texts, sampled_rows, score_rows, term_counts
 
 #: Weights of the blocks of a document's term vector.
 WEIGHTS = {"shape": 1.0, "word": 0.3, "repeat": 0.8}
@@ -46,26 +46,34 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True))
 
 
+def latent_basis(x: np.ndarray, rank: int, rounds: int = 8, seed: int = 11) -> np.ndarray:
+    """The first right singular vectors of x, by subspace iteration from a seeded start; fewer if x has fewer columns."""
+    width = min(rank + 10, x.shape[1])
+    q = np.random.default_rng(seed).normal(size=(x.shape[1], width)).astype(np.float32)
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    b = x @ q
+    _, v = np.linalg.eigh((b.T @ b).astype(np.float64))
+    return np.ascontiguousarray(q @ v[:, ::-1][:, :rank].astype(np.float32))
+
+
 def train(
     docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
     where: Column | None = None, bound: int = 4000, rank: int = 48, k: int = 24, shapes: int = 512, words: int = 1024,
 ) -> Model:
     """The model from at most `bound` labelled rows for which `where` holds; without any, scores are 0.5."""
-    y, found, dense = labelled_sample(docs, labels, [label_col], id_col, text_col, bound, ("shape", "word"), where)
+    sample = sample_texts(docs, labels, [label_col], id_col, text_col, bound, where)
+    # shapes recur in most texts and words rarely, so frequency alone chooses among both
+    chosen, frequency = frequent_terms(term_counts(sample, ("shape", "word"), F.lit(0), 1), shapes + words, 3)
+    vocabulary = Vocabulary(chosen)
+    y, found, dense = sampled_rows(sample, vocabulary, ("shape", "word"), [label_col])
     y = (y[:, 0] > 0).astype(np.float64)
     if not len(y):
-        return Model(Vocabulary(np.zeros(0, np.uint64)), np.zeros(0), np.zeros((2, 1), np.float32), np.zeros((0, 1), np.float32), y, k, 0.5)
-    every, df = np.unique(np.concatenate([t for t, _ in found]), return_counts=True)
-    # shapes recur in most texts and words rarely, so frequency alone chooses among both
-    chosen = np.sort(every[np.argsort(-df, kind="stable")[: shapes + words]])
-    frequency = df[np.searchsorted(every, chosen)]
-    keep = frequency >= 3
-    m = Model(Vocabulary(chosen[keep]), np.ones(int(keep.sum())), None, None, y, k, float(y.mean()))
-    m.weight = np.log1p(len(y) / frequency[keep]) * WEIGHTS["word"]
+        return Model(vocabulary, np.zeros(0), np.zeros((2, 1), np.float32), np.zeros((0, 1), np.float32), y, k, 0.5)
+    m = Model(vocabulary, np.log1p(len(y) / frequency) * WEIGHTS["word"], None, None, y, k, float(y.mean()))
     owner = np.repeat(np.arange(len(found)), [len(t) for t, _ in found])
-    x = _dense(owner, m.vocabulary.find(np.concatenate([t for t, _ in found])), np.concatenate([c for _, c in found]), dense[:, 0], dense[:, 1], dense[:, 2], m)
-    _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-    m.basis = np.ascontiguousarray(vectors[:, ::-1][:, :rank]).astype(np.float32)
+    x = _dense(owner, np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found]), dense[:, 0], dense[:, 1], dense[:, 2], m)
+    m.basis = latent_basis(x, rank)
     m.neighbours = _unit(x @ m.basis)
     return m
 

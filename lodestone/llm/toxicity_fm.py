@@ -14,7 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.features import Terms, Vocabulary, labelled_sample, score_rows, telling_terms
+from lodestone.llm.common import cut
+from lodestone.llm.features import Terms, Vocabulary, presence, sample_texts, sampled_rows, score_rows, telling_terms, term_counts
 
 TERM_KINDS = ("word", "prefix4", "prefix6")
 
@@ -31,8 +32,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, factors: int = 8, epochs: int = 30, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and vectors for the rows of x (0 or 1) and labels y."""
+def fit(x: np.ndarray, y: np.ndarray, factors: int = 8, epochs: int = 30, rate: float = 0.02, decay: float = 1e-4, positive: float = 2.0, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and vectors for the rows of x (0 or 1) and labels y; rows labelled 1, the few, weigh `positive` times."""
     rng = np.random.default_rng(seed)
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     p = [np.array([np.log(share / (1 - share))]), np.zeros(x.shape[1]), rng.normal(0, 0.05, (x.shape[1], factors))]
@@ -43,7 +44,8 @@ def fit(x: np.ndarray, y: np.ndarray, factors: int = 8, epochs: int = 30, rate:
             b = x[order[k : k + 256]].astype(np.float64)
             s = b @ p[2]
             z = p[0] + b @ p[1] + 0.5 * ((s * s).sum(1) - b @ (p[2] ** 2).sum(1))
-            g = (_sigmoid(z) - y[order[k : k + 256]]) / len(b)
+            label = y[order[k : k + 256]]
+            g = (_sigmoid(z) - label) * np.where(label > 0, positive, 1.0) / len(b)
             grads = [np.array([g.sum()]), b.T @ g + decay * p[1], b.T @ (g[:, None] * s) - p[2] * (b.T @ g)[:, None] + decay * p[2]]
             step += 1
             for i, d in enumerate(grads):
@@ -55,18 +57,19 @@ def fit(x: np.ndarray, y: np.ndarray, factors: int = 8, epochs: int = 30, rate:
 
 def train(
     docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-    where: Column | None = None, bound: int = 8000, terms: int = 1024, least_docs: int = 5,
+    where: Column | None = None, bound: int = 8000, terms: int = 256, least_docs: int = 5,
 ) -> Machine:
     """The machine from at most `bound` labelled rows for which `where` holds; without any, scores are 0.5."""
-    y, found, _ = labelled_sample(docs, labels, [label_col], id_col, text_col, bound, TERM_KINDS, where)
+    sample = sample_texts(docs, labels, [label_col], id_col, text_col, bound, where)
+    positive = (F.col(label_col) > 0).cast("int")
+    sizes = {r["g"]: r["n"] for r in sample.groupBy(positive.alias("g")).agg(F.count("*").alias("n")).collect()}
+    counts = cut(term_counts(sample, TERM_KINDS, positive, 2).where(F.col("c0") + F.col("c1") >= least_docs))
+    vocabulary = Vocabulary(telling_terms(counts, [sizes.get(0, 0), sizes.get(1, 0)], 1, terms, least_docs))
+    y, found, _ = sampled_rows(sample, vocabulary, TERM_KINDS, [label_col])
     y = (y[:, 0] > 0).astype(np.float64)
-    vocabulary = Vocabulary(telling_terms(found, y, terms, least_docs))
     if not len(y):
         return Machine(vocabulary, 0.0, np.zeros(0), np.zeros((0, 1)))
-    x = np.zeros((len(y), len(vocabulary)), np.float32)
-    for i, (t, _) in enumerate(found):
-        at = vocabulary.find(t)
-        x[i, at[at >= 0]] = 1
+    x = presence(found, len(vocabulary))
     return Machine(vocabulary, *fit(x, y))
 
 

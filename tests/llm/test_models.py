@@ -50,6 +50,14 @@ def test_vote_equals_brute_force(spark):
     assert 0 <= (w * m.y[near]).sum() / w.sum() <= 1 and np.allclose(np.linalg.norm(m.neighbours, axis=1), 1, atol=1e-4)
 
 
+def test_latent_basis_equals_the_singular_vectors():
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(300, 60)) * 0.7 ** np.arange(60)).astype(np.float32)
+    _, _, v = np.linalg.svd(x)
+    got = quality_knn.latent_basis(x, 8)
+    assert np.allclose(abs((got * v[:8].T).sum(0)), 1, atol=1e-3)
+
+
 def test_toxicity(spark):
     docs, labels = labelled(spark)
     m = toxicity_fm.train(docs, labels, where=labels.doc_id % 3 != 0)
