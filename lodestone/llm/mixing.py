@@ -113,12 +113,15 @@ def fit_steps(members: DataFrame, targets: dict[str, float], steps: int = 60, to
     weights = sum(targets.values())
     goal = np.array([targets[d] / weights for d in DOMAINS])
     taken: list[list[float]] = []
+    before = None
     for _ in range(steps):
         r = rate(taken)
         row = members.select("__tokens", *[f"__{d}" for d in DOMAINS], r.alias("r")).agg(*[F.sum(F.col("r") * F.col("__tokens") * p[d]).alias(d) for d in DOMAINS]).first()
         left = np.array([row[d] for d in DOMAINS]) / total - goal
-        if np.abs(left / np.maximum(goal, 1e-6)).max() < tolerance:
+        # the targets are met, or no step brings them nearer
+        if np.abs(left / np.maximum(goal, 1e-6)).max() < tolerance or before is not None and np.abs(left - before).max() < tolerance / 10:
             break
+        before = left
         taken.append([round(float(x), 10) for x in step * scale * left])
     return taken
 
