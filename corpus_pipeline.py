@@ -27,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that an earlier line of the corpus equals or nearly equals; n_chars follows the text."""
-    out = lines.line_dedup(docs.select(*COLUMNS))
+    """All documents, without the lines, of whatever length, that an earlier line of the corpus equals or nearly equals; n_chars follows the text. Empty lines stay."""
+    out = lines.line_dedup(docs.select(*COLUMNS), min_chars=1)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -94,7 +94,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Every row of `docs` with the lines gone that an earlier line of the corpus equals or nearly equals.
 
     Adds n_lines and n_removed (long) and replaces the text; all other columns stay. Lines shorter than `min_chars`
-    characters stay. Order of lines: by (doc_id, hash of the text, line number), nulls first; repeated rows hold the same
+    characters stay; with 1, every line but the empty one takes part, in both ways. Order of lines: by (doc_id, hash of the text, line number), nulls first; repeated rows hold the same
     places, so they keep the same lines. A null text stays null with 0 lines; a text that loses all lines becomes
     empty. An empty table gives an empty result.
     """

@@ -69,6 +69,16 @@ def test_dedup_of_the_corpus_keeps_columns(spark):
     assert got == dict(brute_dedup(rows, edits=0))
 
 
+def test_short_lines_equal_brute_force(spark):
+    """Lines from one character on, whose blocks may be empty."""
+    rng = random.Random(6)
+    rows = [(i, "\n".join("".join(rng.choice("abcdefé😀 ") for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 7, 8, 11, 12, 13]))) for _ in range(3)), None) for i in range(150)]
+    base = [t for _, t, _ in rows[::5]]
+    rows += [(200 + i, t[:p] + rng.choice(["", "x", "é"]) + t[p + rng.choice([0, 1]) :], None) for i, t in enumerate(base) for p in [rng.randrange(len(t) + 1)]]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(frame(spark, rows), min_chars=1).collect()}
+    assert got == dict(brute_dedup(rows, least=1))
+
+
 def test_repeated_rows_keep_the_same_lines(spark):
     line = "a line that is long enough to count"
     rows = [(1, line, None), (1, line, None), (2, f"{line}\n{line}", None)]

@@ -40,6 +40,13 @@ def test_near_dedup_keeps_one_of_repeated_rows(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [1, 3]
 
 
+def test_line_dedup_takes_short_lines(spark):
+    rows = [(1, "All rights reserved.\nok", "en", "s", 23), (2, "All rights reserved.\n\n\nAll rights reservd.\nno more", "en", "s", 51), (3, "ok\nother", "en", "s", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
+    assert out == {1: ("All rights reserved.\nok", 23), 2: ("\n\nno more", 9), 3: ("other", 5)}
+
+
 def test_contract_without_the_subpackage(monkeypatch):
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     import __spark_entry__
