@@ -5,8 +5,8 @@ domains low (quality 0), toxic (toxic 1) and clean (neither). Document d with t
 r * t * p_k expected tokens to domain k if its rate is r. Rates r >= 0 are fitted by projected gradient on the least
 squares between expected totals and targets, from r = 1, each domain scaled by its own size (by a hundredth of the tokens, if
 it has less, so that a domain without documents doesn't pull at all others), in the norm sum t r^2, so that a step
-changes the rate of a document by what it is, not by how long it is. Rates end at MAX_RATE, since more repeats add
-nothing to training. All documents take part in every step.
+changes the rate of a document by what it is, not by how long it is. Rates have no upper bound: a rare domain meets its
+target by many copies of few documents. All documents take part in every step.
 
 A step needs the K totals only. Since r is a function of the posteriors and the steps so far, it is recomputed from the
 list of steps, which is at most `steps` vectors of K numbers; nothing of the size of the corpus is kept per step but the
@@ -28,8 +28,8 @@ DOMAINS = ("low", "clean", "toxic")
 TERM_KINDS = ("word", "prefix4", "prefix6", "shape")
 #: Shares of tokens that the mixture should have.
 TARGETS = {"low": 0.02, "clean": 0.95, "toxic": 0.03}
-#: No document is repeated more often.
-MAX_RATE = 8.0
+#: Rates are bounded below only.
+MAX_RATE = float("inf")
 
 
 @dataclass
@@ -96,7 +96,7 @@ def rate(steps: list[list[float]]) -> Column:
         return F.lit(1.0)
     history = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in steps])
     move = lambda g: sum((F.col(f"__{d}") * g[k] for k, d in enumerate(DOMAINS)), F.lit(0.0))
-    return F.aggregate(history, F.lit(1.0), lambda r, g: F.least(F.lit(MAX_RATE), F.greatest(F.lit(0.0), r - move(g))))
+    return F.aggregate(history, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - move(g)))
 
 
 def fit_steps(members: DataFrame, targets: dict[str, float], steps: int = 60, tolerance: float = 1e-4) -> list[list[float]]:

@@ -115,6 +115,14 @@ def test_rates_meet_targets(spark):
     assert np.allclose(share, [0.1, 0.8, 0.1], atol=1e-3) and (x[:, 4] >= 0).all()
 
 
+def test_a_rare_domain_meets_its_target(spark):
+    """0.2 % of the tokens are low and 2 % should be: no rate under 9 will do."""
+    p = [(0.9, 0.1, 0.0)] * 2 + [(0.0002, 0.9998, 0.0)] * 978 + [(0.0, 0.1, 0.9)] * 20
+    x = rates(spark, members(spark, [(i, 100, *q) for i, q in enumerate(p)]), {"low": 0.02, "clean": 0.95, "toxic": 0.03})
+    share = [(x[:, 4] * x[:, 0] * x[:, k]).sum() / x[:, 0].sum() for k in (1, 2, 3)]
+    assert np.allclose(share, [0.02, 0.95, 0.03], atol=2e-4) and x[:, 4].max() > 9
+
+
 def test_steps_equal_a_plain_projected_gradient(spark):
     rng = np.random.default_rng(5)
     p, t = rng.dirichlet([0.5, 0.5, 0.5], 50), rng.integers(1, 90, 50)
