@@ -5,7 +5,8 @@ collapsed) and hashed; documents are counted per (host, hash); lines above the h
 too little of its text is rejected.
 
 Plan: one aggregation over (host, line hash) with map-side partial counts, where a document gives each distinct line
-once, so a hot host or line costs one row per task after the partial step. Only lines above the limit come back; they
+once, so a hot host or line costs one row per task after the partial step. `without_common_lines` takes the common
+lines out of the texts by their numbers. Only lines above the limit come back; they
 are few, and the adaptive planner broadcasts them if their measured size is small, else it joins by shuffle and splits
 skewed keys. Per-document sums collapse in the map task that exploded the document.
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACE, WORD, let, whole_text
+from lodestone.llm.common import BROADCAST_BYTES, SPACE, WORD, cut, let, whole_text
 
 
 def words_of(text: Column) -> Column:
@@ -72,6 +73,23 @@ def normalised(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, f"{SPACE}+", " ")))
 
 
+def _lined(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """id, text_hash, host and lines of each row: hash h, length c and number i of each normalised line that isn't empty."""
+    rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"), F.col(host_col).cast("string").alias("host"))
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(normalised(x).alias("x"), i.alias("i")))
+    return rows.withColumn("lines", F.filter(numbered, lambda y: y["x"] != "")).select(
+        "id", F.xxhash64("text").alias("text_hash"), "host", F.transform("lines", lambda y: F.struct(F.xxhash64(y["x"]).alias("h"), F.length(y["x"]).alias("c"), y["i"].alias("i"))).alias("lines")
+    )
+
+
+def _common(lined: DataFrame, min_docs: int, host_share: float) -> DataFrame:
+    """c_host and c_h of the lines above their host's limit."""
+    limits = lined.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.count("*") * F.lit(host_share)).alias("limit"))
+    spread = lined.select("host", F.explode(F.array_distinct("lines.h")).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
+    common = spread.where(F.col("n") > min_docs).join(limits.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > F.col("limit"))
+    return common.select(F.col("host").alias("c_host"), F.col("h").alias("c_h"))
+
+
 def line_frequency(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
     min_docs: int = 20, host_share: float = 0.01, min_left: float = 0.3,
@@ -85,15 +103,8 @@ def line_frequency(
     A repeated row counts as a further document of its host; its result is given once. An empty table gives an empty
     result. Other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"), F.col(host_col).cast("string").alias("host"))
-    rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    lined = rows.withColumn("lines", F.filter(F.transform(F.split("text", "\n"), normalised), lambda x: x != "")).select(
-        "id", "text_hash", "host", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("c"))).alias("lines")
-    )
-    limits = rows.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.count("*") * F.lit(host_share)).alias("limit"))
-    spread = lined.select("host", F.explode(F.array_distinct("lines")).alias("x")).groupBy("host", F.col("x.h").alias("h")).agg(F.count("*").alias("n"))
-    common = spread.where(F.col("n") > min_docs).join(limits.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > F.col("limit"))
-    common = common.select(F.col("host").alias("c_host"), F.col("h").alias("c_h"))
+    lined = _lined(docs, id_col, text_col, host_col)
+    common = _common(lined, min_docs, host_share)
     single = lined.select("id", "text_hash", "host", F.explode("lines").alias("x"))
     marked = single.join(common, F.col("host").eqNullSafe(F.col("c_host")) & (F.col("x.h") == F.col("c_h")), "left_semi")
     # repeated rows give their lines again: divide by how often the row is there
@@ -121,3 +132,34 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.col("v_kept")).alias("kept"), "n_lines", "n_common",
     )
+
+
+def without_common_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+    min_docs: int = 20, host_share: float = 0.01, min_left: float = 0.3,
+) -> DataFrame:
+    """Every row of `docs` with the common lines (see `line_frequency`) gone from its text, n_removed (long) and kept, the verdict of `quality_rules`.
+
+    Columns of the names n_removed and kept are replaced, all others stay. The lines that stay are as they were, empty
+    ones included; a null text stays null; a text that loses all lines becomes empty. An empty table gives an empty
+    result.
+    """
+    lined = _lined(docs, id_col, text_col, host_col)
+    single = lined.select("id", "text_hash", "host", F.explode("lines").alias("x"))
+    marked = single.join(_common(lined, min_docs, host_share), F.col("host").eqNullSafe(F.col("c_host")) & (F.col("x.h") == F.col("c_h")), "left_semi")
+    gone = cut(marked.groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("host").alias("__host")).agg(F.collect_set("x.i").alias("__gone")))
+    if (gone.agg(F.sum(F.size("__gone") * 4 + 96).alias("b")).first()["b"] or 0) <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
+    own = [c for c in docs.columns if c not in ("n_removed", "kept")]
+    text = whole_text(text_col)
+    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")) & F.col(host_col).cast("string").eqNullSafe(F.col("__host"))
+    joined = docs.select(*own).join(gone, on, "left")
+    size = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.length(normalised(x)))
+    at = lambda x: F.transform("__gone", lambda i: F.get(x, i))
+    full = F.col("__gone").isNull() | let(F.split(text, "\n"), lambda x: let(size(x), lambda n: n - size(at(x)) >= F.lit(min_left) * n))
+    left = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone")), lambda i: F.get(x, i))
+    kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(let(F.split(F.col(text_col), "\n"), left), "\n"))
+    words = words_of(text)
+    fails = let(words, lambda w: (F.size(w) < 50) | (100 * repeated_words(w) > 50 * F.size(w)))
+    new = {text_col: kept, "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), "kept": ~fails & full}
+    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in [*own, "n_removed", "kept"]])

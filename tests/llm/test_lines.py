@@ -122,6 +122,23 @@ def test_common_lines_by_host(spark):
     assert by_share.where("n_common > 0").count() == 0
 
 
+def test_common_lines_leave_the_texts(spark):
+    rng = random.Random(4)
+    own = [prose(rng, 60) for _ in range(30)]
+    rows = [(i, f"Same  line\n\n{t}\nsame LINE \nend", "a") for i, t in enumerate(own)] + [(50, f"same line\n{own[0]}", "b"), (51, None, "a"), (52, "same line", "a"), (53, f"same line\n{own[1]}", None)]
+    rows += [(54, f"same line\n{own[2]}", "a")] * 2
+    out = line_frequency.without_common_lines(frame(spark, rows), min_docs=32, host_share=0.0)
+    assert out.columns == [*(c for c in frame(spark, []).columns if c != "kept"), "n_removed", "kept"] and out.count() == len(rows)
+    assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
+    got = {r["doc_id"]: (r["text"], r["n_removed"], r["kept"]) for r in out.collect()}
+    assert all(got[i] == (f"\n{t}\nend", 2, True) for i, t in enumerate(own))
+    assert got[50] == (rows[30][1], 0, True) and got[51] == (None, 0, False) and got[52] == ("", 1, False)
+    assert got[53] == (rows[33][1], 0, True) and got[54] == (own[2], 1, True)
+    verdict = {r["doc_id"]: r["kept"] for r in line_frequency.quality_rules(frame(spark, rows), min_docs=32, host_share=0.0).collect()}
+    assert verdict == {k: v[2] for k, v in got.items()}
+    assert line_frequency.without_common_lines(frame(spark, [])).count() == 0
+
+
 def test_repeated_rows_and_empty_table(spark):
     rows = [(1, "l\n" * 3, "a")] * 5
     assert line_frequency.quality_rules(frame(spark, rows), min_docs=2).select("doc_id", "kept", "n_common").distinct().count() == 1
