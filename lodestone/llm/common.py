@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import ship
+from lodestone.session import ensure_checkpoint_dir, remove_table, shared_table, ship  # noqa: F401
 
 #: The white space that separates words, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in spark.checkpoint.dir; only where none is set, as in tests, make a temporary one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder: lineage ends there and lost executors don't matter."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -59,20 +48,3 @@ BROADCAST_BYTES = 32 << 20
 def if_small(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
     """`df` with a broadcast hint if its counted rows, at `row_bytes` each, stay under `most`; else as it is, to be joined by shuffle. `df` should be materialised."""
     return F.broadcast(df) if df.count() * row_bytes <= most else df
-
-
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet to a new place in the shared checkpoint folder, and read again."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def remove_table(df: DataFrame) -> None:
-    """Delete the files of a table that `shared_table` gave."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)

@@ -140,6 +140,21 @@ def test_bpe_tie_rules():
     assert bpe.train(pairs, 1)[0] == (b"x", b"y")
 
 
+@pytest.mark.parametrize("tie", ["tuple", "concat"])
+def test_bpe_training_over_the_bound_counts_all_words(spark, tie):
+    rng = random.Random(7)
+    text = [" ".join("".join(rng.choice("aaabcdefghé") for _ in range(rng.randint(1, 7))) for _ in range(40)) for _ in range(6)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "doc_id long, text string")
+    assert bpe.train_on(docs, 30, tie=tie, most_words=3).merges == bpe.train_on(docs, 30, tie=tie).merges
+
+
+def test_bpe_merges_that_can_be_taken_at_once():
+    pairs = [(b"a", b"b", 9), (b"c", b"d", 8), (b"e", b"f", 7), (b"b", b"c", 7), (b"g", b"h", 6)]
+    assert bpe._safe(pairs, False) == [(b"a", b"b"), (b"c", b"d")]
+    assert bpe._safe([(b"a", b"a", 9), (b"c", b"d", 8)], False) == [(b"a", b"a")]
+    assert bpe._safe([(b"a", b"b", 9), (b"c", b"d", 8)], True) == [(b"a", b"b")]
+
+
 def test_bpe_encodes_by_rank_and_comes_back(spark):
     docs = spark.createDataFrame([(1, "low lower lowest<|endoftext|>new newer"), (2, ""), (3, None), (4, "naïve 😀 low")], "doc_id long, text string")
     v = bpe.train_on(docs.where("doc_id in (1, 4)"), 20)
