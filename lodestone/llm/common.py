@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,30 @@ def whole_text(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def without_columns(df: DataFrame, *names: str) -> DataFrame:
+    """`df` without columns of these names, which the caller adds; all others stay, whatever they are called."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names])
+
+
+@dataclass(frozen=True)
+class Renamed:
+    """A table whose columns are called as no column of another table is; a column of it by its former name."""
+
+    df: DataFrame
+    names: dict[str, str]
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(self.names[name])
+
+
+def renamed(df: DataFrame, beside: DataFrame) -> Renamed:
+    """`df`, to be joined with `beside` without a clash of names (which Spark compares without regard to case)."""
+    mark, taken = "own_", {c.lower() for c in beside.columns}
+    while any(f"{mark}{c}".lower() in taken for c in df.columns):
+        mark += "_"
+    return Renamed(df.toDF(*[f"{mark}{c}" for c in df.columns]), {c: f"{mark}{c}" for c in df.columns})
+
+
 def fitted(df: DataFrame, rows: int, per_part: int = 50_000) -> DataFrame:
     """`df` in no more partitions than `rows` need, so that small tables don't cost a file for each task of each shuffle."""
     parts = max(1, -(-rows // per_part))
@@ -41,6 +67,13 @@ def cut_fitted(df: DataFrame, per_part: int = 50_000) -> DataFrame:
     return fitted(out, out.count(), per_part)
 
 
+def salted_join(rows: DataFrame, keyed: DataFrame, key: str, spread: Column, how: str, salts: int = 16) -> DataFrame:
+    """`rows` joined with `keyed`, which has each key once, by `key`; rows of one key are dealt by `spread` to `salts` tasks, `keyed` is there for each."""
+    dealt = rows.withColumn("own_salt", F.pmod(F.xxhash64(spread, F.lit(11)), F.lit(salts)).cast("int"))
+    several = keyed.withColumn("own_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(several, [key, "own_salt"], how).drop("own_salt")
+
+
 #: The most bytes that are broadcast.
 BROADCAST_BYTES = 32 << 20
 

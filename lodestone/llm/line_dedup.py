@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import BROADCAST_BYTES, cut, if_small, let, whole_text
+from lodestone.llm.common import BROADCAST_BYTES, cut, if_small, let, renamed, whole_text, without_columns
 
 
 def _block_keys(line: Column, n: Column, blocks: int) -> Column:
@@ -107,14 +107,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         near = near_lines(docs, id_col, text_col, min_chars).withColumn("near", F.lit(True))
         again = again.join(near, ["a", "b"], "full").select("a", "b", F.when(F.col("near").isNull(), F.col("keep_at")).alias("keep_at"))
     hit = lines.join(if_small(cut(again), 64), ["a", "b"]).where(F.col("keep_at").isNull() | ~F.col("place").eqNullSafe(F.col("keep_at")))
-    gone = hit.groupBy(F.col("place.id").alias("__id"), F.col("place.text_hash").alias("__hash")).agg(F.collect_set("place.line_no").alias("__gone"))
-    gone = cut(gone)
-    if (gone.agg(F.sum(F.size("__gone") * 4 + 64).alias("b")).first()["b"] or 0) <= BROADCAST_BYTES:
+    gone = cut(hit.groupBy(F.col("place.id").alias("id"), F.col("place.text_hash").alias("hash")).agg(F.collect_set("place.line_no").alias("gone")))
+    if (gone.agg(F.sum(F.size("gone") * 4 + 64).alias("b")).first()["b"] or 0) <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(*own).join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(whole_text(text_col)) == F.col("__hash")), "left")
+    own, taken = without_columns(docs, "n_lines", "n_removed"), renamed(gone, docs)
+    joined = own.join(taken.df, own[id_col].eqNullSafe(taken["id"]) & (F.xxhash64(whole_text(text_col)) == taken["hash"]), "left")
     lines_of = F.split(F.col(text_col), "\n")
-    left = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone")), lambda i: F.get(x, i))
-    kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(let(lines_of, left), "\n"))
-    new = {text_col: kept, "n_lines": F.coalesce(F.size(lines_of), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}
-    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in [*own, "n_lines", "n_removed"]])
+    left = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), taken["gone"]), lambda i: F.get(x, i))
+    kept = F.when(taken["gone"].isNull(), F.col(text_col)).otherwise(F.array_join(let(lines_of, left), "\n"))
+    new = {text_col: kept, "n_lines": F.coalesce(F.size(lines_of), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size(taken["gone"]), F.lit(0)).cast("long")}
+    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in [*own.columns, "n_lines", "n_removed"]])

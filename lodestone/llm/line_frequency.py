@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import BROADCAST_BYTES, SPACE, WORD, cut, let, whole_text
+from lodestone.llm.common import BROADCAST_BYTES, SPACE, WORD, cut, if_small, let, renamed, whole_text, without_columns
 
 
 def words_of(text: Column) -> Column:
@@ -83,9 +83,18 @@ def _lined(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
 
 
 def _common(lined: DataFrame, min_docs: int, host_share: float) -> DataFrame:
-    """c_host and c_h of the lines above their host's limit."""
+    """c_host and c_h of the lines above their host's limit.
+
+    Documents are counted, not rows: where an id is there again, its lines are made distinct before they are counted. Ids
+    that repeat are found by an aggregation of the ids alone.
+    """
     limits = lined.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.count("*") * F.lit(host_share)).alias("limit"))
-    spread = lined.select("host", F.explode(F.array_distinct("lines.h")).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
+    key = F.coalesce(F.col("id").cast("string"), F.col("text_hash").cast("string"))
+    again = if_small(cut(lined.groupBy(F.xxhash64(key, F.col("id").isNull()).alias("d")).agg(F.count("*").alias("n")).where("n > 1").select("d")), 8)
+    held = lined.select("host", F.xxhash64(key, F.col("id").isNull()).alias("d"), F.array_distinct("lines.h").alias("hs"))
+    once = held.join(again, "d", "left_anti").select("host", F.explode("hs").alias("h"))
+    several = held.join(again, "d", "left_semi").select("host", "d", F.explode("hs").alias("h")).distinct().select("host", "h")
+    spread = once.unionByName(several).groupBy("host", "h").agg(F.count("*").alias("n"))
     common = spread.where(F.col("n") > min_docs).join(limits.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > F.col("limit"))
     return common.select(F.col("host").alias("c_host"), F.col("h").alias("c_h"))
 
@@ -100,8 +109,9 @@ def line_frequency(
     it. `kept` is false if less than `min_left` of the characters in lines is left without the common ones.
 
     Null text is empty and a null host is a host of its own. A text without words has no lines and is not depleted.
-    A repeated row counts as a further document of its host; its result is given once. An empty table gives an empty
-    result. Other columns are ignored, whatever their names.
+    Rows of one id are one document, however often it is there; rows without an id are one for each text. A host's limit
+    counts rows. A repeated row's result is given once. An empty table gives an empty result. Other columns are ignored,
+    whatever their names.
     """
     lined = _lined(docs, id_col, text_col, host_col)
     common = _common(lined, min_docs, host_share)
@@ -147,19 +157,19 @@ def without_common_lines(
     lined = _lined(docs, id_col, text_col, host_col)
     single = lined.select("id", "text_hash", "host", F.explode("lines").alias("x"))
     marked = single.join(_common(lined, min_docs, host_share), F.col("host").eqNullSafe(F.col("c_host")) & (F.col("x.h") == F.col("c_h")), "left_semi")
-    gone = cut(marked.groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("host").alias("__host")).agg(F.collect_set("x.i").alias("__gone")))
-    if (gone.agg(F.sum(F.size("__gone") * 4 + 96).alias("b")).first()["b"] or 0) <= BROADCAST_BYTES:
+    gone = cut(marked.groupBy("id", F.col("text_hash").alias("hash"), "host").agg(F.collect_set("x.i").alias("gone")))
+    if (gone.agg(F.sum(F.size("gone") * 4 + 96).alias("b")).first()["b"] or 0) <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
-    own = [c for c in docs.columns if c not in ("n_removed", "kept")]
+    own, taken = without_columns(docs, "n_removed", "kept"), renamed(gone, docs)
     text = whole_text(text_col)
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")) & F.col(host_col).cast("string").eqNullSafe(F.col("__host"))
-    joined = docs.select(*own).join(gone, on, "left")
+    on = own[id_col].eqNullSafe(taken["id"]) & (F.xxhash64(text) == taken["hash"]) & own[host_col].cast("string").eqNullSafe(taken["host"])
+    joined = own.join(taken.df, on, "left")
     size = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.length(normalised(x)))
-    at = lambda x: F.transform("__gone", lambda i: F.get(x, i))
-    full = F.col("__gone").isNull() | let(F.split(text, "\n"), lambda x: let(size(x), lambda n: n - size(at(x)) >= F.lit(min_left) * n))
-    left = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone")), lambda i: F.get(x, i))
-    kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(let(F.split(F.col(text_col), "\n"), left), "\n"))
+    at = lambda x: F.transform(taken["gone"], lambda i: F.get(x, i))
+    full = taken["gone"].isNull() | let(F.split(text, "\n"), lambda x: let(size(x), lambda n: n - size(at(x)) >= F.lit(min_left) * n))
+    left = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), taken["gone"]), lambda i: F.get(x, i))
+    kept = F.when(taken["gone"].isNull(), F.col(text_col)).otherwise(F.array_join(let(F.split(F.col(text_col), "\n"), left), "\n"))
     words = words_of(text)
     fails = let(words, lambda w: (F.size(w) < 50) | (100 * repeated_words(w) > 50 * F.size(w)))
-    new = {text_col: kept, "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), "kept": ~fails & full}
-    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in [*own, "n_removed", "kept"]])
+    new = {text_col: kept, "n_removed": F.coalesce(F.size(taken["gone"]), F.lit(0)).cast("long"), "kept": ~fails & full}
+    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in [*own.columns, "n_removed", "kept"]])

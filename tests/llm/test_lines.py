@@ -127,14 +127,14 @@ def test_common_lines_leave_the_texts(spark):
     own = [prose(rng, 60) for _ in range(30)]
     rows = [(i, f"Same  line\n\n{t}\nsame LINE \nend", "a") for i, t in enumerate(own)] + [(50, f"same line\n{own[0]}", "b"), (51, None, "a"), (52, "same line", "a"), (53, f"same line\n{own[1]}", None)]
     rows += [(54, f"same line\n{own[2]}", "a")] * 2
-    out = line_frequency.without_common_lines(frame(spark, rows), min_docs=32, host_share=0.0)
+    out = line_frequency.without_common_lines(frame(spark, rows), min_docs=31, host_share=0.0)
     assert out.columns == [*(c for c in frame(spark, []).columns if c != "kept"), "n_removed", "kept"] and out.count() == len(rows)
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
     got = {r["doc_id"]: (r["text"], r["n_removed"], r["kept"]) for r in out.collect()}
     assert all(got[i] == (f"\n{t}\nend", 2, True) for i, t in enumerate(own))
     assert got[50] == (rows[30][1], 0, True) and got[51] == (None, 0, False) and got[52] == ("", 1, False)
     assert got[53] == (rows[33][1], 0, True) and got[54] == (own[2], 1, True)
-    verdict = {r["doc_id"]: r["kept"] for r in line_frequency.quality_rules(frame(spark, rows), min_docs=32, host_share=0.0).collect()}
+    verdict = {r["doc_id"]: r["kept"] for r in line_frequency.quality_rules(frame(spark, rows), min_docs=31, host_share=0.0).collect()}
     assert verdict == {k: v[2] for k, v in got.items()}
     assert line_frequency.without_common_lines(frame(spark, [])).count() == 0
 
@@ -146,6 +146,35 @@ def test_repeated_rows_and_empty_table(spark):
     assert line_frequency.quality_rules(frame(spark, [])).count() == 0
 
 
+def test_documents_are_counted_and_not_rows(spark):
+    """Against a plain count of distinct documents, with ids that repeat, once with another text, and rows without one."""
+    rng = random.Random(9)
+    rows = [(1, f"again\n{prose(rng, 60)}", "a")] * 25 + [(1, f"again\n{prose(rng, 60)}", "a")]
+    rows += [(None, f"nameless\n{prose(rng, 60)}", "a") for _ in range(3)] + [(None, "nameless\nx", "a")] * 4
+    rows += [(10 + i, f"shared\nshared\n{prose(rng, 60)}", "a") for i in range(5)]
+    held: dict[str, set] = {}
+    for d, t, _ in rows:
+        for line in t.split("\n"):
+            held.setdefault(line, set()).add((d, t if d is None else None))
+    want = {(d, t): sum(len(held[x]) > 3 for x in t.split("\n")) for d, t, _ in rows}
+    found = line_frequency.line_frequency(frame(spark, rows), min_docs=3, host_share=0.0)
+    texts = {r["h"]: r["text"] for r in frame(spark, rows).select(F.xxhash64("text").alias("h"), "text").collect()}
+    got = found.collect()
+    assert {(r["id"], texts[r["text_hash"]]): r["n_common"] for r in got} == want and len(got) == len(want)
+    assert {n for (d, _), n in want.items() if d == 1} == {0} and {n for (d, _), n in want.items() if d is None} == {1}
+
+
+def test_names_that_the_operators_use(spark):
+    names = ["gone", "__gone", "__id", "__hash", "id", "hash", "host", "own_id", "own_gone", "own_salt", "n_lines", "n_removed"]
+    line = "a line that is there twice, and long enough"
+    df = spark.createDataFrame([(i, f"{line}\n{i}", "s", *["x"] * len(names)) for i in (1, 2)], ["doc_id", "text", "source", *names])
+    out = line_dedup.line_dedup(df)
+    assert out.columns == [*[c for c in df.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed"]
+    assert sorted((r["doc_id"], r["text"], r["own_gone"], r["__gone"]) for r in out.collect()) == [(1, f"{line}\n1", "x", "x"), (2, "2", "x", "x")]
+    out = line_frequency.without_common_lines(df, min_docs=1, host_share=0.0)
+    assert sorted((r["doc_id"], r["text"], r["own_host"] if "own_host" in out.columns else "x", r["gone"]) for r in out.collect()) == [(1, "1", "x", "x"), (2, "2", "x", "x")]
+
+
 def test_native(spark):
     """No Python on the main path of the operators that are to be native."""
     from lodestone.llm.secret_scan import digest, secret_scan
