@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, cut_fitted
+from lodestone.llm.common import cut, cut_fitted, salted_join, whole_text
 from lodestone.llm.components import components
 from lodestone.llm.text_arrays import mix, shingles, slices
 
@@ -73,7 +73,7 @@ def least_matches(percent: int, total: int, miss: float) -> list[tuple[int, int]
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, count: int) -> DataFrame:
-    """id, node (null without words), n and sig of each row."""
+    """id, t (a hash of the text), node (null without words), n and sig of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,9 +85,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, count: int)
                     n.append(len(s))
                     node.append(_node(s) if len(s) else None)
                     sig.append(signature(s, a, b).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], ["id", "node", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], ["id", "t", "node", "n", "sig"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node long, n long, sig binary")
+    return docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("t"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, t long, node long, n long, sig binary")
+
+
+def text_hash(text_col: str) -> Column:
+    """What tells rows with one id apart."""
+    return F.xxhash64(whole_text(text_col))
 
 
 def _matrix(column: pa.Array, count: int) -> np.ndarray:
@@ -145,10 +150,11 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: DataFrame, broadcast_bytes: int) -> DataFrame:
-    """node and items (the sorted 64-bit shingle hashes) of the wanted (id, node), once each."""
-    if 16 * wanted.count() <= broadcast_bytes:
+    """node and items (the sorted 64-bit shingle hashes) of the wanted (w_id, w_t, node), once each."""
+    if 24 * wanted.count() <= broadcast_bytes:
         wanted = F.broadcast(wanted)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("node", "text")
+    rows = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("t"), F.col(text_col).alias("text"))
+    rows = rows.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("t") == F.col("w_t"))).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,12 +239,12 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     of = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}"))
     joined = components(links.join(of("u"), "u").join(of("v"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
     moved = joined.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-    return cut_fitted(labels.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+    return cut_fitted(salted_join(labels, moved, "comp", F.col("node"), "left").select("node", F.coalesce("to", "comp").alias("comp")))
 
 
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
-    bands: int = 32, rows: int = 5, miss: float = 1e-6, broadcast_bytes: int = 32 << 20,
+    bands: int = 32, rows: int = 5, miss: float = 1e-6, broadcast_bytes: int = 32 << 20, with_first: bool = False,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id and kept.
 
@@ -246,20 +252,23 @@ def near_dedup(
     is one. Documents are linked if 100 * intersection >= percent * union; component_id is the least id reachable,
     kept says that it is the row's own. Null and empty texts and those without words have an empty set and are linked
     with nothing. Repeated rows have equal results. Rows with one id and different texts count as documents of their
-    own, and each component takes its least id. A null id never is a component's least unless all are null. An empty
-    table gives an empty result. Other columns are ignored, whatever their names.
+    own, and each component takes its least id. A null id is linked as any other, and never is a component's least unless
+    all are null. An empty table gives an empty result. Other columns are ignored, whatever their names.
+
+    With `with_first` there are also text_hash and first, which says that (id, text) is the least of its component, nulls
+    last: true for just one text of each group, and for every text without words.
     """
     count = bands * rows
     limits = least_matches(percent, count, miss)
     every = cut(sketches(docs, id_col, text_col, shingle, count))
-    first = every.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
+    first = every.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "t")).alias("x")).select("node", F.col("x.id").alias("w_id"), F.col("x.t").alias("w_t"))
     classes = every.select("node", "sig").where("node is not null").dropDuplicates(["node"])
     band = _bands(classes, bands, rows)
     buckets = band.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("p1"), F.max("node").alias("p2")).where("c > 1")
     hot = cut_fitted(band.join(buckets, "key"))
     members = cut_fitted(hot.select("node").distinct())
     classes = cut_fitted(classes.join(members, "node", "left_semi"), 10_000)
-    wanted = first.join(members, "node", "left_semi").select("id", "node").where("id is not null")
+    wanted = first.join(members, "node", "left_semi")
     sets = cut_fitted(_sets(docs, id_col, text_col, shingle, cut_fitted(wanted), broadcast_bytes), SETS)
 
     labels = members.select("node", F.col("node").alias("comp"))
@@ -277,7 +286,12 @@ def near_dedup(
         labels = _merge(labels, cut_fitted(links))
     labels = _merge(labels, cut_fitted(_rest(hot, labels, classes.join(sets, "node"), bands, percent, limits)))
 
-    named = every.select("id", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
-    out = named.join(least, "comp", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = every.select("id", "t", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = named.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "t")).alias("x"))
+    least = least.select("comp", F.col("x.id").alias("least_id"), F.col("x.t").alias("least_t"))
+    out = salted_join(named, least, "comp", F.col("node"), "left").withColumn("component_id", F.coalesce("least_id", "id"))
+    columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")]
+    if with_first:
+        same = F.col("id").eqNullSafe(F.col("least_id")) & (F.col("t") == F.col("least_t"))
+        columns += [F.col("t").alias("text_hash"), (F.col("comp").isNull() | same).alias("first")]
+    return out.select(*columns)

@@ -64,6 +64,20 @@ def test_repeated_rows_and_ids(spark):
     assert got(minhash.near_dedup(frame(spark, rows), shingle=2)) == [(1, 3, 1, True), (3, 3, 1, False), (3, 3, 1, False), (3, 3, 3, True)]
 
 
+def test_rows_without_an_id_are_linked(spark):
+    a, b = "a b c d e f g h i j k l", "a b c d e f g h i j k m"
+    rows = [(5, a, None), (None, b, None), (None, a, None), (None, "q r s", None)]
+    df = minhash.near_dedup(frame(spark, rows), shingle=2, with_first=True).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"], r["first"]) for r in df) == [("5", "5", True, True), ("None", "5", False, False), ("None", "5", False, False), ("None", "None", True, True)]
+
+
+def test_bridge_without_an_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    x, y, z = words, [*words[:57], "a", "b", "c"], [*"defg", *words[4:57], "a", "b", "c"]
+    rows = [(1, " ".join(x), None), (None, " ".join(y), None), (2, " ".join(z), None)]
+    assert {r["component_id"] for r in minhash.near_dedup(frame(spark, rows), shingle=2).collect()} == {1}
+
+
 def test_texts_join_by_shuffle_too(spark):
     rows = corpus()[:60]
     assert got(minhash.near_dedup(frame(spark, rows), shingle=2, broadcast_bytes=0)) == brute(rows, 2)
