@@ -72,8 +72,20 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", media_col: str = "media
     return df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, f"id {kind}, {COLUMNS}").withColumnRenamed("id", id_col)
 
 
+def _stored_bytes(x) -> tuple | None:
+    """The stored text's length, the image and its blocks; None if `store_texts` didn't write what was read."""
+    if isinstance(x, ValueError) or not x[0].comment.startswith(jpeg.COMMENT):
+        return None
+    said = x[0].comment.removeprefix(jpeg.COMMENT)
+    return (int(said), *x) if said.isdigit() and int(said) <= x[1].size else None
+
+
 def stored_digest(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """For images of `store_texts`, read back: n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature (dimensions and thumbnail hash)."""
+    """For images of `store_texts`, read back: n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature (dimensions and thumbnail hash).
+
+    A null image gives nulls throughout. Bytes that no whole baseline JPEG is, and images that `store_texts` didn't write,
+    give the figures of the media alone. Equal images give equal values; an empty table gives an empty result.
+    """
     kind = df.schema[id_col].dataType.simpleString()
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -82,10 +94,14 @@ def stored_digest(df: DataFrame, id_col: str = "doc_id", media_col: str = "media
         for ids, found in _decoded(batches):
             rows = []
             for media, x in found:
-                if isinstance(x, ValueError):
-                    raise x
-                image, blocks = x
-                n = int(image.comment.removeprefix(jpeg.COMMENT))
+                if x is None:
+                    rows.append((None,) * 7)
+                    continue
+                stored = _stored_bytes(x)
+                if stored is None:
+                    rows.append((None,) * 4 + (len(media), hashlib.sha256(media).hexdigest(), None))
+                    continue
+                n, image, blocks = stored
                 payload = blocks.astype(np.uint8).reshape(-1)[: 64 * max(1, -(-n // 64))].tobytes()
                 feature = f"{image.width}x{image.height}:{jpeg.thumbnail_hash(jpeg.thumbnail(image, blocks))}"
                 rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))

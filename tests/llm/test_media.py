@@ -122,3 +122,17 @@ def test_columns_of_bad_media(spark):
     assert got[1]["error"] and got[2]["error"] and (got[5]["error"] or got[5]["width"])
     assert (got[3]["width"], got[3]["height"], got[3]["thumb_width"], got[3]["error"]) == (8, 8, 1, None) and got[3] == got[4]
     assert media_columns(df.limit(0)).count() == 0 and store_texts(frame(spark, [])).count() == 0
+
+
+def test_digest_of_other_media(spark):
+    """Null, bytes that aren't an image, and an image that no text was stored in."""
+    plain = jpeg.write([np.frombuffer(b"abc", np.uint8)])[0]
+    at = plain.index(jpeg.COMMENT)
+    foreign = plain[:at] + b"x" * len(jpeg.COMMENT) + plain[at + len(jpeg.COMMENT) :]
+    df = spark.createDataFrame([(1, None), (2, b"no image"), (3, foreign), (4, plain), (5, b"")], "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in stored_digest(df).collect()}
+    assert set(got[1].asDict().values()) == {1, None}
+    assert got[2]["media_bytes"] == 8 and got[2]["n_bytes"] is None and got[5]["media_bytes"] == 0
+    assert got[3]["n_bytes"] is None and got[3]["media_bytes"] == len(foreign) and got[3]["feature"] is None
+    assert got[4]["n_bytes"] == 3 and got[4]["payload_bytes"] == 64
+    assert stored_digest(df.where("false")).count() == 0
