@@ -91,8 +91,8 @@ def crc_of_id(id_col: str) -> Column:
 def sample_texts(docs: DataFrame, labels: DataFrame, label_cols: list[str], id_col: str, text_col: str, bound: int, where: Column | None = None) -> DataFrame:
     """key, text and the labels (long) of at most `bound` labelled rows, those whose ids hash lowest; materialised.
 
-    Rows without a label or an id are left out; so is any but one row of each id in `labels`. A document that repeats an
-    id counts as often as it is there.
+    Rows without a label or an id are left out; so is any but one row of each id in `labels`, and any text but the least
+    of each id in `docs`, so that the bound holds whatever the table repeats.
     """
     rows = labels.where(F.col(id_col).isNotNull())
     for c in label_cols:
@@ -102,7 +102,7 @@ def sample_texts(docs: DataFrame, labels: DataFrame, label_cols: list[str], id_c
     rows = rows.groupBy(F.col(id_col).alias("id")).agg(*[F.min(c).cast("long").alias(c) for c in label_cols])
     chosen = rows.withColumn("key", F.xxhash64("id")).orderBy("key", "id").limit(bound)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    return cut(texts.select("key", "text", *label_cols))
+    return cut(texts.groupBy("key", "id", *label_cols).agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("key", "text", *label_cols))
 
 
 def term_counts(sample: DataFrame, kinds: tuple[str, ...], group: Column, groups: int) -> DataFrame:
@@ -174,10 +174,13 @@ def presence(found: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarr
     return x
 
 
-def score_rows(docs: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[], Callable[[Terms], list[np.ndarray]]], keep: bool = False) -> DataFrame:
-    """id, or all columns if `keep`, and the columns of `schema`, computed slice by slice by the function that `make` gives on the executor."""
+def score_rows(docs: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[], Callable[[Terms, pa.Array], list[np.ndarray]]], keep: bool = False) -> DataFrame:
+    """id, or all columns if `keep`, and the columns of `schema`, computed slice by slice from terms and texts by the function that `make` gives on the executor.
+
+    With `keep`, columns of the names in `schema` are replaced.
+    """
     names = [c.split()[0] for c in schema.split(", ")]
-    own = [c for c in docs.columns if c not in names] if keep else [id_col]
+    own = [c for c in docs.columns if c not in names] if keep else [id_col] if id_col else []
     # the text goes last, under a name of its own
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(own)], F.col(text_col).alias("text"))
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(own))
@@ -186,7 +189,7 @@ def score_rows(docs: DataFrame, id_col: str, text_col: str, schema: str, make: C
         score = make()
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(c) for c in score(Terms(data, offsets))]], [*part.schema.names[:-1], *names])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(c) for c in score(Terms(data, offsets), part.column(part.num_columns - 1))]], [*part.schema.names[:-1], *names])
 
     scored = rows.mapInArrow(run, f"{kinds}, {schema}")
     return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], *names)

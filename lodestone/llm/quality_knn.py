@@ -79,16 +79,18 @@ def train(
 
 
 def vote(t: Terms, m: Model) -> np.ndarray:
-    """The score of each text of a slice."""
+    """The score of each text of a slice: of all neighbours as near as the k-th nearest, ties included, so no order of neighbours matters."""
     if not len(m.y):
         return np.full(t.n_docs, m.prior)
     doc = np.concatenate([t.doc, t.doc])
     term = m.vocabulary.find(np.concatenate([t.by["shape"], t.by["word"]]))
-    cos = _unit(_dense(doc, term, np.ones(len(doc)), t.n_words, t.adjacent, t.repeated, m) @ m.basis) @ m.neighbours.T
+    x = _dense(doc, term, np.ones(len(doc)), t.n_words, t.adjacent, t.repeated, m).astype(np.float64)
+    # rounded, so that a cosine doesn't depend on the slice it is computed in
+    cos = np.round(_unit(x @ m.basis.astype(np.float64)) @ m.neighbours.astype(np.float64).T, 7)
     k = min(m.k, cos.shape[1])
-    near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-    weight = np.exp(DECAY * (np.take_along_axis(cos, near, 1).astype(np.float64) - 1))
-    score = (weight * m.y[near]).sum(1) / weight.sum(1)
+    least = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k, None]
+    weight = np.where(cos >= least, np.exp(DECAY * (cos - 1)), 0.0)
+    score = np.round(weight @ m.y / weight.sum(1), 9)
     return np.where(t.n_words > 0, np.clip(score, 0, 1), m.prior)
 
 
@@ -96,12 +98,13 @@ def quality_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     """id (all columns if `keep`), score and predicted (score >= cut_at) of each row.
 
     Null and empty texts and those without words score the labelled share of label 1. Repeated rows have equal scores.
-    An empty table gives an empty result. Only the id and the text are read, whatever other columns there are.
+    An empty table gives an empty result. Only the id and the text are read, whatever other columns there are; with
+    `keep`, columns called score and predicted are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         m = shared.value
-        return lambda t: [vote(t, m)]
+        return lambda t, _: [vote(t, m)]
 
     return score_rows(docs, id_col, text_col, "score double", make, keep).withColumn("predicted", (F.col("score") >= cut_at).cast("int"))

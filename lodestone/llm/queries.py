@@ -19,10 +19,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from lodestone.llm.mixing import mixture_rates, train
 
     docs = table(spark, sf_dir, "documents")
-    return mixture_rates(docs, train(docs, table(spark, sf_dir, "labels")))
+    return mixture_rates(docs, train(docs, table(spark, sf_dir, "labels")), tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Toxicity: a factorisation machine over hashed terms.
 
-Terms are whole words and prefixes of four and six bytes, present or not. From at most `bound` labelled documents the
-terms that tell most are chosen by chi-squared; the machine learns a weight and a vector of `factors` numbers for each,
+Terms are whole words and prefixes of four and six bytes, present or not. From at most `bound` labelled documents two
+sets of terms are chosen by chi-squared: those that tell most alone, and those of the pairs that tell most beyond what
+either tells alone, such as an insult and the mention of a group. Pairs are sought among the `pool` terms that most
+toxic documents have. The machine learns a weight and a vector of `factors` numbers for each,
 so that pairs of terms count as such: score = sigmoid(w0 + sum w_i + sum over pairs v_i . v_j). Training is Adam on
 the log loss, on the driver; scoring maps slices of documents. What is broadcast is bounded by `terms` and `factors`.
 """
@@ -55,22 +57,49 @@ def fit(x: np.ndarray, y: np.ndarray, factors: int = 8, epochs: int = 30, rate:
     return float(p[0][0]), p[1], p[2]
 
 
+def chi_squared(both: np.ndarray, positive: np.ndarray, n: float, p: float) -> np.ndarray:
+    """How much being among `both` (of them `positive` labelled 1) of n documents tells about the label, which p have."""
+    below = both * (n - both) * (p * (n - p))
+    return np.where(below > 0, (positive * (n - p) - (both - positive) * p) ** 2 * n / np.where(below > 0, below, 1), 0.0)
+
+
+def telling_pairs(x: np.ndarray, y: np.ndarray, most: int, least_docs: int) -> np.ndarray:
+    """The columns of x (0 or 1) in the `most` pairs whose presence together tells most beyond the better of the two alone."""
+    n, p = float(len(y)), float(y.sum())
+    both, positive = (x.T @ x).astype(np.float64), (x[y > 0].T @ x[y > 0]).astype(np.float64)
+    chi = chi_squared(both, positive, n, p)
+    alone = np.diag(chi)
+    gain = np.triu(chi - np.maximum(alone[:, None], alone[None, :]), 1)
+    gain[(both < least_docs) | (positive * n <= both * p)] = 0
+    flat = gain.ravel()
+    best = np.argsort(-flat, kind="stable")[:most]
+    best = best[flat[best] > 0]
+    return np.unique(np.concatenate(np.divmod(best, len(gain)))) if len(best) else np.zeros(0, np.int64)
+
+
+def frequent_in_positives(counts: DataFrame, most: int, least_docs: int) -> np.ndarray:
+    rows = counts.where(F.col("c1") >= least_docs).orderBy(F.desc("c1"), "term").limit(most).select("term").collect()
+    return np.array([r["term"] for r in rows], np.int64).view(np.uint64)
+
+
 def train(
     docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-    where: Column | None = None, bound: int = 8000, terms: int = 256, least_docs: int = 5,
+    where: Column | None = None, bound: int = 8000, terms: int = 256, least_docs: int = 5, pairs: int = 64, pool: int = 1024,
 ) -> Machine:
     """The machine from at most `bound` labelled rows for which `where` holds; without any, scores are 0.5."""
     sample = sample_texts(docs, labels, [label_col], id_col, text_col, bound, where)
     positive = (F.col(label_col) > 0).cast("int")
     sizes = {r["g"]: r["n"] for r in sample.groupBy(positive.alias("g")).agg(F.count("*").alias("n")).collect()}
     counts = cut(term_counts(sample, TERM_KINDS, positive, 2).where(F.col("c0") + F.col("c1") >= least_docs))
-    vocabulary = Vocabulary(telling_terms(counts, [sizes.get(0, 0), sizes.get(1, 0)], 1, terms, least_docs))
-    y, found, _ = sampled_rows(sample, vocabulary, TERM_KINDS, [label_col])
+    alone = telling_terms(counts, [sizes.get(0, 0), sizes.get(1, 0)], 1, terms, least_docs)
+    wide = Vocabulary(np.union1d(alone, frequent_in_positives(counts, pool, least_docs)))
+    y, found, _ = sampled_rows(sample, wide, TERM_KINDS, [label_col])
     y = (y[:, 0] > 0).astype(np.float64)
     if not len(y):
-        return Machine(vocabulary, 0.0, np.zeros(0), np.zeros((0, 1)))
-    x = presence(found, len(vocabulary))
-    return Machine(vocabulary, *fit(x, y))
+        return Machine(wide, 0.0, np.zeros(0), np.zeros((0, 1)))
+    x = presence(found, len(wide))
+    chosen = np.union1d(wide.find(alone), telling_pairs(x, y, pairs, least_docs)).astype(np.int64)
+    return Machine(Vocabulary(wide.terms[chosen]), *fit(x[:, chosen], y))
 
 
 def probability(t: Terms, m: Machine) -> np.ndarray:
@@ -91,12 +120,13 @@ def toxicity_scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", t
     """id (all columns if `keep`), score and predicted (score >= cut_at) of each row.
 
     Null and empty texts and those without chosen terms score what the bias alone gives. Repeated rows have equal
-    scores. An empty table gives an empty result. Only the id and the text are read, whatever other columns there are.
+    scores. An empty table gives an empty result. Only the id and the text are read, whatever other columns there are;
+    with `keep`, columns called score and predicted are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def make():
         m = shared.value
-        return lambda t: [probability(t, m)]
+        return lambda t, _: [probability(t, m)]
 
     return score_rows(docs, id_col, text_col, "score double", make, keep).withColumn("predicted", (F.col("score") >= cut_at).cast("int"))
