@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,12 @@ def masked_mean(rows: Column, mask: Column, width: int) -> Column:
     return F.transform(F.aggregate(weighted, start, lambda s, r: F.zip_with(s, r, lambda x, y: x + y)), lambda x: x / n)
 
 
+def masked_mean_by(df: DataFrame, by: list[str], vector: str, mask: Column, width: int, name: str = "mean") -> DataFrame:
+    """by and the mean of the vectors (of `width` numbers) of each group whose mask is 1; summed in part where the rows are, a number a place."""
+    n = F.greatest(F.sum(mask.cast("double")), F.lit(1e-9))
+    return df.groupBy(*by).agg(F.array(*[F.sum(F.get(vector, i).cast("double") * mask) / n for i in range(width)]).alias(name))
+
+
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
     """With temperature 0 the logits aren't divided."""
     t = temperature or 1.0
@@ -106,13 +112,27 @@ def checked_tokens(tokens: Column, limit: int = 1 << 16) -> Column:
 
 
 def merged_pair(ids: Column, left: Column, right: Column, new: Column) -> Column:
-    """Each non-overlapping neighbouring (left, right), from the left, becomes `new`."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(False).alias("open"))
-
-    def step(a: Column, x: Column) -> Column:
-        # `open`: the last element is a left that nothing has joined
-        joins = a["open"] & (x == right)
-        out = F.when(joins, F.array_append(F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1), new)).otherwise(F.array_append(a["out"], x))
-        return F.struct(out.alias("out"), (~joins & (x == left)).alias("open"))
-
-    return F.aggregate(ids, start, step, lambda a: a["out"])
+    """Each non-overlapping neighbouring (left, right), from the left, becomes `new`. In linear time.
+
+    Two pairs overlap only if left and right are equal; in a run of k such tokens the first of every two begins a pair, as
+    far as a second follows.
+    """
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+
+    def merged(x: Column) -> Column:
+        # for tokens equal to both: how far into their run each is, from the last token that differs
+        pair = lambda i: (F.get(x, i) == left) & F.coalesce(F.get(x, i + 1) == right, F.lit(False))
+        breaks = F.filter(F.transform(x, lambda t, i: F.when(t != left, i)), lambda i: i.isNotNull())
+        runs = lambda b: F.flatten(F.transform(
+            F.sequence(F.lit(0), F.size(b)),
+            lambda k: let(
+                F.when(k == 0, F.lit(-1)).otherwise(F.get(b, k - 1)),
+                lambda a: F.concat(F.when(k == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(0))), F.array_compact(F.transform(
+                    F.sequence(a, F.coalesce(F.get(b, k), F.size(x)) - 1), lambda i: F.when(i > a, i - a - 1)))),
+            ),
+        ))
+        begins = lambda depth: F.transform(x, lambda t, i: pair(i) & (depth(i) % 2 == 0))
+        apart = lambda flags: F.array_compact(F.transform(x, lambda t, i: F.when(F.get(flags, i), new).when((i > 0) & F.coalesce(F.get(flags, i - 1), F.lit(False)), F.lit(None)).otherwise(t)))
+        return F.when(left == right, let(runs(breaks), lambda d: let(begins(lambda i: F.get(d, i)), apart))).otherwise(let(begins(lambda i: F.lit(0)), apart))
+
+    return F.when(F.size(ids) < 2, ids).otherwise(let(ids, merged))

@@ -33,6 +33,12 @@ def close(a: Column, b: Column, relative: float = 1e-7, absolute: float = 0.0) -
     return F.abs(a - b) <= F.greatest(relative * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))
 
 
+def close_lists(a: Column, b: Column, relative: float = 1e-7, absolute: float = 0.0) -> Column:
+    """Whether two lists of numbers are equally long and close in every place; a null is close to a null only."""
+    both = F.zip_with(a, b, lambda x, y: F.when(x.isNull() | y.isNull(), x.isNull() & y.isNull()).otherwise(close(x, y, relative, absolute)))
+    return (F.size(a) == F.size(b)) & F.forall(both, lambda ok: ok)
+
+
 def cosine_rate(t: Column, high: float, low: float, warmup: int, steps: int) -> Column:
     """Linear warm-up, then half a cosine from high to low until `steps`."""
     fall = low + 0.5 * (1 + F.cos((t - warmup) / (steps - warmup) * math.pi)) * (high - low)

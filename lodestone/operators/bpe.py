@@ -1,8 +1,9 @@
-"""Byte-pair encoding: training on a histogram of pre-tokens, encoding of distinct pre-tokens, decoding.
+"""Byte-pair encoding: training on a histogram of pre-tokens, encoding and decoding of documents, saved vocabularies.
 
 Counting pre-tokens is distributed. The histogram is much smaller than the corpus and its merges depend on one another, so
 training runs on the driver if the histogram has at most `most_words` rows. A larger one stays a table, of which the
-driver sees the first pairs only; both ways count all pre-tokens and give the same merges. Encoding handles each distinct pre-token once, by Arrow batches, and joins the ids back.
+driver sees the first pairs only; both ways count all pre-tokens and give the same merges. Encoding and
+decoding map documents in Arrow batches, without a shuffle; a bounded cache spares each task most of the repeated pre-tokens.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import SPECIALS, pretokens
@@ -213,36 +214,83 @@ def encode_word(word: bytes, rank: dict[tuple[bytes, bytes], int]) -> list[bytes
     return [p for p, live in zip(parts, alive, strict=True) if live]
 
 
-def encode_words(words: DataFrame, vocabulary: Vocabulary, column: str = "pretoken") -> DataFrame:
-    """The distinct pre-tokens of a column with their ids; markers are one id each."""
-    shared = words.sparkSession.sparkContext.broadcast(vocabulary)
+#: Pre-tokens whose ids a task remembers at a time.
+REMEMBERED = 1 << 17
+
+
+def pieces(text: Column, vocabulary: Vocabulary) -> Column:
+    """The pre-tokens and markers of a text, in order; none of null."""
+    from lodestone.functions.text import split_keeping
+
+    part = lambda p: F.when(p.isin(*vocabulary.specials), F.array(p)).otherwise(pretokens(p))
+    return F.coalesce(F.flatten(F.transform(split_keeping(text, vocabulary.specials), part)), F.array().cast("array<string>"))
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and tokens of each row, each row for itself, whatever keys repeat; null and empty texts have none. Also for streams."""
+    kind = docs.schema[key].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        ids, rank = v.ids(), {p: i for i, p in reversed(list(enumerate(v.merges)))}
+        ids, rank, known = v.ids(), {p: i for i, p in reversed(list(enumerate(v.merges)))}, {}
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            out = [[ids[w.encode()]] if w in v.specials else [ids[t] for t in encode_word(w.encode(), rank)] for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["pretoken", "ids"])
+            out = []
+            for words in batch.column(1).to_pylist():
+                row = []
+                for w in words:
+                    found = known.get(w)
+                    if found is None:
+                        found = [ids[w.encode()]] if w in v.specials else [ids[t] for t in encode_word(w.encode(), rank)]
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        known[w] = found
+                    row += found
+                out.append(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["key", "tokens"])
+
+    return docs.select(F.col(key).alias("key"), pieces(F.col(text), vocabulary).alias("pieces")).mapInArrow(run, f"key {kind}, tokens array<int>").withColumnRenamed("key", key)
 
-    return words.select(F.col(column).alias("pretoken")).distinct().mapInArrow(run, "pretoken string, ids array<int>")
 
+def decode(store: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
+    """key and text of each token list, each row for itself; invalid UTF-8 becomes U+FFFD. The vocabulary is broadcast: it has as many rows as ids."""
+    kind = store.schema[key].dataType.simpleString()
+    shared = store.sparkSession.sparkContext.broadcast(vocabulary)
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and tokens of each document. Each distinct pre-token is encoded once and joined back."""
-    from lodestone.functions.text import split_keeping
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value.tokens()
+        for batch in batches:
+            raw = [b"".join([table[i] for i in row or []]) for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["key", "raw"])
 
-    part = lambda p: F.when(p.isin(*vocabulary.specials), F.array(p)).otherwise(pretokens(p))
-    pieces = docs.select(key, F.posexplode_outer(F.flatten(F.transform(split_keeping(F.col(text), vocabulary.specials), part))).alias("pos", "pretoken"))
-    known = encode_words(pieces.where("pretoken is not null"), vocabulary)
-    joined = pieces.join(known, "pretoken", "left")
-    grouped = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("x"))
-    return grouped.select(key, F.flatten(F.filter(F.col("x.ids"), lambda i: i.isNotNull())).alias("tokens"))
+    rows = store.select(F.col(key).alias("key"), F.col(tokens).cast("array<int>").alias("tokens")).mapInArrow(run, f"key {kind}, raw binary")
+    return rows.select(F.col("key").alias(key), F.make_valid_utf8(F.col("raw").cast("string")).alias("text"))
 
 
-def decode(store: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
-    """key and text of each token list; invalid UTF-8 becomes U+FFFD. The vocabulary is broadcast: it has as many rows as ids."""
-    table = F.broadcast(vocabulary.table(store.sparkSession).withColumnRenamed("id", "token"))
-    each = store.select(key, F.posexplode_outer(tokens).alias("pos", "token")).join(table, "token", "left")
-    joined = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("bytes").alias("h")))).alias("x"))
-    return joined.select(key, F.make_valid_utf8(F.unhex(F.array_join(F.col("x.h"), "")).cast("string")).alias("text"))
+def naive_encode(word: bytes, vocabulary: Vocabulary) -> list[bytes]:
+    """The tokens of a pre-token by every merge in order, each from left to right; slow, and the same as `encode_word` gives."""
+    parts = [bytes([b]) for b in word]
+    for left, right in vocabulary.merges:
+        k = 0
+        while k + 1 < len(parts):
+            if parts[k] == left and parts[k + 1] == right:
+                parts[k : k + 2] = [left + right]
+            k += 1
+        if len(parts) == 1:
+            break
+    return parts
+
+
+def save(spark, vocabulary: Vocabulary, path: str) -> None:
+    """Writes a vocabulary as two tables below a path: its tokens with what each is, and its merges."""
+    kinds = [*["byte"] * 256, *["special"] * len(vocabulary.specials), *["merge"] * len(vocabulary.merges)]
+    rows = [(i, t, k) for i, (t, k) in enumerate(zip(vocabulary.tokens(), kinds, strict=True))]
+    spark.createDataFrame(rows, "id int, bytes binary, kind string").coalesce(1).write.mode("overwrite").parquet(f"{path}/tokens")
+    vocabulary.merge_table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/merges")
+
+
+def load(spark, path: str) -> Vocabulary:
+    """The vocabulary that `save` wrote."""
+    specials = spark.read.parquet(f"{path}/tokens").where("kind = 'special'").orderBy("id").collect()
+    merges = spark.read.parquet(f"{path}/merges").orderBy("rank").collect()
+    return Vocabulary(tuple(bytes(r["bytes"]).decode() for r in specials), [(bytes(r["left"]), bytes(r["right"])) for r in merges])

@@ -74,7 +74,49 @@ def simple_prompt(prompt: Column, chat: bool) -> Column:
     return F.concat(F.lit("<|bos|><|user_start|>"), prompt, F.lit("<|user_end|><|assistant_start|>"))
 
 
+# Endings that are parts of their own after an apostrophe.
+ENDINGS = ("s", "d", "m", "t", "ll", "ve", "re")
+
+
 def phrase_parts(text: Column) -> Column:
-    """Pieces for merges across words: cut before and after contracted endings, between - and |, and at thousands."""
-    cuts = r"(?<=\p{L})(?=['’](?i:s|d|m|t|ll|ve|re)\b)|(?<=['’](?i:s|d|m|t|ll|ve|re)\b)|(?<=-)(?=\|)|(?<=\|)(?=-)|(?<=\d)(?=(?:\d{3})+(?!\d))"
-    return F.filter(F.split(text, cuts, -1), lambda p: p != "")
+    """Pieces for merges across words. A text is cut in four places, from which the pattern is put together:
+
+    before an apostrophe with an ending that follows a letter, after such an ending if the word ends there (so that
+    "it's" gives 's but "o'steam" stays whole), between - and |, and within digits wherever groups of three are left.
+    """
+    ending = f"['’](?i:{'|'.join(ENDINGS)})" + r"\b"
+    cuts = [rf"(?<=\p{{L}})(?={ending})", f"(?<={ending})"]
+    cuts += [rf"(?<={a})(?={b})" for a, b in (("-", r"\|"), (r"\|", "-"))]
+    cuts.append(r"(?<=\d)(?=(?:\d{3})+(?!\d))")
+    return F.filter(F.split(text, "|".join(cuts), -1), lambda p: p != "")
+
+
+def with_field(df: DataFrame, dotted: str, value: Column) -> DataFrame:
+    """df with a field, at any depth, set by its dotted name; an error if there is no such field."""
+    column, *path = dotted.split(".")
+    kind = df.schema[column].dataType
+    for p in path:
+        if not isinstance(kind, T.StructType) or p not in kind.names:
+            raise KeyError(dotted)
+        kind = kind[p].dataType
+    return df.withColumn(column, F.col(column).withField(".".join(path), value) if path else value)
+
+
+def rendered(template: str, fields: dict[str, Column]) -> Column:
+    """A template with {dotted.name} replaced by the fields; an error names one that isn't there."""
+    import string
+
+    parts: list[Column] = []
+    for said, name, _, _ in string.Formatter().parse(template):
+        parts.append(F.lit(said))
+        if name is not None:
+            if name not in fields:
+                raise KeyError(name)
+            parts.append(fields[name].cast("string"))
+    return F.concat(*parts)
+
+
+def with_extension(paths: Column, extensions: tuple[str, ...]) -> Column:
+    """Whether any of a repository's files has one of the extensions (with their dots)."""
+    found = F.transform(paths, lambda p: F.regexp_extract(p, r"(\.[^./]+)$", 1))
+    return F.arrays_overlap(found, F.array(*[F.lit(e) for e in extensions]))

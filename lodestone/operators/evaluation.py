@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.arrays import common_prefix, common_suffix, span_mean
 from lodestone.functions.numbers import BITS, centred, pass_at_k
 from lodestone.functions.text import task_key
+from lodestone.session import if_small
 
 
 def accuracy(rows: DataFrame, by: list[str], correct: str = "correct") -> DataFrame:
@@ -20,9 +21,12 @@ def any_of_k(rows: DataFrame, by: list[str], correct: str = "correct") -> DataFr
     return rows.groupBy(*by).agg(F.bool_or(correct).alias("passed"))
 
 
-def centred_scores(accuracies: DataFrame, baselines: DataFrame, task: str = "task") -> DataFrame:
-    """Accuracies with their tasks' baselines (percent; a task without one is left out) and centred scores."""
-    return accuracies.join(F.broadcast(baselines), task).withColumn("centred", centred(F.col("accuracy"), F.col("baseline")))
+def centred_scores(accuracies: DataFrame, baselines: DataFrame, task: str = "task", default: float | None = None) -> DataFrame:
+    """Accuracies with their tasks' baselines (percent) and centred scores. A task without a baseline is left out, or has the default."""
+    joined = accuracies.join(if_small(baselines, 64), task, "inner" if default is None else "left")
+    if default is not None:
+        joined = joined.withColumn("baseline", F.coalesce("baseline", F.lit(default)))
+    return joined.withColumn("centred", centred(F.col("accuracy"), F.col("baseline")))
 
 
 def macro_mean(scores: DataFrame, value: str = "centred") -> DataFrame:
@@ -42,8 +46,8 @@ def chat_core(accuracies: DataFrame, task: str = "task") -> DataFrame:
 
 
 def matched_samples(samples: DataFrame, problems: DataFrame) -> DataFrame:
-    """Samples whose task_id names a problem, as it stands or with underscores for slashes; others are left out."""
-    ids = F.broadcast(problems.select(F.col("task_id").alias("p")).distinct())
+    """Samples whose task_id names a problem, as it stands or with underscores for slashes; others are left out. How problems are joined is left to the planner."""
+    ids = problems.select(F.col("task_id").alias("p")).distinct()
     exact = samples.join(ids, F.col("task_id") == F.col("p"), "left")
     again = ids.withColumnRenamed("p", "q")
     both = exact.join(again, F.col("p").isNull() & (task_key(F.col("task_id")) == F.col("q")), "left")
@@ -103,6 +107,32 @@ def shifted_masked_loss(losses: Column, labels: Column, shifted: bool = False) -
     return F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda s, v: s + v) / F.size(kept))
 
 
+def continuation_span(without: Column, whole: Column) -> Column:
+    """Struct (start, end) of what a prompt with its continuation adds to that without; an error if it doesn't begin with it, or adds nothing."""
+    n = F.size(without)
+    ok = (n < F.size(whole)) & (F.slice(whole, F.lit(1), n) == without)
+    return F.when(ok, F.struct(n.alias("start"), F.size(whole).alias("end"))).otherwise(F.raise_error(F.lit("a prompt is no beginning of that with its continuation")).cast("struct<start:int,end:int>"))
+
+
+def resumed_ema(checkpoints: DataFrame, state: DataFrame, by: list[str], step: str, value: str, decay: float = 0.8, last: int = 6) -> DataFrame:
+    """by, step and ema: the average that goes on from `state` (by, step, ema; may lack some) over those of the last checkpoints that come after it. A state that nothing follows stays."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(step)))
+    rows = checkpoints.withColumn("__r", rank).where(F.col("__r") <= last)
+    values = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col(value).cast("double").alias("v")))).alias("x"))
+    joined = values.join(state.select(*by, F.col(step).alias("__step"), F.col("ema").alias("__ema")), by, "full")
+    fresh = F.filter(F.coalesce("x", F.array().cast("array<struct<s:bigint,v:double>>")), lambda y: F.col("__step").isNull() | (y["s"] > F.col("__step")))
+    joined = joined.withColumn("x", F.transform(fresh, lambda y: F.struct(y["s"].cast("bigint").alias("s"), y["v"].alias("v"))))
+    first = F.coalesce(F.col("__ema"), F.get("x", 0)["v"])
+    follow = F.when(F.col("__ema").isNull(), F.slice("x", F.lit(2), F.greatest(F.size("x"), F.lit(1)))).otherwise(F.col("x"))
+    ema = F.aggregate(follow, first, lambda a, y: decay * a + (1 - decay) * y["v"])
+    return joined.select(*by, F.coalesce(F.array_max(F.transform("x", lambda y: y["s"])), F.col("__step").cast("bigint")).alias(step), ema.alias("ema"))
+
+
+def two_way_mean(left: DataFrame, right: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The plain mean of two checkpoints' values, of those that both have."""
+    return left.select(*by, F.col(value).alias("__l")).join(right.select(*by, F.col(value).alias("__r")), by).select(*by, (0.5 * F.col("__l") + 0.5 * F.col("__r")).alias(value))
+
+
 def ema(checkpoints: DataFrame, by: list[str], step: str, value: str, decay: float = 0.8, last: int = 6) -> DataFrame:
     """The exponential average of the last checkpoints' values, in order; the first is taken as it is."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(step)))

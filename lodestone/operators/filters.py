@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import mostly_hex
+from lodestone.operators.tokens import running_start
+from lodestone.session import if_small
 
 # For each part of a source's path, the score that its rows must exceed, by stage 1, 2 and 3; None where it isn't defined.
 THRESHOLDS = {
@@ -44,10 +46,15 @@ def filter_sources(df: DataFrame, path: Column, stage: int, text: Column, column
 
 def head_fraction(df: DataFrame, order: list[str], low: float, high: float, by: list[str] | None = None) -> DataFrame:
     """Rows whose place in the order lies in [int(low * n), int(high * n)), n being the rows of the group."""
-    group = Window.partitionBy(*(by or []))
-    n, place = F.count("*").over(group), F.row_number().over(group.orderBy(*order)) - 1
-    ranked = df.withColumns({"__n": n, "__place": place})
-    return ranked.where((F.col("__place") >= F.floor(F.col("__n") * low)) & (F.col("__place") < F.floor(F.col("__n") * high))).drop("__n", "__place")
+    by = by or []
+    placed = running_start(df.withColumn("__one", F.lit(1)), order, "__one", "__place", by)
+    sizes = df.groupBy(*[F.col(c).alias(f"__of{i}") for i, c in enumerate(by)]).agg(F.count("*").alias("__n"))
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"__of{i}"))
+    ranked = placed.join(if_small(sizes, 64), on) if by else placed.withColumn("__n", df.agg(F.count("*")).scalar())
+    kept = (F.col("__place") >= F.floor(F.col("__n") * low)) & (F.col("__place") < F.floor(F.col("__n") * high))
+    return ranked.where(kept).select(*df.columns)
 
 
 def language_share(files: Column, language: str) -> Column:

@@ -1,15 +1,18 @@
 """Pre-token counts, ragged token stores, windows, budgets and splits.
 
-Running sums over a whole table are made in two levels: partitions of the order are summed, the sums (one row each) are
-accumulated, and each partition adds its own start. No row-level window has all rows in one task.
+Running sums are made in two levels: ranges of the order are summed, the sums (one row each) are accumulated, and each range
+adds its own start. No row-level window has all rows, or all of a group, in one task. Windows over a store move slices
+of documents, not rows of one token.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import pretokens
+from lodestone.operators.selection import in_ranges
+from lodestone.session import if_small
 
 
 def pretoken_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -35,26 +38,32 @@ def compression_ratio(docs: DataFrame, text: str, n_tokens: str, first: int = 10
     return head.agg(F.avg(F.octet_length(text) / F.col(n_tokens)).alias("bytes_per_token"))
 
 
-def running_start(df: DataFrame, order: str, size: str, name: str = "start", bins: int = 256) -> DataFrame:
-    """df with the sum of the sizes of all rows before it in the order (an integer key without repeats): offsets of a ragged store."""
-    low, high = df.agg(F.min(order)).scalar(), df.agg(F.max(order)).scalar()
-    ranged = df.withColumn("__bin", F.floor((F.col(order) - low) * bins / (high - low + 1)))
-    sums = ranged.groupBy("__bin").agg(F.sum(size).alias("__sum"))
-    before = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("__bin", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))  # at most `bins` rows
-    within = F.coalesce(F.sum(size).over(Window.partitionBy("__bin").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("__own", within).join(F.broadcast(starts), "__bin").withColumn(name, F.col("__base") + F.col("__own")).drop("__bin", "__own", "__base")
+def running_start(df: DataFrame, order: str | list[str], size: str, name: str = "start", by: list[str] | None = None) -> DataFrame:
+    """df with the sum of the sizes of all rows before it in the order (which should leave no ties), of its group if there are groups: offsets of a ragged store.
+
+    Ranges of the order have about equally many rows, so neither the largest group nor keys that cluster fill a task.
+    """
+    by, order = by or [], [order] if isinstance(order, str) else order
+    ranged = in_ranges(df, [*by, *order])
+    sums = ranged.groupBy("__part", *by).agg(F.sum(size).alias("__sum"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("__part", *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))  # a row a range and group
+    within = F.sum(size).over(Window.partitionBy("__part", *by).orderBy("__own").rowsBetween(Window.unboundedPreceding, -1))
+    own = ranged.withColumn("__within", F.coalesce(within, F.lit(0))).withColumnRenamed("__part", "__p")
+    on = F.col("__p") == F.col("__part")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    return own.join(if_small(starts, 40), on).withColumn(name, F.col("__base") + F.col("__within")).drop("__p", "__part", "__own", "__within", "__base", *[f"__by{i}" for i in range(len(by))])
 
 
 def token_budget(files: DataFrame, budget: Column, order: list[str], n: str, by: list[str] | None = None) -> DataFrame:
     """Files in order while what came before them is within the budget; the one that crosses it is kept."""
-    before = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("__b", F.coalesce(F.sum(n).over(before), F.lit(0))).where(F.col("__b") <= budget).drop("__b")
+    return running_start(files, order, n, "__b", by).where(F.col("__b") <= budget).drop("__b")
 
 
 def mixture(files: DataFrame, budgets: DataFrame, source: str, order: list[str], n: str) -> DataFrame:
     """Files of each source within its own budget; `budgets` has a row (source, budget) for each source to use."""
-    joined = files.join(F.broadcast(budgets), source)
+    joined = files.join(if_small(budgets, 64), source)
     return token_budget(joined, F.col("budget"), order, n, [source]).drop("budget")
 
 
@@ -66,16 +75,34 @@ def validation_split(docs: DataFrame, order: str, n: str, val_tokens: int) -> Da
     return placed.withColumn("__val", size).withColumns({"part": F.when(val, "val").otherwise("train"), "start": F.when(val, F.col("__start")).otherwise(F.col("__start") - F.col("__val"))}).drop("__start", "__end", "__val")
 
 
-def locate(starts: DataFrame, manifest: DataFrame) -> DataFrame:
-    """For rows with a global offset `pos`, the file of the manifest (file, n_tokens, start) that holds it and the offset in it; a range join against the broadcast manifest, a row a file."""
-    m = manifest.select("file", F.col("start").alias("__s"), (F.col("start") + F.col("n_tokens")).alias("__e"))
-    return starts.join(F.broadcast(m), (F.col("pos") >= F.col("__s")) & (F.col("pos") < F.col("__e"))).withColumn("local", F.col("pos") - F.col("__s")).drop("__s", "__e")
+def locate(starts: DataFrame, manifest: DataFrame, files_a_bucket: int = 64) -> DataFrame:
+    """For rows with a global offset `pos`, the file of the manifest (file, n_tokens, start) that holds it and the offset in it.
+
+    Both sides are cut in buckets of offsets, about `files_a_bucket` files each, and joined by bucket: a file stands in each
+    bucket that it touches.
+    """
+    figures = manifest.agg(F.count("*").alias("n"), F.max(F.col("start") + F.col("n_tokens")).alias("total")).first()
+    width = max(1, (figures["total"] or 0) * files_a_bucket // max(1, figures["n"]))
+    m = manifest.where("n_tokens > 0").select("file", F.col("start").alias("__s"), (F.col("start") + F.col("n_tokens")).alias("__e"))
+    m = m.withColumn("__k", F.explode(F.sequence(F.expr(f"__s div {width}"), F.expr(f"(__e - 1) div {width}"))))
+    at = starts.withColumn("__k", F.expr(f"pos div {width}"))
+    return at.join(m, "__k").where((F.col("pos") >= F.col("__s")) & (F.col("pos") < F.col("__e"))).withColumn("local", F.col("pos") - F.col("__s")).drop("__k", "__s", "__e")
+
+
+def _parts(store: DataFrame, size: int, tokens: str, start: str) -> DataFrame:
+    """block, pos and part: what each document of a store with offsets gives to each block of `size` tokens; a row a document and block, no row a token."""
+    s, n = F.col(start), F.size(tokens)
+    blocks = F.sequence(F.floor(s / size), F.floor((s + n - 1) / size))
+    rows = store.where(n > 0).select(F.col(tokens).alias("t"), s.alias("s"), F.explode(blocks).alias("block"))
+    low = F.greatest(F.col("block") * size - F.col("s"), F.lit(0)).cast("int")
+    high = F.least((F.col("block") + 1) * size - F.col("s"), F.size("t")).cast("int")
+    return rows.select("block", (F.col("s") + low).alias("pos"), F.slice("t", low + 1, high - low).alias("part"))
 
 
-def blocks(stream: DataFrame, size: int, pos: str = "pos", token: str = "token") -> DataFrame:
-    """block and tokens: whole blocks of `size` consecutive tokens of a stream (pos from 0, token)."""
-    grouped = stream.groupBy(F.floor(F.col(pos) / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct(pos, token))).alias("x"))
-    return grouped.where(F.size("x") == size).select("block", F.col(f"x.{token}").alias("tokens"))
+def blocks(store: DataFrame, size: int, tokens: str = "tokens", start: str = "start") -> DataFrame:
+    """block and tokens: whole blocks of `size` consecutive tokens of a ragged store with offsets, across documents."""
+    grouped = _parts(store, size, tokens, start).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("x"))
+    return grouped.select("block", F.flatten("x.part").alias("tokens")).where(F.size("tokens") == size)
 
 
 def sequential_batches(windows: DataFrame, context: int, batch: int, total: Column) -> DataFrame:
@@ -92,29 +119,47 @@ def flat_stream(docs: DataFrame, tokens: str = "tokens", start: str = "start") -
     return docs.select(F.col(start), F.posexplode(tokens).alias("__i", "token")).select((F.col(start) + F.col("__i")).alias("pos"), "token")
 
 
+def window_starts(spark: SparkSession, total: int, context: int, n: int, seed: int) -> DataFrame:
+    """sample and pos: n starts in [0, total - context), the same for the same seed on any cluster."""
+    h = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")).cast("binary")), 1, 15)
+    return spark.range(n).select(F.col("id").alias("sample"), (F.conv(h, 16, 10).cast("long") % max(1, total - context)).alias("pos"))
+
+
 def random_windows(docs: DataFrame, total: int, context: int, n: int, seed: int) -> DataFrame:
-    """n starts in [0, total - context), the same for the same seed, each with its window of context + 1 tokens gathered across documents.
+    """The windows of context + 1 tokens at `window_starts`, gathered across documents: sample, pos and tokens.
 
-    Documents are cut to the parts that windows need before they are joined: each window is joined by blocks of the
-    stream that it touches, not by range.
+    Of the documents only slices in blocks that a window touches are moved, joined by block.
     """
-    count = max(1, total - context)
     size = 4 * (context + 1)
-    wanted = docs.sparkSession.range(n).select(F.col("id").alias("sample"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(count)).alias("pos"))
-    wanted = wanted.withColumn("__k", F.explode(F.sequence(F.floor(F.col("pos") / size), F.floor((F.col("pos") + context) / size))))
-    stream = flat_stream(docs).withColumn("__k", F.floor(F.col("pos") / size)).withColumnRenamed("pos", "at")
-    met = stream.join(wanted, "__k").where((F.col("at") >= F.col("pos")) & (F.col("at") <= F.col("pos") + context))
-    return met.groupBy("sample", "pos").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("x")).select("sample", "pos", F.col("x.token").alias("tokens"))
+    wanted = window_starts(docs.sparkSession, total, context, n, seed)
+    wanted = wanted.withColumn("block", F.explode(F.sequence(F.floor(F.col("pos") / size), F.floor((F.col("pos") + context) / size)))).withColumnRenamed("pos", "from")
+    met = _parts(docs, size, "tokens", "start").join(if_small(wanted, 24), "block")
+    low = F.greatest(F.col("from") - F.col("pos"), F.lit(0)).cast("int")
+    high = F.least(F.col("from") + context + 1 - F.col("pos"), F.size("part")).cast("int")
+    met = met.where(low < high).select("sample", F.col("from").alias("pos"), F.struct((F.col("pos") + low).alias("at"), F.slice("part", low + 1, high - low).alias("part")).alias("x"))
+    return met.groupBy("sample", "pos").agg(F.array_sort(F.collect_list("x")).alias("x")).select("sample", "pos", F.flatten("x.part").alias("tokens"))
 
 
-def next_tokens(stream: DataFrame, by: str, pos: str = "pos", token: str = "token") -> DataFrame:
-    """The stream with target, the next token of the same document; null at its end."""
-    return stream.withColumn("target", F.lead(token).over(Window.partitionBy(by).orderBy(pos)))
+def next_tokens(store: DataFrame, tokens: str = "tokens", start: str = "start") -> DataFrame:
+    """pos, token and target, the next token of the same document, null at its end; from each row by itself."""
+    t = F.col(tokens)
+    pairs = F.arrays_zip(t.alias("token"), F.slice(t, F.lit(2), F.size(t)).alias("target"))
+    return store.where(F.size(t) > 0).select(F.col(start).alias("__s"), F.posexplode(pairs).alias("__i", "x")).select((F.col("__s") + F.col("__i")).alias("pos"), "x.token", "x.target")
 
 
-def boundary_spans(stream: DataFrame, boundaries: list[int], end: int = 256) -> DataFrame:
-    """tokens and cnt: the spans of two tokens or more of a stream (doc_id, pos, token) that begin at a boundary token or after an end token, the material of a resumed training."""
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    rows = stream.withColumn("__new", F.col("token").isin(*boundaries, end).cast("int")).withColumn("__span", F.sum("__new").over(by)).where(F.col("token") != end)
-    spans = rows.groupBy("doc_id", "__span").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x")).select(F.col("x.token").alias("tokens"))
-    return spans.where(F.size("tokens") > 1).groupBy("tokens").agg(F.count("*").alias("cnt"))
+def boundary_spans(store: DataFrame, boundaries: list[int], end: int = 256, tokens: str = "tokens", most_percent: float | None = None) -> DataFrame:
+    """tokens and cnt: the spans of two tokens or more of the documents that begin at a boundary token or after an end token, the material of a resumed training.
+
+    With `most_percent` spans are cut to that percentile (the nearest rank below) of their lengths, each counted as often as it occurs.
+    """
+    t = F.col(tokens)
+    opens = F.filter(F.transform(t, lambda x, i: F.when((i == 0) | x.isin(*boundaries, end), i)), lambda i: i.isNotNull())
+    edges = F.concat(F.col("__o"), F.array(F.size(t)))
+    spans = F.transform("__o", lambda a, k: F.filter(F.slice(t, a + 1, F.get(edges, k + 1) - a), lambda x: x != end))
+    rows = store.where(F.size(t) > 0).withColumn("__o", opens).select(F.explode(spans).alias("tokens"))
+    counts = rows.where(F.size("tokens") > 1).groupBy("tokens").agg(F.count("*").alias("cnt"))
+    if most_percent is None:
+        return counts
+    most = counts.groupBy(F.size("tokens").alias("n")).agg(F.sum("cnt").alias("c"))
+    limit = most.agg(F.expr(f"percentile(n, {most_percent / 100}, c)").cast("int")).scalar()
+    return counts.select(F.slice("tokens", F.lit(1), limit).alias("tokens"), "cnt").groupBy("tokens").agg(F.sum("cnt").alias("cnt"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import corpus, evaluations, nested, scalars, stores
+from lodestone.plans import corpus, evaluations, files, models, nested, scalars, stores
 from lodestone.plans.registry import Query
 
-_MODULES = (corpus, stores, evaluations, scalars, nested)
+_MODULES = (corpus, stores, evaluations, scalars, nested, files, models)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

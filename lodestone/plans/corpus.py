@@ -88,9 +88,10 @@ def source_thresholds_stage2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.filter_sources(df, F.col("path"), 2, F.col("text"), _columns()).select("doc_id", "path", F.round("score", 6).alias("score"))
 
 
-@R.query(_stage_sql(3) + " AND p <> 'dclm-edu' AND (p = 'all_chat' OR length(text) > 4000)")
+@R.query(_stage_sql(3) + " AND (p = 'all_chat' OR length(text) > 4000)")
 def source_thresholds_stage3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _scored(spark, sf_dir).where("path <> 'dclm-edu'")
+    """Stage 3 has no rule of its own for dclm-edu, so its score isn't among the columns that rules read."""
+    df = _scored(spark, sf_dir)
     columns = {k: v for k, v in _columns().items() if k != "edu_score"}
     return filters.filter_sources(df, F.col("path"), 3, F.col("text"), columns).select("doc_id", "path", F.round("score", 6).alias("score"))
 
@@ -137,10 +138,9 @@ def semi_join_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(good, "doc_id", "left_semi").select("doc_id", "source")
 
 
-@R.query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN md5(c_name) WHEN c_custkey % 3 = 1 THEN md5(c_name) || 'zzzz' ELSE c_name END AS t, (c_custkey % 3 = 0) OR (c_custkey % 3 = 2 AND false) AS hexy FROM customer")
+@R.query("SELECT c_custkey, t, length(regexp_replace(t, '[^0-9a-fA-F]', '', 'g')) >= 0.9 * length(t) AS hexy FROM (SELECT c_custkey, md5(c_name) || left('zyxwvuts', (c_custkey % 8)::INTEGER) AS t FROM customer)")
 def mostly_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.md5(F.col("c_name").cast("binary"))
-    t = F.when(F.col("c_custkey") % 3 == 0, h).when(F.col("c_custkey") % 3 == 1, F.concat(h, F.lit("zzzz"))).otherwise(F.col("c_name"))
+    t = F.concat(F.md5(F.col("c_name").cast("binary")), F.expr("left('zyxwvuts', cast(c_custkey % 8 as int))"))
     return table(spark, sf_dir, "customer").select("c_custkey", t.alias("t")).withColumn("hexy", text.mostly_hex(F.col("t")))
 
 
@@ -181,11 +181,12 @@ def message_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("""
 SELECT conv_id, concat_ws(',', CASE WHEN max(length(text)) > 4000 THEN 'message_chars' END, CASE WHEN sum(length(text)) > 8000 THEN 'total_chars' END,
-  CASE WHEN bool_or(role NOT IN ('user', 'assistant')) THEN 'role' END, CASE WHEN conv_id % 5 > 2 THEN 'temperature' END) AS faults
+  CASE WHEN bool_or(role NOT IN ('user', 'assistant')) THEN 'role' END, CASE WHEN conv_id % 5 > 2 THEN 'temperature' END,
+  CASE WHEN conv_id % 7 = 0 THEN 'top_k' END, CASE WHEN (conv_id % 11) * 500 NOT BETWEEN 1 AND 2048 THEN 'max_tokens' END) AS faults
 FROM conversations GROUP BY conv_id HAVING min(length(text)) > 0""")
 def request_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = templates.conversations(table(spark, sf_dir, "conversations")).where(~F.exists("messages", lambda m: F.length(m["content"]) == 0))
-    faults = filters.request_faults(F.col("messages"), (F.col("conv_id") % 5).cast("double"), F.lit(None).cast("int"), F.lit(None).cast("int"))
+    faults = filters.request_faults(F.col("messages"), (F.col("conv_id") % 5).cast("double"), (F.col("conv_id") % 7).cast("int"), (F.col("conv_id") % 11 * 500).cast("int"))
     return c.select("conv_id", F.array_join(faults, ",").alias("faults"))
 
 
@@ -271,10 +272,10 @@ def with_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sft(spark, sf_dir).select("index", F.size(m).cast("long").alias("n"), F.element_at(m, -1)["content"].alias("last"))
 
 
-@R.query("SELECT doc_id, len(list_filter(string_split(text || '<|endoftext|>' || source || '<|user_start|>' || lang, '<|endoftext|>'), lambda x: x <> ''))::INTEGER + 1 AS n FROM documents")
+@R.query("SELECT doc_id, md5(array_to_string(list_filter([text, source, lang], lambda x: x <> ''), '|')) AS h FROM documents")
 def split_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat(F.col("text"), F.lit("<|endoftext|>"), F.col("source"), F.lit("<|user_start|>"), F.col("lang"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.without_marks(t)).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(text.without_marks(t), "|").cast("binary")).alias("h"))
 
 
 @R.query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

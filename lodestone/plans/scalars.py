@@ -14,6 +14,11 @@ R = Registry()
 _D = "list_transform(embedding, lambda x: x::DOUBLE)"
 
 
+def _joined(v, digits: int):
+    """A list of numbers as text, in units of the last digit, so that engines print it alike."""
+    return F.array_join(F.transform(v, lambda x: F.round(x * 10**digits).cast("long").cast("string")), ",")
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
@@ -42,9 +47,9 @@ def z_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).agg(F.round(F.avg(F.pow(arrays.logsumexp(F.col("v")), F.lit(2))), 6).alias("z_loss"))
 
 
-@R.query(f"SELECT vec_id, round(v[1] / sqrt(list_avg(list_transform(v, lambda x: x * x)) + 1e-5) / sqrt(3), 6) AS first FROM (SELECT vec_id, {_D} AS v FROM embeddings)")
+@R.query(f"SELECT vec_id, array_to_string(list_transform(v, lambda x: round(x / sqrt(list_avg(list_transform(v, lambda y: y * y)) + 1e-5) / sqrt(3) * 1e5)::BIGINT), ',') AS v FROM (SELECT vec_id, {_D} AS v FROM embeddings)")
 def rms_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vectors(spark, sf_dir).select("vec_id", F.round(F.get(arrays.rms_norm(F.col("v"), position=3), 0), 6).alias("first"))
+    return _vectors(spark, sf_dir).select("vec_id", _joined(arrays.rms_norm(F.col("v"), position=3), 5).alias("v"))
 
 
 @R.query(f"SELECT vec_id, round(list_avg(list_transform(v, lambda x: pow(x, 4))) / greatest(pow(list_avg(list_transform(v, lambda x: x * x)), 2), 1e-8), 5) AS k FROM (SELECT vec_id, {_D} AS v FROM embeddings)")
@@ -52,23 +57,33 @@ def raw_kurtosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).select("vec_id", F.round(arrays.raw_kurtosis(F.col("v")), 5).alias("k"))
 
 
-@R.query(f"SELECT label, round(avg(v[1]), 6) AS first FROM (SELECT label, {_D} AS v, vec_id FROM embeddings) WHERE vec_id % 2 = 0 GROUP BY label")
+@R.query("WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i, (vec_id + 1) % 2 AS m FROM embeddings), a AS (SELECT label, i, sum(v * m) / greatest(sum(m), 1e-9) AS v FROM x GROUP BY 1, 2) SELECT label, string_agg((round(v * 1e5))::BIGINT, ',' ORDER BY i) AS mean FROM a GROUP BY label")
 def masked_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.collect_list("embedding").alias("rows"), F.collect_list(((F.col("vec_id") + 1) % 2).cast("double")).alias("mask"))
-    e = e.where(F.exists("mask", lambda m: m == 1))
-    return e.select("label", F.round(F.get(arrays.masked_mean(F.col("rows"), F.col("mask"), 64), 0), 6).alias("first"))
+    m = arrays.masked_mean_by(table(spark, sf_dir, "embeddings"), ["label"], "embedding", (F.col("vec_id") + 1) % 2, 64)
+    return m.select("label", _joined(F.col("mean"), 5).alias("mean"))
+
+
+@R.query("SELECT vec_id, round((embedding[1]::DOUBLE + embedding[4]::DOUBLE * 3) / 2, 6) AS first FROM embeddings")
+def masked_mean_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rows of two numbers for each vector, the second masked."""
+    v = lambda i, f=1.0: F.get("embedding", i).cast("double") * f
+    rows = F.array(F.array(v(0), v(1)), F.array(v(2), v(2)), F.array(v(3, 3.0), v(4)))
+    m = arrays.masked_mean(rows, F.array(F.lit(1.0), F.lit(0.0), F.lit(1.0)), 2)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.get(m, 0), 6).alias("first"))
 
 
-@R.query("SELECT item_id, n, least(n, 30) AS cropped, greatest(n, 60) AS padded FROM (SELECT item_id, len(string_split(text, ' '))::INTEGER AS n FROM benchmark)")
+@R.query("SELECT item_id, array_to_string(t[greatest(1, len(t) - 29):], ',') AS cropped, array_to_string(list_concat(t, list_transform(range(greatest(0, 60 - len(t))), lambda i: 0)), ',') AS padded FROM (SELECT item_id, list_transform(string_split(text, ' '), lambda x: length(x)) AS t FROM benchmark)")
 def crop_and_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.transform(F.split("text", " "), F.length)
-    return table(spark, sf_dir, "benchmark").select("item_id", F.size(t).alias("n"), F.size(arrays.left_crop(t, 30)).alias("cropped"), F.size(arrays.right_pad(t, F.lit(60), 0)).alias("padded"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(arrays.left_crop(t, 30), ",").alias("cropped"), F.array_join(arrays.right_pad(t, F.lit(60), 0), ",").alias("padded"))
 
 
-@R.query("SELECT doc_id, (n - n_merges)::INTEGER AS n FROM (SELECT doc_id, len(w) AS n, len(regexp_extract_all(array_to_string(list_transform(w, lambda x: CASE WHEN x = 'the' THEN 'a' WHEN x = 'of' THEN 'b' ELSE 'c' END), ''), 'ab')) AS n_merges FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))")
+# word lengths modulo 3 as ids; pairs of different ids and of equal ones
+@R.query("SELECT doc_id, md5(replace(t, '12', '9')) AS h, md5(replace(t, '11', '9')) AS same FROM (SELECT doc_id, array_to_string(list_transform(string_split(text, ' '), lambda x: length(x) % 3), '') AS t FROM documents)")
 def merged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.transform(F.split("text", " "), lambda x: F.when(x == "the", 1).when(x == "of", 2).otherwise(3))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(arrays.merged_pair(ids, F.lit(1), F.lit(2), F.lit(9))).alias("n"))
+    ids = F.transform(F.split("text", " "), lambda x: F.length(x) % 3)
+    h = lambda right: F.md5(F.array_join(arrays.merged_pair(F.col("ids"), F.lit(1), F.lit(right), F.lit(9)), "").cast("binary"))
+    return table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")).select("doc_id", h(2).alias("h"), h(1).alias("same"))
 
 
 @R.query("SELECT vec_id, vec_id % 5 AS prefix FROM embeddings")

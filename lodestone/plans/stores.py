@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,28 +41,26 @@ def source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FLAT = f"WITH t AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: length(x)) AS tok FROM documents), s AS (SELECT unnest(tok) AS token, doc_id, generate_subscripts(tok, 1) AS i FROM t), p AS (SELECT token::INTEGER AS token, doc_id, i, row_number() OVER (ORDER BY doc_id, i) - 1 AS pos FROM s)"
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.flat_stream(tokens.running_start(_store(spark, sf_dir), "doc_id", "n"))
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.running_start(_store(spark, sf_dir), "doc_id", "n")
 
 
 @R.query(_FLAT + " SELECT pos // 129 AS block, string_agg(token, ',' ORDER BY pos) AS tokens FROM p GROUP BY 1 HAVING count(*) = 129")
 def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.blocks(_stream(spark, sf_dir), 129).select("block", F.array_join("tokens", ",").alias("tokens"))
+    return tokens.blocks(_placed(spark, sf_dir), 129).select("block", F.array_join("tokens", ",").alias("tokens"))
 
 
 @R.query(_FLAT + """, n AS (SELECT count(*) AS total FROM p), b AS (SELECT pos // 129 AS block, list(token ORDER BY pos) AS t FROM p GROUP BY 1 HAVING count(*) = 129)
 SELECT block // 8 AS batch, block % 8 AS row, array_to_string(t[1:128], ',') AS input, array_to_string(t[2:129], ',') AS target FROM b, n WHERE (block // 8) * 8 * 129 < total - 128 - 8 * 129""")
 def sequential_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = _store(spark, sf_dir).agg(F.sum("n")).scalar()
-    windows = tokens.blocks(_stream(spark, sf_dir), 129)
+    windows = tokens.blocks(_placed(spark, sf_dir), 129)
     return tokens.sequential_batches(windows, 128, 8, total).select("batch", "row", F.array_join("input", ",").alias("input"), F.array_join("target", ",").alias("target"))
 
 
 @R.query(_FLAT + " SELECT pos, token, lead(token) OVER (PARTITION BY doc_id ORDER BY i) AS target FROM p")
 def next_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = tokens.running_start(_store(spark, sf_dir), "doc_id", "n")
-    stream = placed.select("doc_id", "start", F.posexplode("tokens").alias("i", "token")).select("doc_id", (F.col("start") + F.col("i")).alias("pos"), "token")
-    return tokens.next_tokens(stream, "doc_id").select("pos", "token", "target")
+    return tokens.next_tokens(_placed(spark, sf_dir)).select("pos", "token", "target")
 
 
 @R.query(f"""WITH d AS (SELECT doc_id, {_N} AS n FROM documents), e AS (SELECT doc_id, n, sum(n) OVER (ORDER BY doc_id) AS e FROM d), v AS (SELECT coalesce(max(e), 0) AS v FROM e WHERE e <= 20000)
@@ -79,11 +79,23 @@ def locate_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.locate(starts, manifest).select("o_orderkey", "pos", "file", "local")
 
 
-@R.query()
+_SPANS = _FLAT + """, x AS (SELECT *, sum(CASE WHEN token IN (3, 4) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM p),
+y AS (SELECT doc_id, g, list(token ORDER BY i) AS t, count(*) AS n FROM x GROUP BY 1, 2 HAVING count(*) > 1), m AS (SELECT floor(quantile_cont(n, 0.99))::INTEGER AS most FROM y)"""
+
+
+@R.query(_SPANS + " SELECT array_to_string(t[1:most], ',') AS tokens, count(*) AS cnt FROM y, m GROUP BY 1")
+def boundary_spans_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.boundary_spans(_store(spark, sf_dir), [3, 4], -1, most_percent=99).select(F.array_join("tokens", ",").alias("tokens"), "cnt")
+
+
+_STARTS = "q AS (SELECT i AS sample, ('0x' || substr(md5('7:' || i), 1, 15))::BIGINT % greatest(1, (SELECT count(*) FROM p) - 64) AS first FROM range(100) t(i))"
+
+
+@R.query(_FLAT + f", {_STARTS} SELECT sample, first AS pos, string_agg(token, ',' ORDER BY p.pos) AS tokens FROM q JOIN p ON p.pos BETWEEN first AND first + 64 GROUP BY sample, first")
 def random_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = tokens.running_start(_store(spark, sf_dir), "doc_id", "n")
+    placed = _placed(spark, sf_dir)
     total = placed.agg(F.sum("n")).first()[0]
-    return tokens.random_windows(placed, total, 64, 100, 7).select("sample", "pos", F.size("tokens").alias("n"))
+    return tokens.random_windows(placed, total, 64, 100, 7).select("sample", "pos", F.array_join("tokens", ",").alias("tokens"))
 
 
 @R.query(_FLAT + """, x AS (SELECT doc_id, token AS l, lead(token) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM p)
@@ -92,6 +104,14 @@ def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pair_counts(_store(spark, sf_dir).select(F.col("tokens").alias("ids"), F.lit(1).cast("long").alias("cnt")))
 
 
+@R.query(_FLAT + """, x AS (SELECT doc_id, token AS l, lead(token) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM p)
+SELECT l AS left, r AS right, count(*) AS cnt FROM x WHERE r IS NOT NULL GROUP BY 1, 2 ORDER BY cnt DESC, l::VARCHAR || r DESC, l DESC, r DESC LIMIT 1""")
+def most_frequent_pair_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As most_frequent_pair, by the other rule for ties: the greater of the joined tokens."""
+    counts = tokens.pair_counts(_store(spark, sf_dir).select(F.col("tokens").alias("ids"), F.lit(1).cast("long").alias("cnt")))
+    return counts.orderBy(F.desc("cnt"), F.desc(F.concat(F.col("left").cast("string"), F.col("right").cast("string"))), F.desc("left"), F.desc("right")).limit(1)
+
+
 @R.query(_FLAT + """, x AS (SELECT doc_id, token AS l, lead(token) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM p)
 SELECT l AS left, r AS right, count(*) AS cnt FROM x WHERE r IS NOT NULL GROUP BY 1, 2 ORDER BY cnt DESC, l DESC, r DESC LIMIT 1""")
 def most_frequent_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,8 +148,22 @@ def bpe_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(_FLAT + """, x AS (SELECT *, sum(CASE WHEN token IN (3, 4) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM p),
 y AS (SELECT doc_id, g, string_agg(token, ',' ORDER BY i) AS tokens, count(*) AS n FROM x GROUP BY 1, 2) SELECT tokens, count(*) AS cnt FROM y WHERE n > 1 GROUP BY tokens""")
 def boundary_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = _store(spark, sf_dir).select("doc_id", F.posexplode("tokens").alias("pos", "token"))
-    return tokens.boundary_spans(stream, [3, 4], -1).select(F.array_join("tokens", ",").alias("tokens"), "cnt")
+    return tokens.boundary_spans(_store(spark, sf_dir), [3, 4], -1).select(F.array_join("tokens", ",").alias("tokens"), "cnt")
+
+
+@R.query("SELECT doc_id, doc_id + 1 AS score FROM documents")
+def attached_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results that come as a list beside the rows, in the rows' order and without their key."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    results = docs.select(F.col("doc_id").alias("at"), (F.col("doc_id") + 1).alias("score"))
+    return selection.attached(docs, results, ["doc_id"], ["at"], ["score"])
+
+
+@R.query("SELECT a.item_id, md5(b.text) AS h FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) AS i FROM benchmark) a JOIN (SELECT text, row_number() OVER (ORDER BY item_id DESC) AS i FROM benchmark) b USING (i)")
+def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark")
+    right = b.select((-F.col("item_id")).alias("k"), F.md5(F.col("text").cast("binary")).alias("h"))
+    return selection.attached(b.select("item_id"), right, ["item_id"], ["k"], ["h"])
 
 
 @R.query("SELECT doc_id AS id, 'd' AS kind FROM documents UNION ALL SELECT item_id, 'b' FROM benchmark")
@@ -178,33 +212,57 @@ def task_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.sequence([e, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("idx"))]).select("task", "local")
 
 
-@R.query()
+def _values(rows: list[tuple]) -> str:
+    return ", ".join(f"({', '.join(map(str, r))})" for r in rows)
+
+
+#: Tables of expected places for tasks of these sizes: what the standard generator gives.
+_SIZES = (20, 40, 50, 100, 400, 500)
+
+
+def _shuffled_pairs(n: int) -> list[tuple[int, int]]:
+    pairs = [(k, i) for k in range(2) for i in range(n)]
+    random.Random(42).shuffle(pairs)
+    return pairs
+
+
+def _places(n: int) -> list[tuple[int, int, int]]:
+    rows = list(range(n))
+    random.Random(1337).shuffle(rows)
+    return [(n, row, place) for place, row in enumerate(rows)]
+
+
+def _sampled(n: int) -> list[tuple]:
+    return [(n, i, "'" + ",".join(map(str, random.Random(1234 + i).sample([j for j in range(n) if j != i], 5))) + "'") for i in range(n)]
+
+
+@R.query(f"SELECT task, local, place FROM (VALUES {_values([(n, k, i, p) for n in _SIZES for p, (k, i) in enumerate(_shuffled_pairs(n))])}) v(n, task, local, place) WHERE n = (SELECT count(*) FROM benchmark)")
 def task_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = selection.indexed(table(spark, sf_dir, "embeddings").select("vec_id"), ["vec_id"]).select("idx")
+    e = selection.indexed(table(spark, sf_dir, "benchmark").select("item_id"), ["item_id"]).select("idx")
     return selection.mixture([e, e], 42)
 
 
-@R.query()
+@R.query(f"SELECT item_id, place FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM benchmark) JOIN (VALUES {_values([x for n in _SIZES for x in _places(n)])}) v(m, row, place) ON m = n AND row = i")
 def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = selection.indexed(table(spark, sf_dir, "benchmark").select("item_id"), ["item_id"])
     return selection.shuffled(e, e.count(), 1337).select("item_id", "place")
 
 
-@R.query()
+@R.query(f"SELECT i AS idx, shots FROM (VALUES {_values([x for n in _SIZES for x in _sampled(n)])}) v(n, i, shots) WHERE n = (SELECT count(*) FROM benchmark)")
 def few_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = selection.indexed(table(spark, sf_dir, "benchmark"), ["item_id"])
-    return selection.few_shots(e, e.count(), 5, ["item_id", "text"]).select("idx", F.transform("examples", lambda x: x["item_id"]).alias("shots"))
+    return selection.few_shots(e, e.count(), 5, ["item_id", "text"]).select("idx", F.array_join(F.transform("examples", lambda x: x["item_id"]), ",").alias("shots"))
 
 
-@R.query()
+@R.query("SELECT doc_id, md5('42:' || doc_id) AS place FROM documents ORDER BY place, doc_id LIMIT 50")
 def hashed_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id")
-    return selection.hash_shuffled(d, "doc_id", 42).orderBy("place").limit(50)
+    return selection.hash_shuffled(d, "doc_id", 42).orderBy("place", "doc_id").limit(50)
 
 
 @R.query()
 def facility_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.facility_location(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.8, 500)
+    return selection.facility_location(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
 @R.query(_FLAT + ", x AS (SELECT token AS t, round(count(*) / (SELECT count(*) FROM p), 12) AS prob FROM p GROUP BY 1), c AS (SELECT t, prob, sum(prob) OVER (ORDER BY prob DESC, t ROWS UNBOUNDED PRECEDING) AS c, row_number() OVER (ORDER BY prob DESC, t) AS r FROM x), k AS (SELECT * FROM c WHERE r = 1 OR c <= 0.6) SELECT t, round(prob / sum(prob) OVER (), 6) AS prob FROM k")
@@ -215,6 +273,7 @@ def nucleus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.nucleus(probs, ["g"], "t", 0.6).select("t", F.round("prob", 6).alias("prob"))
 
 
-@R.query("SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') = text AS bare FROM documents")
+@R.query("SELECT doc_id, md5(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS h FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN ' ' || chr(9) || text || chr(10) ELSE text || '   ' END AS t FROM documents)")
 def stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", (text.strip(F.col("text")) == F.col("text")).alias("bare"))
+    t = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" \t"), "text", F.lit("\n"))).otherwise(F.concat("text", F.lit("   ")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.strip(t).cast("binary")).alias("h"))

@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -27,13 +28,30 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in spark.checkpoint.dir; only where none is set, as in tests, make a temporary one."""
+    """Use the folder in spark.checkpoint.dir. Where none is set, a session in one process, as in tests, gets a temporary one; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """`df` as it is now, in the shared checkpoint folder: its rows and their partitions stay what they are, whatever reads them, and lost executors don't matter."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+#: The most bytes that are broadcast on purpose.
+BROADCAST_BYTES = 32 << 20
+
+
+def if_small(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if its counted rows, at `row_bytes` each, stay under `most`; else as it is, to be joined by shuffle. `df` should be cheap to count."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet to a new place in the shared checkpoint folder, and read again."""
     spark = df.sparkSession

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.text import END_OF_TEXT, repaired_utf8
+from lodestone.operators.selection import indexed
 
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 SFT_ROW = T.StructType([
@@ -22,12 +23,16 @@ SFT_ROW = T.StructType([
 ])
 
 
+#: Bytes of unpacked text in one frame.
+FRAME_BYTES = 16 << 20
+
+
 def _names(spark: SparkSession, folder: str, pattern: str, deep: bool) -> list[str]:
     """Names of the files below a folder that match; by Spark's own listing, which only reads names."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     if deep:
         reader = reader.option("recursiveFileLookup", "true")
-    return sorted(r["path"] for r in reader.load(folder).select("path").toLocalIterator())
+    return sorted(r["path"] for r in reader.load(folder).select("path").collect())  # names only
 
 
 def discover(spark: SparkSession, folder: str) -> tuple[str, list[str]]:
@@ -57,7 +62,7 @@ def raw_text(spark: SparkSession, path: str, drop_invalid: bool = False) -> Data
 
 
 def byte_range(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
-    """text of the bytes [start, end) of each file."""
+    """text of the bytes [start, end) of each file. Spark reads a binary file whole, 2 GB at most; larger files of documents are for `delimited_text`, which splits them."""
     part = F.substring(F.col("content"), start + 1, end - start)
     return spark.read.format("binaryFile").load(path).select("path", repaired_utf8(part).alias("text"))
 
@@ -74,38 +79,90 @@ def csv_rows(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def archives(spark: SparkSession, path: str) -> DataFrame:
-    """archive, root (the first folder), path and text of the files in tar.gz archives; those that aren't UTF-8 are left out."""
+    """archive, root (the first folder), path and text of the files in tar.gz archives; those that aren't UTF-8 are left out.
+
+    An archive is one task's, as compressed bytes; its members are unpacked one by one and given on in frames of about
+    `FRAME_BYTES`.
+    """
 
     def members(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["archive", "root", "path", "text"]
         for part in parts:
             for name, raw in zip(part["path"], part["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(raw), mode="r:gz") as tar:
-                    found = tar.getmembers()
-                    root = next((m.name for m in found if m.isdir()), "")
-                    rows = []
-                    for m in found:
-                        if m.isfile():
-                            try:
-                                rows.append((name, root, m.name.removeprefix(f"{root}/"), tar.extractfile(m).read().decode()))
-                            except UnicodeDecodeError:
-                                continue
-                    if rows:
-                        yield pd.DataFrame(rows, columns=["archive", "root", "path", "text"])
+                with tarfile.open(fileobj=io.BytesIO(raw), mode="r|gz") as tar:
+                    root = next((m.name for m in tar if m.isdir()), "")
+                rows, size = [], 0
+                with tarfile.open(fileobj=io.BytesIO(raw), mode="r|gz") as tar:
+                    for m in tar:
+                        if not m.isfile():
+                            continue
+                        try:
+                            rows.append((name, root, m.name.removeprefix(f"{root}/"), tar.extractfile(m).read().decode()))
+                        except UnicodeDecodeError:
+                            continue
+                        size += m.size
+                        if size >= FRAME_BYTES:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows, size = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "archive string, root string, path string, text string")
 
 
 def solutions(spark: SparkSession, path: str) -> DataFrame:
-    """task_id, solution and identifier of a folder <task_id>/*.py; a task's slash is written as an underscore."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").text(path)
+    """task_id (the folder's name; `evaluation.matched_samples` finds the problem it means), solution and identifier of the files <task_id>/*.py of a folder."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").text(path, wholetext=True)
     where = F.input_file_name()
     folder = F.element_at(F.split(where, "/"), -2)
-    return rows.select(F.regexp_replace(folder, "_", "/").alias("task_id"), F.col("value").alias("solution"), F.concat_ws("/", folder, F.element_at(F.split(where, "/"), -1)).alias("identifier"))
+    return rows.select(folder.alias("task_id"), F.col("value").alias("solution"), F.concat_ws("/", folder, F.element_at(F.split(where, "/"), -1)).alias("identifier"))
+
+
+def solutions_file(spark: SparkSession, path: str) -> DataFrame:
+    """The records of a file of JSON lines with identifier, the file's name and the record's place in it; an error for one without completion and solution."""
+    schema = "task_id string, completion string, solution string"
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", schema).alias("r"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.monotonically_increasing_id().alias("at"))
+    checked = F.when(F.col("r.completion").isNull() & F.col("r.solution").isNull(), F.raise_error(F.lit("a record has neither completion nor solution")).cast("string")).otherwise(F.col("r.task_id"))
+    placed = indexed(rows, ["at"], "i")
+    return placed.select(checked.alias("task_id"), "r.completion", "r.solution", F.concat_ws(":", "file", F.col("i").cast("string")).alias("identifier"))
+
+
+def yaml_list(spark: SparkSession, path: str, key: str) -> list[dict]:
+    """The list under a key of a YAML document, such as the tasks of an evaluation; a configuration, so it is read by the driver."""
+    import yaml
+
+    text = spark.read.text(path, wholetext=True).first()
+    found = (yaml.safe_load(text["value"]) or {}).get(key) if text else None
+    if not isinstance(found, list):
+        raise ValueError(f"{path} has no list {key}")
+    return found
+
+
+def evaluation_bundle(spark: SparkSession, config: str, data: str, baselines: str) -> tuple[DataFrame, DataFrame]:
+    """Items (label, task_type, num_fewshot, item as JSON) of all tasks that a YAML list names, each from its own file of JSON lines, and the baselines (task, baseline) of a table in CSV."""
+    tasks = yaml_list(spark, config, "icl_tasks")
+    rows = None
+    for t in tasks:
+        one = spark.read.text(f"{data}/{t['dataset_uri']}").where(F.trim("value") != "")
+        one = one.select(F.lit(t["label"]).alias("label"), F.lit(t["icl_task_type"]).alias("task_type"), F.lit(int(t["num_fewshot"][0])).alias("num_fewshot"), F.col("value").alias("item"))
+        rows = one if rows is None else rows.unionByName(one)
+    table = csv_rows(spark, baselines).select(F.col("Eval Task").alias("task"), F.col("Random baseline").cast("double").alias("baseline"))
+    return rows, table
+
+
+def split(spark: SparkSession, folder: str, name: str, part: str) -> DataFrame:
+    """One split of a local data set: <folder>/<name>/<part>, Parquet or JSON lines; an error names the splits that are there."""
+    below = f"{folder}/{name}"
+    found = sorted({f.rpartition("/")[0].rpartition("/")[2] for f in _names(spark, below, "*", True) if not f.rpartition("/")[2].startswith(("_", "."))})
+    if part not in found:
+        raise ValueError(f"{name} has no split {part}; it has {', '.join(found)}")
+    kind, files = discover(spark, f"{below}/{part}")
+    return spark.read.parquet(*files) if kind == "parquet" else spark.read.json(f"{below}/{part}")
 
 
 def data_mix(spark: SparkSession, path: str) -> DataFrame:
     """path and budget of a JSON object {path: tokens}."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "map<string,bigint>")).alias("path", "budget"))
 
 

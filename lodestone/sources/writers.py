@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def resumed(df: DataFrame, done: DataFrame, key: str = "source_path") -> DataFrame:
-    """Rows whose source isn't among those written already."""
-    return df.join(F.broadcast(done.select(key).distinct()), key, "left_anti")
+    """Rows whose source isn't among those written already; how the finished ones are joined is left to the planner."""
+    return df.join(done.select(key).distinct(), key, "left_anti")
 
 
 def write_by_source(df: DataFrame, path: str, key: str = "source_path") -> None:
@@ -35,6 +35,18 @@ def report(scores: DataFrame) -> DataFrame:
     return scores.select(F.format_string("%-35s, %-10s, %-10s", "task", F.format_string("%.6f", "accuracy"), F.format_string("%.6f", "centred")).alias("value"))
 
 
+def result_document(results: DataFrame, task: str = "task") -> DataFrame:
+    """value: one JSON object {results: {task: the row's other fields}, tasks: how many}."""
+    fields = F.struct(*[c for c in results.columns if c != task])
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(task).alias("key"), fields.alias("value"))))
+    return results.agg(F.to_json(F.struct(F.map_from_entries(pairs).alias("results"), F.count("*").alias("tasks"))).alias("value"))
+
+
+def append_batch(df: DataFrame, path: str, number: int) -> None:
+    """Part `number` of a growing table; writing one again replaces it, so a run that stopped goes on where it was."""
+    df.write.mode("overwrite").parquet(f"{path}/part={number}")
+
+
 def as_json(df: DataFrame) -> DataFrame:
     """value: each row as a JSON object."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))

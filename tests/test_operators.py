@@ -77,15 +77,21 @@ def test_validation_boundary(spark, limit, want):
     assert sorted(r["start"] for r in rows if r["part"] == "train") == list(range(0, 20 - want, 5))
 
 
-def stream(spark, n):
-    return spark.range(n).select(F.col("id").alias("pos"), F.col("id").cast("int").alias("token"))
+def ragged(spark, n, sizes=(5, 0, 1, 7, 40)):
+    """A store of the numbers below n, in documents of these sizes again and again."""
+    rows, at, k = [], 0, 0
+    while at < n:
+        size = min(sizes[k % len(sizes)], n - at)
+        rows.append((k, list(range(at, at + size)), at))
+        at, k = at + size, k + 1
+    return spark.createDataFrame(rows, "doc_id long, tokens array<int>, start long")
 
 
 @pytest.mark.parametrize(("extra", "want"), [(0, 0), (3, 0), (4, 1)])
 def test_sequential_batches_need_what_follows(spark, extra, want):
     context, batch = 3, 2
     total = batch * (context + 1) + extra
-    w = tokens.blocks(stream(spark, total), context + 1)
+    w = tokens.blocks(ragged(spark, total), context + 1)
     rows = tokens.sequential_batches(w, context, batch, F.lit(total)).collect()
     assert len({r["batch"] for r in rows}) == want
     assert all(r["target"][:-1] == r["input"][1:] for r in rows)
@@ -173,6 +179,85 @@ def test_bpe_encodes_by_rank_and_comes_back(spark):
     assert v.tokens()[256] == b"<|endoftext|>"
 
 
+def test_bpe_rows_of_one_key_stay_apart(spark):
+    rows = [(1, "low lower"), (1, "newest"), (None, "lowest<|endoftext|>"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    v = bpe.train_on(docs, 12)
+    store = bpe.encode(docs, v)
+    assert store.count() == 4
+    assert sorted((str(r["doc_id"]), r["text"]) for r in bpe.decode(store, v).collect()) == sorted((str(d), t or "") for d, t in rows)
+
+
+def test_bpe_saved_and_naive(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "low lower lowest new newer newest 😀 low")], "doc_id long, text string")
+    v = bpe.train_on(docs, 15)
+    bpe.save(spark, v, str(tmp_path / "v"))
+    assert bpe.load(spark, str(tmp_path / "v")) == v
+    rank = {p: i for i, p in enumerate(v.merges)}
+    rng = random.Random(3)
+    for _ in range(200):
+        word = "".join(rng.choice("lowernst ") for _ in range(rng.randint(1, 12))).encode()
+        assert bpe.encode_word(word, rank) == bpe.naive_encode(word, v)
+
+
+def test_places_with_many_partitions_and_wide_rows(spark):
+    """The adaptive planner may put partitions together in one branch of a plan and not in another."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        n = 400_000
+        df = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.repeat(F.md5(F.col("id").cast("string").cast("binary")), 8).alias("wide"))
+        out = selection.indexed(df, ["k"])
+        assert out.where("idx <> k").count() == 0 and out.agg(F.count_distinct("idx")).first()[0] == n and out.count() == n
+        sums = tokens.running_start(df.withColumn("n", F.lit(3)), "k", "n")
+        assert sums.where("start <> 3 * k").count() == 0 and sums.count() == n
+        by = tokens.running_start(df.withColumn("g", F.when(F.col("k") % 3 > 0, "hot").otherwise(F.lit(None))), ["k"], "k", "s", ["g"])
+        got = {(r["g"], r["k"]): r["s"] for r in by.where("k > 399990").collect()}
+        for (g, k), s in got.items():
+            assert s == sum(x for x in range(k) if (x % 3 > 0) == (g == "hot"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_attached_needs_as_many_rows(spark):
+    a, b = spark.range(5), spark.range(4).withColumnRenamed("id", "x")
+    with pytest.raises(ValueError, match="can't be attached"):
+        selection.attached(a, b, ["id"], ["x"], ["x"])
+
+
+def test_head_fraction_by_group(spark):
+    df = spark.range(100).select("id", F.when(F.col("id") < 70, "a").when(F.col("id") < 95, F.lit(None)).otherwise("c").alias("g"))
+    got = sorted(r["id"] for r in filters.head_fraction(df, ["id"], 0.2, 0.5, ["g"]).collect())
+    assert got == [*range(14, 35), *range(75, 82), *range(96, 97)]
+    assert sorted(r["id"] for r in filters.head_fraction(df, ["id"], 0.0, 0.1).collect()) == list(range(10))
+
+
+def test_locate_by_buckets(spark):
+    rng = random.Random(2)
+    sizes = [rng.choice([0, 1, 3, 500, 20000]) for _ in range(300)]
+    starts = np.cumsum([0, *sizes])
+    m = spark.createDataFrame([(i, n, int(s)) for i, (n, s) in enumerate(zip(sizes, starts, strict=False))], "file long, n_tokens long, start long")
+    pos = [rng.randrange(int(starts[-1])) for _ in range(500)]
+    out = tokens.locate(spark.createDataFrame([(p,) for p in pos], "pos long"), m, 8).collect()
+    assert len(out) == len(pos) and all(starts[r["file"]] <= r["pos"] < starts[r["file"] + 1] and r["local"] == r["pos"] - starts[r["file"]] for r in out)
+
+
+@pytest.mark.parametrize(("left", "right"), [(1, 2), (1, 1)])
+def test_merged_pairs_equal_a_loop(spark, left, right):
+    from lodestone.functions.arrays import merged_pair
+
+    rng = random.Random(left + right)
+    rows = [[], [1], [1, 1], [1] * 7, [2, 1, 1, 1, 2]] + [[rng.choice([1, 1, 2, 3]) for _ in range(rng.randint(0, 25))] for _ in range(60)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, ids array<int>")
+    for r in df.select("i", merged_pair(F.col("ids"), F.lit(left), F.lit(right), F.lit(9)).alias("x")).collect():
+        want, k, ids = [], 0, rows[r["i"]]
+        while k < len(ids):
+            both = ids[k : k + 2] == [left, right]
+            want.append(9 if both else ids[k])
+            k += 2 if both else 1
+        assert r["x"] == want
+
+
 @pytest.mark.parametrize("n", [1, 30])
 def test_permutation_is_a_bijection(n):
     p = selection.permutation(n, 1337)
@@ -181,11 +266,14 @@ def test_permutation_is_a_bijection(n):
     assert p == want and sorted(p) == list(range(n))
 
 
-def test_few_shots_leave_out_the_item_itself():
-    places = selection.few_shot_places(6, 3)
-    assert all(i != j for i, _, j in places) and len(places) == 18
+def test_few_shots_are_those_of_the_standard_generator(spark):
+    items = spark.range(9).select(F.col("id").alias("idx"), (F.col("id") * 10).alias("x"))
+    got = {r["idx"]: [e["x"] for e in r["examples"]] for r in selection.few_shots(items, 9, 3, ["x"]).collect()}
+    for i in range(9):
+        others = [j for j in range(9) if j != i]
+        assert got[i] == [10 * j for j in random.Random(1234 + i).sample(others, 3)]
     with pytest.raises(ValueError, match="fewer"):
-        selection.few_shot_places(3, 3)
+        selection.few_shots(items, 3, 3, ["x"])
 
 
 def test_greedy_cover_equals_brute_force():
@@ -263,7 +351,7 @@ def test_sources(spark, tmp_path):
     assert [(r["root"], r["path"], r["text"]) for r in readers.archives(spark, str(tmp_path / "r.tar.gz")).collect()] == [("root", "f.py", "print(1)")]
     (tmp_path / "s/T_1").mkdir(parents=True)
     (tmp_path / "s/T_1/0.py").write_text("x = 1")
-    assert [tuple(r) for r in readers.solutions(spark, str(tmp_path / "s")).collect()] == [("T/1", "x = 1", "T_1/0.py")]
+    assert [tuple(r) for r in readers.solutions(spark, str(tmp_path / "s")).collect()] == [("T_1", "x = 1", "T_1/0.py")]
     assert readers.byte_range(spark, str(tmp_path / "d.txt"), 3, 16).first()["text"] == "<|endoftext|>"
     df = spark.createDataFrame([("[{'path': 'a', 'language': None}]",), ("oops(",)], "files string")
     got = [r["files"] for r in readers.python_literal(df, "files", "array<struct<path:string,language:string>>").collect()]
