@@ -12,8 +12,11 @@ content, so that only suffixes that can have a partner are sorted, and those tha
    group's own, since all strings of a group hold them, and orders all suffixes by their first 81 symbols, which are 200
    bytes. Blocks without rivals are groups of one and need no sorting. A start is repeated if its neighbour in the order agrees for
    LIMIT bytes, or if its block's weight is over one.
-4. A group of more than HOT blocks is cut into starts of eight at a time, by their distance from the anchor, grouped by
-   the hash of the bytes that the strings of all eight share; equal strings still meet.
+4. A group of more than HOT blocks is cut into parts of eight starts, by their distance from the anchor, grouped by the
+   hash of the bytes that the strings of all eight share; equal strings still meet. Equal parts become one, with a
+   weight, before they are shuffled. Where more than HOT different parts share all those bytes, their starts are told
+   apart by two hashes of all their 200 bytes, counted in part where they are. So no group that is handled in one
+   task grows with the corpus.
 
 Equal texts are one from the start, with a weight; their spans are joined to each copy at the end. Only hashes,
 positions, contested blocks and spans are shuffled, and those texts that give contested blocks or lose bytes. The list of
@@ -191,9 +194,9 @@ def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _contested_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (g, h, c, w, off, o, n, bytes) of the blocks that each text has to give; those of hot groups in parts of eight starts."""
-    names = ["g", "h", "c", "w", "off", "o", "n", "bytes"]
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()]
+    """Rows (g, h, c, w, off, o, n, bytes, hot) of the blocks that each text has to give; those of hot groups in parts of eight starts."""
+    names = ["g", "h", "c", "w", "off", "o", "n", "bytes", "hot"]
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary(), pa.bool_()]
     made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
     for batch in batches:
         rows = []
@@ -209,7 +212,7 @@ def _contested_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                         anchor = b["s"] + b["o"]
                         middle = raw[anchor - 8 * q : anchor - 8 * q - 7 + LIMIT]
                         g = int.from_bytes(hashlib.blake2b(middle + b["h"].to_bytes(8, "little", signed=True) + q.to_bytes(4, "little"), digest_size=8).digest(), "little", signed=True)
-                    rows.append((g, b["h"], b["c"], b["w"], off, b["o"] - off, n, raw[at : at + n + LIMIT - 1]))
+                    rows.append((g, b["h"], b["c"], b["w"], off, b["o"] - off, n, raw[at : at + n + LIMIT - 1], b["hot"]))
                     off += n
             if len(rows) > 4000:
                 yield made(rows)
@@ -242,6 +245,57 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(rows)
 
 
+def _single_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (k1, k2, o, w, n, bytes), the starts (k1, k2, o, j, w, a, b): the number in the part and two hashes of the 200 bytes."""
+    names = ["k1", "k2", "o", "j", "w", "a", "b"]
+    for batch in batches:
+        rows = []
+        for k1, k2, o, w, n, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for j in range(n):
+                d = hashlib.blake2b(raw[j : j + LIMIT], digest_size=16).digest()
+                rows.append((k1, k2, o, j, w, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        columns = zip(*rows, strict=True) if rows else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+
+def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (k1, k2, o, js) the mask of each part, a byte for each of its starts up to the last that is repeated."""
+    for batch in batches:
+        masks = []
+        for js in batch.column(3).to_pylist():
+            hit = np.zeros(max(js) + 1, np.uint8)
+            hit[js] = 1
+            masks.append(hit.tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(masks, pa.binary())], ["h", "c", "off", "mask"])
+
+
+_DECIDED = "h long, c long, off int, mask binary"
+
+
+def _sorted_out(texts: DataFrame) -> DataFrame:
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    columns = ["g", "h", "c", "w", "off", "o", "n", "bytes"]
+    return texts.select(*columns).repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_decide, _DECIDED)
+
+
+def _hot_decided(texts: DataFrame, hot: int, broadcast_bytes: int) -> DataFrame:
+    """What `_decide` gives, for the parts of hot groups. A part's bytes and its distance from the anchor name it and its group."""
+    key = ["k1", "k2", "o"]
+    named = texts.withColumns({"k1": F.xxhash64("bytes"), "k2": F.xxhash64("bytes", F.lit(1))})
+    places = cut(named.select("h", "c", "off", *key))
+    merged = cut(named.groupBy("g", *key).agg(F.sum("w").alias("w"), F.first("n").alias("n"), F.first("bytes").alias("bytes")))
+    crowd = if_small(cut(merged.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("g")), 8, broadcast_bytes)
+    calm = merged.join(crowd, "g", "left_anti").select("g", F.col("k1").alias("h"), F.col("k2").alias("c"), "w", F.col("o").alias("off"), "o", "n", "bytes")
+    starts = merged.join(crowd, "g", "left_semi").select(*key, "w", "n", "bytes").mapInArrow(_single_starts, "k1 long, k2 long, o int, j int, w long, a long, b long")
+    starts = cut(starts)
+    again = starts.groupBy("a", "b").agg(F.sum("w").alias("w")).where("w > 1").select("a", "b")
+    found = starts.join(again, ["a", "b"], "left_semi").groupBy(*key).agg(F.collect_list("j").alias("js"))  # at most eight
+    masks = _sorted_out(calm).unionByName(found.mapInArrow(_masks, _DECIDED))
+    verdict = masks.select(F.col("h").alias("k1"), F.col("c").alias("k2"), F.col("off").alias("o"), "mask")
+    return places.join(verdict, key).select("h", "c", "off", "mask")
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From the repeated starts of each text, the maximal runs of bytes that their strings cover."""
     for batch in batches:
@@ -264,13 +318,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lists = cut(_blocks(rows, repeated, broadcast_bytes))
     each = lists.select("k1", "k2", "m", F.explode(F.arrays_zip("s", "n", "o", "h", "c")).alias("x")).select("k1", "k2", "m", "x.*")
     distinct = cut(each.groupBy("h", "c").agg(F.sum("m").alias("w"), F.min(F.struct("k1", "k2", "s", "n", "o")).alias("at")))
-    rivals = distinct.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    rivals = if_small(cut(distinct.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")), 16, broadcast_bytes)
     contested = distinct.join(rivals, "h").select("at.k1", "at.k2", F.struct("at.s", "at.n", "at.o", "h", "c", "w", (F.col("m") > hot).alias("hot")).alias("b"))
     contested = cut(contested.groupBy("k1", "k2").agg(F.collect_list("b").alias("blocks")))
     asked = _with_keys(rows.select("k1", "k2", "text"), contested, broadcast_bytes).dropDuplicates(["k1", "k2"])
-    texts = asked.select("text", "blocks").mapInArrow(_contested_texts, "g long, h long, c long, w long, off int, o int, n int, bytes binary")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
-    decided = texts.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_decide, "h long, c long, off int, mask binary")
+    schema = "g long, h long, c long, w long, off int, o int, n int, bytes binary, hot boolean"
+    texts = asked.select("text", "blocks").mapInArrow(_contested_texts, schema)
+    if rivals.where(F.col("m") > hot).isEmpty():
+        decided = _sorted_out(texts)
+    else:
+        texts = cut(texts)
+        decided = _sorted_out(texts.where("not hot")).unionByName(_hot_decided(texts.where("hot"), hot, broadcast_bytes))
     # blocks without rivals are decided by their weight
     alone = distinct.where("w > 1").join(rivals, "h", "left_anti").select("h", "c", F.lit(0).alias("off"), F.lit(None).cast("binary").alias("mask"))
     hits = each.select("k1", "k2", "s", "n", "h", "c").join(decided.unionByName(alone), ["h", "c"])

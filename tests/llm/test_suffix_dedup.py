@@ -66,6 +66,33 @@ def test_passage_in_many_texts(spark):
     assert got(suffix_dedup.suffix_dedup(frame(spark, rows), hot=5)) == brute(rows)
 
 
+def _groups(spark, monkeypatch, n, hot):
+    """The rows of the largest group that one task sorts out, for one passage in n texts."""
+    rng = random.Random(7)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(600))
+    rows = [(i, f"{rng.random()}{passage}{rng.random()}", None) for i in range(n)]
+    seen = spark.sparkContext.accumulator(0)
+
+    class Largest:
+        def __call__(self, texts):
+            top = texts.groupBy("g").count().agg({"count": "max"}).first()[0]
+            seen.add(max(0, (top or 0) - seen.value))
+            return real(texts)
+
+    real = suffix_dedup._sorted_out
+    monkeypatch.setattr(suffix_dedup, "_sorted_out", Largest())
+    out = got(suffix_dedup.suffix_dedup(frame(spark, rows), hot=hot))
+    monkeypatch.setattr(suffix_dedup, "_sorted_out", real)
+    return rows, out, seen.value
+
+
+def test_groups_do_not_grow_with_a_passage(spark, monkeypatch):
+    rows, out, small = _groups(spark, monkeypatch, 400, 50)
+    assert out == brute(rows)
+    rows, out, large = _groups(spark, monkeypatch, 2000, 50)
+    assert out == brute(rows) and small <= 50 and large <= 50
+
+
 def test_one_long_text_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_PIECE", 700)
     data = np.frombuffer("".join(t or "" for _, t, _ in corpus()).encode(), np.uint8)
