@@ -67,11 +67,12 @@ def cut_fitted(df: DataFrame, per_part: int = 50_000) -> DataFrame:
     return fitted(out, out.count(), per_part)
 
 
-def salted_join(rows: DataFrame, keyed: DataFrame, key: str, spread: Column, how: str, salts: int = 16) -> DataFrame:
+def salted_join(rows: DataFrame, keyed: DataFrame, key: str | list[str], spread: Column, how: str, salts: int = 16) -> DataFrame:
     """`rows` joined with `keyed`, which has each key once, by `key`; rows of one key are dealt by `spread` to `salts` tasks, `keyed` is there for each."""
+    key = [key] if isinstance(key, str) else key
     dealt = rows.withColumn("own_salt", F.pmod(F.xxhash64(spread, F.lit(11)), F.lit(salts)).cast("int"))
     several = keyed.withColumn("own_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(several, [key, "own_salt"], how).drop("own_salt")
+    return dealt.join(several, [*key, "own_salt"], how).drop("own_salt")
 
 
 #: The most bytes that are broadcast.

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import BROADCAST_BYTES, cut, if_small, whole_text
+from lodestone.llm.common import BROADCAST_BYTES, cut, if_small, salted_join, whole_text
 from lodestone.llm.difference_cover import suffix_ranks
 from lodestone.llm.text_arrays import hash_ranges, mix, slices
 
@@ -290,10 +290,10 @@ def _hot_decided(texts: DataFrame, hot: int, broadcast_bytes: int) -> DataFrame:
     starts = merged.join(crowd, "g", "left_semi").select(*key, "w", "n", "bytes").mapInArrow(_single_starts, "k1 long, k2 long, o int, j int, w long, a long, b long")
     starts = cut(starts)
     again = starts.groupBy("a", "b").agg(F.sum("w").alias("w")).where("w > 1").select("a", "b")
-    found = starts.join(again, ["a", "b"], "left_semi").groupBy(*key).agg(F.collect_list("j").alias("js"))  # at most eight
+    found = salted_join(starts, again, ["a", "b"], F.col("k1"), "left_semi").groupBy(*key).agg(F.collect_list("j").alias("js"))  # at most eight
     masks = _sorted_out(calm).unionByName(found.mapInArrow(_masks, _DECIDED))
     verdict = masks.select(F.col("h").alias("k1"), F.col("c").alias("k2"), F.col("off").alias("o"), "mask")
-    return places.join(verdict, key).select("h", "c", "off", "mask")
+    return salted_join(places, verdict, key, F.col("c"), "inner").select("h", "c", "off", "mask")
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
