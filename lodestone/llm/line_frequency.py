@@ -4,11 +4,12 @@ Lines that many documents of one host share are boilerplate. Every line is norma
 collapsed) and hashed; documents are counted per (host, hash); lines above the host's limit go; a document that keeps
 too little of its text is rejected.
 
-Plan: one aggregation over (host, line hash) with map-side partial counts, where a document gives each distinct line
-once, so a hot host or line costs one row per task after the partial step. `without_common_lines` takes the common
-lines out of the texts by their numbers. Only lines above the limit come back; they
-are few, and the adaptive planner broadcasts them if their measured size is small, else it joins by shuffle and splits
-skewed keys. Per-document sums collapse in the map task that exploded the document.
+Plan: one pass over the texts gives their figures and the hashes and lengths of their lines, which are materialised; all
+else reads those. One aggregation over (host, line hash) has map-side partial counts, where a document gives each
+distinct line once, so a hot host or line costs one row per task after the partial step. `without_common_lines` takes
+the common lines out of the texts by their numbers. Only lines above the limit come back; they are few, and the adaptive
+planner broadcasts them if their measured size is small, else it joins by shuffle and splits skewed keys. Per-document
+sums collapse in the map task that exploded the document.
 """
 
 from __future__ import annotations
@@ -73,13 +74,19 @@ def normalised(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, f"{SPACE}+", " ")))
 
 
-def _lined(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """id, text_hash, host and lines of each row: hash h, length c and number i of each normalised line that isn't empty."""
+def _lined(docs: DataFrame, id_col: str, text_col: str, host_col: str, figures: dict[str, Column] | None = None) -> DataFrame:
+    """For each row: r (its number), id, text_hash, host, the figures, and of its normalised lines that aren't empty the hashes hs, lengths cs and numbers at.
+
+    Materialised, so that each text is read and split once.
+    """
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"), F.col(host_col).cast("string").alias("host"))
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(normalised(x).alias("x"), i.alias("i")))
-    return rows.withColumn("lines", F.filter(numbered, lambda y: y["x"] != "")).select(
-        "id", F.xxhash64("text").alias("text_hash"), "host", F.transform("lines", lambda y: F.struct(F.xxhash64(y["x"]).alias("h"), F.length(y["x"]).alias("c"), y["i"].alias("i"))).alias("lines")
-    )
+    rows = rows.withColumn("lines", F.filter(numbered, lambda y: y["x"] != ""))
+    each = lambda f: F.transform("lines", f)
+    return cut(rows.select(
+        F.monotonically_increasing_id().alias("r"), "id", F.xxhash64("text").alias("text_hash"), "host", *[c.alias(k) for k, c in (figures or {}).items()],
+        each(lambda y: F.xxhash64(y["x"])).alias("hs"), each(lambda y: F.length(y["x"])).alias("cs"), each(lambda y: y["i"]).alias("at"),
+    ))
 
 
 def _common(lined: DataFrame, min_docs: int, host_share: float) -> DataFrame:
@@ -89,9 +96,9 @@ def _common(lined: DataFrame, min_docs: int, host_share: float) -> DataFrame:
     that repeat are found by an aggregation of the ids alone.
     """
     limits = lined.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.count("*") * F.lit(host_share)).alias("limit"))
-    key = F.coalesce(F.col("id").cast("string"), F.col("text_hash").cast("string"))
-    again = if_small(cut(lined.groupBy(F.xxhash64(key, F.col("id").isNull()).alias("d")).agg(F.count("*").alias("n")).where("n > 1").select("d")), 8)
-    held = lined.select("host", F.xxhash64(key, F.col("id").isNull()).alias("d"), F.array_distinct("lines.h").alias("hs"))
+    key = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.col("text_hash").cast("string")), F.col("id").isNull())
+    again = if_small(cut(lined.groupBy(key.alias("d")).agg(F.count("*").alias("n")).where("n > 1").select("d")), 8)
+    held = lined.select("host", key.alias("d"), F.array_distinct("hs").alias("hs"))
     once = held.join(again, "d", "left_anti").select("host", F.explode("hs").alias("h"))
     several = held.join(again, "d", "left_semi").select("host", "d", F.explode("hs").alias("h")).distinct().select("host", "h")
     spread = once.unionByName(several).groupBy("host", "h").agg(F.count("*").alias("n"))
@@ -99,6 +106,23 @@ def _common(lined: DataFrame, min_docs: int, host_share: float) -> DataFrame:
     return common.select(F.col("host").alias("c_host"), F.col("h").alias("c_h"))
 
 
+def _marked(lined: DataFrame, common: DataFrame) -> DataFrame:
+    """r and x (h, c and i) of the lines of all rows that are common."""
+    single = lined.select("r", "host", F.explode(F.arrays_zip(F.col("hs").alias("h"), F.col("cs").alias("c"), F.col("at").alias("i"))).alias("x"))
+    return single.join(common, F.col("host").eqNullSafe(F.col("c_host")) & (F.col("x.h") == F.col("c_h")), "left_semi")
+
+
+def _judged(lined: DataFrame, min_docs: int, host_share: float, min_left: float) -> DataFrame:
+    """`lined` with n_lines, n_common, line_chars, common_chars and depleted."""
+    hits = _marked(lined, _common(lined, min_docs, host_share)).groupBy("r").agg(F.count("*").alias("hit_n"), F.sum("x.c").cast("long").alias("hit_c"))
+    whole = F.aggregate("cs", F.lit(0).cast("long"), lambda a, c: a + c)
+    out = lined.join(if_small(cut(hits), 24), "r", "left").withColumns({
+        "n_lines": F.size("hs").cast("long"), "n_common": F.coalesce("hit_n", F.lit(0)).cast("long"),
+        "line_chars": whole, "common_chars": F.coalesce("hit_c", F.lit(0)).cast("long"),
+    })
+    return out.withColumn("depleted", (F.col("line_chars") > 0) & (F.col("line_chars") - F.col("common_chars") < F.lit(min_left) * F.col("line_chars")))
+
+
 def line_frequency(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
     min_docs: int = 20, host_share: float = 0.01, min_left: float = 0.3,
@@ -113,35 +137,19 @@ def line_frequency(
     counts rows. A repeated row's result is given once. An empty table gives an empty result. Other columns are ignored,
     whatever their names.
     """
-    lined = _lined(docs, id_col, text_col, host_col)
-    common = _common(lined, min_docs, host_share)
-    single = lined.select("id", "text_hash", "host", F.explode("lines").alias("x"))
-    marked = single.join(common, F.col("host").eqNullSafe(F.col("c_host")) & (F.col("x.h") == F.col("c_h")), "left_semi")
-    # repeated rows give their lines again: divide by how often the row is there
-    hits = marked.groupBy("id", "text_hash", "host").agg(F.count("*").alias("hit_n"), F.sum("x.c").cast("long").alias("hit_c"))
-    whole = lined.groupBy("id", "text_hash", "host").agg(
-        F.count("*").alias("rows"), F.first(F.size("lines").cast("long")).alias("n_lines"),
-        F.first(F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["c"])).alias("line_chars"),
-    )
-    b = hits.select(F.col("id").alias("b_id"), F.col("text_hash").alias("b_hash"), F.col("host").alias("b_host"), "hit_n", "hit_c")
-    joined = whole.join(b, F.col("id").eqNullSafe(F.col("b_id")) & (F.col("text_hash") == F.col("b_hash")) & F.col("host").eqNullSafe(F.col("b_host")), "left")
-    return joined.select(
-        "id", "text_hash", "host", "n_lines", F.coalesce(F.expr("hit_n div rows"), F.lit(0)).cast("long").alias("n_common"),
-        "line_chars", F.coalesce(F.expr("hit_c div rows"), F.lit(0)).cast("long").alias("common_chars"),
-    ).withColumn("kept", (F.col("line_chars") == 0) | (F.col("line_chars") - F.col("common_chars") >= F.lit(min_left) * F.col("line_chars")))
-
-
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """One row per input row: id, the per-text figures, base_failed and kept (false if the text's own rules fail, else the verdict on its lines)."""
-    rows = docs.select(F.col(id_col).alias(id_col), whole_text(text_col).alias("text"), F.col(host_col).cast("string").alias("host"))
-    figures = rows.select(F.col(id_col), F.xxhash64("text").alias("text_hash"), "host", *[c.alias(k) for k, c in text_rules(F.col("text")).items()])
-    figures = figures.withColumn("base_failed", base_failed())
-    verdict = line_frequency(docs, id_col, text_col, host_col, **limits).select(F.col("id").alias("v_id"), F.col("text_hash").alias("v_hash"), F.col("host").alias("v_host"), F.col("kept").alias("v_kept"), "n_lines", "n_common")
-    on = F.col(id_col).eqNullSafe(F.col("v_id")) & (F.col("text_hash") == F.col("v_hash")) & F.col("host").eqNullSafe(F.col("v_host"))
-    return figures.join(verdict, on).select(
-        id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.col("v_kept")).alias("kept"), "n_lines", "n_common",
-    )
+    judged = _judged(_lined(docs, id_col, text_col, host_col), min_docs, host_share, min_left)
+    figures = ["n_lines", "n_common", "line_chars", "common_chars"]
+    return judged.select("id", "text_hash", "host", *figures, (~F.col("depleted")).alias("kept")).dropDuplicates(["id", "text_hash", "host"])
+
+
+def quality_rules(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+    min_docs: int = 20, host_share: float = 0.01, min_left: float = 0.3,
+) -> DataFrame:
+    """One row per input row: id, the per-text figures, base_failed, kept (false if the text's own rules fail, else the verdict on its lines), n_lines and n_common; see `line_frequency`."""
+    rules = text_rules(F.col("text"))
+    judged = _judged(_lined(docs, id_col, text_col, host_col, rules), min_docs, host_share, min_left).withColumn("base_failed", base_failed())
+    return judged.select(F.col("id").alias(id_col), *rules, "base_failed", (~F.col("base_failed") & ~F.col("depleted")).alias("kept"), "n_lines", "n_common")
 
 
 def without_common_lines(
@@ -155,9 +163,9 @@ def without_common_lines(
     result.
     """
     lined = _lined(docs, id_col, text_col, host_col)
-    single = lined.select("id", "text_hash", "host", F.explode("lines").alias("x"))
-    marked = single.join(_common(lined, min_docs, host_share), F.col("host").eqNullSafe(F.col("c_host")) & (F.col("x.h") == F.col("c_h")), "left_semi")
-    gone = cut(marked.groupBy("id", F.col("text_hash").alias("hash"), "host").agg(F.collect_set("x.i").alias("gone")))
+    gone = _marked(lined, _common(lined, min_docs, host_share)).groupBy("r").agg(F.collect_list("x.i").alias("gone"))
+    # repeated rows lose the same lines
+    gone = cut(lined.select("r", "id", F.col("text_hash").alias("hash"), "host").join(gone, "r").drop("r").dropDuplicates(["id", "hash", "host"]))
     if (gone.agg(F.sum(F.size("gone") * 4 + 96).alias("b")).first()["b"] or 0) <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
     own, taken = without_columns(docs, "n_removed", "kept"), renamed(gone, docs)
