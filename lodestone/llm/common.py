@@ -75,6 +75,34 @@ def salted_join(rows: DataFrame, keyed: DataFrame, key: str | list[str], spread:
     return dealt.join(several, [*key, "own_salt"], how).drop("own_salt")
 
 
+#: Bits of the bitmaps of `sieve`, and of one row of them.
+SIEVE_BITS, ROW_BITS = 1 << 27, 1 << 15
+
+
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of hashes of `key`, a long: rows own_row and own_bits, SIEVE_BITS / 8 bytes at most (16 MB) whatever the number of keys, so it can be broadcast."""
+    place = F.pmod(F.xxhash64(key, F.lit(23)), F.lit(SIEVE_BITS))
+    return keys.select(F.floor(place / ROW_BITS).alias("own_row"), (place % ROW_BITS).alias("p")).groupBy("own_row").agg(F.bitmap_construct_agg("p").alias("own_bits"))
+
+
+def sifted(rows: DataFrame, bitmap: DataFrame, key: str, keep_others: bool = False) -> DataFrame:
+    """Of `rows`, all whose key is in the bitmap and few others; with `keep_others` all rows, with own_hit telling which. No row moves."""
+    place = F.pmod(F.xxhash64(key, F.lit(23)), F.lit(SIEVE_BITS))
+    p = F.col("own_place") % ROW_BITS
+    byte = F.conv(F.hex(F.substring(F.col("own_bits"), F.floor(p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (p % 8).cast("int")) == 1, F.lit(False))
+    found = rows.withColumn("own_place", place).withColumn("own_row", F.floor(F.col("own_place") / ROW_BITS))
+    found = found.join(F.broadcast(bitmap), "own_row", "left" if keep_others else "inner").withColumn("own_hit", hit)
+    return found.drop("own_row", "own_place", "own_bits") if keep_others else found.where("own_hit").drop("own_row", "own_place", "own_bits", "own_hit")
+
+
+def among(rows: DataFrame, keys: DataFrame, key: str, row_bytes: int = 8) -> DataFrame:
+    """The rows whose key (a long) is among `keys` (materialised; once each). Keys that are few are broadcast; else a bitmap of them is, and only rows that it lets through are shuffled."""
+    if keys.count() * row_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(keys), key, "left_semi")
+    return sifted(rows, cut(sieve(keys, key)), key).join(keys, key, "left_semi")
+
+
 #: The most bytes that are broadcast.
 BROADCAST_BYTES = 32 << 20
 

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import BROADCAST_BYTES, cut, if_small, let, renamed, whole_text, without_columns
+from lodestone.llm.common import BROADCAST_BYTES, among, cut, let, renamed, sieve, sifted, whole_text, without_columns
 
 
 def _block_keys(line: Column, n: Column, blocks: int) -> Column:
@@ -62,15 +62,19 @@ def _shared(keys: DataFrame) -> DataFrame:
     return keys.groupBy("k").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("k")
 
 
-def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 30) -> DataFrame:
-    """a and b of each distinct line of at least `min_chars` characters that has an earlier line within one edit, but not equal."""
-    lines = _lines(docs, id_col, text_col, min_chars)
-    ends = _end_keys(F.col("line"))
-    shared = if_small(cut(_shared(lines.select("a", F.explode(ends).alias("k")))), 8)
-    survivors = lines.select("a", "b", "place", "line", F.explode(ends).alias("k")).join(shared, "k", "left_semi")
-    texts = cut(survivors.groupBy("a", "b").agg(F.min("place").alias("first"), F.first("line").alias("line")))
+def _narrow(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """a, b, place and ends (the keys of the first thinning) of each line, materialised: what all steps but those on texts read."""
+    return cut(_lines(docs, id_col, text_col, min_chars).select("a", "b", "place", _end_keys(F.col("line")).alias("ends")))
+
+
+def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 30, narrow: DataFrame | None = None) -> DataFrame:
+    """a and b of each distinct line of at least `min_chars` characters that has an earlier line within one edit, but not equal. `narrow`: what `_narrow` gave, if it did already."""
+    narrow = _narrow(docs, id_col, text_col, min_chars) if narrow is None else narrow
+    keys = narrow.select("a", F.explode("ends").alias("k"))
+    members = cut(among(keys, cut(_shared(keys)), "k").select("a").distinct())
+    texts = cut(among(_lines(docs, id_col, text_col, min_chars), members, "a").groupBy("a", "b").agg(F.min("place").alias("first"), F.first("line").alias("line")))
     blocks = texts.select("a", F.explode(_block_keys(F.col("line"), F.length("line"), 8)).alias("x")).select("a", "x.k", "x.m", "x.s")
-    edits = blocks.join(_shared(blocks), "k", "left_semi").groupBy("a").agg(F.collect_set(F.struct("m", "s")).alias("edits"))  # at most 16 a line
+    edits = among(blocks, cut(_shared(blocks)), "k").groupBy("a").agg(F.collect_set(F.struct("m", "s")).alias("edits"))  # at most 16 a line
     size = F.length("line")
     where = texts.join(edits, "a").select("a", "b", "first", "line", F.explode("edits").alias("x")).select("a", "b", "first", "line", "x.m", "x.s")
     low, high = F.floor(F.col("m") * F.col("s") / 8).cast("int"), F.floor(F.col("m") * (F.col("s") + 1) / 8).cast("int")
@@ -90,6 +94,13 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return both.where(F.levenshtein("line", "p_line", 1).between(0, 1)).select("a", "b").distinct()
 
 
+def _looked_up(rows: DataFrame, keyed: DataFrame, hashed: str, key: list[str], row_bytes: int = 64) -> DataFrame:
+    """`rows` joined with `keyed` (materialised; each key once) by `key`, of which `hashed` is a hash; broadcast if small, else only rows that a bitmap lets through are shuffled."""
+    if keyed.count() * row_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(keyed), key)
+    return sifted(rows, cut(sieve(keyed, hashed)), hashed).join(keyed, key)
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 30, max_edits: int = 1) -> DataFrame:
     """Every row of `docs` with the lines gone that an earlier line of the corpus equals or nearly equals.
 
@@ -100,18 +111,24 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
-    lines = _lines(docs, id_col, text_col, min_chars).drop("line")
+    lines = _narrow(docs, id_col, text_col, min_chars)
     again = lines.groupBy("a", "b").agg(F.min("place").alias("keep_at"), F.count("*").alias("c")).where("c > 1").drop("c")
     if max_edits:
         # of a line with an earlier partner none stays, so it needs no place
-        near = near_lines(docs, id_col, text_col, min_chars).withColumn("near", F.lit(True))
+        near = near_lines(docs, id_col, text_col, min_chars, lines).withColumn("near", F.lit(True))
         again = again.join(near, ["a", "b"], "full").select("a", "b", F.when(F.col("near").isNull(), F.col("keep_at")).alias("keep_at"))
-    hit = lines.join(if_small(cut(again), 64), ["a", "b"]).where(F.col("keep_at").isNull() | ~F.col("place").eqNullSafe(F.col("keep_at")))
+    again = cut(again)
+    hit = _looked_up(lines.drop("ends"), again, "a", ["a", "b"]).where(F.col("keep_at").isNull() | ~F.col("place").eqNullSafe(F.col("keep_at")))
     gone = cut(hit.groupBy(F.col("place.id").alias("id"), F.col("place.text_hash").alias("hash")).agg(F.collect_set("place.line_no").alias("gone")))
-    if (gone.agg(F.sum(F.size("gone") * 4 + 64).alias("b")).first()["b"] or 0) <= BROADCAST_BYTES:
-        gone = F.broadcast(gone)
     own, taken = without_columns(docs, "n_lines", "n_removed"), renamed(gone, docs)
-    joined = own.join(taken.df, own[id_col].eqNullSafe(taken["id"]) & (F.xxhash64(whole_text(text_col)) == taken["hash"]), "left")
+    if (gone.agg(F.sum(F.size("gone") * 4 + 64).alias("b")).first()["b"] or 0) <= BROADCAST_BYTES:
+        joined = own.join(F.broadcast(taken.df), own[id_col].eqNullSafe(taken["id"]) & (F.xxhash64(whole_text(text_col)) == taken["hash"]), "left")
+    else:  # texts that lose nothing don't move, but for the few that the bitmap takes for others
+        spare = renamed(own.withColumn("h", F.xxhash64(whole_text(text_col))), taken.df)
+        told = sifted(spare.df, cut(sieve(taken.df, taken.names["hash"])), spare.names["h"], keep_others=True)
+        moved = told.where("own_hit").join(taken.df, spare[id_col].eqNullSafe(taken["id"]) & (spare["h"] == taken["hash"]), "left")
+        still = told.where("not own_hit").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in taken.df.schema.fields])
+        joined = moved.unionByName(still).select(*[spare[c].alias(c) for c in own.columns], *taken.df.columns)
     lines_of = F.split(F.col(text_col), "\n")
     left = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), taken["gone"]), lambda i: F.get(x, i))
     kept = F.when(taken["gone"].isNull(), F.col(text_col)).otherwise(F.array_join(let(lines_of, left), "\n"))

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import line_dedup, line_frequency
+from lodestone.llm import common, line_dedup, line_frequency
 from tests.llm.fixtures import corpus, frame, prose
 
 
@@ -53,6 +53,29 @@ def line_edits(seed):
     return rows
 
 
+def test_dedup_without_broadcasts(spark, monkeypatch):
+    """The way that large tables take: bitmaps, and shuffles of what they let through."""
+    rows = line_edits(4) + corpus()[:40] + [(None, "a line without an id, long enough\nx", None)] * 2
+    want = sorted((str(r["doc_id"]), str(r["text"])) for r in line_dedup.line_dedup(frame(spark, rows)).collect())
+    for module in (line_dedup, common):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", -1)
+    out = line_dedup.line_dedup(frame(spark, rows))
+    assert out.columns == [*frame(spark, []).columns, "n_lines", "n_removed"]
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in out.collect()) == want
+    assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
+    assert line_dedup.line_dedup(frame(spark, [])).count() == 0
+
+
+def test_sieve_lets_all_keys_through(spark):
+    keys = spark.range(5000).select((F.col("id") * 7919 - 3).alias("k"))
+    rows = spark.range(100_000).select((F.col("id") * 7919 - 3).alias("k"))
+    left = common.sifted(rows, common.sieve(keys, "k"), "k")
+    assert left.join(keys, "k", "left_semi").count() == 5000 and left.count() < 5100
+    told = common.sifted(rows, common.sieve(keys, "k"), "k", keep_others=True)
+    assert told.count() == 100_000 and told.where("own_hit").count() == left.count()
+    assert common.sifted(rows, common.sieve(keys.where("false"), "k"), "k").count() == 0
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_dedup_equals_brute_force(spark, seed):
     rows = line_edits(seed)
