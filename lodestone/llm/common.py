@@ -96,11 +96,11 @@ def sifted(rows: DataFrame, bitmap: DataFrame, key: str, keep_others: bool = Fal
     return found.drop("own_row", "own_place", "own_bits") if keep_others else found.where("own_hit").drop("own_row", "own_place", "own_bits", "own_hit")
 
 
-def among(rows: DataFrame, keys: DataFrame, key: str, row_bytes: int = 8) -> DataFrame:
-    """The rows whose key (a long) is among `keys` (materialised; once each). Keys that are few are broadcast; else a bitmap of them is, and only rows that it lets through are shuffled."""
+def among(rows: DataFrame, keys: DataFrame, key: str, spread: str, row_bytes: int = 8) -> DataFrame:
+    """The rows whose key (a long) is among `keys` (materialised; once each). Keys that are few are broadcast; else a bitmap of them is, and only rows that it lets through are shuffled, those of one key to several tasks by `spread`."""
     if keys.count() * row_bytes <= BROADCAST_BYTES:
         return rows.join(F.broadcast(keys), key, "left_semi")
-    return sifted(rows, cut(sieve(keys, key)), key).join(keys, key, "left_semi")
+    return salted_join(sifted(rows, cut(sieve(keys, key)), key), keys, key, F.col(spread), "left_semi")
 
 
 #: The most bytes that are broadcast.

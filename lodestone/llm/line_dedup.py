@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import BROADCAST_BYTES, among, cut, let, renamed, sieve, sifted, whole_text, without_columns
+from lodestone.llm.common import BROADCAST_BYTES, among, cut, let, renamed, salted_join, sieve, sifted, whole_text, without_columns
 
 
 def _block_keys(line: Column, n: Column, blocks: int) -> Column:
@@ -71,10 +71,10 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """a and b of each distinct line of at least `min_chars` characters that has an earlier line within one edit, but not equal. `narrow`: what `_narrow` gave, if it did already."""
     narrow = _narrow(docs, id_col, text_col, min_chars) if narrow is None else narrow
     keys = narrow.select("a", F.explode("ends").alias("k"))
-    members = cut(among(keys, cut(_shared(keys)), "k").select("a").distinct())
-    texts = cut(among(_lines(docs, id_col, text_col, min_chars), members, "a").groupBy("a", "b").agg(F.min("place").alias("first"), F.first("line").alias("line")))
+    members = cut(among(keys, cut(_shared(keys)), "k", "a").select("a").distinct())
+    texts = cut(among(_lines(docs, id_col, text_col, min_chars), members, "a", "place").groupBy("a", "b").agg(F.min("place").alias("first"), F.first("line").alias("line")))
     blocks = texts.select("a", F.explode(_block_keys(F.col("line"), F.length("line"), 8)).alias("x")).select("a", "x.k", "x.m", "x.s")
-    edits = among(blocks, cut(_shared(blocks)), "k").groupBy("a").agg(F.collect_set(F.struct("m", "s")).alias("edits"))  # at most 16 a line
+    edits = among(blocks, cut(_shared(blocks)), "k", "a").groupBy("a").agg(F.collect_set(F.struct("m", "s")).alias("edits"))  # at most 16 a line
     size = F.length("line")
     where = texts.join(edits, "a").select("a", "b", "first", "line", F.explode("edits").alias("x")).select("a", "b", "first", "line", "x.m", "x.s")
     low, high = F.floor(F.col("m") * F.col("s") / 8).cast("int"), F.floor(F.col("m") * (F.col("s") + 1) / 8).cast("int")
@@ -95,10 +95,10 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _looked_up(rows: DataFrame, keyed: DataFrame, hashed: str, key: list[str], row_bytes: int = 64) -> DataFrame:
-    """`rows` joined with `keyed` (materialised; each key once) by `key`, of which `hashed` is a hash; broadcast if small, else only rows that a bitmap lets through are shuffled."""
+    """`rows` of lines joined with `keyed` (materialised; each key once) by `key`, of which `hashed` is a hash; broadcast if small, else only rows that a bitmap lets through are shuffled, those of one line to several tasks."""
     if keyed.count() * row_bytes <= BROADCAST_BYTES:
         return rows.join(F.broadcast(keyed), key)
-    return sifted(rows, cut(sieve(keyed, hashed)), hashed).join(keyed, key)
+    return salted_join(sifted(rows, cut(sieve(keyed, hashed)), hashed), keyed, key, F.col("place"), "inner")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 30, max_edits: int = 1) -> DataFrame:
