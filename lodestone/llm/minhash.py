@@ -213,7 +213,7 @@ def _rest(hot: DataFrame, labels: DataFrame, full: DataFrame, bands: int, percen
     """Links (u, v) that the pivots may have missed. `full` has node, sig and items of each class in a bucket."""
     rows = hot.where("c > 3").select("key", "node").join(labels, "node")
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("x"))
-    outside = cut_fitted(rows.join(sizes.where("comps > 1").select("key", F.col("x.comp").alias("major")), "key").where("comp <> major"))
+    outside = cut_fitted(salted_join(rows, sizes.where("comps > 1").select("key", F.col("x.comp").alias("major")), "key", F.col("node"), "inner", 8).where("comp <> major"))
     blob = F.collect_list(F.struct("node", "comp", "sig", "items"))
     block = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(n / BLOCK)).cast("int")
 
@@ -228,7 +228,7 @@ def _rest(hot: DataFrame, labels: DataFrame, full: DataFrame, bands: int, percen
 
     # with one another
     several = outside.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n")
-    blobs = outside.join(several, "key").join(full, "node").groupBy("key", block(F.col("n")).alias("i")).agg(blob.alias("x"))
+    blobs = salted_join(outside, several, "key", F.col("node"), "inner", 8).join(full, "node").groupBy("key", block(F.col("n")).alias("i")).agg(blob.alias("x"))
     met = blobs.join(blobs.select("key", F.col("i").alias("j"), F.col("x").alias("y")), "key").where("i <= j")
     second = _compared(met.select((F.col("i") == F.col("j")).alias("same"), F.col("key").bitwiseAND(0xFFFF).cast("int").alias("band"), "x", "y"), bands, percent, limits)
     return first.unionByName(second)
@@ -276,7 +276,8 @@ def near_dedup(
         rows = hot
         if pivot in ("p3", "p4"):  # the first by another order
             order = F.min(F.struct(F.xxhash64("node", F.lit(pivot)).alias("o"), "node"))
-            rows = hot.where("c > 3").join(hot.where("c > 3").groupBy("key").agg(order.alias("x")).select("key", F.col("x.node").alias(pivot)), "key")
+            pivots = hot.where("c > 3").groupBy("key").agg(order.alias("x")).select("key", F.col("x.node").alias(pivot))
+            rows = salted_join(hot.where("c > 3"), pivots, "key", F.col("node"), "inner", 8)
         pairs = rows.select(F.least(pivot, "node").alias("a"), F.greatest(pivot, "node").alias("b")).where("a <> b").distinct()
         if pivot != "p1":
             of = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}"))  # noqa: E731, B023
