@@ -7,7 +7,7 @@
 3. Pairs are verified: signatures are compared in batches of 16 minima; a pair goes as soon as the posterior probability
    that its similarity reaches the limit (uniform prior; a binomial tail in closed form) falls below `miss`; survivors
    are decided on their full sets.
-4. Buckets give no list of all their pairs. Four rounds pair each member with a pivot of its bucket: the least class, the
+4. Buckets give no list of all their pairs. Three rounds pair each member with pivots of its bucket: the least class, the
    greatest, and the first by two other orders. Pairs already in one component are left out, and the links of each round
    join components. What is left is settled exactly, for buckets of four or more that still hold several components
    (in smaller ones the first two pivots meet every member). Members outside the bucket's largest component are compared
@@ -272,14 +272,18 @@ def near_dedup(
     sets = cut_fitted(_sets(docs, id_col, text_col, shingle, cut_fitted(wanted), broadcast_bytes), SETS)
 
     labels = members.select("node", F.col("node").alias("comp"))
-    for pivot in ("p1", "p2", "p3", "p4"):
-        rows = hot
-        if pivot in ("p3", "p4"):  # the first by another order
-            order = F.min(F.struct(F.xxhash64("node", F.lit(pivot)).alias("o"), "node"))
-            pivots = hot.where("c > 3").groupBy("key").agg(order.alias("x")).select("key", F.col("x.node").alias(pivot))
-            rows = salted_join(hot.where("c > 3"), pivots, "key", F.col("node"), "inner", 8)
-        pairs = rows.select(F.least(pivot, "node").alias("a"), F.greatest(pivot, "node").alias("b")).where("a <> b").distinct()
-        if pivot != "p1":
+    for pivots in (("p1",), ("p2",), ("p3", "p4")):
+        pairs = None
+        for pivot in pivots:
+            rows = hot
+            if pivot in ("p3", "p4"):  # the first by another order
+                order = F.min(F.struct(F.xxhash64("node", F.lit(pivot)).alias("o"), "node"))
+                chosen = hot.where("c > 3").groupBy("key").agg(order.alias("x")).select("key", F.col("x.node").alias(pivot))
+                rows = salted_join(hot.where("c > 3"), chosen, "key", F.col("node"), "inner", 8)
+            one = rows.select(F.least(pivot, "node").alias("a"), F.greatest(pivot, "node").alias("b")).where("a <> b")
+            pairs = one if pairs is None else pairs.unionByName(one)
+        pairs = pairs.distinct()
+        if pivots != ("p1",):
             of = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}"))  # noqa: E731, B023
             pairs = pairs.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select("a", "b")
         pairs = cut_fitted(pairs, 10_000)
