@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 _SHIPPED: set[str] = set()
 
 
+#: Bytes that go to Python in one Arrow batch, where the session has Spark's own default: sets and blocks of texts make rows of megabytes.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each Spark application; their Python may not have its folder."""
+    """Give the executors this package, once for each Spark application; their Python may not have its folder. Bounds Arrow batches of the session."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_KEY, None) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
