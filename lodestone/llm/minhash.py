@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, cut_fitted, salted_join, whole_text
+from lodestone.llm.common import cut, cut_fitted, release, salted_join, whole_text
 from lodestone.llm.components import components
 from lodestone.llm.text_arrays import mix, shingles, slices
 
@@ -289,6 +289,7 @@ def near_dedup(
         pairs = cut_fitted(pairs, 10_000)
         links = _links(cut_fitted(_survivors(pairs, classes, count, limits), SETS), sets, percent)
         labels = _merge(labels, cut_fitted(links))
+        release(docs.sparkSession)
     labels = _merge(labels, cut_fitted(_rest(hot, labels, classes.join(sets, "node"), bands, percent, limits)))
 
     named = every.select("id", "t", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
