@@ -89,8 +89,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secret_scan(table(spark, sf_dir, "documents")))
 
 
+def op12_log_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.log_reassembly import events, reassemble, text_log
+
+    return events(reassemble(text_log(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("toxic = 1"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_suffix_dedup, op4_media_columns, op5_minhash, op6_quality_knn, op7_toxicity_fm, op8_line_frequency, op8_common_lines_removed, op9_line_dedup, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_suffix_dedup, op4_media_columns, op5_minhash, op6_quality_knn, op7_toxicity_fm, op8_line_frequency, op8_common_lines_removed, op9_line_dedup, op10_secret_scan, op12_log_reassembly)}
 
 
 _SPACE, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
