@@ -82,6 +82,21 @@ def salted_join(rows: DataFrame, keyed: DataFrame, key: str | list[str], spread:
     return dealt.join(several, [*key, "own_salt"], how).drop("own_salt")
 
 
+def hot_join(rows: DataFrame, keyed: DataFrame, key: list[str], spread: Column, how: str, n: str) -> DataFrame:
+    """`rows` joined with `keyed` (materialised), which has each key once and in `n` the number of its rows.
+
+    Rows of a key that has more than a quarter of a task's even share are dealt by `spread` to several tasks, and `keyed` has that key once
+    for each; these keys, which are broadcast, are at most four a task. All other keys are joined as they are.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1000, (keyed.agg(F.sum(n)).first()[0] or 0) // (4 * parts))
+    tasks = F.ceil(F.col(n) / share).cast("int")
+    hot = keyed.where(F.col(n) > share).select(*key, tasks.alias("own_tasks"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("own_salt", F.coalesce(F.pmod(F.xxhash64(spread, F.lit(11)), F.col("own_tasks")).cast("int"), F.lit(0))).drop("own_tasks")
+    several = keyed.withColumn("own_salt", F.explode(F.sequence(F.lit(0), tasks - 1)))
+    return dealt.join(several, [*key, "own_salt"], how).drop("own_salt")
+
+
 #: Bits of the bitmaps of `sieve`, and of one row of them.
 SIEVE_BITS, ROW_BITS = 1 << 27, 1 << 15
 

@@ -89,6 +89,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secret_scan(table(spark, sf_dir, "documents")))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.turn_repair import repaired_digest
+
+    return repaired_digest(table(spark, sf_dir, "conversations"))
+
+
 def op12_log_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.log_reassembly import events, reassemble, text_log
 
@@ -96,7 +102,7 @@ def op12_log_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_suffix_dedup, op4_media_columns, op5_minhash, op6_quality_knn, op7_toxicity_fm, op8_line_frequency, op8_common_lines_removed, op9_line_dedup, op10_secret_scan, op12_log_reassembly)}
+    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_suffix_dedup, op4_media_columns, op5_minhash, op6_quality_knn, op7_toxicity_fm, op8_line_frequency, op8_common_lines_removed, op9_line_dedup, op10_secret_scan, op11_turn_repair, op12_log_reassembly)}
 
 
 _SPACE, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
