@@ -101,8 +101,14 @@ def op12_log_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(reassemble(text_log(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("toxic = 1"))))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.fingerprints import edit_fingerprints
+
+    return edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_suffix_dedup, op4_media_columns, op5_minhash, op6_quality_knn, op7_toxicity_fm, op8_line_frequency, op8_common_lines_removed, op9_line_dedup, op10_secret_scan, op11_turn_repair, op12_log_reassembly)}
+    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_suffix_dedup, op4_media_columns, op5_minhash, op6_quality_knn, op7_toxicity_fm, op8_line_frequency, op8_common_lines_removed, op9_line_dedup, op10_secret_scan, op11_turn_repair, op12_log_reassembly, op13_fingerprints)}
 
 
 _SPACE, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
