@@ -1,9 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches of a text's paragraphs. DataFrame functions only.
 
 A text's paragraphs, as a set of 64-bit digests, go into three rows of cells, each digest into one cell of each row. A cell has
-the count of its digests, their xor and the xor of their checks. Sketches of one size subtract cell by cell: what two texts share
-goes out, and the rest is peeled: a cell with one digest left (its check says so) gives the digest away, which is then taken
-out of its other cells, and so on. If cells are left that none can be peeled from, the sketches were too small, and larger ones
+the count of its digests and their xor. Sketches of one size subtract cell by cell: what two texts share goes out, and
+the rest is peeled: a cell with one digest left (its check bits say so) gives the digest away, which is then taken out of its
+other cells, and so on. If cells are left that none can be peeled from, the sketches were too small, and larger ones
 are made and subtracted, each four times as large as the one before. A fingerprint is the smallest sketch, written out.
 
 Paragraphs are the non-empty pieces between line feeds; one of over PIECE characters ends with the sentence that these end in. Null is
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import among, cut, if_small, let
 from lodestone.operators.selection import indexed
 
+#: The bits of a digest that check its others.
+CHECK = (1 << 16) - 1
 #: The smallest sketch has 1 << LEAST_BITS cells in a row. Rounds of peeling, of which a sketch of n digests needs about log n.
 LEAST_BITS, ROUNDS = 3, 48
 #: Sizes that are tried beyond the smallest; the first of them has as many cells as half of the digests, or more.
@@ -28,86 +30,98 @@ WIDTH = 128
 
 
 def paragraphs(text: Column) -> Column:
-    """The distinct digests of a text's paragraphs."""
+    """The distinct digests of a text's paragraphs: 48 bits of a hash, and 16 that check them."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^\n]{{1,{PIECE}}}[^\n.!?]*[.!?]*"), 0)
-    return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
+    hashes = F.transform(found, lambda x: F.xxhash64(x).bitwiseAND(F.lit(~CHECK)))
+    return F.array_distinct(F.transform(hashes, lambda h: h.bitwiseOR(F.xxhash64(h).bitwiseAND(F.lit(CHECK)))))
 
 
-def _cell(i: Column, c: Column, k: Column, h: Column) -> Column:
-    return F.struct(i.cast("int").alias("i"), c.cast("int").alias("c"), k.alias("k"), h.alias("h"))
+def _cell(i: Column, c: Column, k: Column) -> Column:
+    return F.struct(i.cast("int").alias("i"), c.cast("int").alias("c"), k.alias("k"))
 
 
-def _check(digest: Column) -> Column:
-    return F.xxhash64(digest, F.lit(13)).bitwiseAND(F.lit(0xFFFFFFFF))
+def _pure(x: Column) -> Column:
+    """Whether a cell holds one digest."""
+    return (F.abs(x["c"]) == 1) & (F.xxhash64(x["k"].bitwiseAND(F.lit(~CHECK))).bitwiseAND(F.lit(CHECK)) == x["k"].bitwiseAND(F.lit(CHECK)))
 
 
-def _entries(counted: Column, level: Column) -> Column:
-    """The three cells of each digest, of counted digests (c, k), in a sketch of a level."""
+def _entries(digests: Column, count: int, level: Column) -> Column:
+    """The three cells of each digest, counted `count` times, in a sketch of a level."""
     size = F.call_function("shiftleft", F.lit(1), F.lit(LEAST_BITS) + F.lit(2) * level)
-
-    def of(x: Column) -> Column:
-        return F.array(*[_cell(size * j + F.pmod(F.xxhash64(x["k"], level, F.lit(j)), size), x["c"], x["k"], _check(x["k"])) for j in range(3)])
-
-    return F.flatten(F.transform(counted, of))
+    placed = F.transform(digests, lambda k: F.struct(k.alias("k"), F.xxhash64(k, level).alias("h")))
+    cell = lambda x, j: _cell(size * j + F.shiftrightunsigned(x["h"], 21 * j).bitwiseAND((size - 1).cast("long")), F.lit(count), x["k"])
+    return F.flatten(F.transform(placed, lambda x: F.array(*[cell(x, j) for j in range(3)])))
 
 
 def _summed(cells: Column) -> Column:
     """Cells of one place made one, those with nothing left out: a sketch, in order of places."""
-    nothing = _cell(F.lit(-1), F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
+    nothing = _cell(F.lit(-1), F.lit(0), F.lit(0).cast("long"))
 
     def add(state: Column, x: Column) -> Column:
         held = state["held"]
-        both = _cell(x["i"], held["c"] + x["c"], held["k"].bitwiseXOR(x["k"]), held["h"].bitwiseXOR(x["h"]))
-        same, new = F.struct(state["done"].alias("done"), both.alias("held")), F.struct(F.array_append(state["done"], held).alias("done"), x.alias("held"))
-        return F.when(held["i"] == x["i"], same).otherwise(new)
+        same = F.struct(state["done"].alias("done"), _cell(x["i"], held["c"] + x["c"], held["k"].bitwiseXOR(x["k"])).alias("held"))
+        full = F.when((held["c"] != 0) | (held["k"] != 0), F.array_append(state["done"], held)).otherwise(state["done"])
+        return F.when(held["i"] == x["i"], same).otherwise(F.struct(full.alias("done"), x.alias("held")))
 
     begin = F.struct(F.filter(F.array(nothing), lambda x: x["i"] >= 0).alias("done"), nothing.alias("held"))
-    full = lambda x: (x["c"] != 0) | (x["k"] != 0) | (x["h"] != 0)
-    return F.aggregate(F.sort_array(cells), begin, add, lambda s: F.filter(F.array_append(s["done"], s["held"]), full))
+    return F.aggregate(F.sort_array(cells), begin, add, lambda s: F.filter(F.array_append(s["done"], s["held"]), lambda x: (x["c"] != 0) | (x["k"] != 0)))
 
 
 def sketch(digests: Column, level: Column) -> Column:
-    """The cells (place i, count c, xor k of digests, xor h of checks) of a set of digests that aren't empty; 3 << (LEAST_BITS + 2 * level) there are."""
-    return _summed(_entries(F.transform(digests, lambda d: F.struct(F.lit(1).alias("c"), d.alias("k"))), level))
+    """The cells (place i, count c, xor k of digests) of a set of digests that aren't empty; 3 << (LEAST_BITS + 2 * level) there are."""
+    return _summed(_entries(digests, 1, level))
 
 
 def difference(a: Column, b: Column) -> Column:
     """Sketch a less sketch b, of the same level."""
-    return _summed(F.concat(a, F.transform(b, lambda x: _cell(x["i"], -x["c"], x["k"], x["h"]))))
+    return _summed(F.concat(a, F.transform(b, lambda x: _cell(x["i"], -x["c"], x["k"]))))
 
 
 def peeled(cells: Column, level: Column) -> Column:
-    """A struct of ok (all cells could be emptied) and found, the digests (c, k) with 1 for those of the first sketch alone and -1 for those of the second.
+    """A struct of ok (all cells could be emptied), plus and minus, the digests of the first sketch alone and of the second.
 
     A check that is right by chance leaves cells behind that nothing empties, so it ends in a larger sketch and not in a wrong answer.
     """
-    pure = lambda x: (F.abs(x["c"]) == 1) & (_check(x["k"]) == x["h"])
-    state = lambda cells, found, going: F.struct(cells.alias("cells"), found.alias("found"), going.alias("going"))
 
-    def more(s: Column, p: Column) -> Column:
-        taken = _entries(F.transform(p, lambda x: F.struct((-x["c"]).alias("c"), x["k"].alias("k"))), level)
-        return state(F.when(F.size(p) == 0, s["cells"]).otherwise(_summed(F.concat(s["cells"], taken))), F.concat(s["found"], p), F.size(p) > 0)
+    def state(cells: Column, plus: Column, minus: Column, going: Column) -> Column:
+        return F.struct(cells.alias("cells"), plus.alias("plus"), minus.alias("minus"), going.alias("going"))
+
+    def more(s: Column, pure: Column) -> Column:
+        # a pure cell is empty once its digest is taken out, so only the others are summed again
+        places = F.transform(pure, lambda x: x["i"])
+        of = lambda sign: F.array_distinct(F.transform(F.filter(pure, lambda x: x["c"] == sign), lambda x: x["k"]))
+        found = F.struct(of(1).alias("plus"), of(-1).alias("minus"), places.alias("places"))
 
-    def step(s: Column, _: Column) -> Column:
-        digests = F.array_distinct(F.transform(F.filter(s["cells"], pure), lambda x: F.struct(x["c"].alias("c"), x["k"].alias("k"))))
-        return F.when(~s["going"], s).otherwise(let(digests, lambda p: more(s, p)))
+        def without(f: Column) -> Column:
+            taken = F.concat(_entries(f["plus"], -1, level), _entries(f["minus"], 1, level))
+            left = F.filter(F.concat(F.filter(s["cells"], lambda x: ~_pure(x)), taken), lambda x: ~F.array_contains(f["places"], x["i"]))
+            return state(_summed(left), F.concat(s["plus"], f["plus"]), F.concat(s["minus"], f["minus"]), F.lit(True))
 
-    nothing = F.transform(F.filter(cells, lambda x: F.lit(False)), lambda x: F.struct(x["c"].alias("c"), x["k"].alias("k")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state(cells, nothing, F.lit(True)), step, lambda s: F.struct((F.size(s["cells"]) == 0).alias("ok"), s["found"].alias("found")))
+        return F.when(F.size(pure) == 0, state(s["cells"], s["plus"], s["minus"], F.lit(False))).otherwise(let(found, without))
+
+    step = lambda s, _: F.when(~s["going"], s).otherwise(let(F.filter(s["cells"], _pure), lambda pure: more(s, pure)))
+    none = F.array().cast("array<bigint>")
+    end = lambda s: F.struct((F.size(s["cells"]) == 0).alias("ok"), s["plus"].alias("plus"), s["minus"].alias("minus"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state(cells, none, none, F.lit(True)), step, end)
 
 
 def differing(a: Column, b: Column, a_least: Column, b_least: Column) -> Column:
-    """The digests (c, k) of only one of two sets, peeled from the difference of their sketches: the smallest (given) first, then larger ones until one peels. Null if none did."""
+    """The digests that only one of two sets has, as a struct of plus and minus, peeled from the difference of their sketches: the smallest (given) first, then larger ones until one peels. Null if none did.
+
+    A smallest difference that has hardly an empty cell is known to fail, and isn't peeled.
+    """
     total = F.greatest(F.size(a) + F.size(b), F.lit(1))
     first = F.greatest(F.lit(1), F.ceil((F.log2(total / 6) - LEAST_BITS) / 2)).cast("int")
     levels = F.concat(F.array(F.lit(0)), F.sequence(first, first + TRIES - 1))
+    crowded = (3 << LEAST_BITS) - 2
 
     def attempt(s: Column, level: Column) -> Column:
-        of = lambda digests, least: F.when(level == 0, least).otherwise(sketch(digests, level))
-        return F.when(s["ok"], s).otherwise(let(difference(of(a, a_least), of(b, b_least)), lambda cells: peeled(cells, level)))
+        cells = F.when(level == 0, difference(a_least, b_least)).otherwise(_summed(F.concat(_entries(a, 1, level), _entries(b, -1, level))))
+        return F.when(s["ok"], s).otherwise(let(cells, lambda x: F.when((level == 0) & (F.size(x) > crowded), s).otherwise(peeled(x, level))))
 
-    none = F.struct(F.lit(False).alias("ok"), F.array().cast("array<struct<c:int,k:bigint>>").alias("found"))
-    return F.aggregate(levels, none, attempt, lambda s: F.when(s["ok"], s["found"]))
+    none = F.array().cast("array<bigint>")
+    failed = F.struct(F.lit(False).alias("ok"), none.alias("plus"), none.alias("minus"))
+    return F.aggregate(levels, failed, attempt, lambda s: F.when(s["ok"], s))
 
 
 def likeness(a: Column, b: Column, n_differing: Column) -> Column:
@@ -117,8 +131,8 @@ def likeness(a: Column, b: Column, n_differing: Column) -> Column:
 
 
 def written(n: Column, cells: Column) -> Column:
-    """A sketch as text: its number of digests, then place, count, digests and checks of each cell that isn't empty, in hexadecimal digits."""
-    one = lambda x: F.concat_ws(".", F.lower(F.hex(x["i"])), x["c"].cast("string"), F.lower(F.hex(x["k"])), F.lower(F.hex(x["h"])))
+    """A sketch as text: its number of digests, then place, count and digests of each cell that isn't empty, in hexadecimal digits."""
+    one = lambda x: F.concat_ws(".", F.lower(F.hex(x["i"])), x["c"].cast("string"), F.lower(F.hex(x["k"])))
     return F.concat(n.cast("string"), F.lit(":"), F.array_join(F.transform(cells, one), ","))
 
 
@@ -158,8 +172,8 @@ def compared(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """
     x, y = F.col(f"{a}_digests"), F.col(f"{b}_digests")
     rows = rows.withColumn("own_diff", differing(x, y, F.col(f"{a}_cells"), F.col(f"{b}_cells")))
-    only = lambda sign, here, there: F.coalesce(F.transform(F.filter("own_diff", lambda d: d["c"] == sign), lambda d: d["k"]), F.array_except(here, there))
-    rows = rows.withColumns({f"{name}_only_{a}": only(1, x, y), f"{name}_only_{b}": only(-1, y, x)}).drop("own_diff")
+    plus, minus = F.coalesce(F.col("own_diff.plus"), F.array_except(x, y)), F.coalesce(F.col("own_diff.minus"), F.array_except(y, x))
+    rows = rows.withColumns({f"{name}_only_{a}": plus, f"{name}_only_{b}": minus}).drop("own_diff")
     return rows.withColumn(name, likeness(x, y, F.size(f"{name}_only_{a}") + F.size(f"{name}_only_{b}")))
 
 
