@@ -1,8 +1,8 @@
 """Byte-pair encoding: training on a histogram of pre-tokens, encoding and decoding of documents, saved vocabularies.
 
 Counting pre-tokens is distributed. The histogram is much smaller than the corpus and its merges depend on one another, so
-training runs on the driver if the histogram has at most `most_words` rows. A larger one stays a table, of which the
-driver sees the first pairs only; both ways count all pre-tokens and give the same merges. Encoding and
+training runs on the driver if the histogram has at most DRIVER_BYTES of pre-tokens. A larger one is trained on as tables
+(`bpe_index`); both ways count all pre-tokens and give the same merges. Encoding and
 decoding map documents in Arrow batches, without a shuffle; a bounded cache spares each task most of the repeated pre-tokens.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import SPECIALS, pretokens
+from lodestone.operators.bpe_index import train_distributed
 from lodestone.session import remove_table, shared_table
 
 
@@ -57,8 +58,8 @@ class _Latest:
         return self.key > other.key
 
 
-def train(words: dict[bytes, int], n_merges: int, tie: str = "tuple", start: list[list[bytes]] | None = None) -> list[tuple[bytes, bytes]]:
-    """The merges of a histogram. Counts of pairs are kept up to date; a stale entry of the heap is put back with its present count."""
+def train(words: dict, n_merges: int, tie: str = "tuple", start: list[list[bytes]] | None = None) -> list[tuple[bytes, bytes]]:
+    """The merges of a histogram of words; with `start`, of whatever is counted, where it has the tokens of each. Counts of pairs are kept up to date; a stale entry of the heap is put back with its present count."""
     if tie not in ("tuple", "concat"):
         raise ValueError("tie must be tuple or concat")
     symbols = start or [[bytes([b]) for b in w] for w in words]
@@ -107,86 +108,45 @@ def train(words: dict[bytes, int], n_merges: int, tie: str = "tuple", start: lis
     return merges
 
 
-def _safe(pairs: list[tuple[bytes, bytes, int]], more: bool) -> list[tuple[bytes, bytes]]:
-    """The first of the pairs (left, right, count; the best first) that training takes in this order whatever comes between; `more`: the list goes on.
+#: Bytes of pre-tokens, or of spans' tokens, that the driver trains on by itself; in Python they take some 75 times as much.
+DRIVER_BYTES = 2_000_000
 
-    Merges without a token in common leave one another's counts as they are. A pair that a merge makes new is no more
-    frequent than the pair it comes from, which shares a token with the merge. So those before the first that shares
-    a token with an earlier one come next, if they are more frequent than it. A token with itself is merged alone.
-    """
-    used: set[bytes] = set()
-    least = pairs[-1][2] if more else 0
-    n = 0
-    for left, right, count in pairs:
-        if n and (left == right or left in used or right in used):
-            least = count
-            break
-        n += 1
-        if left == right:
-            break
-        used |= {left, right}
-    return [(a, b) for i, (a, b, count) in enumerate(pairs[:n]) if i == 0 or count > least]
-
-
-def _merged(words: DataFrame, merges: list[tuple[bytes, bytes]]) -> DataFrame:
-    """words (symbols, cnt) after merges of pairs without a token in common."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        right_of = dict(merges)
-        for batch in batches:
-            out = []
-            for old in batch.column(0).to_pylist():
-                new, k = [], 0
-                while k < len(old):
-                    if k + 1 < len(old) and right_of.get(old[k]) == old[k + 1]:
-                        new.append(old[k] + old[k + 1])
-                        k += 2
-                    else:
-                        new.append(old[k])
-                        k += 1
-                out.append(new)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.binary())), batch.column(1)], ["symbols", "cnt"])
+def _trained(words: DataFrame, n_merges: int, tie: str, most_bytes: int) -> list[tuple[bytes, bytes]]:
+    """The merges of a histogram (symbols, an array of binary; cnt), on the driver if it is small."""
+    if (words.agg(F.sum(F.aggregate("symbols", F.lit(0).cast("long"), lambda n, s: n + F.octet_length(s)))).first()[0] or 0) > most_bytes:
+        return train_distributed(words, n_merges, tie)
+    rows = [([bytes(s) for s in r["symbols"]], r["cnt"]) for r in words.toLocalIterator()]
+    return train({i: c for i, (_, c) in enumerate(rows)}, n_merges, tie, [s for s, _ in rows])
 
-    return words.mapInArrow(run, "symbols array<binary>, cnt long")
 
+def train_on(docs: DataFrame, n_merges: int, text: str = "text", tie: str = "tuple", most_bytes: int = DRIVER_BYTES) -> Vocabulary:
+    """A vocabulary from a corpus; special tokens in texts aren't counted. Histograms of over `most_bytes` of pre-tokens are trained on as tables."""
+    from lodestone.functions.text import without_marks
+    from lodestone.operators.tokens import pretoken_counts
 
-def train_distributed(counts: DataFrame, n_merges: int, tie: str = "tuple", first: int = 256) -> list[tuple[bytes, bytes]]:
-    """The merges of a histogram table (pretoken, cnt) of any size, as `train` has them. The table is written again after each batch of merges, and the one before it deleted."""
-    from lodestone.operators.tokens import pair_counts
-
-    if tie not in ("tuple", "concat"):
-        raise ValueError("tie must be tuple or concat")
-    order = [F.desc("cnt"), *([F.desc(F.concat("left", "right"))] if tie == "concat" else []), F.desc("left"), F.desc("right")]
+    parts = docs.select(F.explode(without_marks(F.col(text))).alias("text"))
     raw = F.col("pretoken").cast("binary")
     single = F.transform(F.sequence(F.lit(1), F.octet_length("pretoken")), lambda i: F.substring(raw, i, F.lit(1)))
-    words = shared_table(counts.where(F.octet_length("pretoken") > 1).select(single.alias("symbols"), "cnt"), "bpe")
-    merges: list[tuple[bytes, bytes]] = []
-    while len(merges) < n_merges:
-        rows = pair_counts(words, "symbols").orderBy(*order).limit(first).collect()
-        if not rows:
-            break
-        taken = _safe([(bytes(r["left"]), bytes(r["right"]), r["cnt"]) for r in rows], len(rows) == first)[: n_merges - len(merges)]
-        merges += taken
-        if len(merges) < n_merges:
-            before, words = words, shared_table(_merged(words, taken).where(F.size("symbols") > 1), "bpe")
-            remove_table(before)
+    words = shared_table(pretoken_counts(parts).where(F.octet_length("pretoken") > 1).select(single.alias("symbols"), "cnt"), "pretokens")
+    merges = _trained(words, n_merges, tie, most_bytes)
     remove_table(words)
-    return merges
+    return Vocabulary(merges=merges)
 
 
-def train_on(docs: DataFrame, n_merges: int, text: str = "text", tie: str = "tuple", most_words: int = 2_000_000) -> Vocabulary:
-    """A vocabulary from a corpus; special tokens in texts aren't counted. Histograms of over `most_words` rows are trained on as tables."""
-    from lodestone.functions.text import without_marks
-    from lodestone.operators.tokens import pretoken_counts
+def resume(vocabulary: Vocabulary, spans: DataFrame, n_merges: int, tie: str = "tuple", most_bytes: int = DRIVER_BYTES) -> Vocabulary:
+    """The vocabulary with up to `n_merges` more, trained on spans (tokens, an array of its ids; cnt) such as `tokens.boundary_spans` gives; these merges may join tokens across words."""
+    shared = spans.sparkSession.sparkContext.broadcast(vocabulary.tokens())
 
-    parts = docs.select(F.explode(without_marks(F.col(text))).alias("text"))
-    counts = shared_table(pretoken_counts(parts), "pretokens")
-    if counts.count() > most_words:
-        merges = train_distributed(counts, n_merges, tie)
-    else:
-        merges = train({r["pretoken"].encode(): r["cnt"] for r in counts.toLocalIterator()}, n_merges, tie)
-    remove_table(counts)
-    return Vocabulary(merges=merges)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            symbols = [[shared.value[i] for i in row] for row in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(symbols, pa.list_(pa.binary())), batch.column(1)], ["symbols", "cnt"])
+
+    words = shared_table(spans.select("tokens", F.col("cnt").cast("long").alias("cnt")).where(F.size("tokens") > 1).mapInArrow(run, "symbols array<binary>, cnt long"), "spans")
+    merges = _trained(words, n_merges, tie, most_bytes)
+    remove_table(words)
+    return Vocabulary(vocabulary.specials, [*vocabulary.merges, *merges])
 
 
 def encode_word(word: bytes, rank: dict[tuple[bytes, bytes], int]) -> list[bytes]:

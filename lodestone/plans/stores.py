@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import arrays, text
 from lodestone.operators import bpe, evaluation, selection, tokens
+from lodestone.plans.corpus import PIECES_SQL
 from lodestone.plans.registry import Registry
+from lodestone.session import shared_folder
 from lodestone.tables import table
 
 R = Registry()
@@ -132,19 +134,55 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(bpe.encode(docs, vocabulary), vocabulary).select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
 
 
-@R.query()
+def _merging_sql(name: str, start: str, n: int) -> str:
+    """A recursive table of words, written <token><token>.. in hexadecimal digits, with one more merge at each step: the most frequent pair, the greatest of equals."""
+    return f"""{name} AS (SELECT 0 AS step, word, s, cnt, '' AS l, '' AS r FROM ({start})
+UNION ALL SELECT step + 1, word, replace(s, '<' || b.l || '><' || b.r || '>', '<' || b.l || b.r || '>'), cnt, b.l, b.r FROM {name},
+(SELECT l, r FROM (SELECT t[i] AS l, t[i + 1] AS r, cnt FROM (SELECT t, cnt, unnest(range(1, len(t))) AS i FROM (SELECT string_split(s[2:len(s) - 1], '><') AS t, cnt FROM {name})))
+GROUP BY l, r ORDER BY sum(cnt) DESC, l DESC, r DESC LIMIT 1) b WHERE step < {n})"""
+
+
+_WORDS_SQL = f"""SELECT pretoken AS word, regexp_replace(lower(hex(encode(pretoken))), '(..)', '<\\1>', 'g') AS s, count(*) AS cnt
+FROM (SELECT unnest({PIECES_SQL}) AS pretoken FROM documents) GROUP BY pretoken"""
+_BPE = "WITH RECURSIVE " + _merging_sql("w", _WORDS_SQL, 100)
+_STORE_SQL = f"""x AS (SELECT doc_id, unnest(p) AS word, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, {PIECES_SQL} AS p FROM documents)),
+e AS (SELECT word, s FROM w WHERE step = (SELECT max(step) FROM w))"""
+
+
+@R.query(_BPE + " SELECT DISTINCT step - 1 AS rank, upper(l) AS left, upper(r) AS right FROM w WHERE step > 0")
 def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = bpe.train_on(table(spark, sf_dir, "documents"), 100)
     return v.merge_table(spark).select("rank", F.hex("left").alias("left"), F.hex("right").alias("right"))
 
 
-@R.query()
+@R.query(_BPE + f""", {_STORE_SQL}, n AS (SELECT doc_id, sum(len(string_split(s, '><'))) AS n FROM x JOIN e USING (word) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::INTEGER AS n_tokens FROM documents LEFT JOIN n USING (doc_id)""")
 def bpe_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     v = bpe.train_on(docs, 100)
     return bpe.encode(docs, v).select("doc_id", F.size(arrays.checked_tokens(F.col("tokens"))).alias("n_tokens"))
 
 
+_SPANS_SQL = """d AS (SELECT doc_id, string_agg(s, '' ORDER BY i) AS s FROM x JOIN e USING (word) GROUP BY doc_id),
+parts AS (SELECT unnest(string_split(regexp_replace(s, '<((?:[0-9a-f][0-9a-f])*(?:2c|2e|3a)(?:[0-9a-f][0-9a-f])*)>', '|<\\1>', 'g'), '|')) AS s FROM d),
+lists AS (SELECT string_split(s[2:len(s) - 1], '><') AS t FROM parts WHERE contains(s, '><')),
+spans AS (SELECT '<' || array_to_string(t[1:(SELECT floor(quantile_cont(len(t), 0.99))::INTEGER FROM lists)], '><') || '>' AS word, count(*) AS cnt FROM lists GROUP BY 1)"""
+
+
+@R.query(_BPE + f", {_STORE_SQL}, {_SPANS_SQL}, " + _merging_sql("u", "SELECT word, word AS s, cnt FROM spans", 50) + """
+SELECT DISTINCT step - 1 AS rank, upper(l) AS left, upper(r) AS right FROM w WHERE step > 0
+UNION ALL SELECT DISTINCT step + (SELECT max(step) FROM w) - 1, upper(l), upper(r) FROM u WHERE step > 0""")
+def resumed_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """100 merges within words; and, from the saved vocabulary, 50 over spans of tokens between points, commas and colons, cut to the 99th percentile of their lengths."""
+    docs = table(spark, sf_dir, "documents")
+    saved = shared_folder(spark, "vocabulary")
+    bpe.save(spark, bpe.train_on(docs, 100), saved)
+    v = bpe.load(spark, saved)
+    opens = [i for i, t in enumerate(v.tokens()) if set(t) & set(b".,:")]
+    more = bpe.resume(v, tokens.boundary_spans(bpe.encode(docs, v), opens, most_percent=99), 50)
+    return more.merge_table(spark).select("rank", F.hex("left").alias("left"), F.hex("right").alias("right"))
+
+
 @R.query(_FLAT + """, x AS (SELECT *, sum(CASE WHEN token IN (3, 4) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM p),
 y AS (SELECT doc_id, g, string_agg(token, ',' ORDER BY i) AS tokens, count(*) AS n FROM x GROUP BY 1, 2) SELECT tokens, count(*) AS cnt FROM y WHERE n > 1 GROUP BY tokens""")
 def boundary_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

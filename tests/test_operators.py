@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import bpe, evaluation, filters, selection, templates, tokens
+from lodestone.operators import bpe, bpe_index, evaluation, filters, selection, templates, tokens
 from lodestone.sources import readers, writers
 from lodestone.streaming import streams
 
@@ -106,7 +106,7 @@ def test_random_windows_cross_documents(spark):
 
 
 def naive_merges(words, n, tie):
-    words = {tuple(bytes([b]) for b in w): c for w, c in words.items()}
+    words = {w if isinstance(w, tuple) else tuple(bytes([b]) for b in w): c for w, c in words.items()}
     out = []
     for _ in range(n):
         pairs = {}
@@ -151,14 +151,40 @@ def test_bpe_training_over_the_bound_counts_all_words(spark, tie):
     rng = random.Random(7)
     text = [" ".join("".join(rng.choice("aaabcdefghé") for _ in range(rng.randint(1, 7))) for _ in range(40)) for _ in range(6)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "doc_id long, text string")
-    assert bpe.train_on(docs, 30, tie=tie, most_words=3).merges == bpe.train_on(docs, 30, tie=tie).merges
+    assert bpe.train_on(docs, 7, tie=tie, most_bytes=3).merges == bpe.train_on(docs, 7, tie=tie).merges
+
+
+def test_bpe_index_through_compactions(spark, monkeypatch):
+    monkeypatch.setattr(bpe_index, "COMPACT", 2)
+    rng = random.Random(11)
+    words = {"".join(rng.choice("aaabbcdefg") for _ in range(rng.randint(1, 12))).encode(): rng.randint(1, 30) for _ in range(200)}
+    table = spark.createDataFrame([([bytes([b]) for b in w], c) for w, c in words.items()], "symbols array<binary>, cnt long")
+    monkeypatch.setattr(bpe_index, "FOLDER_WORDS", 70)
+    assert bpe_index.train_distributed(table, 10) == bpe.train(words, 10)
+    few = {b"ab": 1, b"b": 4}
+    table = spark.createDataFrame([([bytes([b]) for b in w], c) for w, c in few.items()], "symbols array<binary>, cnt long")
+    assert bpe_index.train_distributed(table, 60) == [(b"a", b"b")]
+    assert bpe_index.train_distributed(table.limit(0), 5) == []
+
+
+def test_bpe_resumed_training_joins_words(spark):
+    docs = spark.createDataFrame([(1, "of the best. of the best of the rest, of the least"), (2, "at the end of the day. of the")], "doc_id long, text string")
+    v = bpe.train_on(docs, 12)
+    store = bpe.encode(docs, v)
+    ends = [i for i, t in enumerate(v.tokens()) if t in (b".", b",")]
+    spans = tokens.boundary_spans(store, ends, most_percent=99)
+    rows = {tuple(v.tokens()[i] for i in r["tokens"]): r["cnt"] for r in spans.collect()}
+    more = bpe.resume(v, spans, 5)
+    assert more.merges[:12] == v.merges and more.merges[12:] == naive_merges(rows, 5, "tuple")
+    assert any(b" " in t.strip() for t in more.tokens()[256 + len(v.specials) :])
+    assert bpe.resume(v, spans, 5, most_bytes=1) == more
 
 
 def test_bpe_merges_that_can_be_taken_at_once():
     pairs = [(b"a", b"b", 9), (b"c", b"d", 8), (b"e", b"f", 7), (b"b", b"c", 7), (b"g", b"h", 6)]
-    assert bpe._safe(pairs, False) == [(b"a", b"b"), (b"c", b"d")]
-    assert bpe._safe([(b"a", b"a", 9), (b"c", b"d", 8)], False) == [(b"a", b"a")]
-    assert bpe._safe([(b"a", b"b", 9), (b"c", b"d", 8)], True) == [(b"a", b"b")]
+    assert bpe_index.safe_batch(pairs, False) == [(b"a", b"b"), (b"c", b"d")]
+    assert bpe_index.safe_batch([(b"a", b"a", 9), (b"c", b"d", 8)], False) == [(b"a", b"a")]
+    assert bpe_index.safe_batch([(b"a", b"b", 9), (b"c", b"d", 8)], True) == [(b"a", b"b")]
 
 
 def test_bpe_encodes_by_rank_and_comes_back(spark):
