@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import mostly_hex
+from lodestone.operators.quantiles import percentile
 from lodestone.operators.tokens import running_start
 from lodestone.session import if_small
 
@@ -76,7 +77,7 @@ def listed_files(files: DataFrame, listing: DataFrame) -> DataFrame:
 def loss_band(df: DataFrame, keep: float = 0.25, loss: str = "loss") -> DataFrame:
     """With t the int(100 * keep)-th percentile of the losses: those under 0.95 t (band 0) and those between 1.5 t and 1.75 t (band 1), NaN and null left out."""
     real = df.where(~F.isnan(loss) & F.col(loss).isNotNull())
-    t = real.agg(F.expr(f"percentile({loss}, {int(keep * 100) / 100})")).scalar()
+    t = F.lit(percentile(real, loss, int(keep * 100) / 100)).cast("double")
     low, high = F.col(loss) < 0.95 * t, (F.col(loss) > 1.5 * t) & (F.col(loss) < 1.75 * t)
     return real.where(low | high).withColumn("band", F.when(F.col(loss) < 0.95 * t, 0).otherwise(1))
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.permutations import shuffled_place
 from lodestone.session import if_small, materialised
 
 
@@ -77,6 +78,18 @@ def hash_shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.withColumn("place", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")))
 
 
+def permuted(df: DataFrame, n: int, seed: int, idx: str = "idx") -> DataFrame:
+    """df, of n rows with dense indices from 0, with `place`: a permutation of the indices as a function of each, so nothing is sorted or moved and nothing passes the driver."""
+    return df.withColumn("place", shuffled_place(F.col(idx), n, seed))
+
+
+def corpus_mixture(tasks: list[DataFrame], seed: int) -> DataFrame:
+    """As `mixture`, for corpora: task, local, ... and place, a keyed permutation of all rows. A task given twice comes twice. The driver has the tasks' sizes alone."""
+    sizes = [t.count() for t in tasks]
+    start = F.element_at(F.array(*[F.lit(sum(sizes[:k])).cast("long") for k in range(len(sizes))]), F.col("task") + 1)
+    return sequence(tasks).withColumn("place", shuffled_place(start + F.col("local"), sum(sizes), seed))
+
+
 def mixture(tasks: list[DataFrame], seed: int = 42) -> DataFrame:
     """The rows (idx, ...) of several tasks, shuffled together: task, local, place. A task given twice comes twice."""
     sizes = [t.count() for t in tasks]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import arrays, text
-from lodestone.operators import evaluation, templates
+from lodestone.operators import evaluation, quantiles, templates
 from lodestone.plans.registry import Registry
 from lodestone.sources import writers
 from lodestone.tables import table
@@ -131,7 +131,17 @@ def checkpoint_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("SELECT o_custkey, round(quantile_cont(o_totalprice, 0.99), 4) AS p99 FROM orders GROUP BY o_custkey")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(F.expr("percentile(o_totalprice, 0.99)"), 4).alias("p99"))
+    return quantiles.percentiles_by(table(spark, sf_dir, "orders"), ["o_custkey"], "o_totalprice", 0.99, "p99").select("o_custkey", F.round("p99", 4).alias("p99"))
+
+
+@R.query("""SELECT l_returnflag, l_linestatus, round(quantile_cont(l_discount, 0.37), 6) AS p37 FROM lineitem GROUP BY ALL
+UNION ALL SELECT '*', '*', round(quantile_cont(CASE WHEN l_linenumber <> 3 THEN l_extendedprice END, 0.905), 6) FROM lineitem""")
+def tied_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of values that repeat much in a few large groups, and of a whole column with nulls."""
+    rows = table(spark, sf_dir, "lineitem")
+    groups = quantiles.percentiles_by(rows, ["l_returnflag", "l_linestatus"], "l_discount", 0.37, "p37").select("l_returnflag", "l_linestatus", F.round("p37", 6).alias("p37"))
+    p = quantiles.percentile(rows.select(F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice")).alias("x")), "x", 0.905)
+    return groups.unionByName(spark.range(1).select(F.lit("*").alias("l_returnflag"), F.lit("*").alias("l_linestatus"), F.round(F.lit(p), 6).alias("p37")))
 
 
 @R.query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r <= 2")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import arrays, text
+from lodestone.functions.permutations import place_sql
 from lodestone.operators import bpe, evaluation, selection, tokens
 from lodestone.plans.corpus import PIECES_SQL
 from lodestone.plans.registry import Registry
@@ -298,6 +299,22 @@ def hashed_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.hash_shuffled(d, "doc_id", 42).orderBy("place", "doc_id").limit(50)
 
 
+@R.query("WITH RECURSIVE r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents), " + place_sql("SELECT idx, (SELECT count(*) FROM documents) AS n FROM r", 17)
+         + " SELECT doc_id, y AS place FROM walk JOIN r USING (idx) WHERE round = 0 AND step > 0 AND y < n")
+def permuted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = selection.indexed(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
+    return selection.permuted(docs, docs.count(), 17).select("doc_id", "place")
+
+
+@R.query("""WITH RECURSIVE r AS (SELECT 0 AS task, row_number() OVER (ORDER BY page_id) - 1 AS local FROM pages UNION ALL SELECT 1, row_number() OVER (ORDER BY s_suppkey) - 1 FROM supplier),
+i AS (SELECT *, local + CASE task WHEN 0 THEN 0 ELSE (SELECT count(*) FROM pages) END AS idx FROM r), """ + place_sql("SELECT idx, (SELECT count(*) FROM r) AS n FROM i", 5)
+         + " SELECT task, local, y AS place FROM walk JOIN i USING (idx) WHERE round = 0 AND step > 0 AND y < n")
+def corpus_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = selection.indexed(table(spark, sf_dir, "pages").select("page_id"), ["page_id"]).select("idx")
+    suppliers = selection.indexed(table(spark, sf_dir, "supplier").select("s_suppkey"), ["s_suppkey"]).select("idx")
+    return selection.corpus_mixture([pages, suppliers], 5).select("task", "local", "place")
+
+
 @R.query()
 def facility_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.facility_location(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
