@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,12 +21,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver go of tables, broadcasts and shuffles that nothing refers to any more; Spark's cleaner waits for a collection to find them."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def let(value: Column, body) -> Column:
     """Evaluate `value` once and use it many times in `body`, a function of a column."""
     return F.element_at(F.transform(F.array(value), body), 1)

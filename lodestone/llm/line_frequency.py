@@ -89,20 +89,21 @@ def _lined(docs: DataFrame, id_col: str, text_col: str, host_col: str, figures:
     ))
 
 
-def _common(lined: DataFrame, min_docs: int, host_share: float) -> DataFrame:
+def _common(lined: DataFrame, min_docs: int, host_share: float, most_docs: int) -> DataFrame:
     """c_host and c_h of the lines above their host's limit.
 
-    Documents are counted, not rows: where an id is there again, its lines are made distinct before they are counted. Ids
-    that repeat are found by an aggregation of the ids alone.
+    Documents are counted, not rows, both of a line and of a host: where an id is there again, its lines are made distinct before they
+    are counted. Ids that repeat are found by an aggregation of the ids alone.
     """
-    limits = lined.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.count("*") * F.lit(host_share)).alias("limit"))
     key = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.col("text_hash").cast("string")), F.col("id").isNull())
     again = if_small(cut(lined.groupBy(key.alias("d")).agg(F.count("*").alias("n")).where("n > 1").select("d")), 8)
     held = lined.select("host", key.alias("d"), F.array_distinct("hs").alias("hs"))
-    once = held.join(again, "d", "left_anti").select("host", F.explode("hs").alias("h"))
-    several = held.join(again, "d", "left_semi").select("host", "d", F.explode("hs").alias("h")).distinct().select("host", "h")
-    spread = once.unionByName(several).groupBy("host", "h").agg(F.count("*").alias("n"))
-    common = spread.where(F.col("n") > min_docs).join(limits.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > F.col("limit"))
+    once, several = held.join(again, "d", "left_anti"), held.join(again, "d", "left_semi")
+    hosts = once.select("host").unionByName(several.select("host", "d").distinct().select("host")).groupBy("host").agg(F.count("*").alias("docs"))
+    limits = hosts.select(F.col("host").alias("of"), F.least(F.greatest(F.lit(float(min_docs)), F.col("docs") * F.lit(host_share)), F.lit(float(most_docs))).alias("limit"))
+    lines = once.select("host", F.explode("hs").alias("h")).unionByName(several.select("host", "d", F.explode("hs").alias("h")).distinct().select("host", "h"))
+    spread = lines.groupBy("host", "h").agg(F.count("*").alias("n"))
+    common = spread.where(F.col("n") > min(min_docs, most_docs)).join(limits, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > F.col("limit"))
     return common.select(F.col("host").alias("c_host"), F.col("h").alias("c_h"))
 
 
@@ -112,9 +113,9 @@ def _marked(lined: DataFrame, common: DataFrame) -> DataFrame:
     return single.join(common, F.col("host").eqNullSafe(F.col("c_host")) & (F.col("x.h") == F.col("c_h")), "left_semi")
 
 
-def _judged(lined: DataFrame, min_docs: int, host_share: float, min_left: float) -> DataFrame:
+def _judged(lined: DataFrame, min_docs: int, host_share: float, most_docs: int, min_left: float) -> DataFrame:
     """`lined` with n_lines, n_common, line_chars, common_chars and depleted."""
-    hits = _marked(lined, _common(lined, min_docs, host_share)).groupBy("r").agg(F.count("*").alias("hit_n"), F.sum("x.c").cast("long").alias("hit_c"))
+    hits = _marked(lined, _common(lined, min_docs, host_share, most_docs)).groupBy("r").agg(F.count("*").alias("hit_n"), F.sum("x.c").cast("long").alias("hit_c"))
     whole = F.aggregate("cs", F.lit(0).cast("long"), lambda a, c: a + c)
     out = lined.join(if_small(cut(hits), 24), "r", "left").withColumns({
         "n_lines": F.size("hs").cast("long"), "n_common": F.coalesce("hit_n", F.lit(0)).cast("long"),
@@ -125,36 +126,36 @@ def _judged(lined: DataFrame, min_docs: int, host_share: float, min_left: float)
 
 def line_frequency(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-    min_docs: int = 20, host_share: float = 0.01, min_left: float = 0.3,
+    min_docs: int = 20, host_share: float = 0.01, most_docs: int = 500, min_left: float = 0.3,
 ) -> DataFrame:
     """Per distinct (document, text, host): id, text_hash, host, n_lines, n_common, line_chars, common_chars, kept.
 
-    A line is common if more than greatest(min_docs, host_share * documents of the host) documents of its host hold
-    it. `kept` is false if less than `min_left` of the characters in lines is left without the common ones.
+    A line is common if more documents of its host hold it than greatest(min_docs, host_share * documents of the host), or
+    than most_docs, however large the host is. `kept` is false if less than `min_left` of the characters in lines is left without the common ones.
 
     Null text is empty and a null host is a host of its own. A text without words has no lines and is not depleted.
-    Rows of one id are one document, however often it is there; rows without an id are one for each text. A host's limit
-    counts rows. A repeated row's result is given once. An empty table gives an empty result. Other columns are ignored,
+    Rows of one id are one document, however often it is there, in the count of a line's documents and of a host's; rows without
+    an id are one for each text. A repeated row's result is given once. An empty table gives an empty result. Other columns are ignored,
     whatever their names.
     """
-    judged = _judged(_lined(docs, id_col, text_col, host_col), min_docs, host_share, min_left)
+    judged = _judged(_lined(docs, id_col, text_col, host_col), min_docs, host_share, most_docs, min_left)
     figures = ["n_lines", "n_common", "line_chars", "common_chars"]
     return judged.select("id", "text_hash", "host", *figures, (~F.col("depleted")).alias("kept")).dropDuplicates(["id", "text_hash", "host"])
 
 
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-    min_docs: int = 20, host_share: float = 0.01, min_left: float = 0.3,
+    min_docs: int = 20, host_share: float = 0.01, most_docs: int = 500, min_left: float = 0.3,
 ) -> DataFrame:
-    """One row per input row: id, the per-text figures, base_failed, kept (false if the text's own rules fail, else the verdict on its lines), n_lines and n_common; see `line_frequency`."""
+    """One row per input row: id, the per-text figures, base_failed, kept (false if the text's own rules fail, else the verdict on its lines), n_lines and n_common; see `line_frequency`. Null texts have no words and fail; repeated rows have equal results; an empty table gives none."""
     rules = text_rules(F.col("text"))
-    judged = _judged(_lined(docs, id_col, text_col, host_col, rules), min_docs, host_share, min_left).withColumn("base_failed", base_failed())
+    judged = _judged(_lined(docs, id_col, text_col, host_col, rules), min_docs, host_share, most_docs, min_left).withColumn("base_failed", base_failed())
     return judged.select(F.col("id").alias(id_col), *rules, "base_failed", (~F.col("base_failed") & ~F.col("depleted")).alias("kept"), "n_lines", "n_common")
 
 
 def without_common_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-    min_docs: int = 20, host_share: float = 0.01, min_left: float = 0.3,
+    min_docs: int = 20, host_share: float = 0.01, most_docs: int = 500, min_left: float = 0.3,
 ) -> DataFrame:
     """Every row of `docs` with the common lines (see `line_frequency`) gone from its text, n_removed (long) and kept, the verdict of `quality_rules`.
 
@@ -163,7 +164,7 @@ def without_common_lines(
     result.
     """
     lined = _lined(docs, id_col, text_col, host_col)
-    gone = _marked(lined, _common(lined, min_docs, host_share)).groupBy("r").agg(F.collect_list("x.i").alias("gone"))
+    gone = _marked(lined, _common(lined, min_docs, host_share, most_docs)).groupBy("r").agg(F.collect_list("x.i").alias("gone"))
     # repeated rows lose the same lines
     gone = cut(lined.select("r", "id", F.col("text_hash").alias("hash"), "host").join(gone, "r").drop("r").dropDuplicates(["id", "hash", "host"]))
     if (gone.agg(F.sum(F.size("gone") * 4 + 96).alias("b")).first()["b"] or 0) <= BROADCAST_BYTES:

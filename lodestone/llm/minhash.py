@@ -12,8 +12,9 @@
    join components. What is left is settled exactly, for buckets of four or more that still hold several components
    (in smaller ones the first two pivots meet every member). Members outside the bucket's largest component are compared
    with all members of that component, once whatever the number of buckets; and with one another, bucket by bucket. Both
-   work on blocks of signatures and sets in numpy: survivors are decided there, and only links come out. So every
-   pair that shares a bucket is either in one component or was decided.
+   work on blocks of signatures in numpy, without sets. Of the pairs that these leave, the likeliest of any two components
+   is decided on full sets first, then all pairs whose components still differ. So every pair that shares a bucket is either
+   in one component or was decided.
 
 Classes are named by 64-bit hashes of their sets. Shuffles carry ids, band hashes, signatures of candidates and sets of
 survivors. Texts move only if the list of classes to verify is over `broadcast_bytes`, a bound on its counted size.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, cut_fitted, release, salted_join, whole_text
+from lodestone.llm.common import cut, cut_fitted, hot_join, if_small, salted_join, whole_text
 from lodestone.llm.components import components
 from lodestone.llm.text_arrays import mix, shingles, slices
 
@@ -171,17 +172,15 @@ def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(p) + len(q) - common)
 
 
-def _compared(met: DataFrame, bands: int, percent: int, limits: list[tuple[int, int]]) -> DataFrame:
-    """Links (u, v) between components in the pairs of blocks (same, band, x, y), lists of structs (node, comp, sig, items).
+def _compared(met: DataFrame, bands: int, limits: list[tuple[int, int]]) -> DataFrame:
+    """Of the pairs of blocks (same, band, x, y), lists of structs (node, comp, sig), the pairs (a, b) of different components that the signatures leave, with m, how many minima they share.
 
-    Of two components a pair of blocks gives one link at most. `same` says that x and y are one block. With a band, a pair
-    is decided only if that is the first band that it shares.
+    `same` says that x and y are one block. With a band, a pair is given only if that is the first band that it shares.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = limits[-1][0]
         for batch in batches:
-            u, v = [], []
             for same, own, p, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 p, q = p.values, q.values
                 (na, ca), (nb, cb) = ((z.field("node").to_numpy(), z.field("comp").to_numpy()) for z in (p, q))
@@ -197,49 +196,61 @@ def _compared(met: DataFrame, bands: int, percent: int, limits: list[tuple[int,
                 if own is not None and len(i):
                     first = (x[i] == y[j]).reshape(len(i), bands, count // bands).all(2).argmax(1) == own
                     i, j, seen = i[first], j[first], seen[first]
-                met, found = (p.field("items"), q.field("items")), set()
-                for k in np.argsort(-seen, kind="stable"):
-                    pair = (ca[i[k]], cb[j[k]])
-                    if pair not in found and _similar(np.frombuffer(met[0][i[k]].as_buffer(), np.uint64), np.frombuffer(met[1][j[k]].as_buffer(), np.uint64), percent):
-                        found.add(pair)
-                        u.append(na[i[k]])
-                        v.append(nb[j[k]])
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                a, b = np.minimum(na[i], nb[j]), np.maximum(na[i], nb[j])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(seen, pa.int64())], ["a", "b", "m"])
 
-    return met.select("same", "band", "x", "y").mapInArrow(run, "u long, v long")
+    return met.select("same", "band", "x", "y").mapInArrow(run, "a long, b long, m long")
 
 
-def _rest(hot: DataFrame, labels: DataFrame, full: DataFrame, bands: int, percent: int, limits: list[tuple[int, int]]) -> DataFrame:
-    """Links (u, v) that the pivots may have missed. `full` has node, sig and items of each class in a bucket."""
+def _rest(hot: DataFrame, labels: DataFrame, classes: DataFrame, bands: int, limits: list[tuple[int, int]]) -> DataFrame:
+    """Pairs (a, b, m) that the pivots may have missed. `classes` has node and sig of each class in a bucket."""
     rows = hot.where("c > 3").select("key", "node").join(labels, "node")
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("x"))
     outside = cut_fitted(salted_join(rows, sizes.where("comps > 1").select("key", F.col("x.comp").alias("major")), "key", F.col("node"), "inner", 8).where("comp <> major"))
-    blob = F.collect_list(F.struct("node", "comp", "sig", "items"))
+    blob = F.collect_list(F.struct("node", "comp", "sig"))
     block = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(n / BLOCK)).cast("int")
 
     # with the largest component: each of its blocks meets the blocks of those outside
     near = outside.select(F.col("major").alias("g"), "node", "comp").distinct()
     few = near.groupBy("g").agg(F.count("*").alias("n"))
     many = labels.join(few.select("g"), F.col("comp") == F.col("g"), "left_semi").groupBy(F.col("comp").alias("g")).agg(F.count("*").alias("of"))
-    left = near.join(few, "g").join(full, "node").groupBy("g", block(F.col("n")).alias("i")).agg(blob.alias("x"))
+    left = near.join(few, "g").join(classes, "node").groupBy("g", block(F.col("n")).alias("i")).agg(blob.alias("x"))
     left = left.join(many, "g").select("g", "x", F.explode(F.sequence(F.lit(0), F.ceil(F.col("of") / BLOCK).cast("int") - 1)).alias("j"))
-    right = labels.join(many, F.col("comp") == F.col("g")).join(full, "node").groupBy("g", block(F.col("of")).alias("j")).agg(blob.alias("y"))
-    first = _compared(left.join(right, ["g", "j"]).select(F.lit(False).alias("same"), F.lit(None).cast("int").alias("band"), "x", "y"), bands, percent, limits)
+    right = labels.join(many, F.col("comp") == F.col("g")).join(classes, "node").groupBy("g", block(F.col("of")).alias("j")).agg(blob.alias("y"))
+    first = _compared(left.join(right, ["g", "j"]).select(F.lit(False).alias("same"), F.lit(None).cast("int").alias("band"), "x", "y"), bands, limits)
 
     # with one another
     several = outside.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n")
-    blobs = salted_join(outside, several, "key", F.col("node"), "inner", 8).join(full, "node").groupBy("key", block(F.col("n")).alias("i")).agg(blob.alias("x"))
+    blobs = salted_join(outside, several, "key", F.col("node"), "inner", 8).join(classes, "node").groupBy("key", block(F.col("n")).alias("i")).agg(blob.alias("x"))
     met = blobs.join(blobs.select("key", F.col("i").alias("j"), F.col("x").alias("y")), "key").where("i <= j")
-    second = _compared(met.select((F.col("i") == F.col("j")).alias("same"), F.col("key").bitwiseAND(0xFFFF).cast("int").alias("band"), "x", "y"), bands, percent, limits)
+    second = _compared(met.select((F.col("i") == F.col("j")).alias("same"), F.col("key").bitwiseAND(0xFFFF).cast("int").alias("band"), "x", "y"), bands, limits)
     return first.unionByName(second)
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) of different components, with these, the lesser first, as ca and cb."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"x{end}"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b").where("xa <> xb")
+    return met.withColumn("ca", F.least("xa", "xb")).withColumn("cb", F.greatest("xa", "xb")).drop("xa", "xb")
+
+
+def _settled(labels: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """labels after the links among the pairs (a, b, m): first the likeliest pair of any two components is decided on full sets, then all pairs of components that are two still."""
+    pairs = cut_fitted(_apart(pairs, labels).groupBy("a", "b", "ca", "cb").agg(F.max("m").alias("m")))
+    if pairs.isEmpty():
+        return labels
+    best = pairs.groupBy("ca", "cb").agg(F.max(F.struct("m", "a", "b")).alias("x")).select("x.a", "x.b")
+    labels = _merge(labels, cut_fitted(_links(cut_fitted(best, SETS), sets, percent)))
+    left = cut_fitted(_apart(pairs.select("a", "b"), labels).join(best, ["a", "b"], "left_anti").select("a", "b"), SETS)
+    return labels if left.isEmpty() else _merge(labels, cut_fitted(_links(left, sets, percent)))
+
+
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (node, comp) after the links (u, v) between nodes."""
     of = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}"))
     joined = components(links.join(of("u"), "u").join(of("v"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
     moved = joined.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-    return cut_fitted(salted_join(labels, moved, "comp", F.col("node"), "left").select("node", F.coalesce("to", "comp").alias("comp")))
+    return cut_fitted(labels.join(if_small(moved, 80), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
 
 
 def near_dedup(
@@ -275,12 +286,12 @@ def near_dedup(
     for pivots in (("p1",), ("p2",), ("p3", "p4")):
         pairs = None
         for pivot in pivots:
-            rows = hot
+            paired = hot
             if pivot in ("p3", "p4"):  # the first by another order
                 order = F.min(F.struct(F.xxhash64("node", F.lit(pivot)).alias("o"), "node"))
                 chosen = hot.where("c > 3").groupBy("key").agg(order.alias("x")).select("key", F.col("x.node").alias(pivot))
-                rows = salted_join(hot.where("c > 3"), chosen, "key", F.col("node"), "inner", 8)
-            one = rows.select(F.least(pivot, "node").alias("a"), F.greatest(pivot, "node").alias("b")).where("a <> b")
+                paired = salted_join(hot.where("c > 3"), chosen, "key", F.col("node"), "inner", 8)
+            one = paired.select(F.least(pivot, "node").alias("a"), F.greatest(pivot, "node").alias("b")).where("a <> b")
             pairs = one if pairs is None else pairs.unionByName(one)
         pairs = pairs.distinct()
         if pivots != ("p1",):
@@ -289,13 +300,12 @@ def near_dedup(
         pairs = cut_fitted(pairs, 10_000)
         links = _links(cut_fitted(_survivors(pairs, classes, count, limits), SETS), sets, percent)
         labels = _merge(labels, cut_fitted(links))
-        release(docs.sparkSession)
-    labels = _merge(labels, cut_fitted(_rest(hot, labels, classes.join(sets, "node"), bands, percent, limits)))
+    labels = _settled(labels, _rest(hot, labels, classes, bands, limits), sets, percent)
 
     named = every.select("id", "t", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "t")).alias("x"))
-    least = least.select("comp", F.col("x.id").alias("least_id"), F.col("x.t").alias("least_t"))
-    out = salted_join(named, least, "comp", F.col("node"), "left").withColumn("component_id", F.coalesce("least_id", "id"))
+    least = named.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "t")).alias("x"), F.count("*").alias("of"))
+    least = cut_fitted(least.select("comp", F.col("x.id").alias("least_id"), F.col("x.t").alias("least_t"), "of"))
+    out = hot_join(named, least, ["comp"], F.col("id"), "left", "of").withColumn("component_id", F.coalesce("least_id", "id"))
     columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")]
     if with_first:
         same = F.col("id").eqNullSafe(F.col("least_id")) & (F.col("t") == F.col("least_t"))

@@ -83,6 +83,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op9_line_dedup, over lines of every length but the empty ones."""
+    from lodestone.llm.line_dedup import line_dedup
+
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=1)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.secret_scan import digest, secret_scan
 
@@ -108,19 +116,19 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_suffix_dedup, op4_media_columns, op5_minhash, op6_quality_knn, op7_toxicity_fm, op8_line_frequency, op8_common_lines_removed, op9_line_dedup, op10_secret_scan, op11_turn_repair, op12_log_reassembly, op13_fingerprints)}
+    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_suffix_dedup, op4_media_columns, op5_minhash, op6_quality_knn, op7_toxicity_fm, op8_line_frequency, op8_common_lines_removed, op9_line_dedup, op9_all_lines, op10_secret_scan, op11_turn_repair, op12_log_reassembly, op13_fingerprints)}
 
 
 _SPACE, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 
-#: Quality rules: figures of each text, and lines that more than greatest(20, 1 %) of the host's documents hold.
+#: Quality rules: figures of each text, and lines that more of the host's documents hold than greatest(20, 1 % of them), or than 500.
 OP8_SQL = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS w FROM documents),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) v(k) GROUP BY doc_id),
 l AS (SELECT doc_id, source, lower(trim(regexp_replace(line, '{_SPACE}+', ' ', 'g'))) AS line FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d)),
-h AS (SELECT source, greatest(20.0, count(*) * 0.01) AS most FROM d GROUP BY source),
+h AS (SELECT source, least(greatest(20.0, count(DISTINCT doc_id) * 0.01), 500.0) AS most FROM d GROUP BY source),
 c AS (SELECT l.source, line FROM l JOIN h USING (source) WHERE line <> '' GROUP BY l.source, line, most HAVING count(DISTINCT doc_id) > most),
 v AS (SELECT doc_id, sum(length(line)) AS total, coalesce(sum(length(line)) FILTER ((source, line) IN (SELECT (source, line) FROM c)), 0) AS common FROM l WHERE line <> '' GROUP BY doc_id),
 b AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
@@ -154,4 +162,4 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (g) AS n_removed, sha256(coa
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query over whole tables in reasonable time; the others are tested against brute force."""
-    return {"op8_line_frequency": OP8_SQL, "op8_common_lines_removed": OP8_REMOVED_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op8_line_frequency": OP8_SQL, "op8_common_lines_removed": OP8_REMOVED_SQL, "op9_line_dedup": OP9_SQL, "op9_all_lines": OP9_SQL.replace("length(line) >= 30", "length(line) >= 1")}

@@ -8,8 +8,9 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from lodestone.llm import text_arrays
+from lodestone.llm import common, text_arrays
 from lodestone.llm.components import components
 from lodestone.llm.features import Terms, Vocabulary
 
@@ -61,8 +62,9 @@ def test_vocabulary_finds_full_hashes_only():
     assert Vocabulary(np.zeros(0, np.uint64)).find(chosen).tolist() == [-1] * 3
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components(spark, seed):
+@pytest.mark.parametrize("seed, short", [(1, 0), (2, 0), (3, 10_000)])
+def test_components(spark, monkeypatch, seed, short):
+    monkeypatch.setattr("lodestone.llm.components.SHORT", short)
     rng = random.Random(seed)
     edges = [(rng.randint(-30, 30), rng.randint(-30, 30)) for _ in range(35)] + [(i, i + 1) for i in range(100, 140)]
     parent = {}
@@ -81,5 +83,14 @@ def test_components(spark, seed):
     assert got == want
 
 
+def test_hot_join_deals_hot_keys_alone(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") < 5000, 1).when(F.col("id") < 5990, F.col("id")).cast("long").alias("k"), F.col("id"))
+    keyed = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("k <> 5500")
+    inner = common.hot_join(rows, keyed, ["k"], F.col("id"), "inner", "n")
+    assert inner.count() == 5989 and inner.where("k = 1 and least = 0").count() == 5000
+    assert common.hot_join(rows, keyed, ["k"], F.col("id"), "left", "n").where("least is null").count() == 11
+    assert common.hot_join(rows, keyed.limit(0), ["k"], F.col("id"), "inner", "n").count() == 0
+
+
 def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([(1, 1)], "u long, v long")).count() == 0

@@ -207,3 +207,17 @@ def test_native(spark):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
     assert F is not None
+
+
+def test_repeated_rows_of_one_document_leave_the_limit_as_it_is(spark):
+    rows = [(i, f"own line {i}\n" + ("shared by a quarter" if i < 25 else f"another {i}"), "h") for i in range(100)]
+    one = (1000, "an unrelated text", "h")
+    for repeats in (0, 1, 3000):
+        found = line_frequency.line_frequency(frame(spark, rows + [one] * repeats))
+        assert found.where("n_common = 1").count() == 25
+
+
+def test_lines_of_many_documents_are_common_in_hosts_of_any_size(spark):
+    rows = [(i, f"own line {i}\n" + ("in sixty" if i < 60 else f"another {i}"), "h") for i in range(8000)]
+    assert line_frequency.line_frequency(frame(spark, rows), most_docs=50).where("n_common = 1").count() == 60
+    assert line_frequency.line_frequency(frame(spark, rows)).where("n_common = 1").count() == 0
