@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import numbers, text
 from lodestone.operators import filters, templates, tokens
 from lodestone.plans.registry import Registry
+from lodestone.session import shared_folder
 from lodestone.streaming import streams
 from lodestone.tables import table
 
@@ -57,10 +56,10 @@ def pretoken_counts_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(f"SELECT pretoken, count(*) AS cnt FROM (SELECT unnest({PIECES_SQL}) AS pretoken FROM documents) GROUP BY pretoken")
 def pretoken_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = streams.table_stream(spark, f"{sf_dir}/documents.parquet")
-    name = f"pretokens_{uuid.uuid4().hex}"
-    streams.running_counts(docs).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """Counted batch by batch into a table, from which they are added up."""
+    to = shared_folder(spark, "counts")
+    streams.write_counts(streams.table_stream(spark, f"{sf_dir}/documents.parquet"), f"{to}/out", f"{to}/progress").awaitTermination()
+    return streams.counts_so_far(spark, f"{to}/out")
 
 
 @R.query(f"SELECT source, sum(len({PIECES_SQL}))::BIGINT AS n_tokens FROM documents GROUP BY source")
@@ -180,12 +179,14 @@ def message_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query("""
-SELECT conv_id, concat_ws(',', CASE WHEN max(length(text)) > 4000 THEN 'message_chars' END, CASE WHEN sum(length(text)) > 8000 THEN 'total_chars' END,
+SELECT conv_id, concat_ws(',', CASE WHEN min(length(text)) = 0 THEN 'empty_message' END, CASE WHEN max(length(text)) > 4000 THEN 'message_chars' END, CASE WHEN sum(length(text)) > 8000 THEN 'total_chars' END,
   CASE WHEN bool_or(role NOT IN ('user', 'assistant')) THEN 'role' END, CASE WHEN conv_id % 5 > 2 THEN 'temperature' END,
   CASE WHEN conv_id % 7 = 0 THEN 'top_k' END, CASE WHEN (conv_id % 11) * 500 NOT BETWEEN 1 AND 2048 THEN 'max_tokens' END) AS faults
-FROM conversations GROUP BY conv_id HAVING min(length(text)) > 0""")
+FROM (SELECT conv_id, role, CASE WHEN conv_id % 9 = 4 AND turn = 1 THEN '' ELSE text END AS text FROM conversations) GROUP BY conv_id""")
 def request_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = templates.conversations(table(spark, sf_dir, "conversations")).where(~F.exists("messages", lambda m: F.length(m["content"]) == 0))
+    """Of all conversations, some with a message emptied."""
+    rows = table(spark, sf_dir, "conversations")
+    c = templates.conversations(rows.withColumn("text", F.when((F.col("conv_id") % 9 == 4) & (F.col("turn") == 1), "").otherwise(F.col("text"))))
     faults = filters.request_faults(F.col("messages"), (F.col("conv_id") % 5).cast("double"), (F.col("conv_id") % 7).cast("int"), (F.col("conv_id") % 11 * 500).cast("int"))
     return c.select("conv_id", F.array_join(faults, ",").alias("faults"))
 

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import io
 import json
-import tarfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import END_OF_TEXT
-from lodestone.operators import bpe, evaluation, templates, tokens
+from lodestone.operators import bpe, evaluation, selection, templates, tokens
 from lodestone.plans.registry import Registry
-from lodestone.session import ensure_checkpoint_dir
-from lodestone.sources import readers, writers
+from lodestone.session import shared_folder
+from lodestone.sources import ranges, readers, writers
 from lodestone.streaming import streams
 from lodestone.tables import table
 
@@ -22,12 +19,6 @@ R = Registry()
 _TEXTS = "SELECT doc_id, md5(text) AS h FROM documents"
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new place in the folder that driver and executors share."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
 def _files(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
@@ -56,7 +47,7 @@ def _hashed(df: DataFrame) -> DataFrame:
 
 @R.query(_TEXTS)
 def discovered_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    to = _folder(spark, "lines")
+    to = shared_folder(spark, "lines")
     table(spark, sf_dir, "documents").select("doc_id", "text").write.option("compression", "gzip").json(to)
     _named(spark, to, ".jsonl.gz")
     return _hashed(readers.documents(spark, to))
@@ -65,7 +56,7 @@ def discovered_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(_TEXTS)
 def discovered_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parquet in folders at two depths, beside JSON lines that it takes precedence over."""
-    to, docs = _folder(spark, "mixed"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    to, docs = shared_folder(spark, "mixed"), table(spark, sf_dir, "documents").select("doc_id", "text")
     docs.where("doc_id % 2 = 0").write.parquet(f"{to}/a")
     docs.where("doc_id % 2 = 1").write.parquet(f"{to}/b/c")
     _put(spark, f"{to}/z.jsonl.gz", b"")
@@ -74,7 +65,7 @@ def discovered_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("SELECT conv_id AS index, count(*) AS n, md5(string_agg(role || text, '' ORDER BY turn)) AS h, 'out' || conv_id AS output FROM conversations GROUP BY conv_id")
 def sft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    to, c = _folder(spark, "sft"), templates.conversations(table(spark, sf_dir, "conversations"))
+    to, c = shared_folder(spark, "sft"), templates.conversations(table(spark, sf_dir, "conversations"))
     writers.write_lines(c.select(F.col("conv_id").alias("index"), F.struct("messages").alias("input"), F.concat(F.lit("out"), "conv_id").alias("output")), to)
     said = F.array_join(F.transform("input.messages", lambda m: F.concat(m["role"], m["content"])), "")
     return readers.sft_rows(spark, to).select("index", F.size("input.messages").cast("long").alias("n"), F.md5(said.cast("binary")).alias("h"), "output")
@@ -82,79 +73,115 @@ def sft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("SELECT md5(text) AS h, count(*) AS n FROM documents WHERE text <> '' GROUP BY 1")
 def delimited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    to = _folder(spark, "delimited")
+    to = shared_folder(spark, "delimited")
     table(spark, sf_dir, "documents").select("text").write.option("lineSep", END_OF_TEXT).text(to)
     return readers.delimited_text(spark, to).groupBy(F.md5(F.col("text").cast("binary")).alias("h")).agg(F.count("*").alias("n"))
 
 
-@R.query("SELECT substr(string_agg(c_name, chr(10) ORDER BY c_custkey), 101, 900) AS text FROM customer")
+@R.query("SELECT md5(text) AS h, count(*) AS n FROM documents WHERE text <> '' GROUP BY 1")
+def delimited_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files are cut in ranges of a few kilobytes, so documents cross many of them."""
+    to = shared_folder(spark, "ranges")
+    table(spark, sf_dir, "documents").select("text").write.option("lineSep", END_OF_TEXT).text(to)
+    return ranges.delimited(spark, to, range_bytes=50_000).groupBy(F.md5(F.col("text").cast("binary")).alias("h")).agg(F.count("*").alias("n"))
+
+
+@R.query("SELECT doc_id % 40 AS part, md5(substr(string_agg(regexp_replace(text, '[^\\x00-\\x7f]', '?', 'g') || '<|endoftext|>', '' ORDER BY doc_id), 101, 800)) AS h FROM documents GROUP BY 1")
 def byte_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    to = _folder(spark, "bytes")
-    table(spark, sf_dir, "customer").orderBy("c_custkey").coalesce(1).select("c_name").write.text(to)
-    return readers.byte_range(spark, f"{to}/*.txt", 100, 1000).select("text")
+    """Bytes 100 to 900 of forty files of all documents."""
+    to, docs = shared_folder(spark, "bytes"), table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    rows = docs.select((F.col("doc_id") % 40).alias("part"), "doc_id", F.regexp_replace("text", r"[^\x00-\x7f]", "?").alias("text"))
+    rows.repartition(40, "part").sortWithinPartitions("part", "doc_id").drop("doc_id").write.partitionBy("part").option("lineSep", END_OF_TEXT).text(to)
+    got = ranges.byte_range(spark, to, 100, 900)
+    return got.select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part"), F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+@R.query(_TEXTS + " WHERE doc_id % 5 > 0 UNION ALL SELECT count(*), 'EOFError: the file ends in the middle of its compressed data' FROM (SELECT 1)")
+def quarantined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by the id modulo 5, one of which is cut off: its error is told, and all rows of the others are there."""
+    to, docs = shared_folder(spark, "quarantine"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs.where("doc_id % 5 > 0").write.option("compression", "gzip").json(f"{to}/whole")
+    docs.where("doc_id % 5 = 0").coalesce(1).write.option("compression", "gzip").json(f"{to}/cut")
+    where, fs = _files(spark, f"{to}/cut")
+    name = next(f.getPath().getName() for f in fs.listStatus(where) if f.getPath().getName().startswith("part-"))
+    head = spark.read.format("binaryFile").load(f"{to}/cut/{name}").select(F.expr("substring(content, 1, length(content) div 2)")).first()[0]
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(where, name), False)
+    _put(spark, f"{to}/cut/half.json.gz", bytes(head))
+    rows, faults = ranges.json_lines(spark, to, "doc_id long, text string", ".json.gz")
+    return _hashed(rows).unionByName(faults.select(F.count("*").over(Window.partitionBy("source_path")).alias("doc_id"), F.col("error").alias("h")))
+
+
+@R.query("SELECT doc_id, len(string_split(text, ' '))::INTEGER AS n, md5(array_to_string(list_transform(string_split(text, ' '), lambda x: length(x)), ',')) AS h FROM documents")
+def token_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as arrays with offsets by several tasks, and the documents put together again from slices and offsets."""
+    to = shared_folder(spark, "arrays")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", " "), F.length).alias("tokens"))
+    docs = selection.in_ranges(docs, ["doc_id"], "part", "own")
+    ranges.write_token_arrays(docs, to, file_tokens=20_000)
+    name = F.regexp_extract("file", r"(?:offsets_)?([0-9-]+)\.npy$", 1)
+    slices = ranges.token_arrays(spark, to, 1000).select(name.alias("name"), "start", "tokens")
+    ends = ranges.offset_arrays(spark, to).select(name.alias("name"), F.posexplode(F.arrays_zip(F.col("offsets").alias("a"), F.slice("offsets", F.lit(2), F.size("offsets")).alias("b"))).alias("nth", "x"))
+    ends = ends.where("x.b IS NOT NULL").select("name", "nth", "x.a", "x.b").withColumn("block", F.explode(F.sequence(F.expr("a div 1000"), F.expr("greatest(a, b - 1) div 1000"))))
+    met = ends.join(slices.withColumn("block", F.expr("start div 1000")), ["name", "block"])
+    low = F.greatest(F.col("a") - F.col("start"), F.lit(0)).cast("int")
+    part = F.slice("tokens", low + 1, F.greatest(F.least(F.col("b") - F.col("start"), F.size("tokens")).cast("int") - low, F.lit(0)))
+    whole = met.groupBy("name", "nth").agg(F.flatten(F.array_sort(F.collect_list(F.struct("start", part.alias("t")))).getField("t")).alias("tokens"))
+    order = selection.indexed(whole, ["name", "nth"], "place").join(selection.indexed(docs.select("doc_id"), ["doc_id"], "place"), "place")
+    return order.select("doc_id", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", ",").cast("binary")).alias("h"))
 
 
 @R.query("SELECT doc_id, md5(text) AS h, source FROM documents")
 def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with newlines, quotes and commas."""
-    to, docs = _folder(spark, "csv"), table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    to, docs = shared_folder(spark, "csv"), table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     docs.write.option("header", "true").option("escape", '"').option("quoteAll", "true").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(to)
     got = readers.csv_rows(spark, to, docs.schema)
     return got.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h"), "source")
 
 
-@R.query("SELECT 'r' || n_regionkey AS root, 'd/' || n_name || '.txt' AS path, n_name || chr(10) AS text FROM nation")
+@R.query("SELECT 'r' || doc_id % 7 AS root, 'd/' || doc_id || '.txt' AS path, md5(text) AS h FROM documents WHERE text IS NOT NULL")
 def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An archive for each region, a file for each nation, and one file in each that is no text."""
-    to, by = _folder(spark, "archives"), {}
-    for r in table(spark, sf_dir, "nation").collect():
-        by.setdefault(r["n_regionkey"], []).append(r["n_name"])
-    for region, names in by.items():
-        raw = io.BytesIO()
-        with tarfile.open(fileobj=raw, mode="w:gz") as tar:
-            for folder in (f"r{region}", f"r{region}/d"):
-                entry = tarfile.TarInfo(folder)
-                entry.type = tarfile.DIRTYPE
-                tar.addfile(entry)
-            for name, content in [*[(f"{n}.txt", f"{n}\n".encode()) for n in names], ("image", b"\xff\xfe\x00")]:
-                entry = tarfile.TarInfo(f"r{region}/d/{name}")
-                entry.size = len(content)
-                tar.addfile(entry, io.BytesIO(content))
-        _put(spark, f"{to}/{region}.tar.gz", raw.getvalue())
-    return readers.archives(spark, to).select("root", "path", "text")
+    """Seven archives of documents, packed by tasks, with a file in each that is no text."""
+    to = shared_folder(spark, "archives")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select((F.col("doc_id") % 7).alias("archive"), F.concat(F.lit("d/"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
+    extra = spark.range(7).select(F.col("id").alias("archive"), F.lit("d/image").alias("path"), F.unhex(F.lit("fffe00")).alias("content"))
+    writers.write_archives(docs.unionByName(extra).withColumn("root", F.concat(F.lit("r"), "archive")), to, "archive")
+    return ranges.archives(spark, to).select("root", "path", F.md5(F.col("text").cast("binary")).alias("h"))
 
 
 @R.query("SELECT o_custkey % 5 AS shard, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1")
 def record_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON lines with blank ones between."""
-    to = _folder(spark, "records")
+    to = shared_folder(spark, "records")
     rows = writers.as_json(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
     rows.select(F.concat("value", F.when(F.hash("value") % 3 == 0, "\n\n").otherwise("")).alias("value")).write.option("compression", "gzip").text(to)
     got = spark.read.schema("o_orderkey long, o_custkey long").json(to)
     return got.groupBy((F.col("o_custkey") % 5).alias("shard")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
-@R.query("SELECT replace(n_name, ' ', '-') || '_' || n_nationkey AS task_id, 'x = ' || n_nationkey || chr(10) || 'y = 1' || chr(10) AS solution, replace(n_name, ' ', '-') || '_' || n_nationkey || '/0.py' AS identifier FROM nation")
+@R.query("SELECT 'p' || p_partkey % 100 AS task_id, 'x = ' || p_partkey || chr(10) AS solution, 'p' || p_partkey % 100 || '/' || p_partkey || '.py' AS identifier FROM part")
 def solution_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    to = _folder(spark, "solutions")
-    for r in table(spark, sf_dir, "nation").collect():
-        _put(spark, f"{to}/{r['n_name'].replace(' ', '-')}_{r['n_nationkey']}/0.py", f"x = {r['n_nationkey']}\ny = 1\n".encode())
+    """A folder for each task and a file for each solution, written by the executors."""
+    to = shared_folder(spark, "solutions")
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey") % 100).alias("folder"), F.concat(F.col("p_partkey"), F.lit(".py")).alias("name"), F.concat(F.lit("x = "), "p_partkey", F.lit("\n")).alias("content"))
+    writers.write_files(rows, to)
     return readers.solutions(spark, to)
 
 
-@R.query("SELECT 'T/' || c_custkey AS task_id, c_name AS completion, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer")
+@R.query("SELECT 'T/' || c_custkey AS task_id, c_name AS completion, row_number() OVER (PARTITION BY c_custkey % 3 ORDER BY c_custkey) - 1 AS place FROM customer")
 def solution_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    to = _folder(spark, "samples")
-    rows = table(spark, sf_dir, "customer").orderBy("c_custkey").coalesce(1)
-    writers.write_lines(rows.select(F.concat(F.lit("T/"), "c_custkey").alias("task_id"), F.col("c_name").alias("completion")), to)
-    got = readers.solutions_file(spark, to)
+    """Three files, each with places of its own."""
+    to, rows = shared_folder(spark, "samples"), table(spark, sf_dir, "customer")
+    rows = rows.select(F.concat(F.lit("T/"), "c_custkey").alias("task_id"), F.col("c_name").alias("completion"), (F.col("c_custkey") % 3).alias("f"), "c_custkey")
+    rows.repartition(3, "f").sortWithinPartitions("f", "c_custkey").drop("c_custkey").write.partitionBy("f").json(to)
+    got = readers.solutions_file(spark, f"{to}/*/*.json")
     return got.select("task_id", "completion", F.substring_index("identifier", ":", -1).cast("long").alias("place"))
 
 
 @R.query("""SELECT label, task_type, num_fewshot, count(*) AS n, b::DOUBLE AS baseline FROM (SELECT 'even' AS label, 'multiple_choice' AS task_type, 10 AS num_fewshot, 25.0 AS b, item_id FROM benchmark WHERE item_id % 2 = 0
 UNION ALL SELECT 'odd', 'language_modeling', 0, 0.0, item_id FROM benchmark WHERE item_id % 2 = 1) GROUP BY ALL""")
 def evaluation_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    to, b = _folder(spark, "bundle"), table(spark, sf_dir, "benchmark")
+    to, b = shared_folder(spark, "bundle"), table(spark, sf_dir, "benchmark")
     for k, name in enumerate(("even", "odd")):
         writers.write_lines(b.where(F.col("item_id") % 2 == k), f"{to}/data/{name}.jsonl")
     config = "icl_tasks:\n- label: even\n  dataset_uri: even.jsonl\n  num_fewshot: [10]\n  icl_task_type: multiple_choice\n- label: odd\n  dataset_uri: odd.jsonl\n  num_fewshot: [0]\n  icl_task_type: language_modeling\n"
@@ -167,7 +194,7 @@ def evaluation_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("SELECT item_id, md5(text) AS h FROM benchmark WHERE item_id % 3 = 0")
 def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    to, b = _folder(spark, "sets"), table(spark, sf_dir, "benchmark")
+    to, b = shared_folder(spark, "sets"), table(spark, sf_dir, "benchmark")
     b.where("item_id % 3 > 0").write.parquet(f"{to}/items/train")
     b.where("item_id % 3 = 0").write.parquet(f"{to}/items/test")
     return readers.split(spark, to, "items", "test").select("item_id", F.md5(F.col("text").cast("binary")).alias("h"))
@@ -175,7 +202,7 @@ def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("SELECT doc_id, len(string_split(text, ' '))::INTEGER AS n_tokens, list_sum(list_transform(string_split(text, ' '), lambda x: length(x)))::BIGINT AS total FROM documents")
 def token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    to = _folder(spark, "store")
+    to = shared_folder(spark, "store")
     writers.write_tokens(table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", " "), F.length).alias("tokens")), to)
     return spark.read.parquet(to).select("doc_id", "n_tokens", F.aggregate("tokens", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
@@ -184,7 +211,7 @@ def token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT source, doc_id, len(string_split(text, ' ')) AS n FROM documents)) WHERE b <= CASE source WHEN 'src0' THEN 5000 WHEN 'src3' THEN 700 ELSE -1 END""")
 def data_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Budgets by source from a JSON file, over a token store with a folder for each source."""
-    to = _folder(spark, "mix")
+    to = shared_folder(spark, "mix")
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.transform(F.split("text", " "), F.length).alias("tokens"))
     docs.write.partitionBy("source").parquet(f"{to}/store")
     _put(spark, f"{to}/mix.json", json.dumps({"src0": 5000, "src3": 700}, indent=1).encode())
@@ -195,16 +222,16 @@ def data_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("SELECT rows, count(*) AS files FROM (SELECT least(70, n - 70 * i) AS rows FROM (SELECT count(*) AS n FROM documents), range(0, 100000) t(i) WHERE 70 * i < n) GROUP BY 1")
 def written_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From one partition, so that only the last shard is short."""
-    to = _folder(spark, "shards")
-    writers.write_shards(table(spark, sf_dir, "documents").coalesce(1), to, 70)
+    """By several tasks; only the last shard is short."""
+    to = shared_folder(spark, "shards")
+    writers.write_full_shards(table(spark, sf_dir, "documents"), to, 70, ["doc_id"])
     return spark.read.parquet(to).groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("rows")).groupBy("rows").agg(F.count("*").alias("files"))
 
 
 @R.query("SELECT source, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY source")
 def resumed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some sources are written, then the run starts again: what is there is left out, the rest is written, and one source replaced."""
-    to, docs = _folder(spark, "resumed"), table(spark, sf_dir, "documents").select("source", "doc_id")
+    to, docs = shared_folder(spark, "resumed"), table(spark, sf_dir, "documents").select("source", "doc_id")
     writers.write_by_source(docs.where("source in ('src0', 'src1')"), to, "source")
     writers.write_by_source(docs.where("source = 'src1'"), to, "source")
     writers.write_by_source(writers.resumed(docs, spark.read.parquet(to), "source"), to, "source")
@@ -214,7 +241,7 @@ def resumed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query("SELECT doc_id % 4 AS part, count(*) AS n FROM documents GROUP BY 1")
 def growing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of a growing store; the second is written again after a run that stopped half-way."""
-    to, docs = _folder(spark, "growing"), table(spark, sf_dir, "documents").select("doc_id")
+    to, docs = shared_folder(spark, "growing"), table(spark, sf_dir, "documents").select("doc_id")
     writers.append_batch(docs.where("doc_id % 4 = 1 and doc_id % 3 = 0"), to, 1)
     for k in range(4):
         writers.append_batch(docs.where(F.col("doc_id") % 4 == k), to, k)
@@ -231,27 +258,39 @@ def result_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(_TEXTS)
 def saved_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded by a vocabulary, decoded by what was saved of it."""
-    to, docs = _folder(spark, "vocabulary"), table(spark, sf_dir, "documents")
+    to, docs = shared_folder(spark, "vocabulary"), table(spark, sf_dir, "documents")
     v = bpe.train_on(docs, 60)
     bpe.save(spark, v, to)
     return _hashed(bpe.decode(bpe.encode(docs, v), bpe.load(spark, to)))
 
 
+def _arriving(spark: SparkSession, sf_dir: str, to: str, files: int = 3) -> DataFrame:
+    """The documents as a stream of several files, one at a time."""
+    docs = table(spark, sf_dir, "documents")
+    for k in range(files):
+        docs.where(F.pmod(F.col("doc_id"), F.lit(files)) == k).coalesce(1).write.mode("append").parquet(f"{to}/in")
+    return streams.document_stream(spark, f"{to}/in", docs.schema, 1)
+
+
 @R.query(_TEXTS)
 def encoded_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents encoded as they arrive, and decoded from the sink."""
-    docs = streams.table_stream(spark, f"{sf_dir}/documents.parquet")
+    """Documents encoded as they arrive. The query is stopped after its first batch and started again on its checkpoint; the tokens that its sink has then are decoded."""
+    to = shared_folder(spark, "encoded")
     v = bpe.train_on(table(spark, sf_dir, "documents"), 60)
-    name = f"encoded_{uuid.uuid4().hex}"
-    bpe.encode(docs, v).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return _hashed(bpe.decode(spark.table(name), v))
+    rows = bpe.encode(_arriving(spark, sf_dir, to), v)
+    streams.stopped_after_a_batch(streams.write_table(rows, f"{to}/out", f"{to}/progress", all_now=False))
+    streams.write_table(rows, f"{to}/out", f"{to}/progress").awaitTermination()
+    return _hashed(bpe.decode(spark.read.parquet(f"{to}/out"), v))
 
 
-@R.query("SELECT source, count(*) AS n FROM documents GROUP BY source")
+@R.query("SELECT rows, count(*) AS shards, sum(ids)::BIGINT AS ids FROM (SELECT count(*) AS rows, sum(doc_id) AS ids FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id % 3, doc_id) - 1) // 64 AS shard FROM documents) GROUP BY shard) GROUP BY rows")
 def streamed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    to = _folder(spark, "streamed")
-    streams.write_shards(streams.table_stream(spark, f"{sf_dir}/documents.parquet"), f"{to}/out", f"{to}/progress", 64).awaitTermination()
-    return spark.read.parquet(f"{to}/out").groupBy("source").agg(F.count("*").alias("n"))
+    """Three batches; rows that don't fill a shard wait for the next, and only the last shard of all is short."""
+    to, docs = shared_folder(spark, "streamed"), table(spark, sf_dir, "documents")
+    streams.write_shards(_arriving(spark, sf_dir, to), f"{to}/out", f"{to}/progress", 64, ["doc_id"]).awaitTermination()
+    streams.close_shards(spark, f"{to}/out", docs.schema)
+    sizes = streams.shards(spark, f"{to}/out").groupBy("shard").agg(F.count("*").alias("rows"), F.sum("doc_id").alias("ids"))
+    return sizes.groupBy("rows").agg(F.count("*").alias("shards"), F.sum("ids").alias("ids"))
 
 
 @R.query("SELECT c_custkey, CASE WHEN c_custkey % 4 > 0 THEN c_name END AS name, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 2 = 0 END AS even FROM customer")

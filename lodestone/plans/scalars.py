@@ -142,29 +142,30 @@ def without_leading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.without_leading(t, "<|bos|>").alias("t"))
 
 
-_T = "SELECT unnest(generate_series(0, 1200)) AS t"
+# each event stands for a step of a training run of 1201 steps
+_T = "SELECT event_id, event_id % 1201 AS t FROM events"
 
 
-@R.query(f"""SELECT t, round(CASE WHEN t < 100 THEN t / 100 * 0.02 WHEN t < 1000 THEN 0.001 + 0.5 * (1 + cos((t - 100) / 900 * pi())) * 0.019 ELSE 0.001 END, 9) AS cosine,
+@R.query(f"""SELECT event_id, t, round(CASE WHEN t < 100 THEN t / 100 * 0.02 WHEN t < 1000 THEN 0.001 + 0.5 * (1 + cos((t - 100) / 900 * pi())) * 0.019 ELSE 0.001 END, 9) AS cosine,
 round(CASE WHEN t < 50 THEN 0 WHEN t < 150 THEN (t - 50) / 100 * 0.02 ELSE 0.02 END, 9) AS stable, round(0.001 + (1 - sqrt(t / 1200)) * 0.019, 9) AS decay,
 round(CASE WHEN t < 100 THEN t / 100 * 0.02 ELSE 0.02 * pow(2, -((t >= 300)::INT + (t >= 700)::INT) / 2) END, 9) AS seesaw, round(0.85 + least(greatest(t, 1), 300) / 300 * (0.95 - 0.85), 9) AS momentum FROM ({_T})""")
 def rate_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("t")
     r = lambda c: F.round(c, 9)
-    return spark.range(1201).select(F.col("id").alias("t")).select(
-        "t", r(numbers.cosine_rate(t, 0.02, 0.001, 100, 1000)).alias("cosine"), r(numbers.stable_rate(t, 0.02, 50, 100)).alias("stable"),
+    return table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 1201).alias("t")).select(
+        "event_id", "t", r(numbers.cosine_rate(t, 0.02, 0.001, 100, 1000)).alias("cosine"), r(numbers.stable_rate(t, 0.02, 50, 100)).alias("stable"),
         r(numbers.decay_rate(t, 0.02, 0.001, 0, 1200)).alias("decay"), r(numbers.seesaw_rate(t, 0.02, 100, [300, 700])).alias("seesaw"),
         r(numbers.momentum(t, 0.95)).alias("momentum"),
     )
 
 
-@R.query(f"""SELECT t, round((6.0 * {numbers.parameters(12, 768, 2048, 32000)} + 12 * 12 * 12 * 64 * 1024) * (384 * 1024 / (1 + t / 100)) / {numbers.PEAK[8]}, 9) AS mfu, t * 384 * 1024 AS tokens,
+@R.query(f"""SELECT event_id, t, round((6.0 * {numbers.parameters(12, 768, 2048, 32000)} + 12 * 12 * 12 * 64 * 1024) * (384 * 1024 / (1 + t / 100)) / {numbers.PEAK[8]}, 9) AS mfu, t * 384 * 1024 AS tokens,
 (100 // 7 + (CASE WHEN t % 7 < 100 % 7 THEN 1 ELSE 0 END))::INTEGER AS local_batch FROM ({_T})""")
 def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("t")
     params = numbers.parameters(12, 768, 2048, 32000)
     mfu = numbers.utilisation(1 + t / 100, 384, 1024, params, 12, 12, 64, 8)
-    return spark.range(1201).select(F.col("id").alias("t")).select("t", F.round(mfu, 9).alias("mfu"), (t * 384 * 1024).alias("tokens"), numbers.local_batch(100, 7, t % 7).alias("local_batch"))
+    return table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 1201).alias("t")).select("event_id", "t", F.round(mfu, 9).alias("mfu"), (t * 384 * 1024).alias("tokens"), numbers.local_batch(100, 7, t % 7).alias("local_batch"))
 
 
 @R.query("SELECT l_orderkey, l_linenumber, abs(l_extendedprice - l_quantity * round(l_extendedprice / l_quantity, 6)) <= greatest(1e-7 * greatest(abs(l_extendedprice), abs(l_quantity * round(l_extendedprice / l_quantity, 6))), 0.0) AS close FROM lineitem")

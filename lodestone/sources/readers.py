@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.text import END_OF_TEXT, repaired_utf8
-from lodestone.operators.selection import indexed
+from lodestone.operators.tokens import running_start
 
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 SFT_ROW = T.StructType([
@@ -23,10 +19,6 @@ SFT_ROW = T.StructType([
 ])
 
 
-#: Bytes of unpacked text in one frame.
-FRAME_BYTES = 16 << 20
-
-
 def _names(spark: SparkSession, folder: str, pattern: str, deep: bool) -> list[str]:
     """Names of the files below a folder that match; by Spark's own listing, which only reads names."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
@@ -42,7 +34,7 @@ def discover(spark: SparkSession, folder: str) -> tuple[str, list[str]]:
 
 
 def documents(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> DataFrame:
-    """Documents of a folder with source_path, where each row came from. Corrupt compressed files are passed over, one by one."""
+    """Documents of a folder with source_path, where each row came from. Corrupt compressed files are passed over, one by one; `ranges.json_lines` tells which."""
     kind, files = discover(spark, folder)
     if not files:
         raise FileNotFoundError(f"neither Parquet nor compressed JSON lines in {folder}")
@@ -61,12 +53,6 @@ def raw_text(spark: SparkSession, path: str, drop_invalid: bool = False) -> Data
     return spark.read.format("binaryFile").load(path).select("path", repaired_utf8(F.col("content"), drop_invalid).alias("text"))
 
 
-def byte_range(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
-    """text of the bytes [start, end) of each file. Spark reads a binary file whole, 2 GB at most; larger files of documents are for `delimited_text`, which splits them."""
-    part = F.substring(F.col("content"), start + 1, end - start)
-    return spark.read.format("binaryFile").load(path).select("path", repaired_utf8(part).alias("text"))
-
-
 def sft_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows of JSON lines of conversations; missing fields are null, blank lines are passed over."""
     return spark.read.schema(SFT_ROW).json(path)
@@ -78,38 +64,6 @@ def csv_rows(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def archives(spark: SparkSession, path: str) -> DataFrame:
-    """archive, root (the first folder), path and text of the files in tar.gz archives; those that aren't UTF-8 are left out.
-
-    An archive is one task's, as compressed bytes; its members are unpacked one by one and given on in frames of about
-    `FRAME_BYTES`.
-    """
-
-    def members(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["archive", "root", "path", "text"]
-        for part in parts:
-            for name, raw in zip(part["path"], part["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(raw), mode="r|gz") as tar:
-                    root = next((m.name for m in tar if m.isdir()), "")
-                rows, size = [], 0
-                with tarfile.open(fileobj=io.BytesIO(raw), mode="r|gz") as tar:
-                    for m in tar:
-                        if not m.isfile():
-                            continue
-                        try:
-                            rows.append((name, root, m.name.removeprefix(f"{root}/"), tar.extractfile(m).read().decode()))
-                        except UnicodeDecodeError:
-                            continue
-                        size += m.size
-                        if size >= FRAME_BYTES:
-                            yield pd.DataFrame(rows, columns=columns)
-                            rows, size = [], 0
-                if rows:
-                    yield pd.DataFrame(rows, columns=columns)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "archive string, root string, path string, text string")
-
-
 def solutions(spark: SparkSession, path: str) -> DataFrame:
     """task_id (the folder's name; `evaluation.matched_samples` finds the problem it means), solution and identifier of the files <task_id>/*.py of a folder."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").text(path, wholetext=True)
@@ -119,12 +73,14 @@ def solutions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def solutions_file(spark: SparkSession, path: str) -> DataFrame:
-    """The records of a file of JSON lines with identifier, the file's name and the record's place in it; an error for one without completion and solution."""
+    """The records of files of JSON lines with identifier, the file's name and the record's place in it from 0; an error for one without completion and solution. Blank lines have no place."""
     schema = "task_id string, completion string, solution string"
-    rows = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", schema).alias("r"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.monotonically_increasing_id().alias("at"))
+    at = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    rows = spark.read.text(path).select("value", *at).where(F.trim("value") != "").select(F.from_json("value", schema).alias("r"), "path", "block", "at", F.lit(1).alias("one"))
+    placed = running_start(rows, ["block", "at"], "one", "i", ["path"])
     checked = F.when(F.col("r.completion").isNull() & F.col("r.solution").isNull(), F.raise_error(F.lit("a record has neither completion nor solution")).cast("string")).otherwise(F.col("r.task_id"))
-    placed = indexed(rows, ["at"], "i")
-    return placed.select(checked.alias("task_id"), "r.completion", "r.solution", F.concat_ws(":", "file", F.col("i").cast("string")).alias("identifier"))
+    identifier = F.concat_ws(":", F.element_at(F.split("path", "/"), -1), F.col("i").cast("string"))
+    return placed.select(checked.alias("task_id"), "r.completion", "r.solution", identifier.alias("identifier"))
 
 
 def yaml_list(spark: SparkSession, path: str, key: str) -> list[dict]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text
 from lodestone.operators import bpe, bpe_index, evaluation, filters, selection, templates, tokens
-from lodestone.sources import readers, writers
+from lodestone.sources import ranges, readers, writers
 from lodestone.streaming import streams
 
 
@@ -374,11 +374,11 @@ def test_sources(spark, tmp_path):
     (tmp_path / "root/f.py").write_text("print(1)")
     with tarfile.open(tmp_path / "r.tar.gz", "w:gz") as tar:
         tar.add(tmp_path / "root", "root")
-    assert [(r["root"], r["path"], r["text"]) for r in readers.archives(spark, str(tmp_path / "r.tar.gz")).collect()] == [("root", "f.py", "print(1)")]
+    assert [(r["root"], r["path"], r["text"]) for r in ranges.archives(spark, str(tmp_path / "r.tar.gz")).collect()] == [("root", "f.py", "print(1)")]
     (tmp_path / "s/T_1").mkdir(parents=True)
     (tmp_path / "s/T_1/0.py").write_text("x = 1")
     assert [tuple(r) for r in readers.solutions(spark, str(tmp_path / "s")).collect()] == [("T_1", "x = 1", "T_1/0.py")]
-    assert readers.byte_range(spark, str(tmp_path / "d.txt"), 3, 16).first()["text"] == "<|endoftext|>"
+    assert ranges.byte_range(spark, str(tmp_path / "d.txt"), 3, 16).first()["text"] == "<|endoftext|>"
     df = spark.createDataFrame([("[{'path': 'a', 'language': None}]",), ("oops(",)], "files string")
     got = [r["files"] for r in readers.python_literal(df, "files", "array<struct<path:string,language:string>>").collect()]
     assert got[0][0]["path"] == "a" and got[1] is None
@@ -402,8 +402,9 @@ def test_stream_equals_batch(spark, tmp_path):
     s = streams.document_stream(spark, str(tmp_path / "in"), docs.schema, 1)
     streams.running_counts(s).writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert sorted(map(tuple, spark.table("counted").collect())) == sorted(map(tuple, tokens.pretoken_counts(docs).collect()))
-    streams.write_shards(streams.document_stream(spark, str(tmp_path / "in"), docs.schema), str(tmp_path / "out"), str(tmp_path / "cp"), 6).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+    streams.write_shards(streams.document_stream(spark, str(tmp_path / "in"), docs.schema), str(tmp_path / "out"), str(tmp_path / "cp"), 6, ["doc_id"]).awaitTermination()
+    streams.close_shards(spark, str(tmp_path / "out"), docs.schema)
+    assert sorted(r["count"] for r in streams.shards(spark, str(tmp_path / "out")).groupBy("shard").count().collect()) == [2, 6, 6, 6]
     assert streams.pretoken_stream(docs).where("doc_id = 0").orderBy("pos").first()["pretoken"] == "word"
 
 
