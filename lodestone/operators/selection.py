@@ -159,7 +159,7 @@ def greedy_cover(x: np.ndarray, budget: int) -> list[int]:
 
 
 def facility_location(df: DataFrame, idx: str, vector: str, share: float = 0.8, slice_rows: int = 10_000) -> DataFrame:
-    """idx, slice and pick (the order of choice) of int(share * n) rows of each contiguous slice; a slice bounds a task's memory at 4 * slice_rows squared bytes."""
+    """idx, slice and pick (the order of choice) of int(share * n) rows of each slice of `slice_rows` rows in the order of idx, whatever gaps it has; a slice bounds a task's memory at 4 * slice_rows squared bytes."""
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("idx").reset_index(drop=True)
@@ -167,5 +167,5 @@ def facility_location(df: DataFrame, idx: str, vector: str, share: float = 0.8,
         picks = greedy_cover(x, int(share * len(part)))
         return pd.DataFrame({"idx": part["idx"].iloc[picks].to_numpy(), "slice": int(part["slice"].iloc[0]), "pick": range(len(picks))})
 
-    rows = df.select(F.col(idx).cast("long").alias("idx"), F.col(vector).alias("v"), F.floor(F.col(idx) / slice_rows).alias("slice"))
+    rows = indexed(df.select(F.col(idx).cast("long").alias("idx"), F.col(vector).alias("v")), ["idx"], "place").select("idx", "v", F.floor(F.col("place") / slice_rows).alias("slice"))
     return rows.groupBy("slice").applyInPandas(choose, "idx long, slice long, pick int").withColumnRenamed("idx", idx)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import numbers, scorers
 from lodestone.operators import bpe, bundles, conversations, evaluation, templates, tokens
-from lodestone.plans.corpus import PIECES_SQL
 from lodestone.plans.registry import Registry
+from lodestone.plans.stores import WORDS_SQL, merging_sql
 from lodestone.tables import table
 
 R = Registry()
@@ -170,15 +170,20 @@ def nested_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", numbers.close_lists(v, moved).alias("close"))
 
 
-@R.query(f"SELECT DISTINCT pretoken, true AS agree FROM (SELECT unnest({PIECES_SQL}) AS pretoken FROM documents)")
+@R.query("WITH RECURSIVE " + merging_sql("w", WORDS_SQL, 40) + " SELECT word AS pretoken, s AS naive, s AS encoded FROM w WHERE step = (SELECT max(step) FROM w)")
 def naive_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each distinct pre-token, whether the encoder agrees with every merge applied in order."""
+    """The tokens of each distinct pre-token, in hexadecimal digits: by every merge applied in order, and by rank."""
     docs = table(spark, sf_dir, "documents")
     v = bpe.train_on(docs, 40)
     shared = spark.sparkContext.broadcast(v)
+    shown = lambda parts: "".join(f"<{p.hex()}>" for p in parts)
 
-    def compare(words):
+    def naive(words):
+        return words.map(lambda w: shown(bpe.naive_encode(w.encode(), shared.value)))
+
+    def encoded(words):
         rank = {p: i for i, p in enumerate(shared.value.merges)}
-        return words.map(lambda w: bpe.encode_word(w.encode(), rank) == bpe.naive_encode(w.encode(), shared.value))
+        return words.map(lambda w: shown(bpe.encode_word(w.encode(), rank)))
 
-    return tokens.pretoken_counts(docs).select("pretoken", F.pandas_udf(compare, "boolean")(F.col("pretoken")).alias("agree"))
+    by = lambda f: F.pandas_udf(f, "string")(F.col("pretoken"))
+    return tokens.pretoken_counts(docs).select("pretoken", by(naive).alias("naive"), by(encoded).alias("encoded"))

@@ -86,16 +86,22 @@ def merged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")).select("doc_id", h(2).alias("h"), h(1).alias("same"))
 
 
-@R.query("SELECT vec_id, vec_id % 5 AS prefix FROM embeddings")
+@R.query("""SELECT a.page_id, len(list_filter(range(1, least(length(a.url), length(b.url)) + 1), lambda i: left(a.url, i::INTEGER) = left(b.url, i::INTEGER))) AS prefix
+FROM pages a JOIN pages b ON b.page_id = a.page_id + 1""")
 def common_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    same = F.array_repeat(F.lit(7), (F.col("vec_id") % 5).cast("int"))
-    s = F.array(F.concat(same, F.array(F.lit(1), F.lit(2))), F.concat(same, F.array(F.lit(2))))
-    return table(spark, sf_dir, "embeddings").select("vec_id", arrays.common_prefix(s).cast("long").alias("prefix"))
+    """How many characters the addresses of a page and of the next one have in common from the start."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.split("url", "").alias("a"))
+    after = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("a").alias("b"))
+    return pages.join(after, "page_id").select("page_id", arrays.common_prefix(F.array("a", "b")).cast("long").alias("prefix"))
 
 
-@R.query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'a' || chr(10) || '1+1' || chr(10) || '2' || chr(10) || ' b' ELSE 'no ' || o_orderkey END AS parts FROM orders")
+@R.query("""SELECT o_orderkey, regexp_replace(t, '<<([^>]*)=([^>]*)>>', chr(10) || '\\1' || chr(10) || '\\2' || chr(10), 'g') AS parts
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN 'They paid <<' || o_custkey || '*3=' || 3 * o_custkey || '>> and ' ELSE '' END || o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN ', <<7+1=8>> left' ELSE '' END AS t FROM orders)""")
 def gsm_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.when(F.col("o_orderkey") % 2 == 0, F.lit("a<<1+1=2>> b")).otherwise(F.concat(F.lit("no "), F.col("o_orderkey")))
+    """Answers with none, one or two calls."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    paid = F.when(k % 3 > 0, F.concat(F.lit("They paid <<"), c, F.lit("*3="), 3 * c, F.lit(">> and "))).otherwise("")
+    t = F.concat(paid, "o_orderpriority", F.when(k % 2 == 0, ", <<7+1=8>> left").otherwise(""))
     return table(spark, sf_dir, "orders").select("o_orderkey", text.gsm_parts(t).alias("parts"))
 
 
@@ -130,10 +136,12 @@ def printable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.length("s").cast("long").alias("n"), count("Ġ").cast("long").alias("spaces"), count("Ċ").cast("long").alias("newlines"))
 
 
-@R.query("SELECT c_custkey, 'ab' || chr(65533) || chr(65533) || 'cd' || c_custkey AS t, 'abcd' || c_custkey AS dropped FROM customer")
+@R.query("""SELECT doc_id, p || CASE WHEN strlen(p) < least(61, strlen(text)) THEN chr(65533) ELSE '' END || doc_id AS t, p || doc_id AS dropped
+FROM (SELECT doc_id, text, left(text, len(list_filter(range(1, 62), lambda i: i <= length(text) AND strlen(left(text, i::INTEGER)) <= 61))::INTEGER) AS p FROM documents)""")
 def repaired_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.unhex(F.lit("6162FFFE6364")), F.col("c_custkey").cast("string").cast("binary"))
-    return table(spark, sf_dir, "customer").select("c_custkey", text.repaired_utf8(raw).alias("t"), text.repaired_utf8(raw, drop=True).alias("dropped"))
+    """The first 61 bytes of each text, which may end within a character, with the id after them."""
+    raw = F.concat(F.substring(F.col("text").cast("binary"), 1, 61), F.col("doc_id").cast("string").cast("binary"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.repaired_utf8(raw).alias("t"), text.repaired_utf8(raw, drop=True).alias("dropped"))
 
 
 @R.query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'x' || source END AS t FROM documents")

@@ -135,7 +135,7 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(bpe.encode(docs, vocabulary), vocabulary).select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
 
 
-def _merging_sql(name: str, start: str, n: int) -> str:
+def merging_sql(name: str, start: str, n: int) -> str:
     """A recursive table of words, written <token><token>.. in hexadecimal digits, with one more merge at each step: the most frequent pair, the greatest of equals."""
     return f"""{name} AS (SELECT 0 AS step, word, s, cnt, '' AS l, '' AS r FROM ({start})
 UNION ALL SELECT step + 1, word, replace(s, '<' || b.l || '><' || b.r || '>', '<' || b.l || b.r || '>'), cnt, b.l, b.r FROM {name},
@@ -143,9 +143,9 @@ UNION ALL SELECT step + 1, word, replace(s, '<' || b.l || '><' || b.r || '>', '<
 GROUP BY l, r ORDER BY sum(cnt) DESC, l DESC, r DESC LIMIT 1) b WHERE step < {n})"""
 
 
-_WORDS_SQL = f"""SELECT pretoken AS word, regexp_replace(lower(hex(encode(pretoken))), '(..)', '<\\1>', 'g') AS s, count(*) AS cnt
+WORDS_SQL = f"""SELECT pretoken AS word, regexp_replace(lower(hex(encode(pretoken))), '(..)', '<\\1>', 'g') AS s, count(*) AS cnt
 FROM (SELECT unnest({PIECES_SQL}) AS pretoken FROM documents) GROUP BY pretoken"""
-_BPE = "WITH RECURSIVE " + _merging_sql("w", _WORDS_SQL, 100)
+_BPE = "WITH RECURSIVE " + merging_sql("w", WORDS_SQL, 100)
 _STORE_SQL = f"""x AS (SELECT doc_id, unnest(p) AS word, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, {PIECES_SQL} AS p FROM documents)),
 e AS (SELECT word, s FROM w WHERE step = (SELECT max(step) FROM w))"""
 
@@ -170,7 +170,7 @@ lists AS (SELECT string_split(s[2:len(s) - 1], '><') AS t FROM parts WHERE conta
 spans AS (SELECT '<' || array_to_string(t[1:(SELECT floor(quantile_cont(len(t), 0.99))::INTEGER FROM lists)], '><') || '>' AS word, count(*) AS cnt FROM lists GROUP BY 1)"""
 
 
-@R.query(_BPE + f", {_STORE_SQL}, {_SPANS_SQL}, " + _merging_sql("u", "SELECT word, word AS s, cnt FROM spans", 50) + """
+@R.query(_BPE + f", {_STORE_SQL}, {_SPANS_SQL}, " + merging_sql("u", "SELECT word, word AS s, cnt FROM spans", 50) + """
 SELECT DISTINCT step - 1 AS rank, upper(l) AS left, upper(r) AS right FROM w WHERE step > 0
 UNION ALL SELECT DISTINCT step + (SELECT max(step) FROM w) - 1, upper(l), upper(r) FROM u WHERE step > 0""")
 def resumed_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
