@@ -12,9 +12,8 @@
    join components. What is left is settled exactly, for buckets of four or more that still hold several components
    (in smaller ones the first two pivots meet every member). Members outside the bucket's largest component are compared
    with all members of that component, once whatever the number of buckets; and with one another, bucket by bucket. Both
-   work on blocks of signatures in numpy, without sets. Of the pairs that these leave, the likeliest of any two components
-   is decided on full sets first, then all pairs whose components still differ. So every pair that shares a bucket is either
-   in one component or was decided.
+   work on blocks of signatures in numpy; the sets of two blocks are fetched only if signatures leave a pair of components to
+   decide, and only links come out. So every pair that shares a bucket is either in one component or was decided.
 
 Classes are named by 64-bit hashes of their sets. Shuffles carry ids, band hashes, signatures of candidates and sets of
 survivors. Texts move only if the list of classes to verify is over `broadcast_bytes`, a bound on its counted size.
@@ -36,7 +35,7 @@ from lodestone.llm.components import components
 from lodestone.llm.text_arrays import mix, shingles, slices
 
 BATCH = 16
-BLOCK = 128
+BLOCK = 64
 #: Rows with sets in a partition.
 SETS = 4000
 
@@ -172,77 +171,111 @@ def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(p) + len(q) - common)
 
 
-def _compared(met: DataFrame, bands: int, limits: list[tuple[int, int]]) -> DataFrame:
-    """Of the pairs of blocks (same, band, x, y), lists of structs (node, comp, sig), the pairs (a, b) of different components that the signatures leave, with m, how many minima they share.
+def _left_by_signatures(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, own: int | None, bands: int, limits: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) of rows of two blocks of signatures those that may reach the limit, with the minima that they share; with a band, those alone that share no earlier one."""
+    seen, at = np.zeros(len(i), np.int64), 0
+    for n, m in limits:
+        seen += (x[i, at:n] == y[j, at:n]).sum(1)
+        ok = seen >= m
+        i, j, seen, at = i[ok], j[ok], seen[ok], n
+    if own is not None and len(i):
+        first = (x[i] == y[j]).reshape(len(i), bands, limits[-1][0] // bands).all(2).argmax(1) == own
+        i, j, seen = i[first], j[first], seen[first]
+    return i, j, seen
 
-    `same` says that x and y are one block. With a band, a pair is given only if that is the first band that it shares.
+
+def _apart(ca: np.ndarray, cb: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of two blocks, or of one, whose components differ."""
+    i, j = np.nonzero(ca[:, None] != cb[None, :])
+    return (i[i < j], j[i < j]) if same else (i, j)
+
+
+def _promising(met: DataFrame, bands: int, limits: list[tuple[int, int]]) -> DataFrame:
+    """Of the pairs of blocks (kind, g, i, j, same, band, x, y), lists of structs (node, comp, sig), those in which a pair of components is left by the signatures: kind, g, i, j, same and band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = limits[-1][0]
+        for batch in batches:
+            keep = []
+            for same, own, p, q in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6), batch.column(7), strict=True):
+                (ca, x), (cb, y) = ((z.values.field("comp").to_numpy(), _matrix(z.values.field("sig"), count)) for z in (p, q))
+                keep.append(len(_left_by_signatures(x, y, *_apart(ca, cb, same), own, bands, limits)[0]) > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in range(6)], batch.schema.names[:6])
+
+    return met.select("kind", "g", "i", "j", "same", "band", "x", "y").mapInArrow(run, "kind int, g long, i int, j int, same boolean, band int")
+
+
+def _compared(met: DataFrame, bands: int, percent: int, limits: list[tuple[int, int]]) -> DataFrame:
+    """Links (u, v) between components in the pairs of blocks (same, band, x, y), lists of structs (node, comp, sig, items).
+
+    Of two components a pair of blocks gives one link at most. `same` says that x and y are one block. With a band, a pair
+    is decided only if that is the first band that it shares.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = limits[-1][0]
         for batch in batches:
+            u, v = [], []
             for same, own, p, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 p, q = p.values, q.values
                 (na, ca), (nb, cb) = ((z.field("node").to_numpy(), z.field("comp").to_numpy()) for z in (p, q))
                 x, y = _matrix(p.field("sig"), count), _matrix(q.field("sig"), count)
-                i, j = np.nonzero(ca[:, None] != cb[None, :])
-                if same:
-                    i, j = i[i < j], j[i < j]
-                seen, at = np.zeros(len(i), np.int64), 0
-                for n, m in limits:
-                    seen += (x[i, at:n] == y[j, at:n]).sum(1)
-                    ok = seen >= m
-                    i, j, seen, at = i[ok], j[ok], seen[ok], n
-                if own is not None and len(i):
-                    first = (x[i] == y[j]).reshape(len(i), bands, count // bands).all(2).argmax(1) == own
-                    i, j, seen = i[first], j[first], seen[first]
-                a, b = np.minimum(na[i], nb[j]), np.maximum(na[i], nb[j])
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(seen, pa.int64())], ["a", "b", "m"])
-
-    return met.select("same", "band", "x", "y").mapInArrow(run, "a long, b long, m long")
-
-
-def _rest(hot: DataFrame, labels: DataFrame, classes: DataFrame, bands: int, limits: list[tuple[int, int]]) -> DataFrame:
-    """Pairs (a, b, m) that the pivots may have missed. `classes` has node and sig of each class in a bucket."""
+                i, j, seen = _left_by_signatures(x, y, *_apart(ca, cb, same), own, bands, limits)
+                met, found = (p.field("items"), q.field("items")), set()
+                for k in np.argsort(-seen, kind="stable"):
+                    pair = (ca[i[k]], cb[j[k]])
+                    if pair not in found and _similar(np.frombuffer(met[0][i[k]].as_buffer(), np.uint64), np.frombuffer(met[1][j[k]].as_buffer(), np.uint64), percent):
+                        found.add(pair)
+                        u.append(na[i[k]])
+                        v.append(nb[j[k]])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return met.select("same", "band", "x", "y").mapInArrow(run, "u long, v long")
+
+
+def _rest(hot: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, bands: int, percent: int, limits: list[tuple[int, int]]) -> DataFrame:
+    """Links (u, v) that the pivots may have missed. `classes` has node and sig of each class in a bucket, `sets` node and items.
+
+    Blocks of signatures meet first; blocks of sets are made for those pairs of blocks alone in which the signatures leave something to decide.
+    """
     rows = hot.where("c > 3").select("key", "node").join(labels, "node")
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("x"))
     outside = cut_fitted(salted_join(rows, sizes.where("comps > 1").select("key", F.col("x.comp").alias("major")), "key", F.col("node"), "inner", 8).where("comp <> major"))
-    blob = F.collect_list(F.struct("node", "comp", "sig"))
     block = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(n / BLOCK)).cast("int")
 
     # with the largest component: each of its blocks meets the blocks of those outside
     near = outside.select(F.col("major").alias("g"), "node", "comp").distinct()
     few = near.groupBy("g").agg(F.count("*").alias("n"))
     many = labels.join(few.select("g"), F.col("comp") == F.col("g"), "left_semi").groupBy(F.col("comp").alias("g")).agg(F.count("*").alias("of"))
-    left = near.join(few, "g").join(classes, "node").groupBy("g", block(F.col("n")).alias("i")).agg(blob.alias("x"))
-    left = left.join(many, "g").select("g", "x", F.explode(F.sequence(F.lit(0), F.ceil(F.col("of") / BLOCK).cast("int") - 1)).alias("j"))
-    right = labels.join(many, F.col("comp") == F.col("g")).join(classes, "node").groupBy("g", block(F.col("of")).alias("j")).agg(blob.alias("y"))
-    first = _compared(left.join(right, ["g", "j"]).select(F.lit(False).alias("same"), F.lit(None).cast("int").alias("band"), "x", "y"), bands, limits)
-
-    # with one another
+    lefts = cut_fitted(near.join(few, "g").select("g", block(F.col("n")).alias("i"), "node", "comp"))
+    rights = cut_fitted(labels.join(many, F.col("comp") == F.col("g")).select("g", block(F.col("of")).alias("j"), "node", "comp"))
+    # with one another, bucket by bucket
     several = outside.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n")
-    blobs = salted_join(outside, several, "key", F.col("node"), "inner", 8).join(classes, "node").groupBy("key", block(F.col("n")).alias("i")).agg(blob.alias("x"))
-    met = blobs.join(blobs.select("key", F.col("i").alias("j"), F.col("x").alias("y")), "key").where("i <= j")
-    second = _compared(met.select((F.col("i") == F.col("j")).alias("same"), F.col("key").bitwiseAND(0xFFFF).cast("int").alias("band"), "x", "y"), bands, limits)
-    return first.unionByName(second)
+    others = cut_fitted(salted_join(outside, several, "key", F.col("node"), "inner", 8).select(F.col("key").alias("g"), block(F.col("n")).alias("i"), "node", "comp"))
 
+    def blobs(members: DataFrame, at: str, name: str, with_sets: bool) -> DataFrame:
+        full = members.join(classes, "node")
+        fields = ["node", "comp", "sig"]
+        if with_sets:
+            full, fields = full.join(sets, "node"), [*fields, "items"]
+        return full.groupBy("g", at).agg(F.collect_list(F.struct(*fields)).alias(name))
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) of different components, with these, the lesser first, as ca and cb."""
-    of = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"x{end}"))
-    met = pairs.join(of("a"), "a").join(of("b"), "b").where("xa <> xb")
-    return met.withColumn("ca", F.least("xa", "xb")).withColumn("cb", F.greatest("xa", "xb")).drop("xa", "xb")
+    of = many.select("g", F.explode(F.sequence(F.lit(0), F.ceil(F.col("of") / BLOCK).cast("int") - 1)).alias("j"))
+    one = blobs(lefts, "i", "x", False).join(of, "g").join(blobs(rights, "j", "y", False), ["g", "j"])
+    own = blobs(others, "i", "x", False)
+    two = own.join(own.select("g", F.col("i").alias("j"), F.col("x").alias("y")), "g").where("i <= j")
+    met = one.select(F.lit(0).alias("kind"), "g", "i", "j", F.lit(False).alias("same"), F.lit(None).cast("int").alias("band"), "x", "y").unionByName(
+        two.select(F.lit(1).alias("kind"), "g", "i", "j", (F.col("i") == F.col("j")).alias("same"), F.col("g").bitwiseAND(0xFFFF).cast("int").alias("band"), "x", "y")
+    )
+    left = cut_fitted(_promising(met, bands, limits))
 
+    def links(kind: int, of_i: DataFrame, of_j: DataFrame, j: str) -> DataFrame:
+        pairs = left.where(F.col("kind") == kind)
+        x = blobs(of_i.join(pairs.select("g", "i").distinct(), ["g", "i"], "left_semi"), "i", "x", True)
+        y = blobs(of_j.join(pairs.select("g", F.col("j").alias(j)).distinct(), ["g", j], "left_semi"), j, "y", True).withColumnRenamed(j, "j")
+        return _compared(pairs.join(x, ["g", "i"]).join(y, ["g", "j"]), bands, percent, limits)
 
-def _settled(labels: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """labels after the links among the pairs (a, b, m): first the likeliest pair of any two components is decided on full sets, then all pairs of components that are two still."""
-    pairs = cut_fitted(_apart(pairs, labels).groupBy("a", "b", "ca", "cb").agg(F.max("m").alias("m")))
-    if pairs.isEmpty():
-        return labels
-    best = pairs.groupBy("ca", "cb").agg(F.max(F.struct("m", "a", "b")).alias("x")).select("x.a", "x.b")
-    labels = _merge(labels, cut_fitted(_links(cut_fitted(best, SETS), sets, percent)))
-    left = cut_fitted(_apart(pairs.select("a", "b"), labels).join(best, ["a", "b"], "left_anti").select("a", "b"), SETS)
-    return labels if left.isEmpty() else _merge(labels, cut_fitted(_links(left, sets, percent)))
+    return links(0, lefts, rights, "j").unionByName(links(1, others, others, "i"))
 
 
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -300,7 +333,7 @@ def near_dedup(
         pairs = cut_fitted(pairs, 10_000)
         links = _links(cut_fitted(_survivors(pairs, classes, count, limits), SETS), sets, percent)
         labels = _merge(labels, cut_fitted(links))
-    labels = _settled(labels, _rest(hot, labels, classes, bands, limits), sets, percent)
+    labels = _merge(labels, cut_fitted(_rest(hot, labels, classes, sets, bands, percent, limits)))
 
     named = every.select("id", "t", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "t")).alias("x"), F.count("*").alias("of"))
