@@ -35,7 +35,7 @@ from lodestone.llm.components import components
 from lodestone.llm.text_arrays import mix, shingles, slices
 
 BATCH = 16
-BLOCK = 64
+BLOCK = 256
 #: Rows with sets in a partition.
 SETS = 4000
 
