@@ -284,6 +284,6 @@ def event_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = streams.table_stream(spark, f"{sf_dir}/events.parquet")
     if dict(events.dtypes)["ts"] == "timestamp_ntz":
         events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"windows_{uuid.uuid4().hex}"
-    streams.event_windows(events).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+    to = shared_folder(spark, "windows")
+    streams.write_windows(events, f"{to}/out", f"{to}/progress").awaitTermination()
+    return streams.windows_so_far(spark, f"{to}/out").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -126,3 +126,18 @@ def event_windows(events: DataFrame, late: str = "10 minutes", size: str = "1 ho
     """Counts and sums of events by window and type, for events at most `late` behind."""
     grouped = events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type")
     return grouped.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+
+
+def write_windows(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """All windows of `event_windows` so far after each batch, in a folder of its own that a repeated batch replaces; `windows_so_far` reads the last. Nothing passes the driver."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return event_windows(events).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
+
+
+def windows_so_far(spark: SparkSession, path: str) -> DataFrame:
+    """window_start, event_type, n and total after the last batch that `write_windows` has written."""
+    written = spark.read.schema("window_start timestamp, event_type string, n long, total double, batch long").parquet(path)
+    return written.where(F.col("batch") == written.agg(F.max("batch")).scalar()).drop("batch")

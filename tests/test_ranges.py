@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import gzip
 import io
 import json
@@ -157,3 +158,14 @@ def test_stream_stops_and_goes_on(spark, tmp_path):
     counts = streams.write_counts(rows, str(tmp_path / "counts"), str(tmp_path / "cp2"))
     counts.awaitTermination()
     assert {r["pretoken"]: r["cnt"] for r in streams.counts_so_far(spark, str(tmp_path / "counts")).collect()}[" more"] == 20
+
+
+def test_windows_of_a_stream_are_those_after_its_last_batch(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1, 5, 59)
+    for k in range(2):
+        rows = [(at + datetime.timedelta(minutes=k * i), "a", 1.5) for i in range(4)]
+        spark.createDataFrame(rows, "ts timestamp, event_type string, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    events = streams.table_stream(spark, str(tmp_path / "in"), 1)
+    streams.write_windows(events, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+    got = streams.windows_so_far(spark, str(tmp_path / "out"))
+    assert sorted((r["window_start"].hour, r["n"], r["total"]) for r in got.collect()) == [(5, 5, 7.5), (6, 3, 4.5)]
