@@ -1,8 +1,8 @@
 """Byte-pair encoding: training on a histogram of pre-tokens, encoding and decoding of documents, saved vocabularies.
 
 Counting pre-tokens is distributed. The histogram is much smaller than the corpus and its merges depend on one another, so
-training runs on the driver if the histogram has at most DRIVER_BYTES of pre-tokens. A larger one is trained on as tables
-(`bpe_index`); both ways count all pre-tokens and give the same merges. Encoding and
+training runs on the driver if the histogram has at most DRIVER_BYTES of pre-tokens. A larger one stays in the tasks' hands as blocks
+of words (`bpe_index`); both ways count all pre-tokens and give the same merges. Encoding and
 decoding map documents in Arrow batches, without a shuffle; a bounded cache spares each task most of the repeated pre-tokens.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import SPECIALS, pretokens
-from lodestone.operators.bpe_index import train_distributed
+from lodestone.operators.bpe_index import _Latest, train_distributed
 from lodestone.session import remove_table, shared_table
 
 
@@ -45,19 +45,6 @@ class Vocabulary:
         return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(self.merges)], "rank int, left binary, right binary")
 
 
-class _Latest:
-    """A pair in the heap: the most frequent first; of equals the greatest pair, by the tuple of bytes or by their concatenation and then the tuple."""
-
-    __slots__ = ("count", "pair", "key")
-
-    def __init__(self, count: int, pair: tuple[bytes, bytes], tie: str):
-        self.count, self.pair = count, pair
-        self.key = (count, pair) if tie == "tuple" else (count, pair[0] + pair[1], pair)
-
-    def __lt__(self, other: _Latest) -> bool:
-        return self.key > other.key
-
-
 def train(words: dict, n_merges: int, tie: str = "tuple", start: list[list[bytes]] | None = None) -> list[tuple[bytes, bytes]]:
     """The merges of a histogram of words; with `start`, of whatever is counted, where it has the tokens of each. Counts of pairs are kept up to date; a stale entry of the heap is put back with its present count."""
     if tie not in ("tuple", "concat"):

@@ -1,30 +1,81 @@
-"""Byte-pair training on a histogram of any size, with an index of pairs to words and counts kept by signed deltas.
+"""Byte-pair training on a histogram of any size, several merges at a time, foreseen on a sample and settled by exact counts.
 
-Three tables stand in the shared folder, each a base and what batches of merges have added to it:
-words (a word's tokens and how often it occurs), in folders by a hash of the word; index (pair, word), in folders by a hash of the pair; and
-counts (pair, signed count). A batch takes the merges that training takes next whatever comes between, looks their words up in the
-folders of the index that hold the pairs, reads the folders of these words, and adds the words' new tokens, the pairs that are new to
-them, and the change of each pair's count. So a batch reads and writes with the words that it touches; only sums of counts, one row a
-pair, are read whole. After COMPACT batches words and counts are written anew and the index is made from them, without stale rows.
+The words stand in the shared folder as blocks: the ids of their tokens one after another, -1 between words, and how often each word
+occurs. The counts of all pairs are exact and kept on the driver, a row a pair. For each round the driver foresees what merges come next: it
+begins from the exact counts and takes the merges on a sample of the words, scaled to them. One job then takes these merges on all
+words, in the tasks that hold them, and sums by how much each changes each pair's count. With these changes the driver follows
+the counts merge by merge; as long as the best pair is the one foreseen, the merge is what training takes. The first always is, so every
+round gets on, and the sample has no part in the result. After COMPACT rounds the words are written anew with what they have been merged to.
 
-The driver holds the merges and the first FIRST pairs of a batch.
+The driver holds the merges, the counts of pairs (as many as the vocabulary has neighbours) and the sample of at most 2 * SAMPLE_WORDS words.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.tokens import pair_counts
-from lodestone.session import BROADCAST_BYTES, ensure_checkpoint_dir, remove_path
+from lodestone.session import remove_table, shared_table
 
-#: Words of a folder on average, batches between compactions, and pairs that the driver sees at a time.
-FOLDER_WORDS, COMPACT, FIRST = 200_000, 16, 256
+#: Words of a partition on average, rounds between rewritings, merges foreseen in a round, and words of each half of the sample.
+FOLDER_WORDS, COMPACT, FORESEEN, SAMPLE_WORDS = 200_000, 8, 64, 50_000
+#: Symbols of a word that the sample takes, and that a task works on at a time unless a block has more.
+SAMPLE_SYMBOLS, SLICE_SYMBOLS = 64, 1 << 21
 Pair = tuple[bytes, bytes]
+CHANGES = "step int, left int, right int, cnt long"
+
+
+class _Latest:
+    """A pair in the heap: the most frequent first; of equals the greatest pair, by the tuple of bytes or by their concatenation and then the tuple."""
+
+    __slots__ = ("count", "pair", "key")
+
+    def __init__(self, count: int, pair: Pair, tie: str):
+        self.count, self.pair = count, pair
+        self.key = (count, pair) if tie == "tuple" else (count, pair[0] + pair[1], pair)
+
+    def __lt__(self, other: _Latest) -> bool:
+        return self.key > other.key
+
+
+class PairCounts:
+    """Counts of pairs that change, and the best of them; a stale entry of the heap is put back with its present count."""
+
+    def __init__(self, counts: dict[Pair, int], tie: str):
+        self.counts, self.tie = counts, tie
+        self.heap = [_Latest(n, p, tie) for p, n in counts.items() if n > 0]
+        heapify(self.heap)
+
+    def copy(self) -> PairCounts:
+        other = PairCounts({}, self.tie)
+        other.counts, other.heap = dict(self.counts), list(self.heap)
+        return other
+
+    def add(self, pair: Pair, change: int) -> None:
+        n = self.counts.get(pair, 0) + change
+        if n > 0:
+            self.counts[pair] = n
+            if change > 0:
+                heappush(self.heap, _Latest(n, pair, self.tie))
+        else:
+            self.counts.pop(pair, None)
+
+    def best(self) -> Pair | None:
+        while self.heap:
+            top = self.heap[0]
+            now = self.counts.get(top.pair, 0)
+            if now == top.count:
+                return top.pair
+            heappop(self.heap)
+            if 0 < now < top.count:
+                heappush(self.heap, _Latest(now, top.pair, self.tie))
+        return None
 
 
 def safe_batch(pairs: list[tuple[bytes, bytes, int]], more: bool) -> list[Pair]:
@@ -48,126 +99,276 @@ def safe_batch(pairs: list[tuple[bytes, bytes, int]], more: bool) -> list[Pair]:
     return [(a, b) for i, (a, b, count) in enumerate(pairs[:n]) if i == 0 or count > least]
 
 
-def _distinct_pairs(symbols: str | Column) -> Column:
-    """The different pairs of neighbours."""
-    n = F.greatest(F.lit(0), F.size(symbols) - 1)
-    return F.array_distinct(F.zip_with(F.slice(symbols, F.lit(1), n), F.slice(symbols, F.lit(2), n), lambda a, b: F.struct(a.alias("left"), b.alias("right"))))
+def sums(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs and the sum of n for each."""
+    if not n.size:
+        return left, right, n
+    wide = int(right.max()) + 1
+    code = left.astype(np.int64) * wide + right
+    if (int(left.max()) + 1) * wide <= n.size:  # few ids: counted in place; else sorted
+        total = np.zeros((int(left.max()) + 1) * wide, np.int64)
+        np.add.at(total, code, n)
+        code = np.flatnonzero(total)
+        return (code // wide).astype(np.int32), (code % wide).astype(np.int32), total[code]
+    order = np.argsort(code)
+    code = code[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    return (code[first] // wide).astype(np.int32), (code[first] % wide).astype(np.int32), np.add.reduceat(n[order], first)
+
+
+def _different(parts: list[np.ndarray]) -> np.ndarray:
+    """The different places of several lists, in order."""
+    places = np.sort(np.concatenate(parts))
+    return places[np.append(True, places[1:] != places[:-1])] if places.size else places
+
+
+class Block:
+    """Words side by side: `ids` of tokens, with -1 before, between and after words, and at each place how often its word occurs.
+
+    Places are linked, and one whose token has been joined to that before it has the id -2. Of the pairs that are to be merged the
+    places are known from one pass at the start and from the merges since, so a merge costs as much as it changes. Without such a list
+    any pair can be merged, and is searched.
+    """
+
+    def __init__(self, ids: np.ndarray, words: np.ndarray, merges: list[tuple[int, int, int]] = ()):
+        """ids with a -1 before each word and at the end; words: a count for each; merges: (left, right, new) that will be taken."""
+        self.ids, self.n = ids, np.append(words, 0)[np.cumsum(ids == -1) - 1]
+        self.after, self.before = np.arange(1, ids.size + 1), np.arange(-1, ids.size - 1)
+        self.searched = not merges
+        named = sorted({t for m in merges for t in m[:2]})
+        self.short = np.zeros(max([int(ids.max(initial=0)), *(t for m in merges for t in m)]) + 3, np.int32)  # the last two for -2 and -1
+        self.short[named] = np.arange(1, len(named) + 1)
+        pairs = sorted({m[:2] for m in merges})
+        self.nth = np.zeros((len(named) + 1, len(named) + 1), np.int16 if len(pairs) < 1 << 15 else np.int32)
+        for k, (left, right) in enumerate(pairs, 1):
+            self.nth[self.short[left], self.short[right]] = k
+        self.where: list[list[np.ndarray]] = [[] for _ in range(len(pairs) + 1)]
+        if pairs:
+            few = self.short[ids]
+            self._found(np.flatnonzero(self.nth[few[:-1], few[1:]]))
+
+    def _found(self, places: np.ndarray) -> None:
+        """Files places by the pair that begins there, if it is one to be merged."""
+        nth = self.nth[self.short[self.ids[places]], self.short[self.ids[self.after[places]]]]
+        order = np.argsort(nth, kind="stable")
+        nth = nth[order]
+        first = np.flatnonzero(np.diff(nth, prepend=-1))
+        for k, some in zip(nth[first].tolist(), np.split(places[order], first[1:]), strict=False):
+            if k:
+                self.where[k].append(some)
+
+    def copy(self) -> Block:
+        return Block(self.ids[self.ids != -2], self.n[np.flatnonzero(self.ids == -1)[:-1]])
+
+    def packed(self) -> tuple[bytes, bytes]:
+        ids = self.ids[self.ids != -2]
+        return ids.tobytes(), self.n[np.flatnonzero(self.ids == -1)[:-1]].tobytes()
+
+    def _at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        left, right = self.ids[places], self.ids[self.after[places]]
+        both = (left >= 0) & (right >= 0)
+        return left[both], right[both], self.n[places][both]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pairs of neighbours with their counts."""
+        return sums(*self._at(np.flatnonzero(self.ids[:-1] >= 0)))
 
+    def merge(self, left: int, right: int, new: int, told: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Each (left, right), from the left, becomes `new`; by how much that changes the count of what pair, if it is to be told and does."""
+        if self.searched:
+            at = np.flatnonzero(self.ids == left)
+        else:
+            k = self.nth[self.short[left], self.short[right]]
+            if not self.where[k]:
+                return None
+            at = _different(self.where[k])
+            self.where[k] = []
+            at = at[self.ids[at] == left]
+        at = at[self.ids[self.after[at]] == right]
+        if left == right and at.size:  # of each run of places the first, third, ..
+            starts = np.flatnonzero(np.append(True, self.after[at[:-1]] != at[1:]))
+            at = at[(np.arange(at.size) - np.repeat(starts, np.diff(starts, append=at.size))) % 2 == 0]
+        if not at.size:
+            return None
+        gone, first = self.after[at], self.before[at]
+        old = self._at(_different([first, at, gone])) if told else None
+        self.ids[at], self.ids[gone] = new, -2
+        self.after[at] = self.after[gone]
+        self.before[self.after[at]] = at
+        places = _different([self.before[at], at])
+        if not self.searched:
+            self._found(places)
+        if not told:
+            return None
+        l, r, n = (np.concatenate(x) for x in zip((old[0], old[1], -old[2]), self._at(places), strict=True))
+        l, r, n = sums(l, r, n)
+        return l[n != 0], r[n != 0], n[n != 0]
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows so dealt that a folder's files are few."""
-    return rows.repartition("folder")
 
+def _blocks(ids: pa.Array, words: pa.Array, merges: list[tuple[int, int, int]]) -> Block:
+    """Packed blocks as one; the -1 at the end of each is that before the next."""
+    parts = [np.frombuffer(b.as_buffer(), np.int32)[:-1] for b in ids]
+    return Block(np.append(np.concatenate(parts), np.int32(-1)), np.concatenate([np.frombuffer(b.as_buffer(), np.int64) for b in words]), merges)
 
-def _merging(merges: list[Pair]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        right_of = dict(merges)
-        for batch in batches:
-            out = []
-            for old in batch.column(batch.schema.get_field_index("symbols")).to_pylist():
-                new, k = [], 0
-                while k < len(old):
-                    if k + 1 < len(old) and right_of.get(old[k]) == old[k + 1]:
-                        new.append(old[k] + old[k + 1])
-                        k += 2
-                    else:
-                        new.append(old[k])
-                        k += 1
-                out.append(new)
-            keep = [batch.column(batch.schema.get_field_index(c)) for c in ("word", "folder", "symbols", "cnt")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(out, pa.list_(pa.binary()))], ["word", "folder", "before", "cnt", "symbols"])
 
-    return run
+def _slices(batches: Iterator[pa.RecordBatch], merges: list[tuple[int, int, int]] = ()) -> Iterator[Block]:
+    """The blocks of some rows at a time, of about SLICE_SYMBOLS."""
+    for batch in batches:
+        ids, words = batch.column("ids"), batch.column("words")
+        start, size = 0, 0
+        for i, b in enumerate(ids):
+            size += len(b.as_buffer()) // 4
+            if size >= SLICE_SYMBOLS or i == len(ids) - 1:
+                yield _blocks(ids.slice(start, i + 1 - start), words.slice(start, i + 1 - start), merges)
+                start, size = i + 1, 0
 
 
-class PairIndex:
-    """The three tables of a training, below a folder of its own that `close` deletes. `reads`: the words that each batch looked up."""
+def _to_ids(symbols: pa.ListArray, id_of: dict[bytes, int]) -> np.ndarray:
+    """The tokens of words as ids, -1 before each word and at the end."""
+    found = symbols.flatten().dictionary_encode()
+    known = np.array([id_of[b] for b in found.dictionary.to_pylist()], np.int32)
+    flat = known[found.indices.to_numpy()] if len(found) else np.empty(0, np.int32)
+    ends = np.cumsum(pc.list_value_length(symbols).to_numpy())
+    return np.insert(flat, np.concatenate([[0], ends]), -1).astype(np.int32)
 
-    def __init__(self, words: DataFrame):
+
+class Training:
+    """The words of a training as blocks, and the exact counts of their pairs."""
+
+    def __init__(self, words: DataFrame, tie: str):
         """words: symbols (an array of binary) and cnt."""
-        self.spark: SparkSession = words.sparkSession
-        ensure_checkpoint_dir(self.spark)
-        self.root = f"{self.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/bpe-{uuid.uuid4().hex}"
-        self.version = 0
-        self.reads: list[int] = []
-        self.folders = 1 + words.count() // FOLDER_WORDS
-        self._begin(words.where(F.size("symbols") > 1).select(F.monotonically_increasing_id().alias("word"), "symbols", F.col("cnt").cast("long").alias("cnt")))
-
-    def _folder(self, *key: str) -> Column:
-        return F.pmod(F.xxhash64(*key, F.lit(3)), F.lit(self.folders)).cast("int")
-
-    def _path(self, name: str, version: int | None = None) -> str:
-        return f"{self.root}/{self.base}/{name}" + ("" if version is None else f"/version={version}")
-
-    def _begin(self, words: DataFrame) -> None:
-        """A new base: the words, the index made from them, and their counts."""
-        before, self.base, self.first = getattr(self, "base", None), self.version, self.version
-        rows = words.withColumn("folder", self._folder("word")).withColumn("before", F.array().cast("array<binary>"))
-        _dealt(rows.select("word", "symbols", "cnt", "before", "folder")).write.partitionBy("folder").parquet(self._path("words", self.version))
-        self._add_pairs()
-        if before is not None:
-            remove_path(self.spark, f"{self.root}/{before}")
-
-    def _added(self) -> DataFrame:
-        """What the last version has added to the words."""
-        return self.spark.read.schema("word long, symbols array<binary>, cnt long, before array<binary>, folder int").parquet(self._path("words", self.version))
-
-    def _add_pairs(self) -> None:
-        """Adds to the index the pairs that are new to the words just written, and to the counts how these have changed."""
-        added = self._added()
-        fresh = F.explode(F.array_except(_distinct_pairs("symbols"), _distinct_pairs("before"))).alias("p")
-        pairs = added.select("word", F.col("folder").alias("word_folder"), fresh).select("p.left", "p.right", "word", "word_folder")
-        _dealt(pairs.withColumn("folder", self._folder("left", "right"))).write.partitionBy("folder").parquet(self._path("index", self.version))
-        now, then = added.select("symbols", "cnt"), added.select(F.col("before").alias("symbols"), (-F.col("cnt")).alias("cnt"))
-        pair_counts(now.unionByName(then), "symbols").where("cnt <> 0").write.parquet(self._path("counts", self.version))
-
-    def best(self, order: list[Column]) -> list[tuple[bytes, bytes, int]]:
-        """The first pairs with their counts."""
-        counts = self.spark.read.schema("left binary, right binary, cnt long, version int").parquet(self._path("counts"))
-        summed = counts.groupBy("left", "right").agg(F.sum("cnt").alias("cnt")).where("cnt > 0")
-        return [(bytes(r["left"]), bytes(r["right"]), r["cnt"]) for r in summed.orderBy(*order).limit(FIRST).collect()]
-
-    def merge(self, merges: list[Pair]) -> None:
-        """Takes a batch of merges, which have no token in common."""
-        wanted = self.spark.createDataFrame(merges, "left binary, right binary").withColumn("folder", self._folder("left", "right"))
-        folders = sorted({r["folder"] for r in wanted.select("folder").collect()})
-        index = self.spark.read.schema("left binary, right binary, word long, word_folder int, version int, folder int").parquet(self._path("index")).where(F.col("folder").isin(folders))
-        touched = index.join(F.broadcast(wanted.drop("folder")), ["left", "right"]).select("word", "word_folder").distinct().persist()
-        found = touched.groupBy("word_folder").count().collect()  # a row a folder at most
-        where = sorted(r["word_folder"] for r in found)
-        self.reads.append(sum(r["count"] for r in found))
-        words = self.spark.read.schema("word long, symbols array<binary>, cnt long, before array<binary>, version int, folder int").parquet(self._path("words")).where(F.col("folder").isin(where))
-        some = F.broadcast(touched.select("word")) if self.reads[-1] * 80 <= BROADCAST_BYTES else touched.select("word")
-        met = words.select("word", "folder", "symbols", "cnt", "version").join(some, "word")
-        latest = met.groupBy("word", "folder").agg(F.max_by(F.struct("symbols", "cnt"), "version").alias("x")).select("word", "folder", "x.symbols", "x.cnt")
-        changed = latest.mapInArrow(_merging(merges), "word long, folder int, before array<binary>, cnt long, symbols array<binary>")
-        self.version += 1
-        _dealt(changed.where("size(symbols) < size(before)").select("word", "symbols", "cnt", "before", "folder")).write.partitionBy("folder").parquet(self._path("words", self.version))
-        touched.unpersist()
-        self._add_pairs()
-        if self.version - self.first >= COMPACT:
-            words = self.spark.read.schema("word long, symbols array<binary>, cnt long, before array<binary>, version int, folder int").parquet(self._path("words"))
-            latest = words.groupBy("word").agg(F.max_by(F.struct("symbols", "cnt"), "version").alias("x")).select("word", "x.symbols", "x.cnt")
-            self.version += 1
-            self._begin(latest.where(F.size("symbols") > 1))
+        self.spark, self.tie = words.sparkSession, tie
+        words = words.where(F.size("symbols") > 1).select("symbols", F.col("cnt").cast("long").alias("cnt"))
+
+        def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0).flatten().unique()], ["symbol"])
+
+        self.tokens: list[bytes] = sorted(bytes(r[0]) for r in words.select("symbols").mapInArrow(different, "symbol binary").distinct().collect())
+        self.id_of = {t: i for i, t in enumerate(self.tokens)}
+        id_of = self.id_of
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    ids, counts = _to_ids(batch.column(0), id_of), batch.column(1).to_numpy().astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["ids", "words"])
+
+        n = words.count()
+        self.parts = max(self.spark.sparkContext.defaultParallelism, 1 + n // FOLDER_WORDS)
+        self.blocks = shared_table(words.mapInArrow(pack, "ids binary, words binary").repartition(self.parts), "blocks")
+        self.pending: list[tuple[int, int, int]] = []
+        self.rounds = 0
+        self.sample = self._sample(words, n)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in _slices(batches):
+                yield _rows([(0, block.pairs())])
+
+        self.counts = PairCounts({p: c for _, p, c in self._summed(count)}, tie)
+
+    def _sample(self, words: DataFrame, n: int) -> Block:
+        """The most frequent words, and of the rest as many by their hash, with so much more weight; of long words the beginning."""
+        cut = words.select(F.slice("symbols", 1, SAMPLE_SYMBOLS).alias("symbols"), "cnt")
+        most = cut.orderBy(F.desc("cnt")).limit(SAMPLE_WORDS).toArrow()
+        each = 1 + n // SAMPLE_WORDS
+        least = pc.min(most.column("cnt")).as_py() or 0
+        rest = cut.where((F.col("cnt") < least) & (F.pmod(F.xxhash64("symbols"), F.lit(each)) == 0)).limit(SAMPLE_WORDS).toArrow() if n > SAMPLE_WORDS else most.slice(0, 0)
+        symbols = pa.chunked_array([*most.column("symbols").chunks, *rest.column("symbols").chunks], most.schema.field("symbols").type).combine_chunks()
+        return Block(_to_ids(symbols, self.id_of), np.concatenate([most.column("cnt").to_numpy(), rest.column("cnt").to_numpy() * each]).astype(np.int64))
+
+    def _summed(self, run) -> list[tuple[int, Pair, int]]:
+        """step, pair and sum of what tasks tell; a row for each pair that a step touches."""
+        found = self.blocks.mapInArrow(run, CHANGES).groupBy("step", "left", "right").agg(F.sum("cnt").alias("cnt")).toArrow()
+        step, left, right, cnt = (found.column(c).to_pylist() for c in ("step", "left", "right", "cnt"))
+        return [(s, (self.tokens[a], self.tokens[b]), c) for s, a, b, c in zip(step, left, right, cnt, strict=True)]
+
+    def _id(self, token: bytes) -> int:
+        if token not in self.id_of:
+            self.id_of[token] = len(self.tokens)
+            self.tokens.append(token)
+        return self.id_of[token]
+
+    def _ids(self, pair: Pair) -> tuple[int, int, int]:
+        return self._id(pair[0]), self._id(pair[1]), self._id(pair[0] + pair[1])
+
+    def foreseen(self, most: int) -> list[Pair]:
+        """The merges that come next, if the words change as the sample does. The first is sure."""
+        counts, sample, out = self.counts.copy(), self.sample.copy(), []
+        while len(out) < most and (pair := counts.best()):
+            out.append(pair)
+            ids, now = self._ids(pair), counts.counts[pair]
+            changes = [((self.tokens[a], self.tokens[b]), int(c)) for a, b, c in zip(*(sample.merge(*ids) or ((), (), ())), strict=True)]
+            scale = now / max(1, -dict(changes).get(pair, 0))
+            for p, c in changes:
+                counts.add(p, round(c * scale))
+            counts.add(pair, -counts.counts.get(pair, 0))
+        return out
+
+    def round(self, most: int) -> list[Pair]:
+        """The next merges, at least one unless there are no more."""
+        guess = self.foreseen(min(most, FORESEEN))
+        if not guess:
+            return []
+        pending, steps = list(self.pending), [self._ids(p) for p in guess]
+
+        def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in _slices(batches, [*pending, *steps]):
+                for m in pending:
+                    block.merge(*m, told=False)
+                told = ((k, block.merge(*m)) for k, m in enumerate(steps))
+                yield _rows([x for x in told if x[1] is not None])
+
+        changes: list[list[tuple[Pair, int]]] = [[] for _ in guess]
+        for k, pair, change in self._summed(follow):
+            changes[k].append((pair, change))
+        taken = []
+        for pair, told in zip(guess, changes, strict=True):
+            if self.counts.best() != pair:
+                break
+            taken.append(pair)
+            for p, c in told:
+                self.counts.add(p, c)
+        for m in steps[: len(taken)]:
+            self.sample.merge(*m, told=False)
+        self.pending += steps[: len(taken)]
+        self.rounds += 1
+        return taken
+
+    def rewrite(self) -> None:
+        """Writes the words anew, as they are after all merges so far, without those of one token."""
+        pending, before = list(self.pending), self.blocks
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in _slices(batches, pending):
+                for m in pending:
+                    block.merge(*m, told=False)
+                ids, words = block.packed()
+                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([words], pa.binary())], ["ids", "words"])
+
+        self.blocks = shared_table(before.mapInArrow(run, "ids binary, words binary").repartition(self.parts), "blocks")
+        self.pending = []
+        remove_table(before)
 
     def close(self) -> None:
-        remove_path(self.spark, self.root)
+        remove_table(self.blocks)
+
+
+def _rows(told: list[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
+    """Changes of steps as rows."""
+    step = [np.full(x[0].size, k, np.int32) for k, x in told]
+    columns = [np.concatenate([np.empty(0, t), *c]).astype(t) for t, c in ((np.int32, step), *((t, [x[i] for _, x in told]) for i, t in enumerate((np.int32, np.int32, np.int64))))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["step", "left", "right", "cnt"])
 
 
 def train_distributed(words: DataFrame, n_merges: int, tie: str = "tuple") -> list[Pair]:
     """The merges of a histogram table (symbols, cnt) of any size, as `bpe.train` has them."""
     if tie not in ("tuple", "concat"):
         raise ValueError("tie must be tuple or concat")
-    order = [F.desc("cnt"), *([F.desc(F.concat("left", "right"))] if tie == "concat" else []), F.desc("left"), F.desc("right")]
-    index, merges = PairIndex(words), []
-    while len(merges) < n_merges:
-        pairs = index.best(order)
-        if not pairs:
-            break
-        taken = safe_batch(pairs, len(pairs) == FIRST)[: n_merges - len(merges)]
+    training, merges = Training(words, tie), []
+    while len(merges) < n_merges and (taken := training.round(n_merges - len(merges))):
         merges += taken
-        if len(merges) < n_merges:
-            index.merge(taken)
-    index.close()
+        if training.rounds % COMPACT == 0 and len(merges) < n_merges:
+            training.rewrite()
+    training.close()
     return merges

@@ -6,6 +6,7 @@ import gzip
 import json
 import random
 import tarfile
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -180,6 +181,58 @@ def test_bpe_resumed_training_joins_words(spark):
     assert bpe.resume(v, spans, 5, most_bytes=1) == more
 
 
+def many_words(seed, n=300):
+    rng = random.Random(seed)
+    return {"".join(rng.choice("aaabbcdefg") for _ in range(rng.randint(1, 12))).encode(): rng.randint(1, 30) for _ in range(n)}
+
+
+def histogram(spark, words):
+    return spark.createDataFrame([([bytes([b]) for b in w], c) for w, c in words.items()], "symbols array<binary>, cnt long")
+
+
+def test_bpe_training_on_tables_takes_few_jobs(spark):
+    words = many_words(5)
+    spark.sparkContext.setJobGroup("few-jobs", "training")
+    assert bpe_index.train_distributed(histogram(spark, words), 60) == bpe.train(words, 60)
+    spark.sparkContext.setJobGroup("others", "others")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) < 40
+
+
+@pytest.mark.parametrize("tie", ["tuple", "concat"])
+def test_bpe_training_doesnt_depend_on_the_sample(spark, monkeypatch, tie):
+    monkeypatch.setattr(bpe_index, "SAMPLE_WORDS", 3)
+    monkeypatch.setattr(bpe_index, "SAMPLE_SYMBOLS", 4)
+    monkeypatch.setattr(bpe_index, "SLICE_SYMBOLS", 50)
+    monkeypatch.setattr(bpe_index, "COMPACT", 3)
+    words = many_words(6)
+    assert bpe_index.train_distributed(histogram(spark, words), 12, tie) == bpe.train(words, 12, tie)
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_bpe_changes_of_counts_equal_a_recount(named):
+    rng = random.Random(4)
+    for _ in range(60):
+        words = [[rng.randrange(3) for _ in range(rng.randint(1, 14))] for _ in range(8)]
+        counts = [rng.randint(1, 9) for _ in words]
+        merges = [(rng.randrange(3 + k), rng.randrange(3 + k), 3 + k) for k in range(6)]
+        merges.append(merges[0])
+        block = bpe_index.Block(np.array([-1, *(x for w in words for x in [*w, -1])], np.int32), np.array(counts), merges if named else [])
+        for left, right, new in merges:
+            before = Counter()
+            for w, c in zip(words, counts, strict=True):
+                before.update({p: c * n for p, n in Counter(zip(w, w[1:], strict=False)).items()})
+                k = 0
+                while k + 1 < len(w):
+                    if w[k : k + 2] == [left, right]:
+                        w[k : k + 2] = [new]
+                    k += 1
+            after = Counter()
+            for w, c in zip(words, counts, strict=True):
+                after.update({p: c * n for p, n in Counter(zip(w, w[1:], strict=False)).items()})
+            got = block.merge(left, right, new) or ((), (), ())
+            assert {(a, b): n for a, b, n in zip(*got, strict=True)} == {p: after[p] - before[p] for p in before | after if after[p] != before[p]}
+
+
 def test_bpe_merges_that_can_be_taken_at_once():
     pairs = [(b"a", b"b", 9), (b"c", b"d", 8), (b"e", b"f", 7), (b"b", b"c", 7), (b"g", b"h", 6)]
     assert bpe_index.safe_batch(pairs, False) == [(b"a", b"b"), (b"c", b"d")]
