@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def total(a: Column) -> Column:
@@ -112,27 +116,31 @@ def checked_tokens(tokens: Column, limit: int = 1 << 16) -> Column:
 
 
 def merged_pair(ids: Column, left: Column, right: Column, new: Column) -> Column:
-    """Each non-overlapping neighbouring (left, right), from the left, becomes `new`. In linear time.
+    """Each non-overlapping neighbouring (left, right), from the left, becomes `new`; ids are of int. In linear time, a batch of lists at once.
 
     Two pairs overlap only if left and right are equal; in a run of k such tokens the first of every two begins a pair, as
     far as a second follows.
     """
-    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
-
-    def merged(x: Column) -> Column:
-        # for tokens equal to both: how far into their run each is, from the last token that differs
-        pair = lambda i: (F.get(x, i) == left) & F.coalesce(F.get(x, i + 1) == right, F.lit(False))
-        breaks = F.filter(F.transform(x, lambda t, i: F.when(t != left, i)), lambda i: i.isNotNull())
-        runs = lambda b: F.flatten(F.transform(
-            F.sequence(F.lit(0), F.size(b)),
-            lambda k: let(
-                F.when(k == 0, F.lit(-1)).otherwise(F.get(b, k - 1)),
-                lambda a: F.concat(F.when(k == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(0))), F.array_compact(F.transform(
-                    F.sequence(a, F.coalesce(F.get(b, k), F.size(x)) - 1), lambda i: F.when(i > a, i - a - 1)))),
-            ),
-        ))
-        begins = lambda depth: F.transform(x, lambda t, i: pair(i) & (depth(i) % 2 == 0))
-        apart = lambda flags: F.array_compact(F.transform(x, lambda t, i: F.when(F.get(flags, i), new).when((i > 0) & F.coalesce(F.get(flags, i - 1), F.lit(False)), F.lit(None)).otherwise(t)))
-        return F.when(left == right, let(runs(breaks), lambda d: let(begins(lambda i: F.get(d, i)), apart))).otherwise(let(begins(lambda i: F.lit(0)), apart))
-
-    return F.when(F.size(ids) < 2, ids).otherwise(let(ids, merged))
+    return _merged_pair(ids.cast("array<int>"), left.cast("int"), right.cast("int"), new.cast("int"))
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _merged_pair(ids: pa.Array, left: pa.Array, right: pa.Array, new: pa.Array) -> pa.Array:
+    size = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    flat = ids.flatten()
+    none = flat.is_null().to_numpy(zero_copy_only=False)
+    value = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).copy()
+    row = np.repeat(np.arange(size.size), size)
+    a, b, c = (pc.fill_null(x, 0).to_numpy(zero_copy_only=False) for x in (left, right, new))
+    asked = ~(left.is_null().to_numpy(zero_copy_only=False) | right.is_null().to_numpy(zero_copy_only=False))
+    at = np.flatnonzero((value[:-1] == a[row[:-1]]) & (value[1:] == b[row[1:]]) & (row[:-1] == row[1:]) & ~none[:-1] & ~none[1:] & asked[row[:-1]])
+    if at.size:  # places of equal tokens follow one another: of each run the first, third, ..
+        starts = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(row[at], prepend=-1) != 0))
+        at = at[(np.arange(at.size) - np.repeat(starts, np.diff(starts, append=at.size))) % 2 == 0]
+    value[at] = c[row[at]]
+    none[at] = new.is_null().to_numpy(zero_copy_only=False)[row[at]]
+    keep = np.ones(value.size, bool)
+    keep[at + 1] = False
+    ends = np.cumsum(size - np.bincount(row[at], minlength=size.size)) if size.size else size
+    offsets = pa.array(np.append(0, ends).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(value[keep], pa.int32(), mask=none[keep]), mask=ids.is_null())

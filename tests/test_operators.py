@@ -337,6 +337,17 @@ def test_merged_pairs_equal_a_loop(spark, left, right):
         assert r["x"] == want
 
 
+def test_merged_pairs_of_a_long_list_take_linear_time(spark):
+    import time
+
+    from lodestone.functions.arrays import merged_pair
+
+    long = F.transform(F.sequence(F.lit(0), F.col("n").cast("int")), lambda i: F.when(i % 4 < 3, 1).otherwise(2))
+    start = time.time()
+    got = spark.range(1).select((F.lit(59_999) + F.col("id")).alias("n")).select(long.alias("ids")).select(F.size(merged_pair(F.col("ids"), F.lit(1), F.lit(1), F.lit(9))).alias("n")).first()["n"]
+    assert got == 45_000 and time.time() - start < 60
+
+
 @pytest.mark.parametrize("n", [1, 30])
 def test_permutation_is_a_bijection(n):
     p = selection.permutation(n, 1337)
