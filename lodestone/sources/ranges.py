@@ -31,6 +31,8 @@ from lodestone.session import ship
 #: Bytes of a range, of a read, and of the texts of one batch; tokens of a slice, and of a file that a task writes.
 RANGE_BYTES, BLOCK_BYTES, BATCH_BYTES = 64 << 20, 1 << 20, 8 << 20
 SLICE_TOKENS, FILE_TOKENS = 1 << 16, 1 << 24
+#: Bytes of ranges that one task reads one after another, for how many a range counts at least, and tasks that there are before ranges share one.
+TASK_BYTES, LEAST_BYTES, FEW_TASKS = 4 << 20, 1 << 16, 256
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -75,17 +77,44 @@ class Range(InputPartition):
         super().__init__(self.number)
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads."""
+
+    ranges: list[Range]
+    number: int
+
+    def __post_init__(self):
+        super().__init__(self.number)
+
+
 class _Reader(DataSourceReader):
-    """A reader of ranges: `cut` gives those of a file, `rows` the batches of one."""
+    """A reader of ranges: `cut` gives those of a file, `one` the batches of one; short ones are read by one task, so tasks grow with the bytes and not with files or ranges."""
 
     def __init__(self, options: dict):
         self.options, self.path = options, options["path"]
 
-    def partitions(self) -> list[Range]:
-        ranges = [r for file, size in listed(self.path, self.options.get("suffix", "")) for r in self.cut(file, size)]
-        return [Range(r.file, r.start, r.end, i) for i, r in enumerate(ranges)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def ranges(self) -> list[Range]:
+        return [r for file, size in listed(self.path, self.options.get("suffix", "")) for r in self.cut(file, size)]
+
+    def partitions(self) -> list[Ranges]:
+        ranges = self.ranges()
+        sizes = [max(LEAST_BYTES, r.end - r.start) for r in ranges]
+        most = min(TASK_BYTES, sum(sizes) // FEW_TASKS)
+        tasks, held = [], most
+        for r, size in zip(ranges, sizes, strict=True):
+            if held >= most:
+                tasks.append(Ranges([], len(tasks)))
+                held = 0
+            tasks[-1].ranges.append(r)
+            held += size
+        return tasks
+
+    def rows(self, fs: pafs.FileSystem, part: Ranges) -> Iterator[pa.RecordBatch]:
+        for r in part.ranges:
+            yield from self.one(fs, r)
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         fs, _ = opened(self.path)
         yield from self.rows(fs, partition)
 
@@ -95,7 +124,7 @@ class _Delimited(_Reader):
         step = int(self.options.get("rangebytes", RANGE_BYTES))
         return [Range(file, a, min(a + step, size)) for a in range(0, size, step)]
 
-    def rows(self, fs: pafs.FileSystem, part: Range) -> Iterator[pa.RecordBatch]:
+    def one(self, fs: pafs.FileSystem, part: Range) -> Iterator[pa.RecordBatch]:
         """The documents that begin in the range. The first begins at the file's start, or behind the first mark that ends in the range or at its start."""
         mark = self.options["mark"].encode()
         block = max(int(self.options.get("blockbytes", BLOCK_BYTES)), len(mark))
@@ -160,7 +189,7 @@ class _Bytes(_Reader):
         start, end = int(self.options["start"]), min(int(self.options["end"]), size)
         return [Range(file, start, max(start, end))]
 
-    def rows(self, fs: pafs.FileSystem, part: Range) -> Iterator[pa.RecordBatch]:
+    def one(self, fs: pafs.FileSystem, part: Range) -> Iterator[pa.RecordBatch]:
         with fs.open_input_file(part.file) as f:
             content = f.read_at(part.end - part.start, part.start) if part.end > part.start else b""
         yield pa.RecordBatch.from_arrays([pa.array([part.file]), pa.array([content], pa.binary())], ["file", "content"])
@@ -195,7 +224,7 @@ def array_header(f) -> tuple[int, np.dtype, int]:
 
 
 class _Arrays(_Reader):
-    def partitions(self) -> list[Range]:
+    def ranges(self) -> list[Range]:
         fs, _ = opened(self.path)
         step, out = int(self.options.get("slicetokens", SLICE_TOKENS)) * int(self.options.get("slices", 64)), []
         for file, _ in listed(self.path, ".npy"):
@@ -203,10 +232,10 @@ class _Arrays(_Reader):
                 continue
             with fs.open_input_file(file) as f:
                 n = array_header(f)[2]
-            out += [Range(file, a, min(a + step, n), len(out) + i) for i, a in enumerate(range(0, n, step))]
+            out += [Range(file, a, min(a + step, n)) for a in range(0, n, step)]
         return out
 
-    def rows(self, fs: pafs.FileSystem, part: Range) -> Iterator[pa.RecordBatch]:
+    def one(self, fs: pafs.FileSystem, part: Range) -> Iterator[pa.RecordBatch]:
         step = int(self.options.get("slicetokens", SLICE_TOKENS))
         with fs.open_input_file(part.file) as f:
             begin, kind, _ = array_header(f)
@@ -306,7 +335,7 @@ class _Members(_Reader):
     def cut(self, file: str, size: int) -> list[Range]:
         return [Range(file, 0, size)]
 
-    def rows(self, fs: pafs.FileSystem, part: Range) -> Iterator[pa.RecordBatch]:
+    def one(self, fs: pafs.FileSystem, part: Range) -> Iterator[pa.RecordBatch]:
         """The archive is read once, from front to back, as it is unpacked."""
         root, rows, held = None, [], 0
 
@@ -349,7 +378,7 @@ class _Lines(_Reader):
     def cut(self, file: str, size: int) -> list[Range]:
         return [Range(file, 0, size)]
 
-    def rows(self, fs: pafs.FileSystem, part: Range) -> Iterator[pa.RecordBatch]:
+    def one(self, fs: pafs.FileSystem, part: Range) -> Iterator[pa.RecordBatch]:
         """The lines as far as they can be unpacked; then, if that is not to the end, a row with the error."""
         lines: list[str | None] = []
         held, rest, error, first = 0, b"", None, 0

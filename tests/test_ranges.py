@@ -169,3 +169,11 @@ def test_windows_of_a_stream_are_those_after_its_last_batch(spark, tmp_path):
     streams.write_windows(events, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
     got = streams.windows_so_far(spark, str(tmp_path / "out"))
     assert sorted((r["window_start"].hour, r["n"], r["total"]) for r in got.collect()) == [(5, 5, 7.5), (6, 3, 4.5)]
+
+
+def test_short_ranges_share_a_task(tmp_path):
+    for k in range(300):
+        (tmp_path / f"{k:03d}.txt").write_text("word<|endoftext|>" * 3)
+    reader = ranges._Delimited({"path": str(tmp_path), "mark": "<|endoftext|>", "rangebytes": "7"})
+    tasks = reader.partitions()
+    assert len(tasks) <= 300 and sum(b.num_rows for t in tasks for b in reader.read(t)) == 900
