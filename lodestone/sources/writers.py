@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.selection import indexed
@@ -63,6 +63,19 @@ def write_files(df: DataFrame, path: str) -> None:
     df.select("folder", "name", "content").mapInPandas(run, "n long").agg(F.sum("n")).collect()
 
 
+def write_halves(spark: SparkSession, folder: str, path: str) -> None:
+    """The first half of each file of a folder, under its name in another, as writers leave behind that stop half-way; a file is one task's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, head in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                put(f"{path}/{name}", head)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    files.select(F.element_at(F.split("path", "/"), -1), F.expr("substring(content, 1, length(content) div 2)")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def write_archives(df: DataFrame, path: str, key: str) -> None:
     """<path>/<key>.tar.gz for each value of the key, with its rows' files (root, path, content in bytes) in the order of their paths, packed row by row as they come sorted."""
 

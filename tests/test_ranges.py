@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.plans import files
 from lodestone.sources import ranges, readers, writers
 from lodestone.streaming import streams
 
@@ -177,3 +178,19 @@ def test_short_ranges_share_a_task(tmp_path):
     reader = ranges._Delimited({"path": str(tmp_path), "mark": "<|endoftext|>", "rangebytes": "7"})
     tasks = reader.partitions()
     assert len(tasks) <= 300 and sum(b.num_rows for t in tasks for b in reader.read(t)) == 900
+
+
+def test_documents_arrive_in_files_of_several_tasks(spark, tmp_path):
+    for k in range(4):
+        spark.createDataFrame([(i, "x") for i in range(k, 40, 4)], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    arriving = files._arriving(spark, str(tmp_path), str(tmp_path / "to"))
+    there = spark.read.parquet(str(tmp_path / "to/in"))
+    assert arriving.isStreaming and there.count() == 40 and len(there.inputFiles()) > 3
+
+
+def test_halves_of_files_are_cut_by_tasks(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / "whole").mkdir(exist_ok=True)
+        (tmp_path / f"whole/part-{k}.gz").write_bytes(bytes(range(10 * k, 10 * k + 9)))
+    writers.write_halves(spark, str(tmp_path / "whole"), str(tmp_path / "half"))
+    assert {f.name: f.read_bytes() for f in (tmp_path / "half").iterdir()} == {f"part-{k}.gz": bytes(range(10 * k, 10 * k + 4)) for k in range(3)}
