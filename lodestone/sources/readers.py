@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.text import END_OF_TEXT, repaired_utf8
 from lodestone.operators.tokens import running_start
+from lodestone.session import ship
+from lodestone.sources.ranges import BATCH_BYTES, opened
 
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 SFT_ROW = T.StructType([
@@ -65,11 +71,36 @@ def csv_rows(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def solutions(spark: SparkSession, path: str) -> DataFrame:
-    """task_id (the folder's name; `evaluation.matched_samples` finds the problem it means), solution and identifier of the files <task_id>/*.py of a folder."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").text(path, wholetext=True)
-    where = F.input_file_name()
-    folder = F.element_at(F.split(where, "/"), -2)
-    return rows.select(folder.alias("task_id"), F.col("value").alias("solution"), F.concat_ws("/", folder, F.element_at(F.split(where, "/"), -1)).alias("identifier"))
+    """task_id (the folder's name; `evaluation.matched_samples` finds the problem it means), solution and identifier of the files <task_id>/*.py of a folder.
+
+    The driver lists the folder alone; each folder in it is listed and read by a task, through Arrow's file systems as in `ranges`.
+    """
+    fs, at = opened(path)
+    below = [f.path for f in fs.get_file_info(pafs.FileSelector(at)) if f.type == pafs.FileType.Directory and not f.base_name.startswith(("_", "."))]
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = opened(path)
+        for batch in batches:
+            for folder, deep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                names, contents, held = [], [], 0
+                for f in fs.get_file_info(pafs.FileSelector(folder, recursive=deep)):
+                    inner = f.path.removeprefix(at).strip("/").split("/")
+                    if f.type != pafs.FileType.File or not f.base_name.endswith(".py") or any(p.startswith(("_", ".")) for p in inner):
+                        continue
+                    with fs.open_input_file(f.path) as opened_file:
+                        contents.append(opened_file.read())
+                    names.append(f.path)
+                    held += len(contents[-1])
+                    if held >= BATCH_BYTES or len(names) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+                        names, contents, held = [], [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+    folders = spark.createDataFrame([(at, False), *((f, True) for f in below)], "folder string, deep boolean").repartition(1 + len(below))
+    rows = folders.mapInArrow(run, "path string, content binary")
+    folder = F.element_at(F.split("path", "/"), -2)
+    return rows.select(folder.alias("task_id"), F.col("content").cast("string").alias("solution"), F.concat_ws("/", folder, F.element_at(F.split("path", "/"), -1)).alias("identifier"))
 
 
 def solutions_file(spark: SparkSession, path: str) -> DataFrame:

@@ -194,3 +194,13 @@ def test_halves_of_files_are_cut_by_tasks(spark, tmp_path):
         (tmp_path / f"whole/part-{k}.gz").write_bytes(bytes(range(10 * k, 10 * k + 9)))
     writers.write_halves(spark, str(tmp_path / "whole"), str(tmp_path / "half"))
     assert {f.name: f.read_bytes() for f in (tmp_path / "half").iterdir()} == {f"part-{k}.gz": bytes(range(10 * k, 10 * k + 4)) for k in range(3)}
+
+
+def test_solutions_are_listed_by_tasks(spark, tmp_path):
+    for name in ("a b/0.py", "c/d/1.py", "2.py", "_no/3.py", "c/.4.py", "c/5.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"x = '{name}'")
+    got = readers.solutions(spark, str(tmp_path))
+    assert got.inputFiles() == []  # the plan has no list of files
+    want = [("a b", "a b/0.py", "a b/0.py"), ("d", "d/1.py", "c/d/1.py"), (tmp_path.name, f"{tmp_path.name}/2.py", "2.py")]
+    assert sorted((r["task_id"], r["identifier"], r["solution"]) for r in got.collect()) == sorted((t, i, f"x = '{n}'") for t, i, n in want)
