@@ -10,10 +10,11 @@
 4. Buckets give no list of all their pairs. Three rounds pair each member with pivots of its bucket: the least class, the
    greatest, and the first by two other orders. Pairs already in one component are left out, and the links of each round
    join components. What is left is settled exactly, for buckets of four or more that still hold several components
-   (in smaller ones the first two pivots meet every member). Members outside the bucket's largest component are compared
-   with all members of that component, once whatever the number of buckets; and with one another, bucket by bucket. Both
-   work on blocks of signatures in numpy; the sets of two blocks are fetched only if signatures leave a pair of components to
-   decide, and only links come out. So every pair that shares a bucket is either in one component or was decided.
+   (in smaller ones the first two pivots meet every member). Where one component has most of a bucket, members outside it are
+   compared with all members of that component, once whatever the number of buckets. All others are compared with one another: by
+   regions of buckets that share members, where a region's pairs of blocks move fewer rows than its buckets' would, else bucket
+   by bucket. All work on blocks of signatures in numpy; the sets of two blocks are fetched only if signatures leave a pair of
+   components to decide, and only links come out. So every pair that shares a bucket is either in one component or was decided.
 
 Classes are named by 64-bit hashes of their sets. Shuffles carry ids, band hashes, signatures of candidates and sets of
 survivors. Texts move only if the list of classes to verify is over `broadcast_bytes`, a bound on its counted size.
@@ -24,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -233,49 +235,76 @@ def _compared(met: DataFrame, bands: int, percent: int, limits: list[tuple[int,
     return met.select("same", "band", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def _rest(hot: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, bands: int, percent: int, limits: list[tuple[int, int]]) -> DataFrame:
-    """Links (u, v) that the pivots may have missed. `classes` has node and sig of each class in a bucket, `sets` node and items.
+def _rest(hot: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, bands: int, percent: int, limits: list[tuple[int, int]]) -> DataFrame | None:
+    """Links (u, v) that the pivots may have missed; None if no bucket leaves any. `classes` has node and sig of each class in a bucket, `sets` node and items.
 
     Blocks of signatures meet first; blocks of sets are made for those pairs of blocks alone in which the signatures leave something to decide.
     """
     rows = hot.where("c > 3").select("key", "node").join(labels, "node")
-    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("x"))
-    outside = cut_fitted(salted_join(rows, sizes.where("comps > 1").select("key", F.col("x.comp").alias("major")), "key", F.col("node"), "inner", 8).where("comp <> major"))
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("of"), F.max(F.struct("n", "comp")).alias("x"))
+    # a component that doesn't have most of the bucket is as good as any other
+    major = F.when(2 * F.col("x.n") > F.col("of"), F.col("x.comp"))
+    outside = salted_join(rows, sizes.where("comps > 1").select("key", major.alias("major")), "key", F.col("node"), "inner", 8)
+    outside = cut_fitted(outside.where("major is null or comp <> major"))
+    several = outside.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("first")).where("lo <> hi")
+    several = cut_fitted(salted_join(outside.drop("major"), several.select("key", "n", "first"), "key", F.col("node"), "inner", 8))
     block = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(n / BLOCK)).cast("int")
 
-    # with the largest component: each of its blocks meets the blocks of those outside
-    near = outside.select(F.col("major").alias("g"), "node", "comp").distinct()
-    few = near.groupBy("g").agg(F.count("*").alias("n"))
-    many = labels.join(few.select("g"), F.col("comp") == F.col("g"), "left_semi").groupBy(F.col("comp").alias("g")).agg(F.count("*").alias("of"))
-    lefts = cut_fitted(near.join(few, "g").select("g", block(F.col("n")).alias("i"), "node", "comp"))
-    rights = cut_fitted(labels.join(many, F.col("comp") == F.col("g")).select("g", block(F.col("of")).alias("j"), "node", "comp"))
-    # with one another, bucket by bucket
-    several = outside.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n")
-    others = cut_fitted(salted_join(outside, several, "key", F.col("node"), "inner", 8).select(F.col("key").alias("g"), block(F.col("n")).alias("i"), "node", "comp"))
-
     def blobs(members: DataFrame, at: str, name: str, with_sets: bool) -> DataFrame:
         full = members.join(classes, "node")
         fields = ["node", "comp", "sig"]
         if with_sets:
             full, fields = full.join(sets, "node"), [*fields, "items"]
-        return full.groupBy("g", at).agg(F.collect_list(F.struct(*fields)).alias(name))
-
-    of = many.select("g", F.explode(F.sequence(F.lit(0), F.ceil(F.col("of") / BLOCK).cast("int") - 1)).alias("j"))
-    one = blobs(lefts, "i", "x", False).join(of, "g").join(blobs(rights, "j", "y", False), ["g", "j"])
-    own = blobs(others, "i", "x", False)
-    two = own.join(own.select("g", F.col("i").alias("j"), F.col("x").alias("y")), "g").where("i <= j")
-    met = one.select(F.lit(0).alias("kind"), "g", "i", "j", F.lit(False).alias("same"), F.lit(None).cast("int").alias("band"), "x", "y").unionByName(
-        two.select(F.lit(1).alias("kind"), "g", "i", "j", (F.col("i") == F.col("j")).alias("same"), F.col("g").bitwiseAND(0xFFFF).cast("int").alias("band"), "x", "y")
-    )
-    left = cut_fitted(_promising(met, bands, limits))
-
-    def links(kind: int, of_i: DataFrame, of_j: DataFrame, j: str) -> DataFrame:
-        pairs = left.where(F.col("kind") == kind)
-        x = blobs(of_i.join(pairs.select("g", "i").distinct(), ["g", "i"], "left_semi"), "i", "x", True)
-        y = blobs(of_j.join(pairs.select("g", F.col("j").alias(j)).distinct(), ["g", j], "left_semi"), j, "y", True).withColumnRenamed(j, "j")
-        return _compared(pairs.join(x, ["g", "i"]).join(y, ["g", "j"]), bands, percent, limits)
-
-    return links(0, lefts, rights, "j").unionByName(links(1, others, others, "i"))
+        return full.groupBy("kind", "g", at).agg(F.collect_list(F.struct(*fields)).alias(name))
+
+    met, sides = [], []
+    if not (near := outside.where("major is not null")).isEmpty():
+        # with the component that has most of the bucket: each of its blocks meets the blocks of those outside
+        near = near.select(F.lit(0).alias("kind"), F.col("major").alias("g"), "node", "comp").distinct()
+        few = near.groupBy("g").agg(F.count("*").alias("n"))
+        many = labels.join(few.select("g"), F.col("comp") == F.col("g"), "left_semi").groupBy(F.col("comp").alias("g")).agg(F.count("*").alias("of"))
+        lefts = cut_fitted(near.join(few, "g").select("kind", "g", block(F.col("n")).alias("i"), "node", "comp"))
+        rights = cut_fitted(labels.join(many, F.col("comp") == F.col("g")).select(F.lit(0).alias("kind"), "g", block(F.col("of")).alias("j"), "node", "comp"))
+        of = many.select("g", F.explode(F.sequence(F.lit(0), F.ceil(F.col("of") / BLOCK).cast("int") - 1)).alias("j"))
+        one = blobs(lefts, "i", "x", False).join(of, "g").join(blobs(rights, "j", "y", False), ["kind", "g", "j"])
+        met.append(one.select("kind", "g", "i", "j", F.lit(False).alias("same"), F.lit(None).cast("int").alias("band"), "x", "y"))
+        sides.append((lefts, rights, "j"))
+    if not several.isEmpty():
+        # with one another
+        others = cut_fitted(_dealt(several).select("kind", "g", block(F.col("n")).alias("i"), "node", "comp").distinct())
+        own = blobs(others, "i", "x", False)
+        two = own.join(own.select("kind", "g", F.col("i").alias("j"), F.col("x").alias("y")), ["kind", "g"]).where("i <= j")
+        band = F.when(F.col("kind") == 1, F.col("g").bitwiseAND(0xFFFF).cast("int"))
+        met.append(two.select("kind", "g", "i", "j", (F.col("i") == F.col("j")).alias("same"), band.alias("band"), "x", "y"))
+        sides.append((others, others, "i"))
+    if not met:
+        return None
+    left = cut_fitted(_promising(reduce(DataFrame.unionByName, met), bands, limits))
+
+    def links(of_i: DataFrame, of_j: DataFrame, j: str) -> DataFrame:
+        pairs = left.where(F.col("kind") == 0 if j == "j" else F.col("kind") > 0)
+        x = blobs(of_i.join(pairs.select("kind", "g", "i").distinct(), ["kind", "g", "i"], "left_semi"), "i", "x", True)
+        y = blobs(of_j.join(pairs.select("kind", "g", F.col("j").alias(j)).distinct(), ["kind", "g", j], "left_semi"), j, "y", True).withColumnRenamed(j, "j")
+        return _compared(pairs.join(x, ["kind", "g", "i"]).join(y, ["kind", "g", "j"]), bands, percent, limits)
+
+    return reduce(DataFrame.unionByName, [links(*s) for s in sides])
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """kind, g, n, node and comp: by which groups g of n nodes the members (key, n, first, node, comp) of buckets meet; `first` is the least node of a bucket.
+
+    Buckets that share nodes make a region. Where bands disagree much, as among copies about the limit, a node is in many buckets of one region, and its
+    signature and set would move once for each: such a region meets as one (kind 2), which meets each pair of its buckets once and others besides. A
+    region that would move more so than its buckets do, as long chains of them, is left to its buckets (kind 1).
+    """
+    of = components(members.select(F.col("node").alias("u"), F.col("first").alias("v"))).select("node", F.col("comp").alias("region"))
+    placed = cut_fitted(members.join(of, "node"))
+    moved = lambda n: F.ceil(n / BLOCK)
+    nodes = placed.groupBy("region", "node").agg(F.sum(moved(F.col("n"))).alias("apart")).groupBy("region").agg(F.count("*").alias("of"), F.sum("apart").alias("apart"))
+    whole = (F.col("of") * moved(F.col("of")) <= F.col("apart")).alias("whole")
+    rows = salted_join(placed, nodes.select("region", "of", whole), "region", F.col("node"), "inner", 8)
+    pick = lambda x, y: F.when(F.col("whole"), F.col(x)).otherwise(F.col(y))
+    return rows.select(F.when(F.col("whole"), 2).otherwise(1).alias("kind"), pick("region", "key").alias("g"), pick("of", "n").alias("n"), "node", "comp")
 
 
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -333,7 +362,9 @@ def near_dedup(
         pairs = cut_fitted(pairs, 10_000)
         links = _links(cut_fitted(_survivors(pairs, classes, count, limits), SETS), sets, percent)
         labels = _merge(labels, cut_fitted(links))
-    labels = _merge(labels, cut_fitted(_rest(hot, labels, classes, sets, bands, percent, limits)))
+    rest = _rest(hot, labels, classes, sets, bands, percent, limits)
+    if rest is not None:
+        labels = _merge(labels, cut_fitted(rest))
 
     named = every.select("id", "t", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "t")).alias("x"), F.count("*").alias("of"))

@@ -56,7 +56,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kind = np.where(y[:, 0] == 0, 0, np.where(y[:, 1] > 0, 2, 1))
     if not len(kind):
         return m
-    x = np.concatenate([presence(found, len(chosen)), np.zeros((len(kind), 3), np.float32)], 1)
+    x = presence(found, len(chosen) + 3)
     x[:, -3:-1], x[:, -1] = np.sqrt(dense[:, 1:]), 1
     onehot = np.eye(3)[kind]
     rng, first, second = np.random.default_rng(5), 0.0, 0.0

@@ -18,6 +18,8 @@ from lodestone.llm.features import Terms, Vocabulary, frequent_terms, sample_tex
 
 #: Weights of the blocks of a document's term vector.
 WEIGHTS = {"shape": 1.0, "word": 0.3, "repeat": 0.8}
+#: Labelled rows whose terms the driver turns into numbers at once.
+ROWS = 256
 #: How fast a neighbour's vote falls with its distance (1 - cosine).
 DECAY = 20.0
 
@@ -71,8 +73,11 @@ def train(
     if not len(y):
         return Model(vocabulary, np.zeros(0), np.zeros((2, 1), np.float32), np.zeros((0, 1), np.float32), y, k, 0.5)
     m = Model(vocabulary, np.log1p(len(y) / frequency) * WEIGHTS["word"], None, None, y, k, float(y.mean()))
-    owner = np.repeat(np.arange(len(found)), [len(t) for t, _ in found])
-    x = _dense(owner, np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found]), dense[:, 0], dense[:, 1], dense[:, 2], m)
+    x = np.empty((len(found), len(vocabulary) + 2), np.float32)
+    for at in range(0, len(found), ROWS):  # by parts, as the counts have doubles
+        some, figures = found[at : at + ROWS], dense[at : at + ROWS]
+        owner = np.repeat(np.arange(len(some)), [len(t) for t, _ in some])
+        x[at : at + ROWS] = _dense(owner, np.concatenate([t for t, _ in some]), np.concatenate([c for _, c in some]), figures[:, 0], figures[:, 1], figures[:, 2], m)
     m.basis = latent_basis(x, rank)
     m.neighbours = _unit(x @ m.basis)
     return m

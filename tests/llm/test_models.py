@@ -29,6 +29,19 @@ def labelled(spark, seed=1, n=240):
     return frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_quality_model_takes_its_rows_by_parts(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    most, dense = [], quality_knn._dense
+    monkeypatch.setattr(quality_knn, "_dense", lambda *a: most.append(len(a[3])) or dense(*a))
+    model = quality_knn.train(docs, labels)
+    whole = most.copy()
+    monkeypatch.setattr(quality_knn, "ROWS", 50)
+    most.clear()
+    parts = quality_knn.train(docs, labels)
+    assert whole == [240] and most == [50, 50, 50, 50, 40]
+    assert (parts.neighbours == model.neighbours).all() and (parts.basis == model.basis).all()
+
+
 def test_quality(spark):
     docs, labels = labelled(spark)
     model = quality_knn.train(docs, labels, where=labels.doc_id % 3 != 0, bound=100)

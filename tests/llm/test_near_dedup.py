@@ -92,3 +92,28 @@ def test_posterior_bound_grows_with_the_matches_seen():
     assert limits[-1][0] == 160 and all(m < 0.8 * n for n, m in limits)
     shares = [m / n for n, m in limits]
     assert shares == sorted(shares)
+
+
+def test_copies_below_the_limit_meet_once(spark, monkeypatch):
+    """Copies that share buckets in many bands and aren't linked: each signature goes to a few blocks, not to one for each bucket."""
+    rng = random.Random(10)
+    text = prose(rng, 200)
+    rows = [(i, edited(rng, text, 0.055), None) for i in range(200)]
+    moved, promising = [], minhash._promising
+
+    def counted(met, *others):
+        moved.append(met.selectExpr("sum(size(x) + size(y)) AS n").first()["n"] or 0)
+        return promising(met, *others)
+
+    monkeypatch.setattr(minhash, "_promising", counted)
+    assert got(minhash.near_dedup(frame(spark, rows), shingle=2)) == brute(rows, 2)
+    assert len(moved) == 1 and 0 < moved[0] <= 4 * len(rows)
+
+
+def test_regions_that_would_move_more_are_left_to_their_buckets(spark):
+    dense = [(k, 10, 1000, n, n) for k in range(5) for n in range(1000, 1010)]
+    chain = [(100 + k, 2, k, k + d, k + d) for k in range(600) for d in (0, 1)]
+    rows = minhash._dealt(spark.createDataFrame(dense + chain, "key long, n long, first long, node long, comp long")).distinct().collect()
+    assert {(r["kind"], r["node"] >= 1000) for r in rows} == {(1, False), (2, True)}
+    assert sorted(r["node"] for r in rows if r["kind"] == 2) == list(range(1000, 1010)) and {r["n"] for r in rows if r["kind"] == 2} == {10}
+    assert sorted((r["g"], r["node"]) for r in rows if r["kind"] == 1) == sorted((k, n) for k, _, _, n, _ in chain)
