@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,12 +32,18 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def has_marks(text: Column, marks: tuple[str, ...] = SPECIALS) -> Column:
+    """Whether any marker is in a text."""
+    return reduce(Column.__or__, [F.contains(text, F.lit(m)) for m in marks])
+
+
 def split_keeping(text: Column, marks: tuple[str, ...] = SPECIALS) -> Column:
-    """The parts between markers and the markers themselves, in order; empty parts are left out."""
+    """The parts between markers and the markers themselves, in order; empty parts are left out. A text without markers isn't searched by pattern."""
     import re
 
     any_mark = "|".join(re.escape(m) for m in sorted(marks, reverse=True))
-    return F.regexp_extract_all(text, F.lit(rf"(?s)(?:{any_mark})|(?:(?!{any_mark}).)+"), F.lit(0))
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s)(?:{any_mark})|(?:(?!{any_mark}).)+"), F.lit(0))
+    return F.when(~has_marks(text, marks) & (text != ""), F.array(text)).otherwise(parts)
 
 
 def without_marks(text: Column, marks: tuple[str, ...] = SPECIALS) -> Column:

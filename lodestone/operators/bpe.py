@@ -3,7 +3,7 @@
 Counting pre-tokens is distributed. The histogram is much smaller than the corpus and its merges depend on one another, so
 training runs on the driver if the histogram has at most DRIVER_BYTES of pre-tokens. A larger one stays in the tasks' hands as blocks
 of words (`bpe_index`); both ways count all pre-tokens and give the same merges. Encoding and
-decoding map documents in Arrow batches, without a shuffle; a bounded cache spares each task most of the repeated pre-tokens.
+decoding map documents in Arrow batches, without a shuffle; each batch encodes its different pre-tokens side by side, merge by merge.
 """
 
 from __future__ import annotations
@@ -13,13 +13,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import SPECIALS, pretokens
-from lodestone.operators.bpe_index import _Latest, train_distributed
-from lodestone.session import remove_table, shared_table
+from lodestone.operators.bpe_index import BLOCKS, GONE, Block, Training, _Latest, packed, train_on_blocks
+from lodestone.operators.tokens import pretoken_counts, row_slices
+from lodestone.session import dealt, shared_table
 
 
 @dataclass
@@ -99,40 +102,47 @@ def train(words: dict, n_merges: int, tie: str = "tuple", start: list[list[bytes
 DRIVER_BYTES = 2_000_000
 
 
-def _trained(words: DataFrame, n_merges: int, tie: str, most_bytes: int) -> list[tuple[bytes, bytes]]:
-    """The merges of a histogram (symbols, an array of binary; cnt), on the driver if it is small."""
-    if (words.agg(F.sum(F.aggregate("symbols", F.lit(0).cast("long"), lambda n, s: n + F.octet_length(s)))).first()[0] or 0) > most_bytes:
-        return train_distributed(words, n_merges, tie)
-    rows = [([bytes(s) for s in r["symbols"]], r["cnt"]) for r in words.toLocalIterator()]
-    return train({i: c for i, (_, c) in enumerate(rows)}, n_merges, tie, [s for s, _ in rows])
+def _trained(blocks: DataFrame, tokens: list[bytes], n_merges: int, tie: str, most_bytes: int) -> list[tuple[bytes, bytes]]:
+    """The merges of words that `bpe_index.packed` made, written as a table; on the driver if there are few."""
+    if tie not in ("tuple", "concat"):
+        raise ValueError("tie must be tuple or concat")
+    training = Training(shared_table(blocks, "blocks"), tokens, tie)
+    if training.n_bytes > most_bytes:
+        merges = train_on_blocks(training, n_merges)
+    else:
+        rows = list(training.words())
+        merges = train({i: c for i, (_, c) in enumerate(rows)}, n_merges, tie, [s for s, _ in rows])
+    training.close()
+    return merges
 
 
 def train_on(docs: DataFrame, n_merges: int, text: str = "text", tie: str = "tuple", most_bytes: int = DRIVER_BYTES) -> Vocabulary:
     """A vocabulary from a corpus; special tokens in texts aren't counted. Histograms of over `most_bytes` of pre-tokens are trained on as tables."""
     from lodestone.functions.text import without_marks
-    from lodestone.operators.tokens import pretoken_counts
 
-    parts = docs.select(F.explode(without_marks(F.col(text))).alias("text"))
-    raw = F.col("pretoken").cast("binary")
-    single = F.transform(F.sequence(F.lit(1), F.octet_length("pretoken")), lambda i: F.substring(raw, i, F.lit(1)))
-    words = shared_table(pretoken_counts(parts).where(F.octet_length("pretoken") > 1).select(single.alias("symbols"), "cnt"), "pretokens")
-    merges = _trained(words, n_merges, tie, most_bytes)
-    remove_table(words)
-    return Vocabulary(merges=merges)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8)
+                yield packed(flat, pc.binary_length(batch.column(0)).to_numpy(), batch.column(1).to_numpy())
+
+    parts = dealt(docs.select(F.col(text).alias("text"))).select(F.explode(without_marks(F.col("text"))).alias("text"))
+    words = pretoken_counts(parts).where(F.octet_length("pretoken") > 1).select(F.col("pretoken").cast("binary").alias("word"), "cnt")
+    return Vocabulary(merges=_trained(words.mapInArrow(pack, BLOCKS), [bytes([b]) for b in range(256)], n_merges, tie, most_bytes))
 
 
 def resume(vocabulary: Vocabulary, spans: DataFrame, n_merges: int, tie: str = "tuple", most_bytes: int = DRIVER_BYTES) -> Vocabulary:
-    """The vocabulary with up to `n_merges` more, trained on spans (tokens, an array of its ids; cnt) such as `tokens.boundary_spans` gives; these merges may join tokens across words."""
-    shared = spans.sparkSession.sparkContext.broadcast(vocabulary.tokens())
+    """The vocabulary with up to `n_merges` more, trained on spans (tokens, an array of its ids; cnt) such as `tokens.boundary_spans` gives, whether equal ones are counted or come again; these merges may join tokens across words."""
+    tokens, ids = vocabulary.tokens(), vocabulary.ids()
+    first = np.array([ids[t] for t in tokens], np.int32)  # ids of equal bytes are one
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            symbols = [[shared.value[i] for i in row] for row in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(symbols, pa.list_(pa.binary())), batch.column(1)], ["symbols", "cnt"])
+            if batch.num_rows:
+                yield packed(first[batch.column(0).flatten().to_numpy()], pc.list_value_length(batch.column(0)).to_numpy(), batch.column(1).to_numpy())
 
-    words = shared_table(spans.select("tokens", F.col("cnt").cast("long").alias("cnt")).where(F.size("tokens") > 1).mapInArrow(run, "symbols array<binary>, cnt long"), "spans")
-    merges = _trained(words, n_merges, tie, most_bytes)
-    remove_table(words)
+    words = spans.select(F.col("tokens").cast("array<int>").alias("tokens"), F.col("cnt").cast("long").alias("cnt")).where(F.size("tokens") > 1)
+    merges = _trained(words.mapInArrow(pack, BLOCKS), tokens, n_merges, tie, most_bytes)
     return Vocabulary(vocabulary.specials, [*vocabulary.merges, *merges])
 
 
@@ -161,16 +171,70 @@ def encode_word(word: bytes, rank: dict[tuple[bytes, bytes], int]) -> list[bytes
     return [p for p, live in zip(parts, alive, strict=True) if live]
 
 
-#: Pre-tokens whose ids a task remembers at a time.
-REMEMBERED = 1 << 17
+#: Pre-tokens that a task encodes at a time; a longer text is encoded by itself.
+ENCODED_PIECES = 1 << 18
 
 
 def pieces(text: Column, vocabulary: Vocabulary) -> Column:
     """The pre-tokens and markers of a text, in order; none of null."""
-    from lodestone.functions.text import split_keeping
+    from lodestone.functions.text import has_marks, split_keeping
 
     part = lambda p: F.when(p.isin(*vocabulary.specials), F.array(p)).otherwise(pretokens(p))
-    return F.coalesce(F.flatten(F.transform(split_keeping(text, vocabulary.specials), part)), F.array().cast("array<string>"))
+    marked = F.flatten(F.transform(split_keeping(text, vocabulary.specials), part))
+    return F.coalesce(F.when(has_marks(text, vocabulary.specials), marked).otherwise(pretokens(text)) if vocabulary.specials else pretokens(text), F.array().cast("array<string>"))
+
+
+def _by_stages(merges: list[tuple[bytes, bytes]]) -> bool:
+    """Whether each merge joins bytes or what merges before it made, and none makes what another does: taken one after another on all words, they then give what `encode_word` does."""
+    made = {bytes([b]) for b in range(256)}
+    for left, right in merges:
+        if left not in made or right not in made or left + right in made:
+            return False
+        made.add(left + right)
+    return True
+
+
+class Encoder:
+    """The ids of many pre-tokens at a time."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.ids, self.specials, self.merges = vocabulary.ids(), set(vocabulary.specials), vocabulary.merges
+        self.rank = {p: i for i, p in reversed(list(enumerate(vocabulary.merges)))}
+        self.steps = [(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in vocabulary.merges] if _by_stages(vocabulary.merges) else None
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and how many each has."""
+        if self.steps is None:
+            rows = [[self.ids[w.encode()]] if w in self.specials else [self.ids[t] for t in encode_word(w.encode(), self.rank)] for w in words]
+            return np.array([i for row in rows for i in row], np.int32), np.array([len(row) for row in rows], np.int64)
+        raw = [w.encode() for w in words]
+        sizes = np.array([len(w) for w in raw], np.int64)
+        ids = np.full(int(sizes.sum()) + len(raw) + 1, -1, np.int32)
+        starts = np.cumsum(sizes + 1) - sizes  # of each word's first byte
+        ids[np.arange(int(sizes.sum())) + np.repeat(np.arange(1, len(raw) + 1), sizes)] = np.frombuffer(b"".join(raw), np.uint8)
+        for k, w in enumerate(words):
+            if w in self.specials:
+                ids[starts[k]], ids[starts[k] + 1 : starts[k] + sizes[k]] = self.ids[raw[k]], GONE
+        block = Block(ids[ids != GONE], np.ones(len(raw), np.int64), self.steps)
+        for m in self.steps:
+            block.merge(*m, told=False)
+        left = block.ids[block.ids != GONE]
+        return left[left >= 0], np.diff(np.flatnonzero(left == -1)) - 1
+
+    def lists(self, pieces: pa.ListArray) -> Iterator[pa.ListArray]:
+        """The ids of lists of pre-tokens, some ENCODED_PIECES of them at a time; of those that come again in these only the first is merged."""
+        flat = pieces.flatten()
+        ends = np.append(0, np.cumsum(pc.list_value_length(pieces).to_numpy()))
+        for first, n in row_slices(ends[1:], ENCODED_PIECES):
+            own = ends[first : first + n + 1]
+            yield self._lists(flat.slice(own[0], own[-1] - own[0]), own - own[0])
+
+    def _lists(self, pieces: pa.StringArray, ends: np.ndarray) -> pa.ListArray:
+        found = pieces.dictionary_encode()
+        flat, sizes = self.words(found.dictionary.to_pylist())
+        by_word = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat, pa.int32())).take(found.indices)
+        upto = np.append(0, np.cumsum(sizes[found.indices.to_numpy()]))
+        return pa.ListArray.from_arrays(pa.array(upto[ends], pa.int32()), by_word.flatten())
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,22 +243,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        ids, rank, known = v.ids(), {p: i for i, p in reversed(list(enumerate(v.merges)))}, {}
+        encoder = Encoder(shared.value)
         for batch in batches:
-            out = []
-            for words in batch.column(1).to_pylist():
-                row = []
-                for w in words:
-                    found = known.get(w)
-                    if found is None:
-                        found = [ids[w.encode()]] if w in v.specials else [ids[t] for t in encode_word(w.encode(), rank)]
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[w] = found
-                    row += found
-                out.append(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["key", "tokens"])
+            at = 0
+            for part in encoder.lists(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), part], ["key", "tokens"])
+                at += len(part)
 
     return docs.select(F.col(key).alias("key"), pieces(F.col(text), vocabulary).alias("pieces")).mapInArrow(run, f"key {kind}, tokens array<int>").withColumnRenamed("key", key)
 

@@ -7,28 +7,31 @@ words, in the tasks that hold them, and sums by how much each changes each pair'
 the counts merge by merge; as long as the best pair is the one foreseen, the merge is what training takes. The first always is, so every
 round gets on, and the sample has no part in the result. After COMPACT rounds the words are written anew with what they have been merged to.
 
-The driver holds the merges, the counts of pairs (as many as the vocabulary has neighbours) and the sample of at most 2 * SAMPLE_WORDS words.
+The driver holds the merges, the counts of pairs (as many as the vocabulary has neighbours) and the sample of about 2 * SAMPLE_WORDS words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Container, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from lodestone.session import remove_table, shared_table
 
-#: Words of a partition on average, rounds between rewritings, merges foreseen in a round, and words of each half of the sample.
+#: Words of a partition on average when words are written anew, rounds between that, merges foreseen in a round, and half of the words of the sample.
 FOLDER_WORDS, COMPACT, FORESEEN, SAMPLE_WORDS = 200_000, 8, 64, 50_000
-#: Symbols of a word that the sample takes, and that a task works on at a time unless a block has more.
-SAMPLE_SYMBOLS, SLICE_SYMBOLS = 64, 1 << 21
+#: Symbols of a word that the sample takes, those that a task works on at a time, and those of a row unless one word has more.
+SAMPLE_SYMBOLS, SLICE_SYMBOLS, ROW_SYMBOLS = 64, 1 << 19, 1 << 9
+#: The id of a place whose token has been joined to that before it.
+GONE = -2
 Pair = tuple[bytes, bytes]
-CHANGES = "step int, left int, right int, cnt long"
+CHANGES, BLOCKS = "step int, left int, right int, cnt long", "ids binary, words binary"
 
 
 class _Latest:
@@ -66,6 +69,16 @@ class PairCounts:
         else:
             self.counts.pop(pair, None)
 
+    def first(self, most: int) -> list[tuple[bytes, bytes, int]]:
+        """The best pairs with their counts, in order."""
+        out, seen = [], {}
+        while len(seen) < most and (pair := self.best()):
+            out.append(heappop(self.heap))
+            seen[pair] = out[-1].count
+        for x in out:
+            heappush(self.heap, x)
+        return [(*pair, n) for pair, n in seen.items()]
+
     def best(self) -> Pair | None:
         while self.heap:
             top = self.heap[0]
@@ -78,24 +91,25 @@ class PairCounts:
         return None
 
 
-def safe_batch(pairs: list[tuple[bytes, bytes, int]], more: bool) -> list[Pair]:
-    """The first of the pairs (left, right, count; the best first) that training takes in this order whatever comes between; `more`: the list goes on.
+def safe_batch(pairs: list[tuple[bytes, bytes, int]], more: bool, made: Container[bytes] = frozenset()) -> list[Pair]:
+    """The first of the pairs (left, right, count; the best first) that training takes in this order whatever comes between; `more`: the list goes on; `made`: tokens there are.
 
     Merges without a token in common leave one another's counts as they are. A pair that a merge makes new is no more
     frequent than the pair it comes from, which shares a token with the merge. So those before the first that shares
-    a token with an earlier one come next, if they are more frequent than it. A token with itself is merged alone.
+    a token with an earlier one, or makes one that is there, come next, if they are more frequent than it. A token with itself is merged alone.
     """
     used: set[bytes] = set()
     least = pairs[-1][2] if more else 0
     n = 0
     for left, right, count in pairs:
-        if n and (left == right or left in used or right in used):
+        names = {left, right, left + right}
+        if n and (left == right or names & used or left + right in made):
             least = count
             break
         n += 1
-        if left == right:
+        if left == right or left + right in made:
             break
-        used |= {left, right}
+        used |= names
     return [(a, b) for i, (a, b, count) in enumerate(pairs[:n]) if i == 0 or count > least]
 
 
@@ -116,9 +130,8 @@ def sums(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
     return (code[first] // wide).astype(np.int32), (code[first] % wide).astype(np.int32), np.add.reduceat(n[order], first)
 
 
-def _different(parts: list[np.ndarray]) -> np.ndarray:
-    """The different places of several lists, in order."""
-    places = np.sort(np.concatenate(parts))
+def _different(places: np.ndarray) -> np.ndarray:
+    """The different ones of places in order."""
     return places[np.append(True, places[1:] != places[:-1])] if places.size else places
 
 
@@ -158,11 +171,11 @@ class Block:
                 self.where[k].append(some)
 
     def copy(self) -> Block:
-        return Block(self.ids[self.ids != -2], self.n[np.flatnonzero(self.ids == -1)[:-1]])
+        return Block(*self.left())
 
-    def packed(self) -> tuple[bytes, bytes]:
-        ids = self.ids[self.ids != -2]
-        return ids.tobytes(), self.n[np.flatnonzero(self.ids == -1)[:-1]].tobytes()
+    def left(self) -> tuple[np.ndarray, np.ndarray]:
+        """ids and words as they are after the merges."""
+        return self.ids[self.ids != GONE], self.n[np.flatnonzero(self.ids == -1)[:-1]]
 
     def _at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         left, right = self.ids[places], self.ids[self.after[places]]
@@ -181,7 +194,7 @@ class Block:
             k = self.nth[self.short[left], self.short[right]]
             if not self.where[k]:
                 return None
-            at = _different(self.where[k])
+            at = self.where[k][0] if len(self.where[k]) == 1 else _different(np.sort(np.concatenate(self.where[k]), kind="stable"))
             self.where[k] = []
             at = at[self.ids[at] == left]
         at = at[self.ids[self.after[at]] == right]
@@ -190,12 +203,12 @@ class Block:
             at = at[(np.arange(at.size) - np.repeat(starts, np.diff(starts, append=at.size))) % 2 == 0]
         if not at.size:
             return None
-        gone, first = self.after[at], self.before[at]
-        old = self._at(_different([first, at, gone])) if told else None
-        self.ids[at], self.ids[gone] = new, -2
+        gone, first = self.after[at], self.before[at]  # side by side they are in order, since no place is joined twice
+        old = self._at(_different(np.stack([first, at, gone], axis=1).ravel())) if told else None
+        self.ids[at], self.ids[gone] = new, GONE
         self.after[at] = self.after[gone]
         self.before[self.after[at]] = at
-        places = _different([self.before[at], at])
+        places = _different(np.stack([self.before[at], at], axis=1).ravel())
         if not self.searched:
             self._found(places)
         if not told:
@@ -205,77 +218,116 @@ class Block:
         return l[n != 0], r[n != 0], n[n != 0]
 
 
-def _blocks(ids: pa.Array, words: pa.Array, merges: list[tuple[int, int, int]]) -> Block:
-    """Packed blocks as one; the -1 at the end of each is that before the next."""
-    parts = [np.frombuffer(b.as_buffer(), np.int32)[:-1] for b in ids]
-    return Block(np.append(np.concatenate(parts), np.int32(-1)), np.concatenate([np.frombuffer(b.as_buffer(), np.int64) for b in words]), merges)
+def packed(flat: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Words as rows of blocks: their ids one after another, how many each has, and how often it occurs."""
+    ids = np.full(flat.size + sizes.size + 1, -1, np.int32)
+    ids[np.arange(1, flat.size + 1) + np.repeat(np.arange(sizes.size), sizes)] = flat
+    return _in_rows(ids, counts.astype(np.int64))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], merges: list[tuple[int, int, int]] = ()) -> Iterator[Block]:
-    """The blocks of some rows at a time, of about SLICE_SYMBOLS."""
+def _in_rows(ids: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+    """ids with a -1 before each word and at the end, and counts of words, cut in rows of about ROW_SYMBOLS, since Parquet and Arrow are read by thousands of rows."""
+    starts = np.flatnonzero(ids == -1)
+    first = np.flatnonzero(np.diff(starts[:-1] // ROW_SYMBOLS, prepend=-1)).tolist()
+    cuts = list(zip(first, [*first[1:], words.size], strict=True))
+    rows = [ids[starts[a] : starts[b] + 1].tobytes() for a, b in cuts], [words[a:b].tobytes() for a, b in cuts]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in rows], ["ids", "words"])
+
+
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """ids and words of some rows at a time, of about SLICE_SYMBOLS; the -1 at the end of each row is that before the next."""
     for batch in batches:
         ids, words = batch.column("ids"), batch.column("words")
         start, size = 0, 0
         for i, b in enumerate(ids):
             size += len(b.as_buffer()) // 4
             if size >= SLICE_SYMBOLS or i == len(ids) - 1:
-                yield _blocks(ids.slice(start, i + 1 - start), words.slice(start, i + 1 - start), merges)
+                some = range(start, i + 1)
+                parts = [np.frombuffer(ids[k].as_buffer(), np.int32)[:-1] for k in some]
+                yield np.append(np.concatenate(parts), np.int32(-1)), np.concatenate([np.frombuffer(words[k].as_buffer(), np.int64) for k in some])
                 start, size = i + 1, 0
 
 
+def _slices(batches: Iterator[pa.RecordBatch], merges: list[tuple[int, int, int]] = ()) -> Iterator[Block]:
+    """The same as blocks."""
+    for ids, words in _arrays(batches):
+        yield Block(ids, words, merges)
+
+
 def _to_ids(symbols: pa.ListArray, id_of: dict[bytes, int]) -> np.ndarray:
-    """The tokens of words as ids, -1 before each word and at the end."""
+    """The tokens of words as ids, one word after another."""
     found = symbols.flatten().dictionary_encode()
     known = np.array([id_of[b] for b in found.dictionary.to_pylist()], np.int32)
-    flat = known[found.indices.to_numpy()] if len(found) else np.empty(0, np.int32)
-    ends = np.cumsum(pc.list_value_length(symbols).to_numpy())
-    return np.insert(flat, np.concatenate([[0], ends]), -1).astype(np.int32)
+    return known[found.indices.to_numpy()] if len(found) else np.empty(0, np.int32)
 
 
 class Training:
     """The words of a training as blocks, and the exact counts of their pairs."""
 
-    def __init__(self, words: DataFrame, tie: str):
-        """words: symbols (an array of binary) and cnt."""
-        self.spark, self.tie = words.sparkSession, tie
-        words = words.where(F.size("symbols") > 1).select("symbols", F.col("cnt").cast("long").alias("cnt"))
-
-        def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0).flatten().unique()], ["symbol"])
-
-        self.tokens: list[bytes] = sorted(bytes(r[0]) for r in words.select("symbols").mapInArrow(different, "symbol binary").distinct().collect())
-        self.id_of = {t: i for i, t in enumerate(self.tokens)}
-        id_of = self.id_of
-
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    ids, counts = _to_ids(batch.column(0), id_of), batch.column(1).to_numpy().astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["ids", "words"])
-
-        n = words.count()
-        self.parts = max(self.spark.sparkContext.defaultParallelism, 1 + n // FOLDER_WORDS)
-        self.blocks = shared_table(words.mapInArrow(pack, "ids binary, words binary").repartition(self.parts), "blocks")
+    def __init__(self, blocks: DataFrame, tokens: list[bytes], tie: str):
+        """blocks: a table of rows that `packed` makes, which goes when the training is closed or writes it anew; tokens: the bytes of each id."""
+        self.spark, self.tie, self.blocks, self.tokens = blocks.sparkSession, tie, blocks, list(tokens)
+        self.id_of: dict[bytes, int] = {}
+        self.made = set(self.tokens)
+        for i, t in enumerate(self.tokens):
+            self.id_of.setdefault(t, i)
+        figures = self._figures()
+        self.n_words, self.n_bytes = sum(r["n"] for r in figures), sum(r["bytes"] for r in figures)
+        self.parts = max(self.spark.sparkContext.defaultParallelism, 1 + self.n_words // FOLDER_WORDS)
+        self.step = 1
+        while sum(r["n"] if self.step < 1 << r["log"] else min(r["n"], r["cnt"] / self.step) for r in figures) > 2 * SAMPLE_WORDS:
+            self.step *= 2
         self.pending: list[tuple[int, int, int]] = []
         self.rounds = 0
-        self.sample = self._sample(words, n)
 
+    def _figures(self) -> list[Row]:
+        """By the logarithm of the counts of words, to the base 2: how many there are, how often they occur together, and how many bytes they have."""
+        size = np.array([*map(len, self.tokens), 0], np.int64)  # the last for -1
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, words in _arrays(batches):
+                log = np.frexp(words)[1] - 1
+                sized = np.add.reduceat(size[ids[:-1]], np.flatnonzero(ids == -1)[:-1])
+                some = np.unique(log)
+                told = [[int(x[log == k].sum()) for k in some] for x in (np.ones_like(words), words, sized)]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(x, pa.int64()) for x in told)], ["log", "n", "cnt", "bytes"])
+
+        sums = [F.sum(c).alias(c) for c in ("n", "cnt", "bytes")]
+        return self.blocks.mapInArrow(run, "log int, n long, cnt long, bytes long").groupBy("log").agg(*sums).collect()
+
+    def begin(self) -> None:
+        """Counts all pairs and takes the sample."""
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for block in _slices(batches):
-                yield _rows([(0, block.pairs())])
+            for ids, words in _arrays(batches):
+                at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+                yield _rows([(0, sums(ids[at], ids[at + 1], words[np.cumsum(ids == -1)[at] - 1]))])
+
+        self.counts = PairCounts({p: c for _, p, c in self._summed(count)}, self.tie)
+        self.sample = self._sample()
 
-        self.counts = PairCounts({p: c for _, p, c in self._summed(count)}, tie)
+    def _sample(self) -> Block:
+        """Of every `step` occurrences of words one, with the weight of all: words as frequent as that are there with their own count. Of long words the beginning."""
+        step = self.step
 
-    def _sample(self, words: DataFrame, n: int) -> Block:
-        """The most frequent words, and of the rest as many by their hash, with so much more weight; of long words the beginning."""
-        cut = words.select(F.slice("symbols", 1, SAMPLE_SYMBOLS).alias("symbols"), "cnt")
-        most = cut.orderBy(F.desc("cnt")).limit(SAMPLE_WORDS).toArrow()
-        each = 1 + n // SAMPLE_WORDS
-        least = pc.min(most.column("cnt")).as_py() or 0
-        rest = cut.where((F.col("cnt") < least) & (F.pmod(F.xxhash64("symbols"), F.lit(each)) == 0)).limit(SAMPLE_WORDS).toArrow() if n > SAMPLE_WORDS else most.slice(0, 0)
-        symbols = pa.chunked_array([*most.column("symbols").chunks, *rest.column("symbols").chunks], most.schema.field("symbols").type).combine_chunks()
-        return Block(_to_ids(symbols, self.id_of), np.concatenate([most.column("cnt").to_numpy(), rest.column("cnt").to_numpy() * each]).astype(np.int64))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, words in _arrays(batches):
+                upto = np.cumsum(words) + zlib.crc32(words.tobytes()) % step
+                some = upto // step > (upto - words) // step
+                starts = np.flatnonzero(ids == -1)[:-1]
+                word = np.repeat(np.arange(words.size), np.diff(starts, append=ids.size - 1))
+                some_ids = ids[:-1][some[word] & (np.arange(word.size) - starts[word] <= SAMPLE_SYMBOLS)]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (np.append(some_ids, np.int32(-1)), np.maximum(words[some], step))], ["ids", "words"])
+
+        found = self.blocks.mapInArrow(run, BLOCKS).toArrow()
+        ids = [np.frombuffer(b.as_buffer(), np.int32)[:-1] for b in found.column("ids")]
+        words = [np.frombuffer(b.as_buffer(), np.int64) for b in found.column("words")]
+        return Block(np.concatenate([*ids, np.array([-1], np.int32)]).astype(np.int32), np.concatenate([np.empty(0, np.int64), *words]))
+
+    def words(self) -> Iterator[tuple[list[bytes], int]]:
+        """The tokens and the count of each word, brought to the driver."""
+        for ids, words in ((np.frombuffer(r["ids"], np.int32), np.frombuffer(r["words"], np.int64)) for r in self.blocks.toLocalIterator()):
+            for w, n in zip(np.split(ids[1:-1], np.flatnonzero(ids[1:-1] == -1)), words.tolist(), strict=False):
+                yield [self.tokens[i] for i in w.tolist() if i >= 0], n
 
     def _summed(self, run) -> list[tuple[int, Pair, int]]:
         """step, pair and sum of what tasks tell; a row for each pair that a step touches."""
@@ -322,19 +374,32 @@ class Training:
         changes: list[list[tuple[Pair, int]]] = [[] for _ in guess]
         for k, pair, change in self._summed(follow):
             changes[k].append((pair, change))
-        taken = []
-        for pair, told in zip(guess, changes, strict=True):
-            if self.counts.best() != pair:
-                break
-            taken.append(pair)
-            for p, c in told:
-                self.counts.add(p, c)
+        taken: list[Pair] = []
+        while len(taken) < len(guess) and (group := self._next(guess[len(taken) :])):
+            for told in changes[len(taken) : len(taken) + len(group)]:
+                for p, c in told:
+                    self.counts.add(p, c)
+            taken += group
+            self.made |= {a + b for a, b in group}
         for m in steps[: len(taken)]:
             self.sample.merge(*m, told=False)
         self.pending += steps[: len(taken)]
         self.rounds += 1
         return taken
 
+    def _next(self, guess: list[Pair]) -> list[Pair]:
+        """The merges that come next, if the guess begins with them: the best pair, or several that are next in an order of their own but leave one another's counts alone, so that their changes may be added up."""
+        if self.counts.best() == guess[0]:
+            return guess[:1]
+        first = self.counts.first(len(guess) + 1)
+        sure = safe_batch(first[: len(guess)], len(first) > len(guess), self.made)
+        ahead: set[Pair] = set()
+        for n, pair in enumerate(sure, 1):
+            ahead.add(pair)
+            if ahead == set(guess[:n]):
+                return sure[:n]
+        return []
+
     def rewrite(self) -> None:
         """Writes the words anew, as they are after all merges so far, without those of one token."""
         pending, before = list(self.pending), self.blocks
@@ -343,10 +408,9 @@ class Training:
             for block in _slices(batches, pending):
                 for m in pending:
                     block.merge(*m, told=False)
-                ids, words = block.packed()
-                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([words], pa.binary())], ["ids", "words"])
+                yield _in_rows(*block.left())
 
-        self.blocks = shared_table(before.mapInArrow(run, "ids binary, words binary").repartition(self.parts), "blocks")
+        self.blocks = shared_table(before.mapInArrow(run, BLOCKS).repartition(self.parts), "blocks")
         self.pending = []
         remove_table(before)
 
@@ -361,14 +425,36 @@ def _rows(told: list[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]) ->
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["step", "left", "right", "cnt"])
 
 
-def train_distributed(words: DataFrame, n_merges: int, tie: str = "tuple") -> list[Pair]:
-    """The merges of a histogram table (symbols, cnt) of any size, as `bpe.train` has them."""
-    if tie not in ("tuple", "concat"):
-        raise ValueError("tie must be tuple or concat")
-    training, merges = Training(words, tie), []
+def train_on_blocks(training: Training, n_merges: int) -> list[Pair]:
+    """The next merges of a training, whatever its size."""
+    training.begin()
+    merges: list[Pair] = []
     while len(merges) < n_merges and (taken := training.round(n_merges - len(merges))):
         merges += taken
         if training.rounds % COMPACT == 0 and len(merges) < n_merges:
             training.rewrite()
+    return merges
+
+
+def train_distributed(words: DataFrame, n_merges: int, tie: str = "tuple") -> list[Pair]:
+    """The merges of a histogram table (symbols, an array of binary; cnt) of any size, as `bpe.train` has them."""
+    if tie not in ("tuple", "concat"):
+        raise ValueError("tie must be tuple or concat")
+    words = words.where(F.size("symbols") > 1).select("symbols", F.col("cnt").cast("long").alias("cnt"))
+
+    def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).flatten().unique()], ["symbol"])
+
+    tokens = sorted(bytes(r[0]) for r in words.select("symbols").mapInArrow(different, "symbol binary").distinct().collect())
+    id_of = {t: i for i, t in enumerate(tokens)}
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield packed(_to_ids(batch.column(0), id_of), pc.list_value_length(batch.column(0)).to_numpy(), batch.column(1).to_numpy())
+
+    training = Training(shared_table(words.mapInArrow(pack, BLOCKS), "blocks"), tokens, tie)
+    merges = train_on_blocks(training, n_merges)
     training.close()
     return merges

@@ -7,6 +7,12 @@ of documents, not rows of one token.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -147,19 +153,55 @@ def next_tokens(store: DataFrame, tokens: str = "tokens", start: str = "start")
     return store.where(F.size(t) > 0).select(F.col(start).alias("__s"), F.posexplode(pairs).alias("__i", "x")).select((F.col("__s") + F.col("__i")).alias("pos"), "x.token", "x.target")
 
 
-def boundary_spans(store: DataFrame, boundaries: list[int], end: int = 256, tokens: str = "tokens", most_percent: float | None = None) -> DataFrame:
+#: Tokens of a store that a task cuts in spans at a time; a longer document is cut by itself.
+SPAN_TOKENS = 1 << 19
+
+
+def row_slices(upto: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of slices of about `most`, where `upto` adds up the sizes of the rows."""
+    edges = [0, *(np.flatnonzero(np.diff(upto // most)) + 1).tolist(), len(upto)]
+    return ((a, b - a) for a, b in pairwise(edges) if b > a)
+
+
+def boundary_spans(store: DataFrame, boundaries: list[int], end: int = 256, tokens: str = "tokens", most_percent: float | None = None, counted: bool = True) -> DataFrame:
     """tokens and cnt: the spans of two tokens or more of the documents that begin at a boundary token or after an end token, the material of a resumed training.
 
-    With `most_percent` spans are cut to that percentile (the nearest rank below) of their lengths, each counted as often as it occurs.
+    With `most_percent` spans are cut to that percentile (the nearest rank below) of their lengths, each counted as often as it occurs; the store
+    is then read twice. Without `counted` each span is a row of its own with cnt 1, and nothing is shuffled. Time is in proportion to the tokens.
     """
-    t = F.col(tokens)
-    opens = F.filter(F.transform(t, lambda x, i: F.when((i == 0) | x.isin(*boundaries, end), i)), lambda i: i.isNotNull())
-    edges = F.concat(F.col("__o"), F.array(F.size(t)))
-    spans = F.transform("__o", lambda a, k: F.filter(F.slice(t, a + 1, F.get(edges, k + 1) - a), lambda x: x != end))
-    rows = store.where(F.size(t) > 0).withColumn("__o", opens).select(F.explode(spans).alias("tokens"))
-    counts = rows.where(F.size("tokens") > 1).groupBy("tokens").agg(F.count("*").alias("cnt"))
-    if most_percent is None:
-        return counts
-    most = counts.groupBy(F.size("tokens").alias("n")).agg(F.sum("cnt").alias("c"))
-    limit = most.agg(F.expr(f"percentile(n, {most_percent / 100}, c)").cast("int")).scalar()
-    return counts.select(F.slice("tokens", F.lit(1), limit).alias("tokens"), "cnt").groupBy("tokens").agg(F.sum("cnt").alias("cnt"))
+
+    def spans(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The length of each span, the place in its span of each token that stays, and these tokens."""
+        values, sizes = column.flatten(), pc.list_value_length(column).to_numpy()
+        opens = pc.is_in(values, value_set=pa.array([*boundaries, end], values.type)).to_numpy(zero_copy_only=False).copy()
+        opens[np.cumsum(sizes) - sizes] = True
+        span, kept = np.cumsum(opens) - 1, pc.fill_null(pc.not_equal(values, end), False).to_numpy(zero_copy_only=False)
+        n = np.bincount(span[kept], minlength=int(span[-1]) + 1 if span.size else 0)
+        kept &= (n > 1)[span]
+        n = n[n > 1]
+        return n, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), values.filter(pa.array(kept))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in row_slices(np.cumsum(pc.list_value_length(batch.column(0)).to_numpy()), SPAN_TOKENS):
+                yield batch.slice(*rows)
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            found, c = np.unique(spans(part.column(0))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(c, pa.int64())], ["n", "c"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            n, place, values = spans(part.column(0))
+            if part.num_columns > 1 and n.size:
+                most = part.column(1)[0].as_py()
+                n, values = np.minimum(n, most), values.filter(pa.array(place < most))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), values)], ["tokens"])
+
+    own = store.select(F.col(tokens).alias("tokens")).where(F.size("tokens") > 0)
+    if most_percent is not None:
+        most = own.mapInArrow(lengths, "n int, c long").groupBy("n").agg(F.sum("c").alias("c"))
+        own = own.withColumn("most", most.agg(F.expr(f"percentile(n, {most_percent / 100}, c)").cast("int")).scalar())
+    rows = own.mapInArrow(cut, f"tokens {own.schema['tokens'].dataType.simpleString()}")
+    return rows.groupBy("tokens").agg(F.count("*").alias("cnt")) if counted else rows.withColumn("cnt", F.lit(1).cast("long"))

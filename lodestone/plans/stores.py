@@ -12,7 +12,7 @@ from lodestone.functions.permutations import place_sql
 from lodestone.operators import bpe, evaluation, selection, tokens
 from lodestone.plans.corpus import PIECES_SQL
 from lodestone.plans.registry import Registry
-from lodestone.session import shared_folder
+from lodestone.session import dealt, remove_table, shared_folder, shared_table
 from lodestone.tables import table
 
 R = Registry()
@@ -175,12 +175,14 @@ SELECT DISTINCT step - 1 AS rank, upper(l) AS left, upper(r) AS right FROM w WHE
 UNION ALL SELECT DISTINCT step + (SELECT max(step) FROM w) - 1, upper(l), upper(r) FROM u WHERE step > 0""")
 def resumed_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """100 merges within words; and, from the saved vocabulary, 50 over spans of tokens between points, commas and colons, cut to the 99th percentile of their lengths."""
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     saved = shared_folder(spark, "vocabulary")
     bpe.save(spark, bpe.train_on(docs, 100), saved)
     v = bpe.load(spark, saved)
     opens = [i for i, t in enumerate(v.tokens()) if set(t) & set(b".,:")]
-    more = bpe.resume(v, tokens.boundary_spans(bpe.encode(docs, v), opens, most_percent=99), 50)
+    store = shared_table(bpe.encode(docs, v).select("tokens"), "tokens")
+    more = bpe.resume(v, tokens.boundary_spans(store, opens, most_percent=99, counted=False), 50)
+    remove_table(store)
     return more.merge_table(spark).select("rank", F.hex("left").alias("left"), F.hex("right").alias("right"))
 
 

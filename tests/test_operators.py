@@ -6,14 +6,18 @@ import gzip
 import json
 import random
 import tarfile
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import session
 from lodestone.functions import text
 from lodestone.operators import bpe, bpe_index, evaluation, filters, selection, templates, tokens
+from lodestone.session import dealt
 from lodestone.sources import ranges, readers, writers
 from lodestone.streaming import streams
 
@@ -240,6 +244,112 @@ def test_bpe_merges_that_can_be_taken_at_once():
     assert bpe_index.safe_batch([(b"a", b"b", 9), (b"c", b"d", 8)], True) == [(b"a", b"b")]
 
 
+def test_bpe_merges_that_make_a_token_there_is_end_a_batch():
+    pairs = [(b"a", b"b", 9), (b"c", b"de", 8), (b"f", b"g", 7)]
+    assert bpe_index.safe_batch(pairs, False) == [(b"a", b"b"), (b"c", b"de"), (b"f", b"g")]
+    assert bpe_index.safe_batch(pairs, False, {b"cde"}) == [(b"a", b"b")]
+    assert bpe_index.safe_batch([(b"a", b"bc", 9), (b"ab", b"c", 8)], False) == [(b"a", b"bc")]
+    assert bpe_index.safe_batch([(b"abc", b"d", 9), (b"a", b"bc", 8)], False) == [(b"abc", b"d")]
+
+
+@pytest.mark.parametrize("tie", ["tuple", "concat"])
+def test_bpe_rounds_take_merges_foreseen_in_another_order(spark, monkeypatch, tie):
+    monkeypatch.setattr(bpe_index.Training, "foreseen", lambda self, most: [(b"c", b"d"), (b"a", b"b"), (b"e", b"f")][:most])
+    words = {b"ab": 4, b"cd": 3, b"ef": 2, b"xab": 1}
+    training = bpe_index.Training(spark.createDataFrame([list(map(bytes, bpe_packed(words)))], "ids binary, words binary"), [bytes([b]) for b in range(256)], tie)
+    training.begin()
+    assert training.round(3) == bpe.train(words, 3, tie)
+
+
+def bpe_packed(words):
+    flat, sizes = np.frombuffer(b"".join(words), np.uint8), np.array([*map(len, words)])
+    batch = bpe_index.packed(flat, sizes, np.array([*words.values()]))
+    assert batch.num_rows == 1
+    return batch.column(0)[0].as_py(), batch.column(1)[0].as_py()
+
+
+def test_bpe_blocks_have_bounded_rows(monkeypatch):
+    monkeypatch.setattr(bpe_index, "ROW_SYMBOLS", 50)
+    rng = random.Random(8)
+    sizes, counts = np.array([rng.choice([2, 3, 9, 70]) for _ in range(200)]), np.arange(200)
+    batch = bpe_index.packed(np.arange(sizes.sum()), sizes, counts)
+    rows = [np.frombuffer(b, np.int32) for b in batch.column(0).to_pylist()]
+    assert max(x.size for x in rows) <= 50 + 72 and all(x[0] == -1 and x[-1] == -1 for x in rows)
+    assert [x for r in rows for x in r.tolist() if x >= 0] == list(range(sizes.sum()))
+    assert b"".join(batch.column(1).to_pylist()) == counts.tobytes()
+    ((ids, words),) = bpe_index._arrays([batch])
+    assert np.diff(np.flatnonzero(ids == -1)).tolist() == (sizes + 1).tolist() and words.tolist() == counts.tolist()
+
+
+def test_bpe_encodes_many_words_as_it_does_one(monkeypatch):
+    rng = random.Random(3)
+    for trial in range(30):
+        words = {"".join(rng.choice("aabbcé ") for _ in range(rng.randint(1, 9))).encode(): rng.randint(1, 9) for _ in range(80)}
+        v = bpe.Vocabulary(merges=bpe.train(words, rng.choice([0, 5, 40])))
+        if trial % 5 == 4:
+            rng.shuffle(v.merges)
+        monkeypatch.setattr(bpe, "ENCODED_PIECES", rng.choice([1, 10, 200]))
+        rank, ids = {p: i for i, p in reversed(list(enumerate(v.merges)))}, v.ids()
+        rows = [[rng.choice(v.specials) if rng.random() < 0.1 else rng.choice([*words]).decode() for _ in range(rng.choice([0, 0, 1, 5, 30]))] for _ in range(rng.choice([0, 1, 20]))]
+        want = [[i for w in r for i in ([ids[w.encode()]] if w in v.specials else [ids[t] for t in bpe.encode_word(w.encode(), rank)])] for r in rows]
+        assert [x for part in bpe.Encoder(v).lists(pa.array(rows, pa.list_(pa.string()))) for x in part.to_pylist()] == want
+
+
+def test_spans_take_time_in_proportion_to_their_tokens(spark):
+    long = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(150_000)), lambda i: (i % 2).cast("int")).alias("tokens"))
+    began = time.time()
+    assert [tuple(r) for r in tokens.boundary_spans(long, [1], most_percent=99).collect()] == [([1, 0], 75_000)]
+    assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("percent", [None, 90])
+def test_spans_equal_those_found_one_by_one(spark, monkeypatch, percent):
+    monkeypatch.setattr(tokens, "SPAN_TOKENS", 40)
+    rng = random.Random(9)
+    docs = [[rng.choice([1, 2, 3, 4, 9, None]) for _ in range(rng.choice([0, 1, 30]))] for _ in range(40)]
+    spans = []
+    for d in docs:
+        for i, t in enumerate(d):
+            if i == 0 or t in (3, 9):
+                spans.append([])
+            if t not in (9, None):
+                spans[-1].append(t)
+    spans = [tuple(x) for x in spans if len(x) > 1]
+    most = 99 if percent is None else int(np.percentile([*map(len, spans)], percent))
+    want = Counter(x[:most] for x in spans)
+    store = spark.createDataFrame([(d,) for d in [*docs, None]], "tokens array<int>")
+    assert {tuple(r["tokens"]): r["cnt"] for r in tokens.boundary_spans(store, [3], 9, most_percent=percent).collect()} == want
+    single = tokens.boundary_spans(store, [3], 9, most_percent=percent, counted=False).collect()
+    assert Counter(tuple(r["tokens"]) for r in single) == want and {r["cnt"] for r in single} == {1}
+
+
+def test_bpe_resumes_on_spans_that_come_again(spark):
+    docs = spark.createDataFrame([(i % 3, "of the best. of the best of the rest, of the least") for i in range(9)], "doc_id long, text string")
+    v = bpe.train_on(docs, 12)
+    both = [bpe.resume(v, tokens.boundary_spans(bpe.encode(docs, v), [46], most_percent=99, counted=c), 5, most_bytes=b) for c in (True, False) for b in (1, 10**6)]
+    assert all(x == both[0] for x in both) and len(both[0].merges) == 17
+
+
+def test_arrow_batches_are_bounded(spark):
+    kept = spark.conf.get(session.BATCH_KEY)
+    spark.conf.unset(session.BATCH_KEY)
+    session.ship(spark)
+    assert spark.conf.get(session.BATCH_KEY) == session.BATCH_BYTES
+    spark.conf.set(session.BATCH_KEY, "3m")
+    session.ship(spark)
+    assert spark.conf.get(session.BATCH_KEY) == "3m"
+    spark.conf.set(session.BATCH_KEY, kept)
+
+
+def test_rows_of_one_partition_are_dealt(spark):
+    one = spark.range(0, 1000, 1, 1)
+    shared = dealt(one)
+    assert shared.rdd.getNumPartitions() >= 16 and max(shared.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 200
+    assert sorted(r[0] for r in shared.collect()) == list(range(1000))
+    even = spark.range(0, 1000, 1, 4)
+    assert dealt(even) is even
+
+
 def test_bpe_encodes_by_rank_and_comes_back(spark):
     docs = spark.createDataFrame([(1, "low lower lowest<|endoftext|>new newer"), (2, ""), (3, None), (4, "naïve 😀 low")], "doc_id long, text string")
     v = bpe.train_on(docs.where("doc_id in (1, 4)"), 20)
